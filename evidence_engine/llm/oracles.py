@@ -2,7 +2,7 @@
 
 SUBSTRING_DEDUP = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 n AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n_words FROM w),
 win AS (SELECT doc_id, t.i AS i, array_to_string(ws[t.i:t.i + 12], ' ') AS s FROM n, LATERAL (SELECT unnest(range(1, n_words - 11)) AS i) t),
 firsts AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s),
