@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidence_engine.llm import oracles
+from evidence_engine.llm.decontaminate import op6_decontaminate
 from evidence_engine.llm.html_extract import op5_html_extract
+from evidence_engine.llm.language_id import op1_language_id
 from evidence_engine.llm.packing import op7_packing
 from evidence_engine.llm.secret_scan import op8_secret_scan
 from evidence_engine.llm.simhash import op4_simhash
@@ -19,10 +21,12 @@ from evidence_engine.llm.url_rules import op2_url_rules
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_url_rules": op2_url_rules,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_simhash": op4_simhash,
         "op5_html_extract": op5_html_extract,
+        "op6_decontaminate": op6_decontaminate,
         "op7_packing": op7_packing,
         "op8_secret_scan": op8_secret_scan,
         "op9_topk_search": op9_topk_search,
