@@ -3,10 +3,11 @@
 A text's tokens are its words without punctuation at their ends; tokens without a letter or digit are left out. In the
 template, numbers, names (capitalised words) and units are typed placeholders; other tokens are lower-cased. Windows of
 templates are hashed and joined: the benchmark's windows form a hash table, documents stream past it. Matching windows
-of a document and an item that lie on one diagonal form a region. Its slots must be consistent: within it, equal values
-of the item stand for equal values of the document. So a question with other numbers or names is caught, and a chance
-match of placeholders is not. A document is contaminated by an item if a consistent region covers LEAST_TOKENS tokens,
-or the whole of a shorter item.
+of a document and an item that lie on one diagonal form a region, which grows over the tokens next to them as long as
+the templates agree. Its slots must be consistent: within it, equal values of the item stand for equal values of the
+document. So a question with other numbers or names is caught, and a chance match of placeholders is not. A document is
+contaminated by an item if a consistent region covers LEAST_TOKENS tokens, or the whole of a shorter item; or if so
+many tokens in a row are the item's own, whatever the slots beside them hold.
 
 The benchmark is cut into blocks of at most BLOCK_WINDOWS windows (16 bytes each); only one block's table is in a
 worker at a time, and every block sees all documents, so a large benchmark costs more passes, not more memory.
@@ -35,7 +36,7 @@ WINDOW, LEAST_LITERALS, LEAST_TOKENS = 8, 4, 13
 BLOCK_WINDOWS = 2_000_000
 # Unit words.
 UNITS = frozenset(
-    "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp percent degree degrees hz khz mhz ghz kb mb gb tb w kw v a".split()
+    "mm cm km ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml liter liters litre litres gallon gallons sec secs second seconds min mins minute minutes hr hrs hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp percent degree degrees hz khz mhz ghz kb mb gb tb kw".split()
 )
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 _NUM, _NAME, _UNIT = 1, 2, 3
@@ -89,7 +90,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], window: int, literals: int):
         templates = Templates()
-        self.ids, self.values, self.sizes = [], [], []
+        self.ids, self.values, self.tokens = [], [], []
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             h, words = tokens_of((text or "").encode(), templates)
@@ -103,6 +104,7 @@ class Index:
                 found[size].append((_windows(h, size)[good], np.full(len(good), len(self.ids)), good))
                 self.ids.append(item_id)
                 self.values.append([token_of(w.decode())[::2] for w in words])
+                self.tokens.append(h)
         self.tables = {}
         for size, parts in found.items():
             h, item, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -110,10 +112,18 @@ class Index:
             self.tables[size] = h[order], item[order], pos[order]
 
 
+def _grown(item: np.ndarray, doc: np.ndarray, diagonal: int, starts: list[int]) -> list[int]:
+    """Places of the item whose template agrees with the document's on a diagonal, in runs that hold a window's start."""
+    first, last = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    same = item[first:last] == doc[first + diagonal : last + diagonal]
+    run = np.cumsum(np.r_[True, same[1:] != same[:-1]])
+    return (first + np.flatnonzero(same & np.isin(run, run[np.array(starts) - first]))).tolist()
+
+
 def matches(text: bytes, index: Index, templates: Templates, least: int = LEAST_TOKENS) -> list[tuple[int, int, int, bool]]:
     """(item id, covered tokens, slots, whether all slots are verbatim) of each item that contaminates the text."""
     h, words = tokens_of(text, templates)
-    cover: dict[tuple[int, int], set[int]] = defaultdict(set)
+    seeds: dict[tuple[int, int], list[int]] = defaultdict(list)
     for size, (keys, item, pos) in index.tables.items():
         if len(h) < size:
             continue
@@ -123,21 +133,26 @@ def matches(text: bytes, index: Index, templates: Templates, least: int = LEAST_
         for p, k in zip(hit.tolist(), at[hit].tolist(), strict=True):
             while k < len(keys) and keys[k] == own[p]:
                 q = int(pos[k])
-                cover[int(item[k]), p - q].update(range(q, q + size))
+                seeds[int(item[k]), p - q].append(q)
                 k += 1
     best: dict[int, tuple[int, int, int, bool]] = {}
-    for (i, diagonal), covered in cover.items():
+    for (i, diagonal), starts in seeds.items():
+        covered = _grown(index.tokens[i], h, diagonal, starts)
         if len(covered) < min(least, len(index.values[i])):
             continue
-        stands, clear, slots, same = {}, True, 0, True
-        for q in sorted(covered):
+        stands, clear, slots, same, run, longest, last = {}, True, 0, True, 0, 0, -2
+        for q in covered:
             kind, value = index.values[i][q]
+            own = True
             if kind:
                 other = token_of(words[q + diagonal].decode())[2]
+                own = other == value
                 slots += 1
-                same &= other == value
+                same &= own
                 clear &= stands.setdefault((kind, value), other) == other
-        if clear:
+            run = (run + 1 if q == last + 1 else 1) if own else 0
+            longest, last = max(longest, run), q
+        if clear or longest >= least:
             best[i] = max(best.get(i, (0, 0, 0, False)), (index.ids[i], len(covered), slots, same), key=lambda r: r[1:2])
     return list(best.values())
 
