@@ -15,6 +15,7 @@ passed on; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -39,11 +40,54 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Stands for the end of a word in _byte_pairs.
+_END = "\0"
+
+
+def _byte_pairs(vocab: dict[str, int]):
+    """The vocabulary's byte-pair merges for words of lower-case letters, each with _END behind it.
+
+    Ids are in the order of the merges, and every token is its own encoding, so merging the pair of the smallest id
+    first gives the tokenizer's ids. A letter's byte and the word's end are one symbol from the start: these symbols have
+    smaller ids than all merges.
+    """
+    import tiktoken
+
+    # The usual byte alphabet, printable bytes as themselves and the rest from U+0100 on.
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    byte = {chr(b): bytes([b]) for b in kept} | {chr(256 + k): bytes([b]) for k, b in enumerate(rest)}
+    ranks = {}
+    for token, i in vocab.items():
+        word, end = (token[:-4], _END.encode()) if token.endswith("</w>") else (token, b"")
+        if word and all(c in byte for c in word) and not token.startswith("<|"):
+            ranks[b"".join(byte[c] for c in word) + end] = i
+    ranks[_END.encode()] = max(vocab.values()) + 1
+    return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
+
+
+#: A word of Latin-1 letters, and behind them a run of ASCII punctuation without the apostrophe: one or two pre-tokens.
+_PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$", re.M)
+
+
+class _Places(dict):
+    """word -> its place in order of first sight; `new` lists the words that were added."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTokens:
     """Token ids of texts, through a memory of words.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in order. A word of
-    letters with one punctuation mark behind it is two pre-tokens, remembered apart.
+    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in order. New words
+    are encoded together: plain ones by _byte_pairs, all others by the tokenizer itself.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -51,75 +95,57 @@ class WordTokens:
 
         self.tok, self.most = Tokenizer.from_file(path), most
         vocab = self.tok.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.merge = _byte_pairs(vocab)
+        self.closes = np.zeros(max(vocab.values()) + 2, bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.cores: dict[str, np.ndarray] = {}
+        self.words = _Places()
         self.arena, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn_cores(self, cores: list[str]) -> None:
-        """Cores are runs of letters, so each is one pre-token and ends with its only closing token."""
-        for s in range(0, len(cores), 512):
-            part = cores[s : s + 512]
-            ids = self._encode(["\n".join(part)])[0]
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            each = np.split(ids, ends[:-1]) if len(ends) == len(part) and ends[-1] == len(ids) else self._encode(part)
-            self.cores.update(zip(part, each, strict=True))
+    def _store(self, places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.arena):
+            self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
+        self.arena[self.used : self.used + len(flat)] = flat
+        self.at[places], self.size[places] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(flat)
 
     def _learn(self, words: list[bytes]) -> None:
-        plans, cores, rest = [], {}, {}
-        for w in words:
-            text = w.decode()
-            mark = text[-1] if text[-1] in ".,!?:;" else ""
-            core = text[: len(text) - len(mark)]
-            if core.isalpha() and max(core) < "Ā":
-                core = core.lower()
-                cores[core] = None
-            elif not core.isalpha():
-                core, mark = text, ""
-                rest[core] = None
-            else:
-                cores[core] = None
-            if mark:
-                rest[mark] = None
-            plans.append((core, mark))
-        self._learn_cores([c for c in cores if c not in self.cores])
-        odd = [r for r in rest if r not in self.cores]
-        self.cores.update(zip(odd, self._encode(odd), strict=True))
-        parts = [(self.cores[c], self.cores[m]) if m else (self.cores[c],) for c, m in plans]
-        sizes = np.array([sum(map(len, p)) for p in parts], np.int64)
-        flat = np.concatenate([x for p in parts for x in p]) if parts else np.zeros(0, np.uint32)
-        n, first = len(self.words), self.used
-        while first + len(flat) > len(self.arena):
-            self.arena = np.concatenate([self.arena, np.zeros_like(self.arena)])
-        while n + len(words) > len(self.at):
+        first = len(self.words) - len(words)
+        while len(self.words) > len(self.at):
             self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        self.arena[first : first + len(flat)] = flat
-        self.at[n : n + len(words)], self.size[n : n + len(words)] = first + np.cumsum(sizes) - sizes, sizes
-        self.used += len(flat)
-        self.words.update(zip(words, range(n, n + len(words)), strict=True))
+        marked = _PLAIN.sub(f"\\1{_END}\\2{_END}", b"\n".join(words).decode()).split("\n")
+        plain = np.array([w.endswith(_END) for w in marked])
+        # A word that holds _END itself is none of _PLAIN's; white space other than ASCII's stays within a word.
+        plain &= np.array([_END.encode() not in w for w in words])
+        for s in range(0, len(words), 4096):
+            part = np.flatnonzero(plain[s : s + 4096]) + s
+            if not len(part):
+                continue
+            held = [marked[i] for i in part.tolist()]
+            ids = np.array(self.merge.encode_ordinary("".join(held).lower()), np.int64)
+            # The last pre-token of each word: one or two closing tokens.
+            n = np.cumsum([1 if w[-2] == _END else 2 for w in held])
+            ends = np.flatnonzero(self.closes[ids])[n - 1] + 1
+            self._store(first + part, np.diff(np.r_[0, ends]), ids)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            each = [e.ids for e in self.tok.encode_batch_fast([words[i].decode() for i in odd.tolist()], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in each], np.int64)
+            self._store(first + odd, sizes, np.fromiter((i for x in each for i in x), np.uint32, int(sizes.sum())))
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if len(self.words) > self.most or len(self.cores) > self.most:
+        if len(self.words) > self.most:
             self.reset()
-        split = [t.split() if t else [] for t in texts]
-        known = self.words
-        new = {w: None for words in split for w in words if w not in known}
-        if new:
-            self._learn(list(new))
+        place = self.words.__getitem__
+        words = [np.fromiter(map(place, w), np.int64, len(w)) for w in (t.split() if t else () for t in texts)]
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new = []
         out = []
-        for words in split:
-            if not words:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            idx = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for idx in words:
             sizes = self.size[idx]
             before = np.cumsum(sizes) - sizes
             out.append(self.arena[np.repeat(self.at[idx] - before, sizes) + np.arange(sizes.sum())])
