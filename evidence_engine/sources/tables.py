@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 from evidence_engine.operators.chunking import fixed_window_chunks
 
 
+#: Bytes of file for each core up to which an input may be dealt out anew.
+SMALL_BYTES = 32 << 20
+
+
+def spread(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt out to all of them; any other as it is.
+
+    A file of one row group is one task's, however many cores there are. The size comes from the file listing, so no row
+    is read for it, and a table of more than SMALL_BYTES a core is never shuffled here.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return frame.repartition(cores) if (1 << 20) < size < SMALL_BYTES * cores and len(frame.inputFiles()) < cores else frame
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
