@@ -11,12 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from evidence_engine.sources.tables import spread
+
 #: Texts are handled in slices of about this many bytes, so a Python worker's memory doesn't follow the Arrow batch.
 SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

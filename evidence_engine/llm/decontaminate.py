@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import WordHashes, mix, pieces, plan_bytes, table, text_slices, texts_of
+from evidence_engine.llm.common import WordHashes, mix, pieces, table, text_slices, texts_of
 
 #: Tokens of a window, literal tokens that it needs, tokens that a region needs.
 WINDOW, LEAST_LITERALS, LEAST_TOKENS = 8, 4, 13
