@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import materialise, mix, table, text_slices, texts_of
+from evidence_engine.llm.common import free_shuffles, materialise, mix, table, text_slices, texts_of
 from evidence_engine.llm.components import components, local_roots
 
 SHINGLE, BITS, BUDGET = 3, 64, 2
@@ -150,12 +150,13 @@ def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total:
     return run
 
 
-def trie_links(reps: DataFrame, n: int, n_prints: int = 1, budget: Sequence[int] | None = None, total: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
+def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1, budget: Sequence[int] | None = None, total: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
     """src, dst: links between the distinct records reps(rep, f0, ...), a spanning forest of each task's.
 
     Linked are records that, for some k, stay within budget[d] differing bits in the first d bits of fk for all d from
     the cut down, and within `total` differing bits over all fingerprints. By default the budget is `total` throughout,
-    which with one fingerprint finds every pair of `total` or fewer differing bits.
+    which with one fingerprint finds every pair of `total` or fewer differing bits. Of several tries, one is joined after
+    the other, so there is one shuffle at a time on disk.
     """
     budget = [total] * (BITS + 1) if budget is None else list(budget)
     depth = int(max(10, min(20, math.ceil(math.log2(max(n, 1) / subtree + 1)))))
@@ -165,6 +166,9 @@ def trie_links(reps: DataFrame, n: int, n_prints: int = 1, budget: Sequence[int]
         prefix = F.shiftrightunsigned(f"f{k}", BITS - depth)
         sent = reps.select("*", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m")).withColumn("home", prefix.bitwiseXOR(F.col("m"))).where(F.col("home") <= prefix).drop("m")
         links = sent.groupBy("home").applyInArrow(_trie_side(k, n_prints, depth, budget, total), "src long, dst long")
+        if n_prints > 1:
+            links = materialise(spark, links, "simhash-links")
+            free_shuffles(spark)
         out = links if out is None else out.unionByName(links)
     return out
 
@@ -175,7 +179,7 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     prints = materialise(spark, fingerprint_table(docs, id_col, text_col, shingle, n_prints), "simhash-prints")
     reps = materialise(spark, prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash-reps")
     known = reps.where("rep is not null")
-    comps = components(spark, trie_links(known, known.count(), n_prints, budget, total))
+    comps = components(spark, trie_links(spark, known, known.count(), n_prints, budget, total))
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, names).select("doc_id", *names, "component_id")
 
@@ -186,10 +190,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The pipeline's stage: five-word shingles and a similarity of 0.8. Two texts of shingle similarity J differ in each
-#: bit with probability acos(2J / (1 + J)) / pi: 0.15 at J = 0.8. Four fingerprints (256 bits) estimate it: at most 44
-#: differing bits, 38 being expected at 0.8 and 49 at 0.7. A pair is met if in one of the four tries it differs in 2 or
-#: fewer bits down to depth 24, and from there in at most one more for every three bits.
-STAGE_SHINGLE, STAGE_PRINTS, STAGE_TOTAL = 5, 4, 44
+#: bit with probability acos(2J / (1 + J)) / pi: 0.15 at J = 0.8. Eight fingerprints (512 bits) estimate it: at most 88
+#: differing bits, 76 being expected at 0.8 and 98 at 0.7. A pair is met if in one of the eight tries it differs in 2 or
+#: fewer bits down to depth 20, and from there in at most one more for every three bits.
+STAGE_SHINGLE, STAGE_PRINTS, STAGE_TOTAL = 5, 8, 88
 STAGE_BUDGET = [2 if d <= 20 else min(16, 2 + (d - 18) // 3) for d in range(BITS + 1)]
 
 

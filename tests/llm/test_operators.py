@@ -121,7 +121,7 @@ def test_trie_join_finds_every_link(spark, seed):
         first.setdefault(p, i)
     reps = spark.createDataFrame([(p - 2**64 if p >> 63 else p, i) for p, i in first.items()], "f0 long, rep long")
     want = brute_components({i: p for p, i in first.items()})
-    comps = {r.node: r.component for r in components.components(spark, simhash.trie_links(reps, len(first))).collect()}
+    comps = {r.node: r.component for r in components.components(spark, simhash.trie_links(spark, reps, len(first))).collect()}
     assert {i: comps.get(i, i) for i in want} == want
 
 
