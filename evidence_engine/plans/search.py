@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from evidence_engine.functions import text as tx
 from evidence_engine.operators import fusion, lexical, vector
 from evidence_engine.operators.routing import rule_plan
-from evidence_engine.plans import graphs
 from evidence_engine.plans.routing import RULE_PLAN_SQL
 from evidence_engine.sources.tables import chunks, query_set, read, with_ctes
 
