@@ -151,7 +151,7 @@ def entity_search(queries: DataFrame, nodes: DataFrame, limit: int = 8, most_ter
     asked = queries.select("query_id", F.explode(terms).alias("term"))
     distinct = asked.select(F.lower("term").alias("key")).distinct()
     match = F.contains(F.lower("name"), F.col("key")) if literal else F.expr("name ILIKE concat('%', key, '%')")
-    met = nodes.select("node_id", "name").join(F.broadcast(distinct) if literal else distinct, match)
+    met = nodes.select("node_id", "name").join(distinct, match)
     found = asked.withColumn("key", F.lower("term")).join(met.select("node_id", "key"), "key").select("query_id", "node_id").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "node_id")

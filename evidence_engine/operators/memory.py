@@ -123,3 +123,42 @@ def context(messages: DataFrame, items: DataFrame, chars: int = 900) -> DataFram
     facts = items.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "summary"))), lambda x: F.concat(F.lit("- "), x["summary"])), "\n").alias("facts"))
     return summary.join(facts, "conv_id", "left").select("conv_id", F.substring(F.concat_ws("\n\n", F.concat(F.lit("Summary:\n"), "summary"), F.concat(F.lit("Memory:\n"), "facts")), 1, chars).alias("prompt"))
 
+
+
+def may_summarise(summaries: DataFrame, seconds: int = 300) -> DataFrame:
+    """conv_id, free of summaries(conv_id, status, age_s): a running summary younger than `seconds` keeps its lock."""
+    held = (F.col("status") == "running") & (F.coalesce(F.col("age_s"), F.lit(0)) < seconds)
+    return summaries.select("conv_id", (~F.coalesce(held, F.lit(False))).alias("free"))
+
+
+def merge_recall(lists: DataFrame, top_k: int = 6) -> DataFrame:
+    """query_id, rank, item_id, score of several recalls' hits(query_id, item_id, score): an item's best score counts."""
+    best = lists.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "item_id", "score")
+
+
+# Headers of topics in an answer, and the digits of their labels.
+TOPIC = "^[ \\t]*(?:#{1,6}[ \\t]*)?(?:方向|选题|方案|topic|option)[ \\t]*([0-9一二三四五六七八九十]+)[:：.、 \\t]*(.*)$"
+CJK_DIGITS = "一二三四五六七八九"
+
+
+def topics(messages: DataFrame) -> DataFrame:
+    """conv_id, label, turn, content, seq: the numbered topics of assistant messages, each with its lines up to the next
+    one; Chinese digits are read as numbers, so both spellings are one label."""
+    lines = messages.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    number = F.translate(F.regexp_extract("line", f"(?i){TOPIC}", 1), CJK_DIGITS, "123456789")
+    rows = lines.withColumn("label", F.nullif(number, F.lit("")))
+    section = Window.partitionBy("conv_id", "turn").orderBy("pos")
+    rows = rows.withColumn("section", F.last("label", ignorenulls=True).over(section)).withColumn("no", F.count("label").over(section)).where("section is not null")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("conv_id", "turn", "no", F.col("section").alias("label")).agg(tx.strip(text).alias("content"), F.min("pos").alias("seq")).select("conv_id", "label", "turn", "content", "seq")
+
+
+def referenced_topic(queries: DataFrame, stored: DataFrame) -> DataFrame:
+    """query_id, label, content: the stored topic (conv_id, label, content) that a query (query_id, conv_id, text) names by
+    its number; the longest if there are several."""
+    named = F.regexp_extract("text", "(?i)(?:方向|选题|方案|topic|option|第)[ ]*([0-9一二三四五六七八九]+)", 1)
+    asked = queries.withColumn("label", F.translate(named, CJK_DIGITS, "123456789")).where("label <> ''")
+    met = asked.join(stored.select("conv_id", "label", "content"), ["conv_id", "label"])
+    return met.groupBy("query_id", "label").agg(F.max_by("content", F.struct(F.length("content"), "content")).alias("content"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidence_engine.plans import documents, evidence, graphs, routing, search
+from evidence_engine.plans import documents, evidence, graphs, policies, routing, search
 
-_PARTS = (search, graphs, routing, evidence, documents)
+_PARTS = (search, graphs, routing, evidence, documents, policies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -133,8 +133,8 @@ def repeated_lines(spark, sf):
     return ps.repeated_lines(_frame(spark, LINES, "doc_id int, page int, text string"))
 
 
-REPEATED = f"""WITH k AS (SELECT doc_id, page, regexp_replace(lower(text), '[0-9\\s]+', '', 'g') AS key FROM {_LINES}), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM {_LINES} GROUP BY doc_id),
-s AS (SELECT doc_id, key, count(DISTINCT page) AS on_pages FROM k WHERE key <> '' GROUP BY doc_id, key)
+REPEATED = f"""WITH k AS (SELECT doc_id, page, regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^a-z#一-鿿]+', '', 'g') AS key FROM {_LINES}), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM {_LINES} GROUP BY doc_id),
+s AS (SELECT doc_id, key, count(DISTINCT page) AS on_pages FROM k WHERE length(key) >= 4 GROUP BY doc_id, key)
 SELECT doc_id, key, on_pages AS "on" FROM s JOIN p USING (doc_id) WHERE pages >= 3 AND on_pages >= greatest(3, floor(pages * 35 / 100))"""
 
 
@@ -253,6 +253,41 @@ f AS (SELECT conv_id, string_agg('- ' || summary, chr(10) ORDER BY item_no) AS f
 SELECT s.conv_id, substring('Summary:' || chr(10) || summary || coalesce(chr(10) || chr(10) || 'Memory:' || chr(10) || facts, ''), 1, 900) AS prompt FROM s LEFT JOIN f USING (conv_id)""")
 
 
+_LOCKS = [(1, "running", 10), (2, "running", 400), (3, "done", 5), (4, None, None), (5, "running", None)]
+
+
+def summary_lock(spark, sf):
+    return mem.may_summarise(_frame(spark, _LOCKS, "conv_id int, status string, age_s int"))
+
+
+LOCK = f"SELECT conv_id, NOT coalesce(status = 'running' AND coalesce(age_s, 0) < 300, false) AS free FROM {values_sql(_LOCKS, 'conv_id, status, age_s')}"
+
+
+def memory_merge(spark, sf):
+    """Recall by place and by length, as two lists of scores."""
+    m = messages(spark, sf)
+    a = m.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("item_id"), (F.lit(1000) - F.col("turn")).alias("score"))
+    b = m.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("item_id"), F.length("content").cast("long").alias("score"))
+    return mem.merge_recall(a.unionByName(b))
+
+
+MEMORY_MERGE = with_ctes("msgs", """, l AS (SELECT conv_id AS query_id, turn AS item_id, 1000 - turn AS score FROM msgs UNION ALL SELECT conv_id, turn, length(content) FROM msgs),
+b AS (SELECT query_id, item_id, max(score) AS score FROM l GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM b) WHERE rank <= 6""")
+
+_TALK = [(1, 1, "assistant", "建议如下\n方向一：检索增强\n细节 A\n方向2 图谱\n细节 B"), (1, 2, "user", "选题1怎么样"), (1, 3, "assistant", "### 方向一：检索增强\n更长的细节 A 与数据"), (2, 1, "assistant", "no topics")]
+
+
+def topic_extract(spark, sf):
+    return mem.topics(_frame(spark, _TALK, "conv_id long, turn long, role string, content string"))
+
+
+def topic_reference(spark, sf):
+    talk = _frame(spark, _TALK, "conv_id long, turn long, role string, content string")
+    asked = talk.where("role = 'user'").select(F.col("turn").alias("query_id"), "conv_id", F.col("content").alias("text"))
+    return mem.referenced_topic(asked, mem.upsert_topics(mem.topics(talk)))
+
+
 def focus_state(spark, sf):
     return mem.focus_states(messages(spark, sf))
 
@@ -269,8 +304,8 @@ def stream_memory_state(spark, sf):
     return spark.read.schema(FOCUS).parquet(f"{at}/out")
 
 
-QUERIES = {f.__name__: f for f in (language_detect, paper_metadata, markdown_blocks, type_aware_chunks, section_infer, method_dataset_metric, pdf_quality, html_blocks, html_strip, html_tables, crawl_text, reference_split, paper_citations, heading_similarity, repeated_lines, section_tree, chunk_chain_edges, doc_id_merge, header_parse, recent_turns, conv_list, compress_trigger, fallback_summary, fallback_items, memory_recall, topic_upsert, memory_context, focus_state, stream_memory_state)}
+QUERIES = {f.__name__: f for f in (language_detect, paper_metadata, markdown_blocks, type_aware_chunks, section_infer, method_dataset_metric, pdf_quality, html_blocks, html_strip, html_tables, crawl_text, reference_split, paper_citations, heading_similarity, repeated_lines, section_tree, chunk_chain_edges, doc_id_merge, header_parse, recent_turns, conv_list, compress_trigger, fallback_summary, fallback_items, memory_recall, topic_upsert, memory_context, summary_lock, memory_merge, topic_extract, topic_reference, focus_state, stream_memory_state)}
 ORACLES = {
     "language_detect": LANGUAGE, "paper_metadata": PAPER_META, "html_strip": HTML_STRIP, "html_tables": HTML_TABLES, "crawl_text": CRAWL, "heading_similarity": HEADING_SIM, "repeated_lines": REPEATED, "section_tree": SECTION_TREE, "chunk_chain_edges": CHAIN,
-    "doc_id_merge": DOC_MERGE, "header_parse": HEADERS, "recent_turns": RECENT, "conv_list": CONV_LIST, "compress_trigger": COMPRESS, "fallback_summary": SUMMARY, "fallback_items": ITEMS, "memory_recall": RECALL, "topic_upsert": TOPICS, "memory_context": MEMORY_CONTEXT,
+    "doc_id_merge": DOC_MERGE, "header_parse": HEADERS, "recent_turns": RECENT, "conv_list": CONV_LIST, "compress_trigger": COMPRESS, "fallback_summary": SUMMARY, "fallback_items": ITEMS, "memory_recall": RECALL, "topic_upsert": TOPICS, "memory_context": MEMORY_CONTEXT, "summary_lock": LOCK, "memory_merge": MEMORY_MERGE,
 }

@@ -119,10 +119,10 @@ WHERE relation <> 'SUPPLIES' AND s.node_id <> 1000 AND t.node_id <> 1000""")
 
 
 def _asked(spark):
-    return spark.createDataFrame([(2000001 + k, t) for k, t in enumerate(["brass supplies", "in_nation of", "GERMANY", "nothing", "Part steel", "IN_REGION", "copper", "a"])], "query_id long, text string")
+    return spark.createDataFrame([(2000001 + k, t) for k, t in enumerate(["widget supplies", "in_nation of", "NATION_3", "nothing", "red ring", "IN_REGION", "EUROPE", "a"])], "query_id long, text string")
 
 
-_ASKED_SQL = "asked AS (SELECT * FROM (VALUES (2000001, 'brass supplies'), (2000002, 'in_nation of'), (2000003, 'GERMANY'), (2000004, 'nothing'), (2000005, 'Part steel'), (2000006, 'IN_REGION'), (2000007, 'copper'), (2000008, 'a')) t(query_id, text))"
+_ASKED_SQL = "asked AS (SELECT * FROM (VALUES (2000001, 'widget supplies'), (2000002, 'in_nation of'), (2000003, 'NATION_3'), (2000004, 'nothing'), (2000005, 'red ring'), (2000006, 'IN_REGION'), (2000007, 'EUROPE'), (2000008, 'a')) t(query_id, text))"
 
 
 def graph_edge_rank(spark, sf):
