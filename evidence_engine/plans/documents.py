@@ -126,7 +126,7 @@ def heading_similarity(spark, sf):
 _KEY = "regexp_replace(regexp_replace(lower({0}), '[·.。．…\\s]+[0-9]+$', ''), '[^0-9a-z一-鿿]+', '', 'g')"
 HEADING_SIM = f"""WITH k AS (SELECT pair_id, {_KEY.format('a')} AS x, {_KEY.format('b')} AS y FROM {values_sql(HEADING_PAIRS, 'pair_id, a, b')}),
 t AS (SELECT *, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS l, list_distinct(regexp_extract_all(x, '[a-z0-9]+|[一-鿿]')) AS p, list_distinct(regexp_extract_all(y, '[a-z0-9]+|[一-鿿]')) AS q FROM k)
-SELECT pair_id, CAST(floor(CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN length(s) >= 8 AND starts_with(l, s) THEN length(s)::DOUBLE / length(l) WHEN len(p) = 0 OR len(q) = 0 THEN 0 ELSE len(list_intersect(p, q))::DOUBLE / len(list_distinct(list_concat(p, q))) END * 1e6 + 0.5) AS BIGINT) AS similarity FROM t"""
+SELECT CAST(pair_id AS BIGINT) AS pair_id, CAST(floor(CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN length(s) >= 8 AND starts_with(l, s) THEN length(s)::DOUBLE / length(l) WHEN len(p) = 0 OR len(q) = 0 THEN 0 ELSE len(list_intersect(p, q))::DOUBLE / len(list_distinct(list_concat(p, q))) END * 1e6 + 0.5) AS BIGINT) AS similarity FROM t"""
 
 
 def repeated_lines(spark, sf):

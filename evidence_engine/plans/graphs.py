@@ -146,7 +146,7 @@ def entity_search(spark, sf):
 
 ENTITY = with_ctes("g_nodes", f""", {_ASKED_SQL},
 terms AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}|[一-龥]{{2,6}}'))[1:8]) AS term FROM asked)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, node_id FROM (
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, node_id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY node_id) AS rank FROM (
     SELECT DISTINCT query_id, node_id FROM terms JOIN g_nodes ON name ILIKE '%' || term || '%')) WHERE rank <= 8""")
 
