@@ -18,7 +18,7 @@ shingle; rows with a null id keep their fingerprint's component; other columns a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -150,16 +150,16 @@ def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total:
     return run
 
 
-def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1, budget: Sequence[int] | None = None, total: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
+def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1, budget: Callable[[int], Sequence[int]] | None = None, total: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
     """src, dst: links between the distinct records reps(rep, f0, ...), a spanning forest of each task's.
 
-    Linked are records that, for some k, stay within budget[d] differing bits in the first d bits of fk for all d from
-    the cut down, and within `total` differing bits over all fingerprints. By default the budget is `total` throughout,
+    Linked are records that, for some k, stay within budget(cut)[d] differing bits in the first d bits of fk for all d
+    from the cut down, and within `total` differing bits over all fingerprints. By default the budget is `total` throughout,
     which with one fingerprint finds every pair of `total` or fewer differing bits. Of several tries, one is joined after
     the other, so there is one shuffle at a time on disk.
     """
-    budget = [total] * (BITS + 1) if budget is None else list(budget)
     depth = int(max(10, min(20, math.ceil(math.log2(max(n, 1) / subtree + 1)))))
+    budget = [total] * (BITS + 1) if budget is None else list(budget(depth))
     masks = [m for m in range(1 << depth) if m.bit_count() <= budget[depth]]
     out = None
     for k in range(n_prints):
@@ -173,13 +173,13 @@ def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1,
     return out
 
 
-def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_prints: int = 1, budget: Sequence[int] | None = None, total: int = BUDGET) -> DataFrame:
+def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_prints: int = 1, budget: Callable[[int], Sequence[int]] | None = None, total: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
     """doc_id, f0, ..., component_id (the smallest id reachable over links, the document's own included)."""
     names = [f"f{k}" for k in range(n_prints)]
     prints = materialise(spark, fingerprint_table(docs, id_col, text_col, shingle, n_prints), "simhash-prints")
     reps = materialise(spark, prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash-reps")
     known = reps.where("rep is not null")
-    comps = components(spark, trie_links(spark, known, known.count(), n_prints, budget, total))
+    comps = components(spark, trie_links(spark, known, known.count(), n_prints, budget, total, subtree))
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, names).select("doc_id", *names, "component_id")
 
@@ -191,14 +191,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The pipeline's stage: five-word shingles and a similarity of 0.8. Two texts of shingle similarity J differ in each
 #: bit with probability acos(2J / (1 + J)) / pi: 0.15 at J = 0.8. Eight fingerprints (512 bits) estimate it: at most 88
-#: differing bits, 76 being expected at 0.8 and 98 at 0.7. A pair is met if in one of the eight tries it differs in 2 or
-#: fewer bits down to depth 20, and from there in at most one more for every three bits.
-STAGE_SHINGLE, STAGE_PRINTS, STAGE_TOTAL = 5, 8, 88
-STAGE_BUDGET = [2 if d <= 20 else min(16, 2 + (d - 18) // 3) for d in range(BITS + 1)]
+#: differing bits, 76 being expected at 0.8 and 98 at 0.7. A pair is met if in one of the eight tries it differs in at
+#: most one bit down to the cut, two down to six bits below it, and from there in one more for every three bits. A tight
+#: budget above the cut keeps the copies that are sent to other subtrees few.
+STAGE_SHINGLE, STAGE_PRINTS, STAGE_TOTAL, STAGE_SUBTREE = 5, 8, 88, 4096
+
+
+def stage_budget(depth: int) -> list[int]:
+    return [1 if d <= depth else min(16, 2 + max(0, d - depth - 4) // 3) for d in range(BITS + 1)]
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each component, the row of the smallest doc_id stays; a null doc_id stays."""
-    found = simhash_components(spark, docs, shingle=STAGE_SHINGLE, n_prints=STAGE_PRINTS, budget=STAGE_BUDGET, total=STAGE_TOTAL)
+    found = simhash_components(spark, docs, shingle=STAGE_SHINGLE, n_prints=STAGE_PRINTS, budget=stage_budget, total=STAGE_TOTAL, subtree=STAGE_SUBTREE)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
