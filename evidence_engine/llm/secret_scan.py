@@ -92,7 +92,8 @@ def scan_versions(spark: SparkSession, versions: DataFrame, ledger: str | None =
     else:
         pairs = blobs.withColumn("rule", F.explode(active)).select("blob", "holder", "rule.*").join(seen.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
         missing = pairs.groupBy("blob", "holder").agg(F.collect_list("kind").alias("kinds"))
-    held = missing.withColumnRenamed("blob", "want")
+    # The small side is hashed, so the texts are not sorted for this join.
+    held = missing.withColumnRenamed("blob", "want").hint("shuffle_hash")
     due = lambda r: F.isnull("kinds") | F.array_contains("kinds", r.kind)
     scanned = own.join(held, own.path.eqNullSafe(held.holder) & (own.blob == held.want)).select(
         "blob", F.array_compact(F.array(*(F.when(due(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans"))) for r in rules))).alias("found")
