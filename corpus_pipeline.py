@@ -27,7 +27,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = secret_scan.drop_with_secrets(spark, docs)
+    cleaned = secret_scan.cut_secrets(spark, docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
 
 

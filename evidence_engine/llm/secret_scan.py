@@ -118,7 +118,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *(count(r.kind) for r in BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def drop_with_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def cut_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with every span of a secret replaced by its kind in brackets; rows and columns stay as they are."""
     found = scan_versions(spark, docs).where(F.size("spans") > 0).dropDuplicates(["path"]).withColumnRenamed("path", "doc_id")
     cut = F.aggregate(
