@@ -11,6 +11,11 @@ the smaller prefixes within the budget, so each pair of subtrees meets in one ta
 fingerprints are already linked with each other goes too, so a dense group of near copies isn't expanded into all its
 pairs; a task returns a spanning forest of its links, which leaves the components as they are.
 
+The pipeline's stage takes the trie's pairs as candidates only. A record is there a set of distinct shingles, and a pair
+becomes a link if the sets themselves are similar enough. First a forest of close candidates is checked, which joins
+dense groups cheaply; then every candidate pair that is not in one component already is checked, so a candidate that
+fails hides no other.
+
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle are one
 shingle; rows with a null id keep their fingerprint's component; other columns are ignored.
 """
@@ -18,7 +23,7 @@ shingle; rows with a null id keep their fingerprint's component; other columns a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,19 @@ def shingle_hashes(text: bytes | None, size: int) -> list[int]:
     return [h(norm[s:e], 42) for s, e in zip(starts, ends[size - 1 :], strict=False)]
 
 
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """The record of all texts with these shingles, as a signed long."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(shingles.tobytes(), 7)
+    return h - 2**64 if h >> 63 else h
+
+
 def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Majority bits (uint64) of consecutive runs of hashes; a run of none gives zero."""
     out = np.zeros(len(counts), np.uint64)
@@ -58,7 +76,7 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_side(size: int, n_prints: int):
+def _fingerprint_side(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -66,31 +84,42 @@ def _fingerprint_side(size: int, n_prints: int):
                 each = [shingle_hashes(x, size) for x in texts_of(batch, start, end)]
                 counts = np.array([len(x) for x in each], np.int64)
                 flat = np.fromiter((h for x in each for h in x), np.uint64, counts.sum())
-                prints = [fingerprints(flat if k == 0 else mix(flat ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), counts) for k in range(n_prints)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), *(pa.array(x.view(np.int64)) for x in prints)], names=["doc_id", *(f"f{k}" for k in range(n_prints))])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(fingerprints(flat, counts).view(np.int64))], names=["doc_id", "f0"])
 
     return run
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_prints: int = 1) -> DataFrame:
-    """doc_id and n_prints fingerprints f0, f1, ... (64 bits each, as signed longs); f0 is of the contract's hashes."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and the fingerprint f0 (64 bits, as a signed long)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_fingerprint_side(shingle, n_prints), "doc_id long, " + ", ".join(f"f{k} long" for k in range(n_prints)))
+    return own.mapInArrow(_fingerprint_side(shingle), "doc_id long, f0 long")
+
 
+def _crossed(ul: np.ndarray, uh: np.ndarray, vl: np.ndarray, vh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of members of the node pairs [ul, uh) x [vl, vh), each once."""
+    wide = vh - vl
+    sizes = (uh - ul) * wide
+    at = np.repeat(np.arange(len(ul)), sizes)
+    off = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    i, j = ul[at] + off // wide[at], vl[at] + off % wide[at]
+    once = (ul[at] != vl[at]) | (i < j)
+    return i[once], j[once]
 
-def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int], link) -> tuple[np.ndarray, np.ndarray]:
+
+def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int], link, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (enough of them for the same components) between the subtree `home` and all that are given.
 
     prints: sorted uint64; depth: bits of a prefix; budget[d]: differing bits allowed in the first d bits; link(i, j):
-    which of the pairs of indexes are linked in the end.
+    which of the pairs of indexes are linked in the end; known: components that are given, in place of those that the
+    links found here make; then every linked pair between two of them is returned.
     """
     n, one = len(prints), np.uint64(1)
     found_l, found_r = [], []
     # Neighbours in sorted order are a cheap first set of links; they let whole subtrees of a dense group go early.
     i = np.arange(n - 1)
-    near = i[link(i, i + 1)]
+    near = i[link(i, i + 1)] if known is None else i[:0]
     found_l.append(near), found_r.append(near + 1)
-    root = local_roots(n, near, near + 1)
+    root = local_roots(n, near, near + 1) if known is None else known
     top = (prints >> np.uint64(BITS - depth)).astype(np.int64)
     start = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
     end = np.r_[start[1:], n]
@@ -110,7 +139,7 @@ def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int],
         ok = link(i, j)
         if ok.any():
             found_l.append(i[ok]), found_r.append(j[ok])
-            root = local_roots(n, i[ok], j[ok], root)
+            root = local_roots(n, i[ok], j[ok], root) if known is None else known
         turns = np.r_[0, np.cumsum(np.r_[False, root[1:] != root[:-1]])]
         joined = (turns[uh] == turns[ul + 1]) & (turns[vh] == turns[vl + 1]) & (root[ul] == root[vl])
         keep = ~single & ~joined
@@ -126,46 +155,81 @@ def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int],
         keep = (acc <= budget[d + 1]) & (uh > ul) & (vh > vl)
         ul, uh, vl, vh, acc = (x[keep] for x in (ul, uh, vl, vh, acc))
     else:
-        apart = ul != vl
-        i, j = ul[apart], vl[apart]
+        i, j = _crossed(ul, uh, vl, vh)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
         ok = link(i, j)
         found_l.append(i[ok]), found_r.append(j[ok])
     return np.concatenate(found_l), np.concatenate(found_r)
 
 
-def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total: int):
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of pairs that make a spanning forest of them all."""
+    root, kept = list(range(n)), []
+    for at, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
+def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total: int, form: str):
     def run(key: tuple, tab: pa.Table) -> pa.Table:
+        turn, home = divmod(key[0].as_py(), 1 << 32)
         cols = np.stack([np.asarray(tab.column(f"f{j}")).view(np.uint64) for j in range(n_prints)])
-        order = np.argsort(cols[k], kind="stable")
-        cols, reps = cols[:, order], np.asarray(tab.column("rep"))[order]
+        own = cols[k] << np.uint64(turn) | cols[k] >> np.uint64(BITS - turn) if turn else cols[k]
+        order = np.argsort(own, kind="stable")
+        own, cols, reps = own[order], cols[:, order], np.asarray(tab.column("rep"))[order]
+        sizes = np.asarray(tab.column("size"))[order] if "size" in tab.column_names else None
 
         def link(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in cols) <= total
-
-        left, right = trie_pairs(cols[k], depth, key[0].as_py(), budget, link)
-        root = local_roots(len(reps), left, right)
-        at = np.flatnonzero(root != np.arange(len(reps)))
-        return pa.table({"src": pa.array(reps[at]), "dst": pa.array(reps[root[at]])})
+            near = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in cols) <= total
+            # Sets of very different sizes can't be similar.
+            return near if sizes is None else near & (NUM * np.maximum(sizes[i], sizes[j]) <= DEN * np.minimum(sizes[i], sizes[j]))
+
+        known = np.unique(np.asarray(tab.column("component"))[order], return_inverse=True)[1] if form == "every" else None
+        left, right = trie_pairs(own, depth, home, budget, link, known)
+        if form == "joined":
+            root = local_roots(len(reps), left, right)
+            left = np.flatnonzero(root != np.arange(len(reps)))
+            right = root[left]
+        elif form == "forest":
+            kept = _forest(len(reps), left, right)
+            left, right = left[kept], right[kept]
+        return pa.table({"src": pa.array(reps[left]), "dst": pa.array(reps[right])})
 
     return run
 
 
-def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1, budget: Callable[[int], Sequence[int]] | None = None, total: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """src, dst: links between the distinct records reps(rep, f0, ...), a spanning forest of each task's.
+def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1, budget: Sequence[int] | None = None, total: int = BUDGET, subtree: int = SUBTREE, n_tries: int | None = None, turns: Sequence[int] = (0,), form: str = "joined") -> DataFrame:
+    """src, dst: links between the distinct records reps(rep, f0, ...).
+
+    Linked are records that, for some k below n_tries and some turn, stay within budget[d] differing bits in the first d
+    bits of fk, rotated left by the turn, for all d from the cut down, and within `total` differing bits over all
+    fingerprints; with reps.size, also within the ratio of sizes that the stage's similarity allows. By default the budget
+    is `total` throughout, which with one fingerprint finds every pair of `total` or fewer differing bits. One fingerprint's
+    tries are joined after another's, so there is one shuffle at a time on disk.
 
-    Linked are records that, for some k, stay within budget(cut)[d] differing bits in the first d bits of fk for all d
-    from the cut down, and within `total` differing bits over all fingerprints. By default the budget is `total` throughout,
-    which with one fingerprint finds every pair of `total` or fewer differing bits. Of several tries, one is joined after
-    the other, so there is one shuffle at a time on disk.
+    form: "joined", a spanning forest of each task's components; "forest", one made of linked pairs themselves; "every",
+    all linked pairs of different reps.component.
     """
     depth = int(max(10, min(20, math.ceil(math.log2(max(n, 1) / subtree + 1)))))
-    budget = [total] * (BITS + 1) if budget is None else list(budget(depth))
+    budget = [total] * (BITS + 1) if budget is None else list(budget)
     masks = [m for m in range(1 << depth) if m.bit_count() <= budget[depth]]
     out = None
-    for k in range(n_prints):
-        prefix = F.shiftrightunsigned(f"f{k}", BITS - depth)
-        sent = reps.select("*", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m")).withColumn("home", prefix.bitwiseXOR(F.col("m"))).where(F.col("home") <= prefix).drop("m")
-        links = sent.groupBy("home").applyInArrow(_trie_side(k, n_prints, depth, budget, total), "src long, dst long")
+    for k in range(n_prints if n_tries is None else n_tries):
+        sent = None
+        for turn in turns:
+            f = F.col(f"f{k}")
+            prefix = F.shiftrightunsigned(F.shiftleft(f, turn).bitwiseOR(F.shiftrightunsigned(f, BITS - turn)) if turn else f, BITS - depth)
+            part = reps.select("*", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m")).withColumn("home", prefix.bitwiseXOR(F.col("m"))).where(F.col("home") <= prefix).drop("m")
+            part = part.withColumn("home", F.col("home") + F.lit(turn << 32)) if turn else part
+            sent = part if sent is None else sent.unionByName(part)
+        links = sent.groupBy("home").applyInArrow(_trie_side(k, n_prints, depth, budget, total, form), "src long, dst long")
         if n_prints > 1:
             links = materialise(spark, links, "simhash-links")
             free_shuffles(spark)
@@ -173,15 +237,14 @@ def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1,
     return out
 
 
-def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_prints: int = 1, budget: Callable[[int], Sequence[int]] | None = None, total: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """doc_id, f0, ..., component_id (the smallest id reachable over links, the document's own included)."""
-    names = [f"f{k}" for k in range(n_prints)]
-    prints = materialise(spark, fingerprint_table(docs, id_col, text_col, shingle, n_prints), "simhash-prints")
-    reps = materialise(spark, prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "simhash-reps")
+def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, f0, component_id (the smallest id reachable over links, the document's own included)."""
+    prints = materialise(spark, fingerprint_table(docs, id_col, text_col, shingle), "simhash-prints")
+    reps = materialise(spark, prints.groupBy("f0").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     known = reps.where("rep is not null")
-    comps = components(spark, trie_links(spark, known, known.count(), n_prints, budget, total, subtree))
-    named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, names).select("doc_id", *names, "component_id")
+    comps = components(spark, trie_links(spark, known, known.count()))
+    named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, ["f0"]).select("doc_id", "f0", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,20 +252,80 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The pipeline's stage: five-word shingles and a similarity of 0.8. Two texts of shingle similarity J differ in each
-#: bit with probability acos(2J / (1 + J)) / pi: 0.15 at J = 0.8. Eight fingerprints (512 bits) estimate it: at most 88
-#: differing bits, 76 being expected at 0.8 and 98 at 0.7. A pair is met if in one of the eight tries it differs in at
-#: most one bit down to the cut, two down to six bits below it, and from there in one more for every three bits. A tight
-#: budget above the cut keeps the copies that are sent to other subtrees few.
-STAGE_SHINGLE, STAGE_PRINTS, STAGE_TOTAL, STAGE_SUBTREE = 5, 8, 88, 4096
+#: The pipeline's stage: sets of distinct five-word shingles, linked at a similarity of NUM / DEN or more. Two sets of
+#: similarity J differ in each bit with probability acos(2J / (1 + J)) / pi: 0.15 at J = 0.8. Candidates differ in at most
+#: STAGE_TOTAL of the 512 bits of eight fingerprints, 78 being expected at 0.8 with a deviation of 8.
+STAGE_SHINGLE, STAGE_PRINTS, STAGE_SUBTREE, NUM, DEN = 5, 8, 4096, 4, 5
+STAGE_TOTAL = 88
+#: Candidates within so many bits make the first forest; what it misses is found by the second pass.
+STAGE_CLOSE = 70
+STAGE_TURNS = (0,)
 
 
 def stage_budget(depth: int) -> list[int]:
     return [1 if d <= depth else min(16, 2 + max(0, d - depth - 4) // 3) for d in range(BITS + 1)]
 
 
+def _set_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, end in text_slices(batch, limit=1_000_000):
+            sets = [shingle_set(x, STAGE_SHINGLE) for x in texts_of(batch, start, end)]
+            counts = np.array([len(x) for x in sets], np.int64)
+            flat = np.concatenate(sets)
+            prints = [fingerprints(flat if k == 0 else mix(flat ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), counts) for k in range(STAGE_PRINTS)]
+            own = batch.slice(start, end - start)
+            cols = [own.column("doc_id"), own.column("text_hash"), pa.array([set_key(x) for x in sets], pa.int64()), pa.array(counts), *(pa.array(x.view(np.int64)) for x in prints)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "rep", "size", *(f"f{k}" for k in range(STAGE_PRINTS))])
+
+
+def _shingle_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, end in text_slices(batch, limit=1_000_000):
+            sets = [shingle_set(x, STAGE_SHINGLE) for x in texts_of(batch, start, end)]
+            ends = pa.array(np.cumsum([0, *(len(x) for x in sets)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), lists], names=["rep", "shingles"])
+
+
+def _row_key() -> list:
+    """What names a row: its id and its text's hash."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
+
+
+def similar(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """src, dst: the pairs of sets(rep, holder) whose sets of shingles have a similarity of NUM / DEN or more."""
+    pairs = materialise(spark, pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("rep")).distinct().join(sets.select("rep", "holder.*"), "rep").drop("rep")
+    texts = docs.select(*_row_key(), "text").join(wanted, ["doc_id", "text_hash"], "left_semi")
+    held = materialise(spark, texts.select("text").mapInArrow(_shingle_side, "rep long, shingles array<long>").dropDuplicates(["rep"]), "near-sets")
+    a, b = (held.select(F.col("rep").alias(end), F.col("shingles").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
+    # |A & B| / |A | B| >= NUM / DEN, in integers.
+    enough = (NUM + DEN) * F.size(F.array_intersect("a", "b")) >= NUM * (F.size("a") + F.size("b"))
+    links = materialise(spark, pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst"), "near-links")
+    free_shuffles(spark)
+    return links
+
+
+def near_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, component for each row with an id."""
+    names = [f"f{k}" for k in range(STAGE_PRINTS)]
+    prints = docs.where("doc_id is not null").select(*_row_key(), "text").mapInArrow(_set_side, "doc_id long, text_hash long, rep long, size long, " + ", ".join(f"{x} long" for x in names))
+    prints = materialise(spark, prints, "near-prints")
+    sets = materialise(spark, prints.groupBy("rep", "size", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("holder")), "near-reps")
+    n = sets.count()
+    depth = int(max(10, min(20, math.ceil(math.log2(max(n, 1) / STAGE_SUBTREE + 1)))))
+    tries = {"n_prints": STAGE_PRINTS, "budget": stage_budget(depth), "subtree": STAGE_SUBTREE, "turns": STAGE_TURNS}
+    links = similar(spark, docs, sets, trie_links(spark, sets.drop("holder"), n, total=STAGE_CLOSE, n_tries=1, form="forest", **tries))
+    joined = components(spark, links).withColumnRenamed("node", "rep")
+    known = materialise(spark, sets.drop("holder").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "near-known")
+    links = links.unionByName(similar(spark, docs, sets, trie_links(spark, known, n, total=STAGE_TOTAL, form="every", **tries)))
+    joined = components(spark, links).withColumnRenamed("node", "rep")
+    return prints.select("doc_id", "text_hash", "rep").join(joined, "rep", "left").select("doc_id", "text_hash", F.coalesce("component", "rep").alias("component"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each component, the row of the smallest doc_id stays; a null doc_id stays."""
-    found = simhash_components(spark, docs, shingle=STAGE_SHINGLE, n_prints=STAGE_PRINTS, budget=stage_budget, total=STAGE_TOTAL, subtree=STAGE_SUBTREE)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    found = materialise(spark, near_components(spark, docs), "near-components")
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("kept"))
+    gone = found.join(kept, "component").where("doc_id <> kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -144,6 +144,24 @@ def test_near_copies_go(spark):
     assert set(range(30)) <= left and len(left) <= 32
 
 
+def test_shared_boilerplate_is_no_near_copy(spark):
+    """A passage repeated many times in both texts fills the shingles, not the sets of them."""
+    shared = " ".join(f"same{k}" for k in range(24))
+    rows = [(i, f"{shared} " * 10 + " ".join(f"own{i}x{k}" for k in range(64))) for i in range(6)]
+    rows.append((6, rows[0][1] + " end"))
+    left = {r.doc_id for r in simhash.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(range(6))
+
+
+def test_links_are_exact(spark):
+    """Pairs on either side of 0.8 that the fingerprints can't tell apart."""
+    base = [f"w{k}" for k in range(204)]  # 200 shingles: 200 / 250 is enough, 200 / 251 is not
+    rows = [(0, " ".join(base)), (1, " ".join(base + [f"x{k}" for k in range(50)])), (2, " ".join(f"v{k}" for k in range(204)))]
+    rows.append((3, rows[2][1] + "".join(f" y{k}" for k in range(51))))
+    left = {r.doc_id for r in simhash.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {0, 2, 3}
+
+
 # Packing
 
 
