@@ -162,6 +162,17 @@ def test_links_are_exact(spark):
     assert left == {0, 2, 3}
 
 
+def test_tries_meet_pairs_at_any_size():
+    """Bits that differ as they do at similarity 0.8; the budget is one list, whatever the number of documents."""
+    import numpy as np
+
+    bits = np.random.default_rng(5).random((20_000, 8, 64)) < 0.1515
+    met = np.zeros(len(bits), bool)
+    for turn in simhash.STAGE_TURNS:
+        met |= (np.cumsum(np.roll(bits, -turn, axis=2), axis=2) <= simhash.STAGE_BUDGET[1:]).all(axis=2).any(axis=1)
+    assert (met & (bits.sum(axis=(1, 2)) <= simhash.STAGE_TOTAL)).mean() >= 0.99
+
+
 # Packing
 
 
