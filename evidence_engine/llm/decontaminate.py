@@ -7,14 +7,16 @@ of a document and an item that lie on one diagonal form a region, which grows ov
 the templates agree. Its slots must be consistent: within it, equal values of the item stand for equal values of the
 document. So a question with other numbers or names is caught, and a chance match of placeholders is not. A document is
 contaminated by an item if a consistent region covers LEAST_TOKENS tokens, or the whole of a shorter item; or if so
-many tokens in a row are the item's own, whatever the slots beside them hold.
+many tokens in a row are the item's own, whatever the slots beside them hold. Such verbatim runs, or the whole of a
+shorter item, have windows of their own, of the lower-cased tokens without placeholders, so they are found where numbers,
+names or units stand too close for a template window.
 
-The benchmark is cut into blocks of at most BLOCK_WINDOWS windows (16 bytes each); only one block's table is in a
+The benchmark is cut into blocks of at most BLOCK_WINDOWS windows (16 bytes each, and as many verbatim ones); only one block's table is in a
 worker at a time, and every block sees all documents, so a large benchmark costs more passes, not more memory.
 
-Defined cases: a null or empty text matches nothing; items without a token match nothing; items of fewer than
-LEAST_LITERALS literal tokens match nothing, as placeholders alone say little; repeated ids are rows of their own;
-other columns are ignored.
+Defined cases: a null or empty text matches nothing; items without a token match nothing; templates
+of fewer than LEAST_LITERALS literal tokens match nothing, as placeholders alone say little, so where an item has no
+better ones it matches verbatim only; repeated ids are rows of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,15 +59,27 @@ def token_of(word: str) -> tuple[int, str, str] | None:
     return 0, low, low
 
 
-class Templates(WordHashes):
-    """word -> template hash; 0 for words that are left out. The lowest bit tells literals (1) from placeholders (0)."""
+class Tokens(dict):
+    """word -> place in `kept` of two hashes, zero for words that are left out: the template's, whose lowest bit tells
+    literals (1) from placeholders (0), and the lower-cased token's."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.hash, self.most, self.kept = WordHashes().hash, most, np.zeros((2, 1024), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == self.kept.shape[1]:
+            self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)], axis=1)
+        token = token_of(word.decode())
+        self.kept[:, at] = (0, 0) if token is None else (self.hash(token[1].encode(), 9) & ~1 | (token[0] == 0), self.hash(token[2].encode(), 11) | 1)
+        return at
+
+    def arrays(self, words: list[bytes]) -> np.ndarray:
         if len(self) >= self.most:
             self.clear()
-        token = token_of(word.decode())
-        h = self[word] = 0 if token is None else self.hash(token[1].encode(), 9) & ~1 | (token[0] == 0)
-        return h
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.kept[:, at]
 
 
 def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -76,55 +90,64 @@ def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def tokens_of(text: bytes, templates: Templates) -> tuple[np.ndarray, list[bytes]]:
+def tokens_of(text: bytes, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Template hashes, hashes of the lower-cased tokens, and the words."""
     words = text.split()
-    h = templates.array(words)
+    h, raw = tokens.arrays(words)
     if not h.all():
         words = [w for w, x in zip(words, h.tolist(), strict=True) if x]
-        h = h[h != 0]
-    return h, words
+        h, raw = h[h != 0], raw[h != 0]
+    return h, raw, words
 
 
 class Index:
-    """Windows of some benchmark items, sorted by hash, by window length."""
+    """Windows of some benchmark items, sorted by hash, by window length: of templates, and of tokens as they are."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, literals: int):
-        templates = Templates()
-        self.ids, self.values, self.tokens = [], [], []
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+    def __init__(self, items: list[tuple[int, str]], window: int, literals: int, least: int = LEAST_TOKENS):
+        tokens = Tokens()
+        self.ids, self.values, self.tokens, self.raw = [], [], [], []
+        templates: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        verbatim: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
-            h, words = tokens_of((text or "").encode(), templates)
-            size = min(window, len(h))
-            if not size:
+            h, raw, words = tokens_of((text or "").encode(), tokens)
+            if not len(h):
                 continue
+            size = min(window, len(h))
             literal = np.r_[0, np.cumsum((h & np.uint64(1)).astype(np.int64))]
             n = len(h) - size + 1
             good = np.flatnonzero(literal[size:] - literal[:n] >= literals)
             if len(good):
-                found[size].append((_windows(h, size)[good], np.full(len(good), len(self.ids)), good))
-                self.ids.append(item_id)
-                self.values.append([token_of(w.decode())[::2] for w in words])
-                self.tokens.append(h)
-        self.tables = {}
-        for size, parts in found.items():
-            h, item, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.tables[size] = h[order], item[order], pos[order]
+                templates[size].append((_windows(h, size)[good], np.full(len(good), len(self.ids)), good))
+            size = min(least, len(h))
+            own = _windows(raw, size)
+            verbatim[size].append((own, np.full(len(own), len(self.ids)), np.arange(len(own))))
+            self.ids.append(item_id)
+            self.values.append([token_of(w.decode())[::2] for w in words])
+            self.tokens.append(h), self.raw.append(raw)
+        self.tables, self.verbatim = _sorted(templates), _sorted(verbatim)
+
+
+def _sorted(found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    out = {}
+    for size, parts in found.items():
+        h, item, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        out[size] = h[order], item[order], pos[order]
+    return out
 
 
 def _grown(item: np.ndarray, doc: np.ndarray, diagonal: int, starts: list[int]) -> list[int]:
-    """Places of the item whose template agrees with the document's on a diagonal, in runs that hold a window's start."""
+    """Places of the item whose hash agrees with the document's on a diagonal, in runs that hold a window's start."""
     first, last = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     same = item[first:last] == doc[first + diagonal : last + diagonal]
     run = np.cumsum(np.r_[True, same[1:] != same[:-1]])
     return (first + np.flatnonzero(same & np.isin(run, run[np.array(starts) - first]))).tolist()
 
 
-def matches(text: bytes, index: Index, templates: Templates, least: int = LEAST_TOKENS) -> list[tuple[int, int, int, bool]]:
-    """(item id, covered tokens, slots, whether all slots are verbatim) of each item that contaminates the text."""
-    h, words = tokens_of(text, templates)
+def _seeds(h: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[tuple[int, int], list[int]]:
+    """(item, diagonal) -> the places in the item of the windows that it shares with the document."""
     seeds: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for size, (keys, item, pos) in index.tables.items():
+    for size, (keys, item, pos) in tables.items():
         if len(h) < size:
             continue
         own = _windows(h, size)
@@ -135,8 +158,14 @@ def matches(text: bytes, index: Index, templates: Templates, least: int = LEAST_
                 q = int(pos[k])
                 seeds[int(item[k]), p - q].append(q)
                 k += 1
+    return seeds
+
+
+def matches(text: bytes, index: Index, tokens: Tokens, least: int = LEAST_TOKENS) -> list[tuple[int, int, int, bool]]:
+    """(item id, covered tokens, slots, whether all slots are verbatim) of each item that contaminates the text."""
+    h, raw, words = tokens_of(text, tokens)
     best: dict[int, tuple[int, int, int, bool]] = {}
-    for (i, diagonal), starts in seeds.items():
+    for (i, diagonal), starts in _seeds(h, index.tables).items():
         covered = _grown(index.tokens[i], h, diagonal, starts)
         if len(covered) < min(least, len(index.values[i])):
             continue
@@ -154,17 +183,22 @@ def matches(text: bytes, index: Index, templates: Templates, least: int = LEAST_
             longest, last = max(longest, run), q
         if clear or longest >= least:
             best[i] = max(best.get(i, (0, 0, 0, False)), (index.ids[i], len(covered), slots, same), key=lambda r: r[1:2])
+    for (i, diagonal), starts in _seeds(raw, index.verbatim).items():
+        covered = _grown(index.raw[i], raw, diagonal, starts)
+        if len(covered) >= min(least, len(index.values[i])):
+            slots = sum(index.values[i][q][0] > 0 for q in covered)
+            best[i] = max(best.get(i, (0, 0, 0, False)), (index.ids[i], len(covered), slots, True), key=lambda r: r[1:2])
     return list(best.values())
 
 
 def _match_side(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates()
+        tokens = Tokens()
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for s, e in text_slices(batch):
                 for doc_id, text in zip(ids[s:e], texts_of(batch, s, e), strict=True):
-                    rows += [(doc_id, *m) for m in matches(text, index, templates)] if text else []
+                    rows += [(doc_id, *m) for m in matches(text, index, tokens)] if text else []
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "n_tokens", "n_slots", "verbatim"])
@@ -196,10 +230,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clean_side(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates()
+        tokens = Tokens()
         for batch in batches:
             for s, e in text_slices(batch):
-                keep = [not (x and matches(x, index, templates)) for x in texts_of(batch, s, e)]
+                keep = [not (x and matches(x, index, tokens)) for x in texts_of(batch, s, e)]
                 yield batch.slice(s, e - s).filter(pa.array(keep, pa.bool_()))
 
     return run

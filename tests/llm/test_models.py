@@ -95,6 +95,16 @@ def test_templates_and_slots(spark):
     assert decontaminate.contaminated(empty_docs(spark), items).collect() == []
 
 
+def test_verbatim_copies_without_literals(spark):
+    items = [(1, "Who Wrote The Book Of Songs That Every Child In North Wales Knows By Heart?"), (2, "12 + 30 = 42; 7 * 6 = 42; 81 - 39 = 42; 84 / 2 = 42; 40 + 2 = 42"), (3, "Name: Ada Lovelace"), (4, "one two three")]
+    texts = [(1, f"so {items[0][1]} yes"), (2, f"x {items[1][1]} y"), (3, "name: ada lovelace."), (4, "Who Wrote The Song Of Books That Every Child In South Wales Knows By Heart?"), (5, "one two four three")]
+    texts.append((6, "see 30 = 42; 7 * 6 = 42; 81 - 39 = 42; 84 / 2 = 42; 40 + 2 there"))  # 13 tokens of item 2
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (6, 2, True)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {4, 5}
+
+
 def test_every_block_of_a_benchmark_counts(spark, monkeypatch):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
