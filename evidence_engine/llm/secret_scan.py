@@ -77,13 +77,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def scan_versions(spark: SparkSession, versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """path, spans: array of (start, no, end, kind), sorted by start and the kind's place in rules, for every row.
+def blob_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
-    ledger: a folder that later runs go on with; None starts a new one in the shared folder.
-    """
+
+def _versions(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    own = versions.select(F.col(path_col).cast("long").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.withColumn("blob", blob_of(F.col("text")))
+
+
+def scan_blobs(spark: SparkSession, own: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, spans of the blobs of own(path, text, blob) that hold any, see scan_versions."""
     ledger = ledger or scratch_path(spark, "secret-ledger")
-    own = versions.select(F.col(path_col).cast("long").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     seen = spark.read.schema(LEDGER).parquet(ledger) if _exists(spark, ledger) else None
     active = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
     blobs = own.groupBy("blob").agg(F.min("path").alias("holder"))
@@ -103,7 +108,16 @@ def scan_versions(spark: SparkSession, versions: DataFrame, ledger: str | None =
     place = F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("kind"))
     hits = spark.read.schema(LEDGER).parquet(ledger).where(wanted & (F.size("spans") > 0)).groupBy("blob", "kind").agg(F.first("spans").alias("spans"))
     named = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place.alias("no"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("s"))
-    by_blob = materialise(spark, named.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")), "secret-findings")
+    return materialise(spark, named.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")), "secret-findings")
+
+
+def scan_versions(spark: SparkSession, versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """path, spans: array of (start, no, end, kind), sorted by start and the kind's place in rules, for every row.
+
+    ledger: a folder that later runs go on with; None starts a new one in the shared folder.
+    """
+    own = _versions(versions, path_col, text_col)
+    by_blob = scan_blobs(spark, own, ledger, rules)
     return own.select("path", "blob").join(by_blob, "blob", "left").select("path", F.coalesce("spans", F.array().cast(by_blob.schema["spans"].dataType)).alias("spans"))
 
 
@@ -120,13 +134,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with every span of a secret replaced by its kind in brackets; rows and columns stay as they are."""
-    found = scan_versions(spark, docs).where(F.size("spans") > 0).dropDuplicates(["path"]).withColumnRenamed("path", "doc_id")
+    found = scan_blobs(spark, _versions(docs, "doc_id", "text")).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     cut = F.aggregate(
-        "spans",
+        "_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
+    return docs.withColumn("_blob", blob_of(F.coalesce("text", F.lit("")))).join(found, "_blob", "left").withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)

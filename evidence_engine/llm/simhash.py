@@ -323,8 +323,20 @@ def near_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component, the row of the smallest doc_id stays; a null doc_id stays."""
-    found = materialise(spark, near_components(spark, docs), "near-components")
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("kept"))
-    gone = found.join(kept, "component").where("doc_id <> kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the near copies: of each component, the row of the smallest doc_id (and text's hash) stays, once.
+
+    A row goes by its own text, whatever other rows have its doc_id; rows with a null doc_id stay.
+    """
+    found = near_components(spark, docs).groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    found = materialise(spark, found, "near-components")
+    row = F.struct("doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(row).alias("kept"))
+    ruled = found.join(first, "component").select("doc_id", "text_hash", "n", (row == F.col("kept")).alias("stays"))
+    # Rows of one id and text are one row: they all go, and where they are the first of their component one comes back.
+    ruled = materialise(spark, ruled.where("n > 1 or not stays"), "near-rows").select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "stays")
+    same = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash"))
+    left = docs.join(ruled, same, "left_anti")
+    if ruled.where("stays").isEmpty():
+        return left
+    again = docs.join(ruled.where("stays"), same, "left_semi").withColumn("_text_hash", F.xxhash64("text"))
+    return left.unionByName(again.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash"))
