@@ -7,11 +7,12 @@ subtree sums. An edit (start, end, replacement, in code points of the text as it
 one that holds the character before it to the one that holds the character after it; only these are encoded again, and
 the sums on the way up are updated.
 
-Trees are stored as a table (doc_id, text, leaf_chars, leaf_tokens), so later edits need no second encoding.
+Trees are stored as a table (doc_id, text, leaf_chars, leaf_tokens; build_trees), so later edits need no second encoding
+(recount). Where no tree is stored yet, count_edited builds and edits in one pass.
 
 Defined cases: a null text is an empty one of no tokens; positions beyond the text are taken as its end, a null start
 as 0, a null end as the start, a null replacement as nothing; no edits: the count stays; repeated ids are rows of their
-own; other columns are ignored.
+own; bytes that are no UTF-8 are read as U+FFFD; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from evidence_engine.llm.common import table, text_slices, texts_of
 
-#: Leaves of a block, and leaves that a worker remembers.
-BLOCK_LEAVES, REMEMBERED = 64, 500_000
+#: Leaves of a block; leaves that a worker remembers, and the characters that one of those has at most, so the memory of
+#: the memo is bounded in bytes: longer leaves are encoded whenever they are met.
+BLOCK_LEAVES, REMEMBERED, LEAF_CHARS = 64, 200_000, 48
 #: White space of the tokenizer's pattern (Unicode's White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
 _LEAF = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -56,9 +58,11 @@ class LeafCounts(dict):
         self.most = most
 
     def __missing__(self, leaf: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[leaf] = len(self.encode(leaf))
+        n = len(self.encode(leaf))
+        if len(leaf) <= LEAF_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+            self[leaf] = n
         return n
 
     def of(self, leaves: list[str]) -> np.ndarray:
@@ -131,7 +135,7 @@ def _tree_side(path: str):
         count = LeafCounts(path)
         for batch in batches:
             for s, e in text_slices(batch):
-                texts = [(x or b"").decode() for x in texts_of(batch, s, e)]
+                texts = [(x or b"").decode("utf-8", "replace") for x in texts_of(batch, s, e)]
                 chars, tokens = [], []
                 for x in texts:
                     leaves = _LEAF.findall(x)
@@ -148,6 +152,21 @@ def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.mapInArrow(_tree_side(vocabulary or default_vocabulary()), TREES)
 
 
+def _edited(tree: PreTokenTree, text: str, edits: list[dict | None] | None, count: LeafCounts) -> tuple[str, int]:
+    """The text after its edits, one after the other, and how many leaves were encoded again; the tree follows."""
+    again = 0
+    for x in edits or ():
+        if x is not None:
+            start = x["start"] or 0
+            text, k = tree.edit(text, start, start if x["end"] is None else x["end"], x["put"] or "", count)
+            again += k
+    return text, again
+
+
+def _counts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in COUNTS.split(", ")])
+
+
 def _edit_side(path: str, texts_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = LeafCounts(path)
@@ -157,21 +176,36 @@ def _edit_side(path: str, texts_out: bool):
                 part = batch.slice(s, e - s)
                 for doc_id, text, chars, tokens, edits in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
                     tree = PreTokenTree(np.frombuffer(chars or b"", np.int32), np.frombuffer(tokens or b"", np.int32))
-                    text, first, again = text or "", tree.n_tokens, 0
-                    leaves = len(chars or b"") // 4
-                    for x in edits or ():
-                        if x is not None:
-                            start = x["start"] or 0
-                            text, k = tree.edit(text, start, start if x["end"] is None else x["end"], x["put"] or "", count)
-                            again += k
-                    rows.append((doc_id, first, tree.n_tokens, leaves, len(edits or ()), again))
+                    first = tree.n_tokens
+                    text, again = _edited(tree, text or "", edits, count)
+                    rows.append((doc_id, first, tree.n_tokens, len(chars or b"") // 4, len(edits or ()), again))
                     if texts_out:
                         kept.append(text)
                         trees.append([np.concatenate([b[k] for b in tree.blocks]).tobytes() for k in (0, 1)])
                 if texts_out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(kept, pa.string()), pa.array([x[0] for x in trees], pa.binary()), pa.array([x[1] for x in trees], pa.binary())], names=["doc_id", "text", "leaf_chars", "leaf_tokens"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in COUNTS.split(", ")])
+                    yield _counts_batch(rows)
+
+    return run
+
+
+def _build_and_edit_side(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = LeafCounts(path)
+        for batch in batches:
+            for s, e in text_slices(batch):
+                rows = []
+                part = batch.slice(s, e - s)
+                for doc_id, raw, edits in zip(part.column(0).to_pylist(), texts_of(batch, s, e), part.column(2).to_pylist(), strict=True):
+                    text = (raw or b"").decode("utf-8", "replace")
+                    leaves = _LEAF.findall(text)
+                    tree = PreTokenTree(np.fromiter(map(len, leaves), np.int32, len(leaves)), count.of(leaves))
+                    first, n_leaves = tree.n_tokens, len(leaves)
+                    del leaves
+                    _, again = _edited(tree, text, edits, count)
+                    rows.append((doc_id, first, tree.n_tokens, n_leaves, len(edits or ()), again))
+                yield _counts_batch(rows)
 
     return run
 
@@ -182,14 +216,22 @@ def recount(trees: DataFrame, edits: str = "edits", vocabulary: str | None = Non
     return own.mapInArrow(_edit_side(vocabulary or default_vocabulary(), trees_out), TREES if trees_out else COUNTS)
 
 
+def count_edited(docs: DataFrame, edits: str = "edits", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """Token counts of documents before and after their edits, for documents without a stored tree.
+
+    The tree is built and edited in one pass of one Python worker, so neither texts nor trees go back to the JVM.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits).cast("array<struct<start:bigint,end:bigint,put:string>>").alias("edits"))
+    return own.mapInArrow(_build_and_edit_side(vocabulary or default_vocabulary()), COUNTS)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after three edits: a line put in at a third, 20 characters of the middle
     replaced, the last 10 taken off."""
-    trees = build_trees(table(spark, sf_dir, "documents"))
-    n = F.length("text")
+    n = F.length(F.coalesce("text", F.lit("")))
     third, half = (n / 3).cast("long"), (n / 2).cast("long")
     edit = lambda a, b, put: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(put).alias("put"))
     line = "\nRevised edition, 2nd printing.\n"
     size = n + len(line)  # of the text after the first edit
-    edits = F.array(edit(third, third, line), edit(half + len(line), F.least(half + len(line) + 20, size), "[a word's gone]"), edit(F.length("text") + F.lit(len(line) - 15), n + 2 * 10**9, ""))
-    return recount(trees.withColumn("edits", edits))
+    edits = F.array(edit(third, third, line), edit(half + len(line), F.least(half + len(line) + 20, size), "[a word's gone]"), edit(n + F.lit(len(line) - 15), n + 2 * 10**9, ""))
+    return count_edited(table(spark, sf_dir, "documents").withColumn("edits", edits))

@@ -325,10 +325,19 @@ def test_edit_aware_counts(spark, sf):
             s = min(s, len(after))
             after = after[:s] + (put or "") + after[max(s, s if e is None else e) :]
         assert (got[k].n_tokens, got[k].n_tokens_after) == (whole(t), whole(after)), (k, edits)
+    assert {r.doc_id: tuple(r) for r in token_counts.count_edited(frame).collect()} == {k: tuple(r) for k, r in got.items()}
     stored = token_counts.recount(trees, trees_out=True).withColumn("edits", F.lit(None))
     again = {r.doc_id: r.n_tokens for r in token_counts.recount(stored).collect()}
     assert again == {k: r.n_tokens_after for k, r in got.items()}
     assert token_counts.build_trees(empty_docs(spark)).collect() == []
+    assert token_counts.count_edited(empty_docs(spark).withColumn("edits", F.lit(None))).collect() == []
+
+
+def test_remembered_leaves_are_bounded():
+    count = token_counts.LeafCounts(token_counts.default_vocabulary(), most=3)
+    leaves = [f" word{k}" for k in range(9)] + [" " + "long" * 40]
+    assert count.of(leaves).tolist() == [len(count.encode(x)) for x in leaves]
+    assert len(count) <= 3 and all(len(x) <= token_counts.LEAF_CHARS for x in count)
 
 
 def test_edits_encode_little_again(spark):
