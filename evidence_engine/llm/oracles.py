@@ -25,3 +25,40 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+#: Mined rules by brute force: every combination of the tokens of every labelled URL is counted.
+URL_RULES = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+t AS (
+  SELECT page_id, host, path, list_sort(list_distinct(coalesce(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || regexp_replace(x, '[0-9]+', '0', 'g'))
+    || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '0', 'g'))
+    || list_transform(list_filter(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> ''), lambda x: 'q:' || x), []))) AS ts
+  FROM h),
+marks AS (SELECT doc_id, coalesce(min(quality) = 0, false) OR coalesce(max(toxic) = 1, false) AS bad FROM labels GROUP BY doc_id),
+lab AS (
+  SELECT page_id, bad FROM t JOIN marks ON marks.doc_id = TRY_CAST(nullif(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1), '') AS BIGINT)),
+least AS (SELECT greatest(20, CAST(ceil(0.002::DOUBLE * count(*)) AS BIGINT)) AS k FROM lab),
+sub AS (
+  SELECT page_id, i AS last, ts[i] AS s FROM t, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i)
+  UNION ALL
+  SELECT sub.page_id, j, sub.s || ' ' || ts[j] FROM sub JOIN t USING (page_id), LATERAL (SELECT unnest(range(sub.last + 1, len(ts) + 1)) AS j)),
+counted AS (
+  SELECT s, count(*) AS n, count(*) FILTER (WHERE bad) AS b FROM sub JOIN lab USING (page_id) GROUP BY s),
+rules AS (
+  SELECT s, true AS bad, n, b AS hit FROM counted, least WHERE b >= k AND b >= 0.6::DOUBLE * n
+  UNION ALL SELECT s, false, n, n - b FROM counted, least WHERE n - b >= k AND n - b >= 0.6::DOUBLE * n),
+best AS (
+  SELECT page_id, max({'bad': bad, 'c': CAST(floor(hit * 1000000 / n::DOUBLE + 0.5) AS BIGINT), 'n': n}) AS m FROM sub JOIN rules USING (s) GROUP BY page_id),
+fixed(no, h, p, v) AS (VALUES (1, 'com', '/', 'allow'), (2, 'example.com', '/en/', 'block'), (3, 'www.example.com', '/en/', 'allow'), (4, 'net', '/es/', 'block'), (5, 'net', '/fr/', 'block')),
+hand AS (
+  SELECT page_id, arg_max(fixed.h || p, (length(fixed.h || p), no)) AS rule, arg_max(v, (length(fixed.h || p), no)) AS v
+  FROM t JOIN fixed ON (t.host = fixed.h OR ends_with(t.host, '.' || fixed.h)) AND starts_with(t.path, p) GROUP BY page_id)
+SELECT t.page_id, host, path, rule, coalesce(v, CASE WHEN m.bad THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN m IS NULL THEN NULL WHEN m.bad THEN 'label:bad' ELSE 'label:good' END AS mined, m.c AS confidence, m.n AS n
+FROM t LEFT JOIN best USING (page_id) LEFT JOIN hand USING (page_id)
+"""

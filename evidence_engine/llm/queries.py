@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_topk_search": oracles.TOPK_SEARCH}
+    return {"op2_url_rules": oracles.URL_RULES, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_topk_search": oracles.TOPK_SEARCH}

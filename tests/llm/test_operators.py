@@ -390,6 +390,30 @@ def test_mined_rules_match_brute_force(spark):
     assert got == {i: "block" if any(c <= t for c in kept) else "allow" for i, t in tokens.items()}
 
 
+def test_rules_of_both_labels(spark):
+    """A page is linked to the document in its path, not to its own number; good rules clear, and report themselves."""
+    rows = [(9000 + i, f"https://{'bad' if i < 60 else 'fine'}.org/{i}.html") for i in range(150)] + [(1, "https://bad.org/x"), (2, "https://new.io/7"), (3, "https://fine.org"), (3, "https://fine.org")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(150)] + [(i, 0, 1) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    got = [tuple(r) for r in url_rules.judge(spark, pages, labels).select("page_id", "verdict", "mined", "confidence").collect()]
+    assert len(got) == len(rows)
+    got = set(got)
+    assert {(9000, "block", url_rules.BAD, 1_000_000), (1, "block", url_rules.BAD, 1_000_000)} <= got
+    assert {(9149, "allow", url_rules.GOOD, 1_000_000), (3, "allow", url_rules.GOOD, 1_000_000), (2, "allow", None, None)} <= got
+
+
+def test_long_urls_dont_explode(spark):
+    """Forty tokens that always stand together are one item; a URL of many items of its own kind is no training row."""
+    path = "/".join(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    rows = [(i, f"http://a.org/{path}/{i}") for i in range(40)]
+    many = ["/".join(f"t{chr(97 + k)}" for k in range(22) if (i >> (k % 6)) & 1) for i in range(64)]
+    rows += [(100 + i, f"http://b.org/{m}/{100 + i}") for i, m in enumerate(many)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 100 else 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.mined) for r in url_rules.judge(spark, pages, labels).collect()}
+    assert all(got[i] == ("block", url_rules.BAD) for i in range(40)) and all(got[100 + i][0] == "allow" for i in range(64))
+
+
 # HTML
 
 
