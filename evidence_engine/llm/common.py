@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where the session names none (tests, local mode) a temporary folder of this machine is set.
+    Only a local session that names none (tests) gets a temporary folder of this machine; on a cluster the executors
+    would each write to their own disk, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='evidence-engine-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -37,7 +41,16 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df once to the shared folder and read it back."""
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables from materialise that nothing reads any more."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -53,9 +66,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def pieces(df_bytes: int, each: int, least: int = 16, most: int = 1 << 24) -> int:
+def pieces(df_bytes: int, each: int, least: int = 16) -> int:
     """How many buckets of about `each` bytes; it follows the input, so no bucket grows with it."""
-    return int(max(least, min(most, -(-df_bytes // each))))
+    return int(max(least, -(-df_bytes // each)))
+
+
+def tasks_for(spark: SparkSession, df_bytes: int, each: int = 32 << 20) -> int:
+    """How many tasks a shuffle of an input of so many bytes needs; it follows the input, the setting is the least."""
+    return pieces(df_bytes, each, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -80,6 +98,21 @@ def texts_of(batch: pa.RecordBatch, start: int, end: int, column: str = "text")
     return col.cast(kind).to_pylist()
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def cut_at_space(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
+    """The text in pieces of about `most` bytes, cut at white space, so the words of the pieces are the text's words."""
+    at = 0
+    while len(text) - at > most:
+        m = _SPACE.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))

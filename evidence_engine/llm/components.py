@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import materialise
+from evidence_engine.llm.common import discard, materialise
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
@@ -36,6 +36,7 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
     """
     edges = materialise(spark, links.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "cc-links")
     assigned = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("root", F.col("node"))
+    assigned = materialise(spark, assigned, "cc-roots")
     for k in range(max_rounds):
         if edges.isEmpty():
             break
@@ -44,10 +45,14 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
         least = both.groupBy("at").agg(F.min(rank(F.col("to"))).alias("m"))
         points = least.select("at", F.when(F.col("m") < rank(F.col("at")), F.col("m.to")).otherwise(F.col("at")).alias("to"))
         points = materialise(spark, points, "cc-points")
-        assigned = materialise(spark, assigned.join(points, assigned.root == points.at, "left").select("node", F.coalesce("to", "root").alias("root")), "cc-roots")
+        renamed = assigned.join(points, assigned.root == points.at, "left").select("node", F.coalesce("to", "root").alias("root"))
+        renamed = materialise(spark, renamed, "cc-roots")
         p, q = points.select(F.col("at").alias("src"), F.col("to").alias("a")), points.select(F.col("at").alias("dst"), F.col("to").alias("b"))
         contracted = edges.join(p, "src").join(q, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-        edges = materialise(spark, contracted, "cc-links")
+        contracted = materialise(spark, contracted, "cc-links")
+        # A round's tables are whole on disk, so those before it are not read again.
+        discard(spark, points, assigned, edges)
+        assigned, edges = renamed, contracted
     else:
         raise RuntimeError(f"components: links left after {max_rounds} rounds")
     names = assigned.groupBy("root").agg(F.min("node").alias("component"))
