@@ -11,9 +11,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidence_engine.sources.tables import spread
 
+#: Spark's size of a plan that it knows nothing of is the greatest long.
+_NO_ESTIMATE = 1 << 60
 #: Texts are handled in slices of about this many bytes, so a Python worker's memory doesn't follow the Arrow batch.
 SLICE_BYTES = 2_000_000
 
@@ -62,8 +65,15 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size; for a file scan, the files' bytes. It reads no rows."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of df's size; for a file scan, the files' bytes, and no row is read.
+
+    Where there is no estimate (rows that came from elsewhere than a file), the bytes of its strings are summed up.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < _NO_ESTIMATE:
+        return size
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    return int(df.agg(F.sum(sum(strings, F.lit(8)))).first()[0] or 0)
 
 
 def pieces(df_bytes: int, each: int, least: int = 16) -> int:

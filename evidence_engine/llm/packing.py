@@ -10,7 +10,7 @@ Everything is decided from a task's own rows in one pass over the input: no shuf
 memory, and a lost executor's tasks are just run again. A sequence's id has the partition's number in its upper bits.
 
 Defined cases: a null text is an empty one, whose document is the end id alone; an id column's nulls and repeats are
-passed on; other columns are ignored.
+passed on; bytes that are no UTF-8 are read as U+FFFD; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import table, text_slices, texts_of
+from evidence_engine.llm.common import SLICE_BYTES, cut_at_space, table, text_slices, texts_of
 
 MAX_LENGTH, END_ID, TIERS = 2048, 1, (256, 512, 1024, 2048)
 #: Ids that a task's pool holds, ids of a step group, and words that a worker remembers.
@@ -116,7 +116,7 @@ class WordTokens:
         first = len(self.words) - len(words)
         while len(self.words) > len(self.at):
             self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        marked = _PLAIN.sub(f"\\1{_END}\\2{_END}", b"\n".join(words).decode()).split("\n")
+        marked = _PLAIN.sub(f"\\1{_END}\\2{_END}", b"\n".join(words).decode("utf-8", "replace")).split("\n")
         plain = np.array([w.endswith(_END) for w in marked])
         # A word that holds _END itself is none of _PLAIN's; white space other than ASCII's stays within a word.
         plain &= np.array([_END.encode() not in w for w in words])
@@ -132,15 +132,15 @@ class WordTokens:
             self._store(first + part, np.diff(np.r_[0, ends]), ids)
         odd = np.flatnonzero(~plain)
         if len(odd):
-            each = [e.ids for e in self.tok.encode_batch_fast([words[i].decode() for i in odd.tolist()], add_special_tokens=False)]
+            each = [e.ids for e in self.tok.encode_batch_fast([words[i].decode("utf-8", "replace") for i in odd.tolist()], add_special_tokens=False)]
             sizes = np.array([len(x) for x in each], np.int64)
             self._store(first + odd, sizes, np.fromiter((i for x in each for i in x), np.uint32, int(sizes.sum())))
 
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.words) > self.most:
             self.reset()
         place = self.words.__getitem__
-        words = [np.fromiter(map(place, w), np.int64, len(w)) for w in (t.split() if t else () for t in texts)]
+        words = [np.fromiter(map(place, w), np.int64, len(w)) for w in (t.split() for t in texts)]
         if self.words.new:
             self._learn(self.words.new)
             self.words.new = []
@@ -151,6 +151,12 @@ class WordTokens:
             out.append(self.arena[np.repeat(self.at[idx] - before, sizes) + np.arange(sizes.sum())])
         return out
 
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text. A long text goes in pieces, so only a piece's words are held as objects."""
+        if sum(len(t or b"") for t in texts) <= 2 * SLICE_BYTES:
+            return self._encode([t or b"" for t in texts])
+        return [np.concatenate([self._encode([part])[0] for part in cut_at_space(t or b"")]) for t in texts]
+
 
 class _Packer:
     """Packs the documents that it is given; pieces are (document, start, length) within sequences."""

@@ -3,24 +3,28 @@
 Words are runs of characters other than space and \\x09-\\x0D. A word that a repeated window covers is removed where
 the same word sequence also starts in a document with a smaller id. Steps:
 
-1. Each Python worker hashes all windows of its texts. Windows that several documents of one chunk hold are resolved
-   there (combine before the shuffle): only the records of the smallest id travel on, so a passage that a third of all
-   documents share costs one record a chunk, not one a document.
+1. Each Python worker hashes all windows of its texts, a long text in pieces. Windows that several documents of one chunk
+   hold are resolved there (combine before the shuffle): only the records of the smallest id travel on, so a passage that
+   a third of all documents share costs one record a chunk, not one a document.
 2. The records travel in blobs, one a chunk and bucket. A bucket is a part of the hash space; their number follows the
-   input's size, so a bucket's memory is bounded. There the smallest document of each hash is found.
+   input's size, so a bucket's memory is bounded. Of more than FAN buckets, the records first go to groups of buckets and
+   from there to the buckets, so a blob never holds just a record or two. In a bucket the smallest document of each hash
+   is found.
 3. Start positions of removed windows go to their documents and merge into maximal intervals, a table in the shared
    folder. The first shuffle is dropped before texts are joined with it.
 
-A record is the 64-bit hash; the bucket is drawn from a second, independent hash, so two windows must agree in
-64 + log2(buckets) bits. Two different windows among 10^10 agree with a probability of about 10^-4.
+A record is a 64-bit hash; the bucket is drawn from a second, independent hash, so two windows of different chunks must
+agree in 64 + log2(buckets) bits. Within a chunk, 64 bits mixed from both are compared. The words themselves aren't.
 
 Defined cases: a null or empty text has no words; a null id is never removed from and removes from none; rows with the
-same id count as one document; other columns are ignored.
+same id count as one document; bytes that are no UTF-8 are words' bytes like any others (and U+FFFD where the kept words
+are returned as a string); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
@@ -30,12 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import WordHashes, free_shuffles, materialise, mix, pieces, plan_bytes, table, text_slices, texts_of
+from evidence_engine.llm.common import WordHashes, cut_at_space, free_shuffles, materialise, mix, pieces, plan_bytes, table, tasks_for, text_slices, texts_of
 
 #: The contract's window, and the windows that a worker holds at once (8 + 8 + 4 + 8 bytes each, twice while sorting).
 WINDOW, CHUNK_WINDOWS = 13, 2_000_000
 #: Parquet bytes a bucket stands for: about 1.2 million windows of text.
 BUCKET_BYTES = 4_000_000
+#: Buckets that one chunk's records are dealt to at once.
+FAN = 8192
+_BLOBS = "bucket long, grp long, blob binary"
 _BASE_A, _BASE_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -97,28 +104,47 @@ def _first_of_equal(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return later
 
 
-def _hash_side(size: int, buckets: int, groups: int, chunk: int):
+def _by_bucket(part: np.ndarray, docs: np.ndarray, keys: np.ndarray, pos: np.ndarray, hashes: np.ndarray, fine: np.ndarray | None = None) -> Iterator[tuple[int, None, bytes]]:
+    """Records as blobs by bucket: packed runs, the hashes, and where the bucket is a group of buckets, the one in it."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=True):
+        rows = order[s:e]
+        runs = _pack(_runs(docs[rows], keys[rows], pos[rows]))
+        tail = b"" if fine is None else fine[rows].astype("<u2").tobytes()
+        yield int(part[s]), None, struct.pack("<Q", len(runs)) + runs + hashes[rows].tobytes() + tail
+
+
+def _records(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Documents, text keys, positions, hashes and, if given, buckets of the records of a blob."""
+    (n,) = struct.unpack_from("<Q", blob)
+    docs, keys, pos = _unruns(_unpack(blob[8 : 8 + n], 4))
+    end = 8 + n + 8 * len(docs)
+    fine = np.frombuffer(blob, "<u2", offset=end) if len(blob) > end else None
+    return docs, keys, pos, np.frombuffer(blob, "<u8", len(docs), 8 + n), fine
+
+
+def _blob_batch(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
+    at, groups, blobs = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(groups, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "grp", "blob"])
+
+
+def _hash_side(size: int, buckets: int, groups: int, chunk: int, width: int):
+    """Records of all windows, to buckets; with width over 1, to groups of so many buckets."""
     import xxhash
 
-    def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def emit(held: list[tuple]) -> pa.RecordBatch:
         docs, keys, pos, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
         later = _first_of_equal(a ^ (b << np.uint64(1)), docs)
-        kinds, blobs, at = [], [], []
+        rows = []
         if later.any():
-            for g, blob in _by_group(docs[later], keys[later], pos[later], groups):
-                kinds.append(True), at.append(g), blobs.append(blob)
+            # What is settled already passes through a bucket drawn by its group.
+            rows += [(g * width % buckets // width, g, blob) for g, blob in _by_group(docs[later], keys[later], pos[later], groups)]
         docs, keys, pos, a, b = (x[~later] for x in (docs, keys, pos, a, b))
         part = (b % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(buckets + 1)) if buckets < len(part) else None
-        present = range(buckets) if ends is not None else np.unique(part).tolist()
-        for p in present:
-            rows = order[ends[p] : ends[p + 1]] if ends is not None else np.flatnonzero(part == p)
-            if len(rows):
-                runs = _pack(_runs(docs[rows], keys[rows], pos[rows]))
-                kinds.append(False), at.append(p), blobs.append(struct.pack("<Q", len(runs)) + runs + a[rows].tobytes())
-        # What is settled already passes through a bucket drawn by its group.
-        yield pa.RecordBatch.from_arrays([pa.array([g % buckets if k else g for k, g in zip(kinds, at, strict=True)], pa.int64()), pa.array([g if k else None for k, g in zip(kinds, at, strict=True)], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "grp", "blob"])
+        rows += _by_bucket(part // width, docs, keys, pos, a, part % width if width > 1 else None)
+        return _blob_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), [], 0
@@ -126,18 +152,51 @@ def _hash_side(size: int, buckets: int, groups: int, chunk: int):
             ids = batch.column(0).to_pylist()
             for start, end in text_slices(batch):
                 for doc, text in zip(ids[start:end], texts_of(batch, start, end), strict=True):
-                    words = text.split() if text and doc is not None else ()
-                    if len(words) < size:
+                    if not text or doc is None:
                         continue
-                    a, b = window_hashes(hashes.array(words), size)
                     key = np.int64(np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64))
-                    held.append((np.full(len(a), doc, np.int64), np.full(len(a), key, np.int64), np.arange(len(a)), a, b))
-                    n += len(a)
-                    if n >= chunk:
-                        yield from emit(held)
-                        held, n = [], 0
+                    carried, first = np.zeros(0, np.uint64), 0
+                    for part in cut_at_space(text):
+                        words = hashes.array(part.split())
+                        words = np.concatenate([carried, words]) if len(carried) else words
+                        a, b = window_hashes(words, size)
+                        carried = words[len(a) :]
+                        if len(a):
+                            held.append((np.full(len(a), doc, np.int64), np.full(len(a), key, np.int64), np.arange(first, first + len(a)), a, b))
+                            first, n = first + len(a), n + len(a)
+                        if n >= chunk:
+                            yield emit(held)
+                            held, n = [], 0
         if held:
-            yield from emit(held)
+            yield emit(held)
+
+    return run
+
+
+def _split_side(width: int, chunk: int):
+    """From groups of buckets to the buckets; what is settled already goes to the group's first."""
+
+    def emit(held: list[tuple[int, tuple]]) -> pa.RecordBatch:
+        rows = []
+        for group in sorted({g for g, _ in held}):
+            docs, keys, pos, hashes, fine = (np.concatenate(x) for x in zip(*(r for g, r in held if g == group), strict=True))
+            rows += _by_bucket(group * width + fine.astype(np.int64), docs, keys, pos, hashes)
+        return _blob_batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for bucket, g, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if g is not None:
+                    yield _blob_batch([(bucket * width, g, blob)])
+                    continue
+                held.append((bucket, _records(blob)))
+                n += len(held[-1][1][0])
+                if n >= chunk:
+                    yield emit(held)
+                    held, n = [], 0
+        if held:
+            yield emit(held)
 
     return run
 
@@ -154,20 +213,17 @@ def _by_group(docs: np.ndarray, keys: np.ndarray, pos: np.ndarray, groups: int)
 
 def _bucket_side(groups: int):
     def run(tab: pa.Table) -> pa.Table:
-        at, out, hashes, docs, keys, pos = [], [], [], [], [], []
+        at, out, held = [], [], []
         for g, blob in zip(tab.column("grp").to_pylist(), tab.column("blob").to_pylist(), strict=True):
             if g is not None:
                 at.append(g), out.append(blob)
-                continue
-            (n,) = struct.unpack_from("<Q", blob)
-            for into, x in zip((docs, keys, pos), _unruns(_unpack(blob[8 : 8 + n], 4)), strict=True):
-                into.append(x)
-            hashes.append(np.frombuffer(blob, "<u8", offset=8 + n))
-        if hashes:
-            h, d, k, p = (np.concatenate(x) for x in (hashes, docs, keys, pos))
-            later = _first_of_equal(h, d)
+            else:
+                held.append(_records(blob)[:4])
+        if held:
+            docs, keys, pos, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            later = _first_of_equal(hashes, docs)
             if later.any():
-                for g, blob in _by_group(d[later], k[later], p[later], groups):
+                for g, blob in _by_group(docs[later], keys[later], pos[later], groups):
                     at.append(g), out.append(blob)
         return pa.table({"grp": pa.array(at, pa.int64()), "blob": pa.array(out, pa.binary())})
 
@@ -196,57 +252,86 @@ def _interval_side(size: int):
     return run
 
 
-def removal_intervals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
+def removal_intervals(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, chunk_windows: int = CHUNK_WINDOWS, fan: int = FAN) -> DataFrame:
     """id, text_key (xxhash64 of the text), spans: the maximal word intervals to remove, materialised."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = pieces(plan_bytes(own), bucket_bytes)
+    size = plan_bytes(own)
+    buckets, tasks = pieces(size, bucket_bytes), tasks_for(spark, size)
     groups = max(16, buckets // 4)
+    # Two rounds for more than `fan` buckets, each to about the root of their number.
+    width = 1 if buckets <= fan else math.isqrt(buckets) + 1
+    blobs = own.mapInArrow(_hash_side(window, buckets, groups, chunk_windows, width), _BLOBS)
+    if width > 1:
+        salt = F.pmod(F.xxhash64("blob"), F.lit(max(1, tasks * width // buckets))).alias("salt")
+        blobs = blobs.repartition(tasks, "bucket", salt).mapInArrow(_split_side(width, chunk_windows), _BLOBS)
     found = (
-        own.mapInArrow(_hash_side(window, buckets, groups, chunk_windows), "bucket long, grp long, blob binary")
+        blobs.repartition(tasks, "bucket")
         .groupBy("bucket")
         .applyInArrow(_bucket_side(groups), "grp long, blob binary")
         .groupBy("grp")
         .applyInArrow(_interval_side(window), "id long, text_key long, spans binary")
     )
     out = materialise(spark, found, "substring-intervals")
-    del found
+    del found, blobs
     free_shuffles(spark)
     return out
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, spans = batch.column(0), batch.column(2).to_pylist()
-        words_n, removed_n, kept = [], [], []
-        for start, end in text_slices(batch):
-            for text, gone in zip(texts_of(batch, start, end), spans[start:end], strict=True):
-                words, removed = (text or b"").split(), 0
-                words_n.append(len(words))
-                if gone:
-                    rest, at = [], 0
-                    for s, e in np.frombuffer(gone, "<i4").reshape(-1, 2).tolist():
-                        rest += words[at:s]
-                        removed += e - s
-                        at = e
-                    words = rest + words[at:]
-                removed_n.append(removed)
-                kept.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-
-def _kept_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _kept(batches):
-        digest = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+def _kept_parts(text: bytes, gone: bytes | None, count: list[int]) -> Iterator[bytes]:
+    """The kept words of a text, joined by one space, piece by piece; count gets the words and the removed ones."""
+    spans = np.frombuffer(gone or b"", "<i4").reshape(-1, 2)
+    ends = spans[:, 1]
+    first = 0
+    for part in cut_at_space(text):
+        words = part.split()
+        last, rest, at = first + len(words), [], 0
+        k = int(np.searchsorted(ends, first, side="right"))
+        while k < len(spans) and spans[k, 0] < last:
+            s, e = max(int(spans[k, 0]) - first, 0), min(int(spans[k, 1]) - first, len(words))
+            rest += words[at:s]
+            count[1] += e - s
+            at = e
+            k += 1
+        words = rest + words[at:] if at else words
+        first = last
+        if words:
+            yield b" ".join(words)
+    count[0] = first
+
+
+def _kept_side(digest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, spans = batch.column(0), batch.column(2).to_pylist()
+            words_n, removed_n, kept = [], [], []
+            for start, end in text_slices(batch):
+                for text, gone in zip(texts_of(batch, start, end), spans[start:end], strict=True):
+                    count = [0, 0]
+                    parts = _kept_parts(text or b"", gone, count)
+                    if digest:
+                        h = hashlib.sha256()
+                        for k, part in enumerate(parts):
+                            if k:
+                                h.update(b" ")
+                            h.update(part)
+                        kept.append(h.hexdigest())
+                    else:
+                        kept.append(b" ".join(parts).decode("utf-8", "replace"))
+                    words_n.append(count[0]), removed_n.append(count[1])
+            columns = [ids, pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept"])
+
+    return run
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False, **sizes: int) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space (`kept`), or with digest their SHA-256."""
     spans = removal_intervals(spark, docs, id_col, text_col, window, **sizes)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    joined = own.join(spans, ["id", "text_key"], "left").select("id", "text", "spans")
+    tasks = tasks_for(spark, plan_bytes(own))
+    joined = own.repartition(tasks, "id", "text_key").join(spans.repartition(tasks, "id", "text_key"), ["id", "text_key"], "left").select("id", "text", "spans")
     tail = "kept_sha256 string" if digest else "kept string"
-    return joined.mapInArrow(_kept_digest if digest else _kept, f"doc_id long, n_words long, n_removed long, {tail}")
+    return joined.mapInArrow(_kept_side(digest), f"doc_id long, n_words long, n_removed long, {tail}")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ BLOCK_LEAVES, REMEMBERED, LEAF_CHARS = 64, 200_000, 48
 #: White space of the tokenizer's pattern (Unicode's White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
 _LEAF = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: Where a leaf ends and another begins; long texts are cut there into pieces of about so many characters.
+_LEAF_END, PIECE = re.compile(f"[^{_WS}](?=[{_WS}])"), 1 << 20
 TREES = "doc_id long, text string, leaf_chars binary, leaf_tokens binary"
 COUNTS = "doc_id long, n_tokens long, n_tokens_after long, n_leaves long, n_edits long, n_encoded_again long"
 
@@ -69,6 +71,19 @@ class LeafCounts(dict):
         return np.fromiter(map(self.__getitem__, leaves), np.int32, len(leaves))
 
 
+def leaves_of(text: str, count: LeafCounts) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of each leaf; only a piece's leaves are held as strings at a time."""
+    chars, tokens, at = [], [], 0
+    while at < len(text) or not chars:
+        end = _LEAF_END.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = end.end() if end else len(text)
+        leaves = _LEAF.findall(text, at, end)
+        chars.append(np.fromiter(map(len, leaves), np.int32, len(leaves)))
+        tokens.append(count.of(leaves))
+        at = end
+    return (chars[0], tokens[0]) if len(chars) == 1 else (np.concatenate(chars), np.concatenate(tokens))
+
+
 class PreTokenTree:
     """Sums of characters and tokens over blocks of leaves, with subtree sums above them."""
 
@@ -138,9 +153,8 @@ def _tree_side(path: str):
                 texts = [(x or b"").decode("utf-8", "replace") for x in texts_of(batch, s, e)]
                 chars, tokens = [], []
                 for x in texts:
-                    leaves = _LEAF.findall(x)
-                    chars.append(np.fromiter(map(len, leaves), np.int32, len(leaves)).tobytes())
-                    tokens.append(count.of(leaves).tobytes())
+                    c, t = leaves_of(x, count)
+                    chars.append(c.tobytes()), tokens.append(t.tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(texts, pa.string()), pa.array(chars, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "text", "leaf_chars", "leaf_tokens"])
 
     return run
@@ -199,10 +213,9 @@ def _build_and_edit_side(path: str):
                 part = batch.slice(s, e - s)
                 for doc_id, raw, edits in zip(part.column(0).to_pylist(), texts_of(batch, s, e), part.column(2).to_pylist(), strict=True):
                     text = (raw or b"").decode("utf-8", "replace")
-                    leaves = _LEAF.findall(text)
-                    tree = PreTokenTree(np.fromiter(map(len, leaves), np.int32, len(leaves)), count.of(leaves))
-                    first, n_leaves = tree.n_tokens, len(leaves)
-                    del leaves
+                    chars, tokens = leaves_of(text, count)
+                    tree = PreTokenTree(chars, tokens)
+                    first, n_leaves = tree.n_tokens, len(chars)
                     _, again = _edited(tree, text, edits, count)
                     rows.append((doc_id, first, tree.n_tokens, n_leaves, len(edits or ()), again))
                 yield _counts_batch(rows)

@@ -103,6 +103,91 @@ def test_verbatim_copies_without_literals(spark):
     got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (6, 2, True)}
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {4, 5}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items.limit(0)).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_contaminated_rows_go_by_their_texts(spark):
+    """Rows without an id, rows of one id, and columns that the operator uses itself."""
+    bad = TEXTS[1][1]
+    rows = [(None, bad, 1, "a"), (1, bad, 2, "b"), (1, "a clean text", 3, "c"), (None, None, 4, "d"), (2, "", 5, "e"), (2, bad, 6, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key0 int, hashes string")
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r.key0 for r in left.collect()) == [3, 4, 5]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_against_brute_force(spark, seed):
+    """Questions with other numbers and names, cut at either end, amid other words; every pair is judged without an index."""
+    rng = random.Random(seed)
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(k)) for k in range(400)]
+    slot = lambda: rng.choice(["Alice", "Bob", "Carol", "12", "7", "km", "miles", "30"])
+    items = [(i, [slot() if rng.random() < 0.25 else rng.choice(words) for _ in range(rng.randint(3, 40))]) for i in range(40)]
+    docs = []
+    for d in range(120):
+        _, source = rng.choice(items)
+        swap = {x: slot() for x in ("Alice", "Bob", "Carol", "12", "7", "km", "miles", "30")}
+        a = rng.randint(0, max(0, len(source) - 10))
+        part = [swap.get(w, w) if d % 3 else w for w in source[a : a + rng.randint(8, 40)]]
+        if d % 5 == 0 and part:
+            part[rng.randrange(len(part))] = rng.choice(words)
+        docs.append((d, [rng.choice(words) for _ in range(6)] + part + [rng.choice(words) for _ in range(6)]))
+
+    def kind(w):
+        return "n" if w.isdigit() else "u" if w in decontaminate.UNITS else "N" if w[0].isupper() else w
+
+    def brute(doc, item):
+        """Whether some diagonal contaminates: runs of equal templates that hold an eligible window, then the slots."""
+        n, need = len(item), min(13, len(item))
+        size = min(8, n)
+        for diagonal in range(1 - n, len(doc)):
+            agree = [q for q in range(n) if 0 <= q + diagonal < len(doc) and kind(item[q]) == kind(doc[q + diagonal])]
+            runs, run = [], []
+            for q in agree:
+                if run and q != run[-1] + 1:
+                    runs.append(run)
+                    run = []
+                run.append(q)
+            runs.append(run)
+            literal = lambda q: kind(item[q]) == item[q]
+            runs = [r for r in runs if any(sum(map(literal, r[k : k + size])) >= 4 and len(r[k : k + size]) == size for k in range(len(r)))]
+            pairs = [[(kind(item[q]), item[q].lower(), doc[q + diagonal].lower()) for q in r] for r in runs]
+
+            def steady(found):
+                seen = {}
+                return all(seen.setdefault((k, v), o) == o for k, v, o in found if k in ("n", "u", "N"))
+
+            if sum(map(len, runs)) >= need:
+                if steady(sum(pairs, [])) or any(len(r) >= 13 and steady(r) for r in pairs):
+                    return True
+            own = [q for q in range(n) if 0 <= q + diagonal < len(doc) and item[q].lower() == doc[q + diagonal].lower()]
+            best = here = 0
+            last = -9
+            for q in own:
+                here = here + 1 if q == last + 1 else 1
+                best, last = max(best, here), q
+            if best >= need:
+                return True
+        return False
+
+    want = {(d, i) for d, doc in docs for i, item in items if brute(doc, item)}
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_windows_in_pieces(spark, monkeypatch):
+    """A passage that lies across the cut of a long text is found."""
+    import evidence_engine.llm.common as common
+
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    texts = [(k, "pad " * k + item + " pad" * 40) for k in range(60)]
+    monkeypatch.setattr(common.cut_at_space, "__defaults__", (64,))
+    tokens = decontaminate.Tokens()
+    own = decontaminate.Item(1, item.encode(), tokens)
+    wanted = decontaminate._Filter(np.concatenate([own.hashes, own.raw_hashes]), [16, 27])
+    whole = set(own.hashes.tolist()) | set(own.raw_hashes.tolist())
+    for _, t in texts:
+        assert set(wanted.hits(t.encode(), tokens).tolist()) == whole
 
 
 def test_every_block_of_a_benchmark_counts(spark, monkeypatch):

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -58,6 +59,63 @@ def test_substring_dedup(spark, sf):
     assert sorted(map(tuple, got), key=repr) == brute_dedup(rows)
 
 
+def test_substring_dedup_in_two_rounds_and_pieces(spark, sf, monkeypatch):
+    """More buckets than the fan, chunks of few windows, and texts cut into pieces give the same rows."""
+    import evidence_engine.llm.common as common
+
+    rows = [(r.doc_id, r.text) for r in sample_docs(spark, sf).limit(120).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.substring_dedup(spark, docs, bucket_bytes=100, chunk_windows=700, fan=20).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_dedup(rows)
+    pieces = lambda text: list(common.cut_at_space(text, 50))
+    for _, t in rows[:40]:
+        raw = (t or "").encode()
+        assert [w for p in pieces(raw) for w in p.split()] == raw.split()
+        spans = np.array([[2, 5], [9, 30], [31, 33]], "<i4")[: max(0, len(raw.split()) // 40)]
+        want = [w for k, w in enumerate(raw.split()) if not any(s <= k < e for s, e in spans.tolist())]
+        monkeypatch.setattr(common.cut_at_space, "__defaults__", (50,))
+        count = [0, 0]
+        assert b" ".join(substring_dedup._kept_parts(raw, spans.tobytes(), count)) == b" ".join(want)
+        assert count == [len(raw.split()), len(raw.split()) - len(want)]
+        monkeypatch.undo()
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """Every operator of texts takes them."""
+    raw = b"some words \xff\xfe here and \xe2\x28 there token=abcdefgh"
+    docs = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(raw * 3))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    n = len(raw.split())
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(spark, docs).collect()} == {(1, n, 0), (2, 3 * (n - 1) + 1, 0)}
+    assert substring_dedup.substring_dedup(spark, docs, digest=True).first().kept_sha256 == hashlib.sha256(raw if substring_dedup.substring_dedup(spark, docs, digest=True).first().doc_id == 1 else raw * 3).hexdigest()
+    assert len(simhash.fingerprint_table(docs).collect()) == 2
+    assert {r.doc_id for r in packing.pack(docs).collect()} == {1, 2}
+    assert len(token_counts.build_trees(docs).collect()) == 2
+    assert len(secret_scan.scan_versions(spark, docs).collect()) == 2
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Cut into small pieces, token counts, tokens and languages are those of the whole text."""
+    from evidence_engine.llm import language_id
+    from evidence_engine.llm import common
+
+    texts = [t for _, t in ODD if t] + [LONG[:30_000], "x" * 5000, "ünï cödé " * 900]
+    count = token_counts.LeafCounts(token_counts.default_vocabulary())
+    tokens = packing.WordTokens(packing.default_vocabulary())
+    model = language_id.train([("a", "the house is big and the tree is old " * 9), ("b", "das haus ist gross und der baum ist alt " * 9)])
+    whole = [(token_counts.leaves_of(t, count), tokens.encode([t.encode()])[0], language_id.predict(model, [t])[0]) for t in texts]
+    monkeypatch.setattr(token_counts, "PIECE", 100)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 50)
+    monkeypatch.setattr(common.cut_at_space, "__defaults__", (100,))
+    monkeypatch.setattr(language_id, "_PIECE", 100)
+    monkeypatch.setattr(language_id, "_BLOCKS", 2)
+    for t, (leaves, ids, (lang, score)) in zip(texts, whole, strict=True):
+        got = token_counts.leaves_of(t, count)
+        assert np.array_equal(got[0], leaves[0]) and np.array_equal(got[1], leaves[1])
+        assert np.array_equal(tokens.encode([t.encode()])[0], ids)
+        got_lang, got_score = language_id.predict(model, [t])[0]
+        assert got_lang == lang and abs(got_score - score) < 1e-6
+
+
 def test_substring_dedup_cases(spark):
     got = substring_dedup.substring_dedup(spark, odd_docs(spark)).collect()
     assert sorted(map(tuple, got), key=repr) == brute_dedup(ODD)
