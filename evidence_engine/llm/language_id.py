@@ -36,7 +36,9 @@ SAMPLE_ROWS, SAMPLE_BYTES, HASHED = 400, 600_000, 1 << 18
 UNKNOWN = "und"
 _BASE = np.uint64(0x100000001B3)
 #: Words of a block, blocks whose messages are held at once, and characters whose features are.
-_BLOCK, _BLOCKS, _PIECE = 48, 2048, 500_000
+_BLOCK, _BLOCKS, _PIECE = 48, 2048, 250_000
+#: Bytes of the texts that make one chain.
+SLICE = 250_000
 
 
 class Model(NamedTuple):
@@ -54,9 +56,14 @@ _tables: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point, whether it is a letter, and its lower-case letter."""
     if not _tables:
-        points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-        alpha = np.array([c.isalpha() for c in points])
-        _tables.extend([alpha, np.array([ord(low) if a and len(low := c.lower()) == 1 else k for k, (c, a) in enumerate(zip(points, alpha.tolist(), strict=True))], np.uint64)])
+        # One character at a time: lists of all of Unicode's would stay with the worker.
+        low = np.arange(0x110000, dtype=np.uint32)
+        alpha = np.fromiter((not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        for c in np.flatnonzero(alpha).tolist():
+            one = chr(c).lower()
+            if len(one) == 1:
+                low[c] = ord(one)
+        _tables.extend([alpha, low])
     return _tables[0], _tables[1]
 
 
@@ -73,7 +80,7 @@ def words_of(texts: list[str]) -> Words:
     joined = " ".join(["", *texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
     letter = alpha[points]
-    c = np.where(letter, lower[points], np.uint64(0))
+    c = np.where(letter, lower[points], 0).astype(np.uint64)
     step = np.diff(letter.astype(np.int8))
     start, end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
     if not len(start):
@@ -320,7 +327,7 @@ def _predict_side(model: Model | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in text_slices(batch, limit=500_000):
+            for s, e in text_slices(batch, limit=SLICE):
                 got = predict(compact, [(x or b"").decode("utf-8", "replace") for x in texts_of(batch, s, e)])
                 part = batch.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -349,7 +356,7 @@ def _keep_side(model: Model | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in text_slices(batch, limit=500_000):
+            for s, e in text_slices(batch, limit=SLICE):
                 got = predict(compact, [(x or b"").decode("utf-8", "replace") for x in texts_of(batch, s, e)])
                 yield batch.slice(s, e - s).filter(pa.array([lang != UNKNOWN and score >= STAGE_SCORE for lang, score in got], pa.bool_()))
 

@@ -17,7 +17,8 @@ dense groups cheaply; then every candidate pair that is not in one component alr
 fails hides no other.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle are one
-shingle; rows with a null id keep their fingerprint's component; other columns are ignored.
+shingle; repeated rows each get their row, and of rows that share an id each its own fingerprint; rows with a null id are
+fingerprinted and link others, but name no component: one that only they hold is null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,15 +96,50 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return own.mapInArrow(_fingerprint_side(shingle), "doc_id long, f0 long")
 
 
-def _crossed(ul: np.ndarray, uh: np.ndarray, vl: np.ndarray, vh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of members of the node pairs [ul, uh) x [vl, vh), each once."""
+#: Node pairs of the trie, and pairs of fingerprints, that are worked on at once.
+AT_ONCE = 1 << 16
+
+_Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _crossed(ul: np.ndarray, uh: np.ndarray, vl: np.ndarray, vh: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of members of the node pairs [ul, uh) x [vl, vh), each once, about AT_ONCE at a time."""
     wide = vh - vl
-    sizes = (uh - ul) * wide
-    at = np.repeat(np.arange(len(ul)), sizes)
-    off = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    i, j = ul[at] + off // wide[at], vl[at] + off % wide[at]
-    once = (ul[at] != vl[at]) | (i < j)
-    return i[once], j[once]
+    total = np.r_[0, np.cumsum((uh - ul) * wide)]
+    for first in range(0, int(total[-1]), AT_ONCE):
+        flat = np.arange(first, min(first + AT_ONCE, int(total[-1])))
+        at = np.searchsorted(total, flat, side="right") - 1
+        off = flat - total[at]
+        i, j = ul[at] + off // wide[at], vl[at] + off % wide[at]
+        once = (ul[at] != vl[at]) | (i < j)
+        yield i[once], j[once]
+
+
+class _Links:
+    """The pairs that a task has found linked, and the components that they make or that are given."""
+
+    def __init__(self, n: int, link, known: np.ndarray | None):
+        self.n, self.link, self.given = n, link, known is not None
+        self.root = np.arange(n) if known is None else known
+        self.left, self.right = [], []
+
+    def try_pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = (i != j) & (self.root[i] != self.root[j])
+        i, j = i[apart], j[apart]
+        ok = self.link(i, j)
+        if ok.any():
+            self.left.append(i[ok].astype(np.int32)), self.right.append(j[ok].astype(np.int32))
+            if not self.given:
+                self.root = local_roots(self.n, i[ok], j[ok], self.root)
+
+    def apart(self, ul: np.ndarray, uh: np.ndarray, vl: np.ndarray, vh: np.ndarray) -> np.ndarray:
+        """Which node pairs have members that are not all of one component."""
+        turns = np.r_[0, np.cumsum(np.r_[False, self.root[1:] != self.root[:-1]])]
+        return ~((turns[uh] == turns[ul + 1]) & (turns[vh] == turns[vl + 1]) & (self.root[ul] == self.root[vl]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        none = [np.zeros(0, np.int32)]
+        return np.concatenate(self.left or none), np.concatenate(self.right or none)
 
 
 def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int], link, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -111,56 +147,52 @@ def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int],
 
     prints: sorted uint64; depth: bits of a prefix; budget[d]: differing bits allowed in the first d bits; link(i, j):
     which of the pairs of indexes are linked in the end; known: components that are given, in place of those that the
-    links found here make; then every linked pair between two of them is returned.
+    links found here make; then every linked pair between two of them is returned. The descent goes deep before it goes
+    wide, AT_ONCE node pairs at a time, so memory doesn't follow the number of pairs.
     """
     n, one = len(prints), np.uint64(1)
-    found_l, found_r = [], []
-    # Neighbours in sorted order are a cheap first set of links; they let whole subtrees of a dense group go early.
-    i = np.arange(n - 1)
-    near = i[link(i, i + 1)] if known is None else i[:0]
-    found_l.append(near), found_r.append(near + 1)
-    root = local_roots(n, near, near + 1) if known is None else known
+    links = _Links(n, link, known)
+    if known is None:
+        # Neighbours in sorted order are a cheap first set of links; they let whole subtrees of a dense group go early.
+        links.try_pairs(np.arange(n - 1), np.arange(1, n))
     top = (prints >> np.uint64(BITS - depth)).astype(np.int64)
     start = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
     end = np.r_[start[1:], n]
     own = int(np.searchsorted(top[start], home))
     if own == len(start) or top[start[own]] != home:
-        return near, near + 1
-    ul, uh = np.full(len(start), start[own]), np.full(len(start), end[own])
-    vl, vh, acc = start, end, np.bitwise_count(top[start] ^ home).astype(np.int64)
-    keep = acc <= budget[depth]
-    ul, uh, vl, vh, acc = (x[keep] for x in (ul, uh, vl, vh, acc))
-    for d in range(depth, BITS):
+        return links.pairs()
+    acc = np.bitwise_count(top[start] ^ home).astype(np.int64)
+    first: _Pairs = (np.full(len(start), start[own]), np.full(len(start), end[own]), start, end, acc)
+    ones: dict[int, np.ndarray] = {}
+    todo = [(depth, tuple(x[acc <= budget[depth]] for x in first))]
+    while todo:
+        d, held = todo.pop()
+        if len(held[0]) > AT_ONCE:
+            todo += [(d, tuple(x[k : k + AT_ONCE] for x in held)) for k in range(0, len(held[0]), AT_ONCE)]
+            continue
+        ul, uh, vl, vh, acc = held
         # Pairs of single fingerprints are settled at once; pairs whose members are all linked already go.
         single = (uh - ul == 1) & (vh - vl == 1)
-        i, j = ul[single], vl[single]
-        apart = (i != j) & (root[i] != root[j])
-        i, j = i[apart], j[apart]
-        ok = link(i, j)
-        if ok.any():
-            found_l.append(i[ok]), found_r.append(j[ok])
-            root = local_roots(n, i[ok], j[ok], root) if known is None else known
-        turns = np.r_[0, np.cumsum(np.r_[False, root[1:] != root[:-1]])]
-        joined = (turns[uh] == turns[ul + 1]) & (turns[vh] == turns[vl + 1]) & (root[ul] == root[vl])
-        keep = ~single & ~joined
-        ul, uh, vl, vh, acc = (x[keep] for x in (ul, uh, vl, vh, acc))
+        links.try_pairs(ul[single], vl[single])
+        keep = ~single & links.apart(ul, uh, vl, vh)
+        ul, uh, vl, vh, acc = (x[keep] for x in held)
         if not len(ul):
-            break
-        ones = np.r_[0, np.cumsum(((prints >> np.uint64(BITS - 1 - d)) & one).astype(np.int64))]
-        um, vm = uh - (ones[uh] - ones[ul]), vh - (ones[vh] - ones[vl])
+            continue
+        if d == BITS:
+            for i, j in _crossed(ul, uh, vl, vh):
+                links.try_pairs(i, j)
+            continue
+        if d not in ones:
+            ones[d] = np.r_[0, np.cumsum(((prints >> np.uint64(BITS - 1 - d)) & one).astype(np.int32))]
+        bit = ones[d]
+        um, vm = uh - (bit[uh] - bit[ul]), vh - (bit[vh] - bit[vl])
         same = (ul == vl) & (uh == vh)
-        nxt = [(ul, um, vl, vm, acc), (um, uh, vm, vh, acc), (ul, um, vm, vh, acc + 1), (um, uh, vl, vm, acc + 1)]
-        nxt[3] = tuple(x[~same] for x in nxt[3])
-        ul, uh, vl, vh, acc = (np.concatenate(x) for x in zip(*nxt, strict=True))
+        below = [(ul, um, vl, vm, acc), (um, uh, vm, vh, acc), (ul, um, vm, vh, acc + 1), (um, uh, vl, vm, acc + 1)]
+        below[3] = tuple(x[~same] for x in below[3])
+        ul, uh, vl, vh, acc = (np.concatenate(x) for x in zip(*below, strict=True))
         keep = (acc <= budget[d + 1]) & (uh > ul) & (vh > vl)
-        ul, uh, vl, vh, acc = (x[keep] for x in (ul, uh, vl, vh, acc))
-    else:
-        i, j = _crossed(ul, uh, vl, vh)
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-        ok = link(i, j)
-        found_l.append(i[ok]), found_r.append(j[ok])
-    return np.concatenate(found_l), np.concatenate(found_r)
+        todo.append((d + 1, tuple(x[keep] for x in (ul, uh, vl, vh, acc))))
+    return links.pairs()
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -187,9 +219,13 @@ def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total:
         sizes = np.asarray(tab.column("size"))[order] if "size" in tab.column_names else None
 
         def link(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            near = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in cols) <= total
-            # Sets of very different sizes can't be similar.
-            return near if sizes is None else near & (NUM * np.maximum(sizes[i], sizes[j]) <= DEN * np.minimum(sizes[i], sizes[j]))
+            out = np.zeros(len(i), bool)
+            for s in range(0, len(i), AT_ONCE):
+                a, b = i[s : s + AT_ONCE], j[s : s + AT_ONCE]
+                near = sum(np.bitwise_count(c[a] ^ c[b]).astype(np.int16) for c in cols) <= total
+                # Sets of very different sizes can't be similar.
+                out[s : s + AT_ONCE] = near if sizes is None else near & (NUM * np.maximum(sizes[a], sizes[b]) <= DEN * np.minimum(sizes[a], sizes[b]))
+            return out
 
         known = np.unique(np.asarray(tab.column("component"))[order], return_inverse=True)[1] if form == "every" else None
         left, right = trie_pairs(own, depth, home, budget, link, known)
@@ -240,10 +276,12 @@ def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1,
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, f0, component_id (the smallest id reachable over links, the document's own included)."""
     prints = materialise(spark, fingerprint_table(docs, id_col, text_col, shingle), "simhash-prints")
-    reps = materialise(spark, prints.groupBy("f0").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    known = reps.where("rep is not null")
-    comps = components(spark, trie_links(spark, known, known.count()))
-    named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
+    # A fingerprint is its own record's key, so those that only rows without an id hold link others, too.
+    reps = materialise(spark, prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "simhash-reps")
+    comps = components(spark, trie_links(spark, reps.select("f0", F.col("f0").alias("rep")), reps.count()))
+    named = reps.join(comps, reps.f0 == comps.node, "left").select("f0", "least", F.coalesce("component", "f0").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialise(spark, named.join(ids, "component").select("f0", "component_id"), "simhash-names")
     return prints.join(named, ["f0"]).select("doc_id", "f0", "component_id")
 
 
@@ -325,7 +363,9 @@ def near_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each component, the row of the smallest doc_id (and text's hash) stays, once.
 
-    A row goes by its own text, whatever other rows have its doc_id; rows with a null doc_id stay.
+    Defined cases: a row goes by its own text, whatever other rows have its doc_id; of repeated rows (id and text) one
+    stays at most; rows with a null doc_id stay and link nothing; null and empty texts are copies of each other, as their
+    sets are both empty; an empty table stays empty; docs may have columns of any names beside doc_id and text.
     """
     found = near_components(spark, docs).groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     found = materialise(spark, found, "near-components")
