@@ -11,10 +11,11 @@ the smaller prefixes within the budget, so each pair of subtrees meets in one ta
 fingerprints are already linked with each other goes too, so a dense group of near copies isn't expanded into all its
 pairs; a task returns a spanning forest of its links, which leaves the components as they are.
 
-The pipeline's stage takes the trie's pairs as candidates only. A record is there a set of distinct shingles, and a pair
-becomes a link if the sets themselves are similar enough. First a forest of close candidates is checked, which joins
-dense groups cheaply; then every candidate pair that is not in one component already is checked, so a candidate that
-fails hides no other.
+The pipeline's stage takes the trie's pairs as candidates only. A record is there a set of distinct shingles. Candidates
+that hang together make a cluster, and within clusters the sets themselves are compared, exactly: a block of a cluster is
+one task's, of bounded size, and counts all its sets' common shingles by a matrix product. Of a cluster with several
+blocks, each block first joins its own sets; what then isn't in the cluster's largest component visits all blocks, so no
+pair is left out and the sets of a large group of copies don't travel.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle are one
 shingle; repeated rows each get their row, and of rows that share an id each its own fingerprint; rows with a null id are
@@ -116,11 +117,10 @@ def _crossed(ul: np.ndarray, uh: np.ndarray, vl: np.ndarray, vh: np.ndarray) ->
 
 
 class _Links:
-    """The pairs that a task has found linked, and the components that they make or that are given."""
+    """The pairs that a task has found linked, and the components that they make."""
 
-    def __init__(self, n: int, link, known: np.ndarray | None):
-        self.n, self.link, self.given = n, link, known is not None
-        self.root = np.arange(n) if known is None else known
+    def __init__(self, n: int, link):
+        self.n, self.link, self.root = n, link, np.arange(n)
         self.left, self.right = [], []
 
     def try_pairs(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -129,8 +129,7 @@ class _Links:
         ok = self.link(i, j)
         if ok.any():
             self.left.append(i[ok].astype(np.int32)), self.right.append(j[ok].astype(np.int32))
-            if not self.given:
-                self.root = local_roots(self.n, i[ok], j[ok], self.root)
+            self.root = local_roots(self.n, i[ok], j[ok], self.root)
 
     def apart(self, ul: np.ndarray, uh: np.ndarray, vl: np.ndarray, vh: np.ndarray) -> np.ndarray:
         """Which node pairs have members that are not all of one component."""
@@ -142,19 +141,17 @@ class _Links:
         return np.concatenate(self.left or none), np.concatenate(self.right or none)
 
 
-def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int], link, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int], link) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (enough of them for the same components) between the subtree `home` and all that are given.
 
     prints: sorted uint64; depth: bits of a prefix; budget[d]: differing bits allowed in the first d bits; link(i, j):
-    which of the pairs of indexes are linked in the end; known: components that are given, in place of those that the
-    links found here make; then every linked pair between two of them is returned. The descent goes deep before it goes
-    wide, AT_ONCE node pairs at a time, so memory doesn't follow the number of pairs.
+    which of the pairs of indexes are linked in the end. The descent goes deep before it goes wide, AT_ONCE node pairs at
+    a time, so memory doesn't follow the number of pairs.
     """
     n, one = len(prints), np.uint64(1)
-    links = _Links(n, link, known)
-    if known is None:
-        # Neighbours in sorted order are a cheap first set of links; they let whole subtrees of a dense group go early.
-        links.try_pairs(np.arange(n - 1), np.arange(1, n))
+    links = _Links(n, link)
+    # Neighbours in sorted order are a cheap first set of links; they let whole subtrees of a dense group go early.
+    links.try_pairs(np.arange(n - 1), np.arange(1, n))
     top = (prints >> np.uint64(BITS - depth)).astype(np.int64)
     start = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
     end = np.r_[start[1:], n]
@@ -195,21 +192,7 @@ def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int],
     return links.pairs()
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Places of pairs that make a spanning forest of them all."""
-    root, kept = list(range(n)), []
-    for at, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            kept.append(at)
-    return np.array(kept, np.int64)
-
-
-def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total: int, form: str):
+def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total: int):
     def run(key: tuple, tab: pa.Table) -> pa.Table:
         turn, home = divmod(key[0].as_py(), 1 << 32)
         cols = np.stack([np.asarray(tab.column(f"f{j}")).view(np.uint64) for j in range(n_prints)])
@@ -227,37 +210,27 @@ def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total:
                 out[s : s + AT_ONCE] = near if sizes is None else near & (NUM * np.maximum(sizes[a], sizes[b]) <= DEN * np.minimum(sizes[a], sizes[b]))
             return out
 
-        known = np.unique(np.asarray(tab.column("component"))[order], return_inverse=True)[1] if form == "every" else None
-        left, right = trie_pairs(own, depth, home, budget, link, known)
-        if form == "joined":
-            root = local_roots(len(reps), left, right)
-            left = np.flatnonzero(root != np.arange(len(reps)))
-            right = root[left]
-        elif form == "forest":
-            kept = _forest(len(reps), left, right)
-            left, right = left[kept], right[kept]
-        return pa.table({"src": pa.array(reps[left]), "dst": pa.array(reps[right])})
+        root = local_roots(len(reps), *trie_pairs(own, depth, home, budget, link))
+        left = np.flatnonzero(root != np.arange(len(reps)))
+        return pa.table({"src": pa.array(reps[left]), "dst": pa.array(reps[root[left]])})
 
     return run
 
 
-def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1, budget: Sequence[int] | None = None, total: int = BUDGET, subtree: int = SUBTREE, n_tries: int | None = None, turns: Sequence[int] = (0,), form: str = "joined") -> DataFrame:
-    """src, dst: links between the distinct records reps(rep, f0, ...).
+def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1, budget: Sequence[int] | None = None, total: int = BUDGET, subtree: int = SUBTREE, turns: Sequence[int] = (0,)) -> DataFrame:
+    """src, dst: a spanning forest of each task's links between the distinct records reps(rep, f0, ...).
 
-    Linked are records that, for some k below n_tries and some turn, stay within budget[d] differing bits in the first d
+    Linked are records that, for some k and some turn, stay within budget[d] differing bits in the first d
     bits of fk, rotated left by the turn, for all d from the cut down, and within `total` differing bits over all
     fingerprints; with reps.size, also within the ratio of sizes that the stage's similarity allows. By default the budget
     is `total` throughout, which with one fingerprint finds every pair of `total` or fewer differing bits. One fingerprint's
     tries are joined after another's, so there is one shuffle at a time on disk.
-
-    form: "joined", a spanning forest of each task's components; "forest", one made of linked pairs themselves; "every",
-    all linked pairs of different reps.component.
     """
     depth = int(max(10, min(20, math.ceil(math.log2(max(n, 1) / subtree + 1)))))
     budget = [total] * (BITS + 1) if budget is None else list(budget)
     masks = [m for m in range(1 << depth) if m.bit_count() <= budget[depth]]
     out = None
-    for k in range(n_prints if n_tries is None else n_tries):
+    for k in range(n_prints):
         sent = None
         for turn in turns:
             f = F.col(f"f{k}")
@@ -265,7 +238,7 @@ def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1,
             part = reps.select("*", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m")).withColumn("home", prefix.bitwiseXOR(F.col("m"))).where(F.col("home") <= prefix).drop("m")
             part = part.withColumn("home", F.col("home") + F.lit(turn << 32)) if turn else part
             sent = part if sent is None else sent.unionByName(part)
-        links = sent.groupBy("home").applyInArrow(_trie_side(k, n_prints, depth, budget, total, form), "src long, dst long")
+        links = sent.groupBy("home").applyInArrow(_trie_side(k, n_prints, depth, budget, total), "src long, dst long")
         if n_prints > 1:
             links = materialise(spark, links, "simhash-links")
             free_shuffles(spark)
@@ -295,8 +268,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: STAGE_TOTAL of the 512 bits of eight fingerprints, 78 being expected at 0.8 with a deviation of 8.
 STAGE_SHINGLE, STAGE_PRINTS, STAGE_SUBTREE, NUM, DEN = 5, 8, 4096, 4, 5
 STAGE_TOTAL = 104
-#: Candidates within so many bits make the first forest; what it misses is found by the second pass.
-STAGE_CLOSE = 70
+#: Bytes of shingles, and sets, of a cluster's block; entries of the matrix that counts common shingles.
+BLOCK_BYTES, BLOCK_SETS, DENSE = 16 << 20, 4096, 1 << 23
 #: Each fingerprint has a trie for each of these rotations, so there are 24. A pair is met if in one of them it differs in
 #: at most one of the first 16 bits, two of 22, and from there in one more for every three bits. That doesn't depend on the
 #: cut, so the number of documents doesn't change which pairs are met: 0.997 of those at 0.8.
@@ -330,18 +303,88 @@ def _row_key() -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
 
 
-def similar(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """src, dst: the pairs of sets(rep, holder) whose sets of shingles have a similarity of NUM / DEN or more."""
-    pairs = materialise(spark, pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("rep")).distinct().join(sets.select("rep", "holder.*"), "rep").drop("rep")
-    texts = docs.select(*_row_key(), "text").join(wanted, ["doc_id", "text_hash"], "left_semi")
-    held = materialise(spark, texts.select("text").mapInArrow(_shingle_side, "rep long, shingles array<long>").dropDuplicates(["rep"]), "near-sets")
-    a, b = (held.select(F.col("rep").alias(end), F.col("shingles").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
-    # |A & B| / |A | B| >= NUM / DEN, in integers.
-    enough = (NUM + DEN) * F.size(F.array_intersect("a", "b")) >= NUM * (F.size("a") + F.size("b"))
-    links = materialise(spark, pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst"), "near-links")
+def _common(own: np.ndarray, at: np.ndarray, n: int, vocabulary: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, counts [row, set]) of common shingles between some of n sets and all; own and at: the shared shingles' numbers
+    and their sets'."""
+    if n * vocabulary <= DENSE:
+        dense = np.zeros((n, vocabulary), np.float32)
+        dense[at, own] = 1
+        for s in range(0, len(rows), 256):
+            yield rows[s : s + 256], dense[rows[s : s + 256]] @ dense.T
+        return
+    by_set, by_shingle = np.argsort(at, kind="stable"), np.argsort(own, kind="stable")
+    first_of = np.searchsorted(at[by_set], np.arange(n + 1))
+    sets, start = at[by_shingle], np.searchsorted(own[by_shingle], np.arange(vocabulary + 1))
+    for r in rows.tolist():
+        mine = own[by_set[first_of[r] : first_of[r + 1]]]
+        held = [sets[start[v] : start[v + 1]] for v in mine.tolist()]
+        yield np.array([r]), np.bincount(np.concatenate(held) if held else sets[:0], minlength=n)[None, :]
+
+
+def exact_roots(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """The components of sets that have a similarity of NUM / DEN or more, rows being compared with all."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    root = np.arange(n)
+    if not sizes.sum():
+        return root
+    _, number, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one set alone is common to none.
+    shared = seen[number] > 1
+    ids = np.cumsum(seen > 1) - 1
+    own, at = ids[number[shared]], np.repeat(np.arange(n), sizes)[shared]
+    vocabulary = int((seen > 1).sum())
+    if not vocabulary:
+        return root
+    for some, counts in _common(own, at, n, vocabulary, rows):
+        # |A & B| / |A | B| >= NUM / DEN, in integers.
+        enough = (NUM + DEN) * counts.astype(np.int64) >= NUM * (sizes[some][:, None] + sizes[None, :])
+        i, j = np.nonzero(enough & (counts > 0))
+        root = local_roots(n, some[i], j, root)
+    return root
+
+
+def _exact_side(tab: pa.Table) -> pa.Table:
+    """The verified components of a block, as links; with visitors, only they are compared with all."""
+    reps, visits = np.asarray(tab.column("rep")), np.asarray(tab.column("visitor"))
+    lists = tab.column("shingles").combine_chunks()
+    offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    sets = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    root = exact_roots(sets, np.flatnonzero(visits) if visits.any() else np.arange(len(reps)))
+    left = np.flatnonzero(root != np.arange(len(reps)))
+    return pa.table({"src": pa.array(reps[left]), "dst": pa.array(reps[root[left]])})
+
+
+_EXACT = "src long, dst long"
+
+
+def similar_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, clusters: DataFrame, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """src, dst: links that join the sets(rep, size, holder) of each cluster(node, component) that are connected by pairs of
+    a similarity of NUM / DEN or more, and no others."""
+    own = sets.select("rep", "size", "holder").join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    own = materialise(spark, own, "near-members")
+    parts = F.greatest(F.ceil(F.sum(F.col("size") * 8) / block_bytes), F.ceil(F.count("*") / block_sets)).cast("int")
+    placed = own.join(own.groupBy("cluster").agg(F.greatest(parts, F.lit(1)).alias("parts")), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    texts = docs.select(*_row_key(), "text").join(own.select("holder.*"), ["doc_id", "text_hash"], "left_semi")
+    shingles = texts.select("text").mapInArrow(_shingle_side, "rep long, shingles array<long>").dropDuplicates(["rep"])
+    members = materialise(spark, placed.select("rep", "cluster", "parts", "block").join(shingles, "rep"), "near-sets")
+    at_home = members.select("cluster", "block", "rep", F.lit(False).alias("visitor"), "shingles")
+    links = materialise(spark, at_home.groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT), "near-links")
     free_shuffles(spark)
-    return links
+    wide = members.where("parts > 1")
+    if wide.isEmpty():
+        return links
+    joined = components(spark, links).withColumnRenamed("node", "rep")
+    wide = wide.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    largest = wide.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    apart = wide.join(largest, "cluster").where("component <> largest")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block")
+    visits = apart.select("cluster", every, "rep", F.lit(True).alias("visitor"), "shingles")
+    stay = wide.join(apart.select("rep"), "rep", "left_anti").select("cluster", "block", "rep", F.lit(False).alias("visitor"), "shingles")
+    more = stay.unionByName(visits).groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT)
+    out = links.unionByName(materialise(spark, more, "near-links"))
+    free_shuffles(spark)
+    return out
 
 
 def near_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -350,12 +393,8 @@ def near_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     prints = docs.where("doc_id is not null").select(*_row_key(), "text").mapInArrow(_set_side, "doc_id long, text_hash long, rep long, size long, " + ", ".join(f"{x} long" for x in names))
     prints = materialise(spark, prints, "near-prints")
     sets = materialise(spark, prints.groupBy("rep", "size", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("holder")), "near-reps")
-    n = sets.count()
-    tries = {"n_prints": STAGE_PRINTS, "budget": STAGE_BUDGET, "subtree": STAGE_SUBTREE, "turns": STAGE_TURNS}
-    links = similar(spark, docs, sets, trie_links(spark, sets.drop("holder"), n, total=STAGE_CLOSE, n_tries=1, form="forest", **tries))
-    joined = components(spark, links).withColumnRenamed("node", "rep")
-    known = materialise(spark, sets.drop("holder").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "near-known")
-    links = links.unionByName(similar(spark, docs, sets, trie_links(spark, known, n, total=STAGE_TOTAL, form="every", **tries)))
+    candidates = trie_links(spark, sets.drop("holder"), sets.count(), n_prints=STAGE_PRINTS, budget=STAGE_BUDGET, total=STAGE_TOTAL, subtree=STAGE_SUBTREE, turns=STAGE_TURNS)
+    links = similar_links(spark, docs, sets, components(spark, candidates))
     joined = components(spark, links).withColumnRenamed("node", "rep")
     return prints.select("doc_id", "text_hash", "rep").join(joined, "rep", "left").select("doc_id", "text_hash", F.coalesce("component", "rep").alias("component"))
 

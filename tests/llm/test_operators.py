@@ -220,6 +220,66 @@ def test_links_are_exact(spark):
     assert left == {0, 2, 3}
 
 
+def brute_similar(sets):
+    n = len(sets)
+    return [(a, b) for a in range(n) for b in range(a) if len(sets[a] | sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("seed,dense", [(1, 1 << 23), (2, 0)])
+def test_exact_roots(monkeypatch, seed, dense):
+    import random
+
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = random.Random(seed)
+    base = [rng.sample(range(10_000), rng.randint(1, 60)) for _ in range(12)]
+    sets = [set(), set()]
+    for _ in range(160):
+        b = rng.choice(base)
+        sets.append({x if rng.random() > 0.08 else rng.randrange(10_000) for x in b})
+    arrays = [np.array(sorted(x), np.int64) for x in sets]
+    want = roots(range(len(sets)), brute_similar(sets))
+    assert simhash.exact_roots(arrays, np.arange(len(sets))).tolist() == [want[i] for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block_sets", [10_000, 25])
+def test_links_in_blocks_and_recall(spark, block_sets):
+    """Groups of texts around a similarity of 0.8, in one block each and in many: no pair below it joins, and of the pairs at
+    0.8 or more, found by brute force, at least 0.95 end up in one component; within a cluster, all do."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.randint(0, 6)):
+                words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    pairs = brute_similar(sets)
+    truth = roots(range(len(rows)), pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = {r.doc_id: r.component for r in simhash.near_components(spark, docs).collect()}
+    assert all(truth[a] == truth[b] for a in keyed for b in keyed if a < b and keyed[a] == keyed[b])
+    met = sum(keyed[a] == keyed[b] for a, b in pairs)
+    assert len(pairs) > 200 and met >= 0.95 * len(pairs)
+    # All of a group in one cluster: exactly the brute force's components, whatever the blocks.
+    reps = docs.select(*simhash._row_key(), "text").mapInArrow(simhash._set_side, "doc_id long, text_hash long, rep long, size long, " + ", ".join(f"f{k} long" for k in range(8)))
+    sets_of = reps.groupBy("rep", "size").agg(F.min(F.struct("doc_id", "text_hash")).alias("holder")).persist()
+    clusters = sets_of.select(F.col("rep").alias("node"), F.floor(F.col("holder.doc_id") / 25).alias("component"))
+    links = simhash.similar_links(spark, docs, sets_of, clusters, block_sets=block_sets)
+    comps = {r.node: r.component for r in components.components(spark, links).collect()}
+    doc = {r.rep: r.holder.doc_id for r in sets_of.collect()}
+    got = defaultdict(set)
+    for rep, d in doc.items():
+        got[comps.get(rep, rep)].add(d)
+    want = defaultdict(set)
+    for d in doc.values():
+        want[truth[d]].add(d)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_tries_meet_pairs_at_any_size():
     """Bits that differ as they do at similarity 0.8; the budget is one list, whatever the number of documents."""
     import numpy as np
