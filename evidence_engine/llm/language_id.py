@@ -14,7 +14,8 @@ a piece at a time, messages for a run of blocks, and only each word's scores thr
 
 Defined cases: a null text, or one without a letter: `und`, score 0; no labelled rows: `und`; ties go to the language
 that sorts first; a null id is no training row and not held out; bytes that are no UTF-8 are read as U+FFFD, which is no
-letter; other columns are ignored.
+letter; equal hashes of the sample are in the order of their texts; repeated rows each get their row; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -97,8 +97,9 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return own.mapInArrow(_fingerprint_side(shingle), "doc_id long, f0 long")
 
 
-#: Node pairs of the trie, and pairs of fingerprints, that are worked on at once.
-AT_ONCE = 1 << 16
+#: Pairs of fingerprints, and node pairs of the trie, that are worked on at once. The descent keeps up to three times so
+#: many node pairs for each bit, 40 bytes each.
+AT_ONCE, NODES_AT_ONCE = 1 << 16, 1 << 13
 
 _Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -145,8 +146,8 @@ def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int],
     """Linked pairs (enough of them for the same components) between the subtree `home` and all that are given.
 
     prints: sorted uint64; depth: bits of a prefix; budget[d]: differing bits allowed in the first d bits; link(i, j):
-    which of the pairs of indexes are linked in the end. The descent goes deep before it goes wide, AT_ONCE node pairs at
-    a time, so memory doesn't follow the number of pairs.
+    which of the pairs of indexes are linked in the end. The descent goes deep before it goes wide, NODES_AT_ONCE node
+    pairs at a time, so memory doesn't follow the number of pairs.
     """
     n, one = len(prints), np.uint64(1)
     links = _Links(n, link)
@@ -164,8 +165,8 @@ def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int],
     todo = [(depth, tuple(x[acc <= budget[depth]] for x in first))]
     while todo:
         d, held = todo.pop()
-        if len(held[0]) > AT_ONCE:
-            todo += [(d, tuple(x[k : k + AT_ONCE] for x in held)) for k in range(0, len(held[0]), AT_ONCE)]
+        if len(held[0]) > NODES_AT_ONCE:
+            todo += [(d, tuple(x[k : k + NODES_AT_ONCE] for x in held)) for k in range(0, len(held[0]), NODES_AT_ONCE)]
             continue
         ul, uh, vl, vh, acc = held
         # Pairs of single fingerprints are settled at once; pairs whose members are all linked already go.
