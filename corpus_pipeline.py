@@ -15,23 +15,33 @@ from evidence_engine.llm.common import materialise, table
 
 
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs whose language can be told, by a field trained on a bounded sample of their own labelled rows.
+
+    Defined cases: null texts and texts without a letter go; without labelled rows nothing can be told, so all rows go;
+    repeated rows stay or go together; an empty table stays empty; other columns are passed on, whatever their names.
+    """
     return language_id.keep_identified(spark, docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one row of each group of near copies, see simhash.drop_near_copies for its defined cases."""
     return simhash.drop_near_copies(spark, docs).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold items of the benchmark, see decontaminate.drop_contaminated for its defined cases."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with secrets cut out of their texts, see secret_scan.cut_secrets for its defined cases; n_chars, where there is
+    such a column, is the cut text's length."""
     cleaned = secret_scan.cut_secrets(spark, docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs in sequences, see packing for its defined cases."""
     return packing.pack(docs)
 
 
