@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import free_shuffles, materialise, scratch_path, table
+from evidence_engine.llm.common import discard, free_shuffles, materialise, scratch_path, table
 
 
 class Rule(NamedTuple):
@@ -151,7 +151,7 @@ def scan_blobs(spark: SparkSession, own: DataFrame, ledger: str | None = None, r
     place = F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("kind"))
     named = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place.alias("no"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("s"))
     out = materialise(spark, named.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")), "secret-findings")
-    free_shuffles(spark)
+    discard(spark, blobs)
     return out
 
 
@@ -174,6 +174,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     so it scans the texts for the added rules alone and takes the first run's spans from the ledger."""
     versions, ledger = table(spark, sf_dir, "documents"), scratch_path(spark, "secret-ledger")
     scan_blobs(spark, _versions(versions, "doc_id", "text"), ledger, BASE)
+    free_shuffles(spark)  # the first run's texts
     found = scan_versions(spark, versions, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = _joined(F.filter("spans", lambda s: s["no"] <= len(BASE)))

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import free_shuffles, materialise, mix, table, text_slices, texts_of
-from evidence_engine.llm.components import components, local_roots
+from evidence_engine.llm.common import free_shuffles, materialise, mix, pieces, table, text_slices, texts_of
+from evidence_engine.llm.components import FILE_BYTES, components, local_roots
 
 SHINGLE, BITS, BUDGET = 3, 64, 2
 #: Fingerprints below a prefix on average; the prefix has 10 bits at least and 20 at most.
@@ -241,7 +241,8 @@ def trie_links(spark: SparkSession, reps: DataFrame, n: int, n_prints: int = 1,
             sent = part if sent is None else sent.unionByName(part)
         links = sent.groupBy("home").applyInArrow(_trie_side(k, n_prints, depth, budget, total), "src long, dst long")
         if n_prints > 1:
-            links = materialise(spark, links, "simhash-links")
+            # A forest has fewer links than records: it is written in files of its size, not one a task.
+            links = materialise(spark, links.repartition(pieces(16 * n, FILE_BYTES, least=1)), "simhash-links")
             free_shuffles(spark)
         out = links if out is None else out.unionByName(links)
     return out
@@ -370,7 +371,9 @@ def similar_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, cluster
     shingles = texts.select("text").mapInArrow(_shingle_side, "rep long, shingles array<long>").dropDuplicates(["rep"])
     members = materialise(spark, placed.select("rep", "cluster", "parts", "block").join(shingles, "rep"), "near-sets")
     at_home = members.select("cluster", "block", "rep", F.lit(False).alias("visitor"), "shingles")
-    links = materialise(spark, at_home.groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT), "near-links")
+    files = pieces(16 * own.count(), FILE_BYTES, least=1)
+    links = at_home.groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT)
+    links = materialise(spark, links.repartition(files), "near-links")
     free_shuffles(spark)
     wide = members.where("parts > 1")
     if wide.isEmpty():
@@ -383,7 +386,7 @@ def similar_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, cluster
     visits = apart.select("cluster", every, "rep", F.lit(True).alias("visitor"), "shingles")
     stay = wide.join(apart.select("rep"), "rep", "left_anti").select("cluster", "block", "rep", F.lit(False).alias("visitor"), "shingles")
     more = stay.unionByName(visits).groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT)
-    out = links.unionByName(materialise(spark, more, "near-links"))
+    out = links.unionByName(materialise(spark, more.repartition(files), "near-links"))
     free_shuffles(spark)
     return out
 
