@@ -36,7 +36,8 @@ def route_weights(plans: DataFrame) -> DataFrame:
 
 
 def hit_boost(preferred: Column | None = None) -> Column:
-    """Boost of a hit row that carries route, title, content, source, result_type, terms, intent and graph_method."""
+    """Boost of a hit row that carries route, title, content, source, result_type, terms, intent and graph_method, and with
+    a list of preferred chunk types the chunk_type."""
     title = F.lower(F.coalesce("title", F.lit("")))
     body = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit(""))))
     route, intent, method = F.col("route"), F.col("intent"), F.col("graph_method")
@@ -69,19 +70,16 @@ def rrf(hits: DataFrame, top_k: int = 10) -> DataFrame:
     return _ranked(hits, 1.0 / (RRF_K + F.col("rank")), top_k).drop("routes")
 
 
-def fuse(plans: DataFrame, queries: DataFrame, hits: DataFrame, top_k: int = 8) -> DataFrame:
-    """query_id, rank, hit_key, score (millionths), routes of hits(query_id, route, rank, hit_key, title, ...)."""
+def fuse(plans: DataFrame, queries: DataFrame, hits: DataFrame, top_k: int = 8, preferred: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, hit_key, score (millionths), routes of hits(query_id, route, rank, hit_key, title, ...); with
+    preferred(query_id, preferred), hits of these chunk types weigh more."""
     terms = queries.select("query_id", tx.query_terms(F.col("text")).alias("terms"))
     asked = route_weights(plans).join(plans.select("query_id", "intent", "graph_method"), "query_id").join(terms, "query_id")
-    weight = F.when(F.col("route") == "bm25", F.col("w_bm25")).when(F.col("route") == "vector", F.col("w_vector")).when(F.col("route") == "entity", F.col("w_entity")).otherwise(F.col("w_graph"))
-    return _ranked(hits.join(asked, "query_id"), weight / (RRF_K + F.col("rank")) + hit_boost(), top_k)
-
-
-def context_text(queries: DataFrame, plans: DataFrame, fused: DataFrame, hits: DataFrame, most: int = 6, chars: int = 400) -> DataFrame:
-    """query_id, context: three head lines and the best documents."""
-    text = hits.groupBy("query_id", "hit_key").agg(F.any_value("title").alias("title"), F.any_value("content").alias("content"))
-    lines = fused.where(F.col("rank") <= most).join(text, ["query_id", "hit_key"])
-    line = F.concat(F.lit("["), "rank", F.lit("] "), "title", F.lit(": "), F.substring("content", 1, chars))
-    body = lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: F.concat(F.lit("\n"), x["line"])), "").alias("body"))
-    head = F.concat(F.lit("Query: "), "text", F.lit("\nIntent: "), "intent", F.lit("\nGraph: "), "graph_method")
-    return plans.join(body, "query_id", "left").select("query_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("context"))
+    liked = None
+    if preferred is not None:
+        asked = asked.join(preferred, "query_id", "left").withColumn("preferred", F.coalesce("preferred", F.array().cast("array<string>")))
+        liked = F.col("preferred")
+    weight = F.col("w_graph")
+    for route in ROUTES[:-1]:
+        weight = F.when(F.col("route") == route, F.col(f"w_{route}")).otherwise(weight)
+    return _ranked(hits.join(asked, "query_id"), weight / (RRF_K + F.col("rank")) + hit_boost(liked), top_k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import all_of, scaled
+from evidence_engine.sources.scratch import kept
 
 # Relation ranks and node types of the paper graph.
 RELATION_PRIORITY = {
@@ -33,6 +34,19 @@ def incident(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.where("source <> target").select(F.col("target").alias("node_id"), F.col("source").alias("other_id"), *keep))
 
 
+def adjacency(edges: DataFrame, fan_out: int | None = None) -> DataFrame:
+    """incident edges laid out by node and kept, so that each hop joins the same table: only the frontier moves.
+
+    With fan_out, each node's so many best edges, and their place `r` among them.
+    """
+    inc = incident(edges)
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inc = inc.repartition(tasks, "node_id")
+    if fan_out is not None:
+        inc = inc.withColumn("r", best_first("node_id")).where(F.col("r") <= fan_out)
+    return inc.persist()
+
+
 def best_first(*keys: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "edge_id"))
 
@@ -45,12 +59,13 @@ def ego(seeds: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
 
 def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """query_id, node_id, hop: nodes within `depth` hops and their distance."""
-    inc = incident(edges).select("node_id", "other_id")
+    inc = adjacency(edges).select("node_id", "other_id")
     seen = seeds.select("query_id", "node_id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.join(inc, "node_id").select("query_id", F.col("other_id").alias("node_id")).distinct()
         frontier = step.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("hop", F.lit(d))
+        frontier = kept(frontier, "graph-frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -58,20 +73,24 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
 def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 8, dedupe: bool = False) -> DataFrame:
     """query_id, place, hop, edge_id: for each hop the 3 * limit best edges of the frontier, until `limit` are taken.
 
-    An edge may come again in a later hop, as a hop's edges lead back; with dedupe it doesn't.
+    An edge may come again in a later hop, as a hop's edges lead back; with dedupe it doesn't. Where seeds have a column
+    depth, it is each query's own, up to `depth`.
     """
-    inc = incident(edges)
-    frontier = visited = seeds.select("query_id", "node_id").distinct()
+    inc = adjacency(edges)
+    hops = max(1, min(2, depth))
+    own = F.col("depth") if "depth" in seeds.columns else F.lit(hops)
+    frontier = visited = seeds.select("query_id", "node_id", own.alias("depth")).distinct()
     out = None
-    for d in range(1, max(1, min(2, depth)) + 1):
-        met = inc.join(frontier, "node_id")
-        edge = met.groupBy("query_id", "edge_id", "confidence").agg(F.collect_set("other_id").alias("others"))
-        taken = edge.withColumn("r", best_first("query_id")).where(F.col("r") <= 3 * limit)
+    for d in range(1, hops + 1):
+        met = inc.join(frontier.where(F.col("depth") >= d), "node_id")
+        edge = met.groupBy("query_id", "edge_id", "confidence").agg(F.collect_set("other_id").alias("others"), F.max("depth").alias("depth"))
+        taken = kept(edge.withColumn("r", best_first("query_id")).where(F.col("r") <= 3 * limit), "graph-hop")
         hop = taken.select("query_id", F.lit(d).alias("hop"), "r", "edge_id", "confidence")
         out = hop if out is None else out.unionByName(hop)
-        step = taken.select("query_id", F.explode("others").alias("node_id")).distinct()
-        frontier = step.join(visited, ["query_id", "node_id"], "left_anti")
-        visited = visited.unionByName(frontier)
+        if d < hops:
+            step = taken.select("query_id", F.explode("others").alias("node_id"), "depth").distinct()
+            frontier = step.join(visited, ["query_id", "node_id"], "left_anti")
+            visited = visited.unionByName(frontier)
     if dedupe:
         first = F.row_number().over(Window.partitionBy("query_id", "edge_id").orderBy("hop"))
         out = out.withColumn("f", first).where("f = 1")
@@ -81,22 +100,75 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 8,
 
 def paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, depth: int = 3, limit: int = 8, fan_out: int = FAN_OUT) -> DataFrame:
     """query_id, place, hops, nodes, edges: simple paths from starts to targets (query_id, node_id each), in the order of
-    a breadth-first search that goes on from each node over its `fan_out` best edges and ends at a target."""
-    inc = incident(edges).withColumn("r", best_first("node_id")).where(F.col("r") <= fan_out).select("node_id", "other_id", "edge_id", "r")
+    a breadth-first search that goes on from each node over its `fan_out` best edges and ends at a target. Where starts
+    have a column depth, it is each query's own, up to `depth`."""
+    inc = adjacency(edges, fan_out).select("node_id", "other_id", "edge_id", "r")
+    hops = max(2, min(MAX_DEPTH, depth))
+    own = F.col("depth") if "depth" in starts.columns else F.lit(hops)
     goal = targets.select("query_id", F.col("node_id").alias("other_id"), F.lit(True).alias("hit")).distinct()
-    open_paths = starts.select("query_id", "node_id", F.array("node_id").alias("nodes"), F.array().cast("array<bigint>").alias("edges"), F.array().cast("array<int>").alias("order"))
+    open_paths = starts.select("query_id", "node_id", own.alias("depth"), F.array("node_id").alias("nodes"), F.array().cast("array<bigint>").alias("edges"), F.array().cast("array<int>").alias("order"))
     done = None
-    for d in range(1, max(2, min(MAX_DEPTH, depth)) + 1):
-        step = open_paths.join(inc, "node_id").where(~F.array_contains("nodes", F.col("other_id")))
-        step = step.select("query_id", "other_id", F.array_append("nodes", F.col("other_id")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("order", F.col("r")).alias("order"))
-        step = step.join(goal, ["query_id", "other_id"], "left")
+    for d in range(1, hops + 1):
+        if d == hops:
+            # The last step only looks for targets, so it starts from the edges that lead to one.
+            last = inc.join(goal, "other_id").select("query_id", "node_id", "other_id", "edge_id", "r", "hit")
+            step = open_paths.where(F.col("depth") >= d).join(last, ["query_id", "node_id"])
+        else:
+            step = open_paths.where(F.col("depth") >= d).join(inc, "node_id").join(goal, ["query_id", "other_id"], "left")
+        step = step.where(~F.array_contains("nodes", F.col("other_id")))
+        step = step.select("query_id", "other_id", "depth", "hit", F.array_append("nodes", F.col("other_id")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("order", F.col("r")).alias("order"))
+        if d < hops:
+            step = kept(step, "graph-paths")
         found = step.where("hit").select("query_id", F.lit(d).alias("hops"), "nodes", "edges", "order")
         done = found if done is None else done.unionByName(found)
-        open_paths = step.where("hit is null").select("query_id", F.col("other_id").alias("node_id"), "nodes", "edges", "order")
+        if d < hops:
+            open_paths = step.where("hit is null").select("query_id", F.col("other_id").alias("node_id"), "depth", "nodes", "edges", "order")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("hops", "order", "nodes"))
     return done.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "hops", "nodes", "edges")
 
 
+def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around each query's centre(query_id, node_id): nodes(query_id, node_id, hop) hop by hop until a
+    query has `limit` of them, and the first `limit` edges(query_id, place, hop, edge_id) met on the way, again in each
+    hop that meets them."""
+    inc = adjacency(edges)
+    seen = seeds.select("query_id", "node_id").distinct().withColumn("hop", F.lit(0))
+    frontier, met_all = seen, None
+    for d in range(1, depth + 1):
+        # A query that has enough nodes goes no further.
+        full = seen.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id")
+        met = frontier.join(full, "query_id", "left_anti").select("query_id", "node_id").join(inc, "node_id")
+        edge = met.select("query_id", F.lit(d).alias("hop"), "edge_id").distinct()
+        met_all = edge if met_all is None else met_all.unionByName(edge)
+        step = met.select("query_id", F.col("other_id").alias("node_id")).distinct()
+        frontier = step.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("hop", F.lit(d))
+        frontier = kept(frontier, "graph-frontier")
+        seen = seen.unionByName(frontier)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "edge_id"))
+    return seen, met_all.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "hop", "edge_id")
+
+
+def first_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The whole graph's view: the first `limit` nodes by id, and the edges between them."""
+    kept = nodes.orderBy("node_id").limit(limit)
+    return kept, induced(kept, edges)
+
+
+def document_graph(docs: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each docs(doc_id): up to `limit` nodes that name it among their source documents, or of a document
+    without such nodes those of its document_id property, and up to twice as many edges between them."""
+    by_list = nodes.select("node_id", F.explode("source_doc_ids").alias("doc_id")).join(docs, "doc_id", "left_semi").distinct()
+    rest = docs.join(by_list, "doc_id", "left_anti")
+    by_property = nodes.select("node_id", F.expr("try_cast(properties['document_id'] AS BIGINT)").alias("doc_id")).join(rest, "doc_id", "left_semi").distinct()
+    found = by_list.unionByName(by_property)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id"))
+    kept = found.withColumn("place", place).where(F.col("place") <= limit).select("doc_id", "node_id")
+    ends = kept.select("doc_id", F.col("node_id").alias("source"))
+    inner = edges.join(ends, "source").join(kept.select("doc_id", F.col("node_id").alias("target")), ["doc_id", "target"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("edge_id"))
+    return kept, inner.withColumn("place", place).where(F.col("place") <= 2 * limit).select("doc_id", "edge_id", "source", "target", "relation")
+
+
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges both of whose endpoints are among nodes(node_id)."""
     a, b = nodes.select(F.col("node_id").alias("source")), nodes.select(F.col("node_id").alias("target"))
@@ -142,17 +214,44 @@ def path_text(found: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame
     return out
 
 
+#: Characters of the pieces that names are indexed by, longest first.
+GRAMS = (3, 2)
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All pieces of `size` characters of a text; none of a shorter one."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def named_like(terms: DataFrame, nodes: DataFrame, literal: bool = False) -> DataFrame:
+    """key, node_id: nodes whose name holds a term(key, lower-cased) as ILIKE does, `_` standing for any character; with
+    literal it doesn't.
+
+    Names are indexed by their pieces: a term meets only names with one of its own pieces and is then verified. Terms
+    without a whole piece (all of their pieces have a `_`, or they are single characters) are compared with all names.
+    """
+    plain = (lambda g: F.lit(True)) if literal else (lambda g: ~F.contains(g, F.lit("_")))
+    piece = F.coalesce(*(F.try_element_at(F.filter(_grams(F.col("key"), n), plain), F.lit(1)) for n in GRAMS))
+    asked = terms.select("key", piece.alias("piece"))
+    low = F.lower(F.col("name"))
+    pieces = F.array_distinct(F.concat(*(_grams(low, n) for n in GRAMS)))
+    holds = F.contains(F.lower("name"), F.col("key")) if literal else F.expr("name ILIKE concat('%', key, '%')")
+    wanted = asked.where("piece is not null")
+    spread_out = nodes.select("node_id", "name", F.explode(pieces).alias("piece")).join(wanted, "piece").where(holds)
+    rest = nodes.select("node_id", "name").join(asked.where("piece is null").select("key"), holds)
+    return spread_out.select("key", "node_id").unionByName(rest.select("key", "node_id"))
+
+
 def entity_search(queries: DataFrame, nodes: DataFrame, limit: int = 8, most_terms: int = 8, literal: bool = False) -> DataFrame:
     """query_id, rank, node_id: nodes whose name holds one of a query's first distinct terms, case folded.
 
     The terms are LIKE patterns, so `_` stands for any character; with literal it doesn't.
     """
     terms = F.slice(F.array_distinct(all_of(F.col("text"), "[A-Za-z_][A-Za-z0-9_]{2,}|[一-龥]{2,6}")), 1, most_terms)
-    asked = queries.select("query_id", F.explode(terms).alias("term"))
-    distinct = asked.select(F.lower("term").alias("key")).distinct()
-    match = F.contains(F.lower("name"), F.col("key")) if literal else F.expr("name ILIKE concat('%', key, '%')")
-    met = nodes.select("node_id", "name").join(distinct, match)
-    found = asked.withColumn("key", F.lower("term")).join(met.select("node_id", "key"), "key").select("query_id", "node_id").distinct()
+    asked = queries.select("query_id", F.explode(terms).alias("term")).select("query_id", F.lower("term").alias("key")).distinct()
+    met = named_like(asked.select("key").distinct(), nodes, literal)
+    found = asked.join(met, "key").select("query_id", "node_id").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "node_id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
+from evidence_engine.operators import graph
 from evidence_engine.operators import routing as r
 
 # Words of the gates.
@@ -149,14 +150,16 @@ def target_types(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(tx.contains_any(text, words), kind) for words, kind in TARGETS)))
 
 
-def resolve_seeds(queries: DataFrame, nodes: DataFrame, names_most: int = 8, per_name: int = 5, limit: int = 8) -> DataFrame:
-    """query_id, place, node_id: nodes of queries(query_id, names) by name, the most confident of each, in the names'
-    order, each once."""
-    asked = queries.select("query_id", F.posexplode(F.slice("names", 1, names_most)).alias("k", "name")).withColumn("key", F.lower("name"))
-    met = nodes.select("node_id", F.col("name").alias("title"), "confidence").join(asked.select("key").distinct(), F.expr("title ILIKE concat('%', key, '%')"))
+def resolve_seeds(queries: DataFrame, nodes: DataFrame, names_most: int = 8, per_name: int = 5, limit: int = 8, given: DataFrame | None = None) -> DataFrame:
+    """query_id, place, node_id: the given nodes (query_id, place, node_id) first, then those of queries(query_id, names) by
+    name, the most confident of each, in the names' order, each once."""
+    asked = queries.select("query_id", F.posexplode(F.slice("names", 1, names_most)).alias("k", "name")).withColumn("key", F.lower(tx.strip(F.col("name")))).where("key <> ''")
+    met = graph.named_like(asked.select("key").distinct(), nodes).join(nodes.select("node_id", "confidence"), "node_id")
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("confidence"), "node_id"))
     top = met.withColumn("n", best).where(F.col("n") <= per_name).select("key", "node_id", "n")
-    rows = asked.join(top, "key")
+    rows = asked.join(top, "key").select("query_id", "node_id", "k", "n")
+    if given is not None:
+        rows = rows.unionByName(given.select("query_id", "node_id", F.lit(-1).alias("k"), F.col("place").cast("int").alias("n")))
     first = F.row_number().over(Window.partitionBy("query_id", "node_id").orderBy("k", "n"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("k", "n"))
     return rows.withColumn("f", first).where("f = 1").withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "node_id")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +15,9 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import scaled
 
-#: Queries that meet a row of vectors at once.
-QUERY_BLOCK = 256
+#: Bytes of query vectors that travel to the tasks at once, and vectors that meet them at once.
+PASS_BYTES, TILE = 16 << 20, 1024
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,22 +28,72 @@ def with_norm(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
 
 
+def _units(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of the rows that have a direction, one pair for each length of vector."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0), dtype=np.int64)
+    flat = np.asarray(pc.fill_null(vectors.flatten().cast(pa.float64()), np.nan), dtype=np.float64)
+    starts = np.cumsum(lengths) - lengths
+    values = np.asarray(pc.fill_null(ids, 0), dtype=np.int64)
+    known = np.asarray(pc.is_valid(ids))
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero((lengths == dim) & known)
+        mat = flat[starts[rows][:, None] + np.arange(dim)]
+        norm = np.sqrt((mat * mat).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        if good.any():
+            yield values[rows[good]], mat[good] / norm[good, None]
+
+
+def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    keep = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)])) < top_k
+    return query[keep], vec[keep], score[keep]
+
+
+def _meet(sent: Broadcast, top_k: int):
+    """Each task's top_k of each query over the vectors that stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            for ids, mat in _units(batch.column(0), batch.column(1)):
+                for q_ids, q_mat in sent.value:
+                    if q_mat.shape[1] != mat.shape[1]:
+                        continue
+                    for s in range(0, len(ids), TILE):
+                        cosine = mat[s : s + TILE] @ q_mat.T
+                        score = np.floor(np.maximum(0.0, 1 - (1 - cosine) / 2) * 1e6 + 0.5).astype(np.int64)
+                        # Only what may be among a query's best goes on.
+                        least = np.partition(score, -top_k, axis=0)[-top_k] if len(score) > top_k else np.full(len(q_ids), -1)
+                        row, col = np.nonzero(score >= least)
+                        held = _best(*(np.concatenate(x) for x in zip(held, (q_ids[col], ids[s + row], score[row, col]), strict=True)), top_k)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def knn(queries: DataFrame, vectors: DataFrame, top_k: int = 10, where: Column | None = None) -> DataFrame:
     """query_id, rank, vec_id, score (millionths of max(0, 1 - d/2), d the cosine distance) of the nearest vectors.
 
-    queries(query_id, embedding) are a stated set: they lie in blocks of arrays, each block meets all vectors that pass
-    the filter, and only the window's local bests are shuffled.
+    queries(query_id, embedding) are a stated set: they go to the tasks in passes of about PASS_BYTES, drawn by a hash of
+    their ids, and the vectors that pass the filter stream past them; only each task's bests are shuffled. Vectors
+    without a direction, and those of another length than the query's, take no part.
     """
-    pool = vectors if where is None else vectors.where(where)
-    q = with_norm(queries.select("query_id", "embedding"))
-    blocks = q.groupBy(F.floor(F.col("query_id") / QUERY_BLOCK).alias("block")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))).alias("queries"))
-    ids = blocks.agg(F.collect_set("block").alias("blocks"), F.lit(1).alias("one"))
-    rows = with_norm(pool.select("vec_id", "embedding")).withColumn("one", F.lit(1)).join(F.broadcast(ids), "one").select("vec_id", "embedding", "norm", F.explode("blocks").alias("block"))
-    met = rows.join(blocks, "block").select("vec_id", "embedding", "norm", F.explode("queries").alias("q")).select("vec_id", "q.query_id", "embedding", "norm", "q.q", "q.q_norm")
-    cosine = dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm"))
-    scored = met.where("norm > 0 and q_norm > 0").select("query_id", "vec_id", scaled(F.greatest(F.lit(0.0), 1 - (1 - cosine) / 2)).alias("score"))
+    context = queries.sparkSession.sparkContext
+    asked = queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null")
+    pool = (vectors if where is None else vectors.where(where)).select(F.col("vec_id").cast("long"), "embedding")
+    size = asked.agg(F.sum(16 + 8 * F.size("embedding"))).first()[0] or 0
+    passes = max(1, -(-size // PASS_BYTES))
+    found = None
+    for k in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).toArrow().combine_chunks()
+        units = list(_units(rows.column(0).combine_chunks(), rows.column(1).combine_chunks())) if rows.num_rows else []
+        part = pool.mapInArrow(_meet(context.broadcast(units), top_k), _FOUND)
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "vec_id", "score")
 
 
 def knn_with_fallback(queries: DataFrame, vectors: DataFrame, top_k: int, where: Column) -> DataFrame:
@@ -46,6 +103,29 @@ def knn_with_fallback(queries: DataFrame, vectors: DataFrame, top_k: int, where:
     return first.withColumn("filtered", F.lit(True)).unionByName(knn(rest, vectors, top_k).withColumn("filtered", F.lit(False)))
 
 
+def knn_by_group(queries: DataFrame, vectors: DataFrame, top_k: int, group: str) -> DataFrame:
+    """knn among the vectors of the query's own group, and a query whose group holds none asks all; filtered tells which.
+
+    queries(query_id, embedding, <group>) join their group's vectors, so only pairs within a group meet.
+    """
+    pairs = with_norm(queries).select("query_id", F.col(group).alias("g"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
+    pool = with_norm(vectors.select("vec_id", "embedding", F.col(group).alias("g")))
+    met = pairs.join(pool, "g").where("norm > 0 and qn > 0")
+    cosine = dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = met.select("query_id", "vec_id", scaled(F.greatest(F.lit(0.0), 1 - (1 - cosine) / 2)).alias("score")).withColumn("rank", rank)
+    near = near.where(F.col("rank") <= top_k).select("query_id", "rank", "vec_id", "score")
+    rest = queries.join(near.select("query_id").distinct(), "query_id", "left_anti")
+    return near.withColumn("filtered", F.lit(True)).unionByName(knn(rest, vectors, top_k).withColumn("filtered", F.lit(False)))
+
+
+def upsert(stored: DataFrame, fresh: DataFrame, key: str = "vec_id") -> DataFrame:
+    """stored with fresh rows put in by key: a row of the same key is replaced, of fresh ones with one key the last (by
+    seq) stays."""
+    last = fresh.groupBy(key).agg(F.max_by(F.struct(*(c for c in fresh.columns if c not in (key, "seq"))), "seq").alias("row")).select(key, "row.*")
+    return stored.join(last.select(key), key, "left_anti").unionByName(last.select(*stored.columns))
+
+
 def knn_lsh(queries: DataFrame, vectors: DataFrame, top_k: int = 10, length: float = 0.6, tables: int = 6, reach: float = 1.2) -> DataFrame:
     """Approximate neighbours: random-projection buckets over unit vectors, then exact distances within `reach`."""
     unit = lambda df, key: with_norm(df).where("norm > 0").select(key, array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))).alias("v"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import scaled
-from evidence_engine.operators import graph
+from evidence_engine.operators import graph, papergraph
+from evidence_engine.sources.literals import values_sql
 from evidence_engine.sources.tables import graph_edges, graph_nodes, read, with_ctes
 
-#: Seeds of the queries: suppliers 1 to 8 each ask for their own surroundings.
-SEEDS = "node_id BETWEEN 2000001 AND 2000008"
-_SEED_SQL = "seeds AS (SELECT node_id AS query_id, node_id FROM g_nodes WHERE node_id BETWEEN 2000001 AND 2000008)"
+#: Seeds of the queries: every supplier asks for its own surroundings.
+SEEDS = "type = 'supplier'"
+_SEED_SQL = "seeds AS (SELECT node_id AS query_id, node_id FROM g_nodes WHERE type = 'supplier')"
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +127,7 @@ _ASKED_SQL = "asked AS (SELECT * FROM (VALUES (2000001, 'widget supplies'), (200
 
 
 def graph_edge_rank(spark, sf):
-    mine = seeds(spark, sf)
+    mine = seeds(spark, sf).join(_asked(spark).select("query_id"), "query_id", "left_semi")
     edges = graph.incident(graph_edges(spark, sf).withColumn("s", F.col("source")).withColumn("t", F.col("target"))).join(mine, "node_id").drop("node_id", "other_id").withColumnsRenamed({"s": "source", "t": "target"})
     return graph.edge_rank(graph.hydrate(edges, graph_nodes(spark, sf)), _asked(spark))
 
@@ -140,6 +141,92 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, edge_id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN hit THEN 8 ELSE 10 END, confidence DESC, edge_id) AS rank FROM named) WHERE rank <= 8""")
 
 
+def graph_neighbourhood(spark, sf):
+    """How far each supplier's view of 100 nodes reaches, and its edges."""
+    nodes, edges = graph.neighbourhood(seeds(spark, sf), graph_edges(spark, sf), depth=2, limit=100)
+    a = nodes.groupBy("query_id").agg(F.count("*").alias("nodes"), F.max("hop").alias("hops"))
+    return a.join(edges.groupBy("query_id").agg(F.count("*").alias("edges"), F.sum("edge_id").alias("edge_sum")), "query_id")
+
+
+NEIGHBOURHOOD = with_ctes("g_nodes g_edges incident", f""", {_SEED_SQL},
+m1 AS (SELECT DISTINCT query_id, edge_id, other_id FROM seeds JOIN incident USING (node_id)), h1 AS (SELECT DISTINCT query_id, other_id AS node_id FROM m1 WHERE other_id <> query_id),
+enough AS (SELECT query_id, count(*) + 1 AS n FROM h1 GROUP BY query_id),
+m2 AS (SELECT DISTINCT query_id, edge_id, other_id FROM h1 JOIN enough USING (query_id) JOIN incident USING (node_id) WHERE n < 100),
+h2 AS (SELECT DISTINCT query_id, other_id AS node_id FROM m2 WHERE other_id <> query_id AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.query_id = m2.query_id AND h1.node_id = m2.other_id)),
+nn AS (SELECT query_id, count(*) AS nodes, max(hop) AS hops FROM (SELECT query_id, 0 AS hop FROM seeds UNION ALL SELECT query_id, 1 FROM h1 UNION ALL SELECT query_id, 2 FROM h2) GROUP BY query_id),
+ee AS (SELECT query_id, edge_id, row_number() OVER (PARTITION BY query_id ORDER BY hop, edge_id) AS place FROM (SELECT DISTINCT query_id, 1 AS hop, edge_id FROM m1 UNION ALL SELECT DISTINCT query_id, 2, edge_id FROM m2))
+SELECT nn.query_id, nodes, CAST(hops AS INTEGER) AS hops, count(*) AS edges, CAST(sum(edge_id) AS BIGINT) AS edge_sum FROM nn JOIN ee ON ee.query_id = nn.query_id AND place <= 100 GROUP BY ALL""")
+
+
+def graph_first_nodes(spark, sf):
+    return graph.first_nodes(graph_nodes(spark, sf), graph_edges(spark, sf), 40)[1].select("edge_id", "source", "target", "relation")
+
+
+FIRST_NODES = with_ctes("g_nodes g_edges", """, k AS (SELECT node_id FROM g_nodes ORDER BY node_id LIMIT 40)
+SELECT edge_id, source, target, relation FROM g_edges WHERE source IN (SELECT node_id FROM k) AND target IN (SELECT node_id FROM k)""")
+
+#: A small graph of two papers of our own: id, name, type, document, source documents; and edges.
+PAPER_NODES = [
+    (1, "Sparse Net", "paper", 10, [10]), (2, "Intro", "section", 10, [10]), (3, "Method", "section", 10, [10]), (4, "SparseAttn", "method", 10, [10, 11]), (5, "WMT14", "dataset", None, []), (6, "BLEU", "metric", None, []),
+    (7, "Dense Net", "paper", 11, []), (8, "DenseAttn", "method", 11, []), (9, "a chunk", "chunk", 10, [10]), (10, "table 1", "table", 10, [10]), (11, "Ada", "entity", None, [12]), (12, "Vaswani 2017", "reference", 10, [10]), (13, "Charles", "entity", None, [12]),
+]
+PAPER_EDGES = [
+    (1, 1, 2, "PAPER_HAS_SECTION", 0.9), (2, 1, 3, "PAPER_HAS_SECTION", 0.85), (3, 3, 9, "SECTION_HAS_CHUNK", 0.8), (4, 1, 4, "PAPER_HAS_METHOD", 0.9), (5, 4, 5, "METHOD_EVALUATED_ON_DATASET", 0.7), (6, 4, 6, "METHOD_REPORTED_METRIC", 0.75),
+    (7, 7, 8, "PAPER_HAS_METHOD", 0.9), (8, 8, 5, "METHOD_EVALUATED_ON_DATASET", 0.6), (9, 1, 7, "PAPER_CITES_PAPER", 0.5), (10, 3, 10, "SECTION_HAS_TABLE", 0.8), (11, 11, 1, "WROTE", 0.95), (12, 1, 12, "PAPER_CITES_PAPER", 0.4), (13, 11, 13, "KNOWS", 0.2),
+]
+#: query_id, text, method, depth, seeds.
+PAPER_QUERIES = [
+    (1, "which dataset is SparseAttn tested on", "path", 2, [4]), (2, "sparse 方法 结构", "ego", 1, [1]), (3, "dense metric", "subgraph", 2, [8]), (4, "Ada knows whom", "subgraph", 1, [13]), (5, "paper of Ada", "path", 2, [11, 7]),
+    (6, "any paper here", "path", 3, [9]), (7, "Charles", "path", 3, [13, 11]), (8, "section", "none", 1, [1]), (9, "章节", "subgraph", 3, [11]), (10, "Charles alone", "ego", 1, [13]),
+]
+
+
+def _paper_graph(spark):
+    doc = F.when(F.col("doc").isNotNull(), F.create_map(F.lit("document_id"), F.col("doc").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = spark.createDataFrame(PAPER_NODES, "node_id long, name string, type string, doc long, source_doc_ids array<bigint>").withColumn("properties", doc)
+    return nodes, spark.createDataFrame(PAPER_EDGES, "edge_id long, source long, target long, relation string, confidence double")
+
+
+def _paper_queries(spark):
+    rows = spark.createDataFrame(PAPER_QUERIES, "query_id long, text string, graph_method string, graph_depth int, seeds array<bigint>")
+    return rows.drop("seeds"), rows.select("query_id", F.posexplode("seeds").alias("k", "node_id")).select("query_id", (F.col("k") + 1).alias("place"), "node_id")
+
+
+def paper_graph_search(spark, sf):
+    """Ten literal searches over a small graph of papers, one of each kind."""
+    nodes, edges = _paper_graph(spark)
+    found = papergraph.search(*_paper_queries(spark), nodes, edges, limit=4)
+    return found.select("query_id", "place", "result_type", "hit_id")
+
+
+def paper_document_graph(spark, sf):
+    """Nodes and edges of each literal document: by its list of source documents, else by property; one has none."""
+    nodes, edges = _paper_graph(spark)
+    docs = spark.createDataFrame([(10,), (11,), (12,), (99,)], "doc_id long")
+    kept, inner = graph.document_graph(docs, nodes, edges)
+    a = kept.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("nodes"))
+    return a.join(inner.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("edge_id")), ",").alias("edges")), "doc_id", "left").na.fill("")
+
+
+DOCUMENT_GRAPH = "SELECT * FROM (VALUES (10::BIGINT, '1,2,3,4,9,10,12', '1,2,3,4,10,12'), (11, '4', ''), (12, '11,13', '13')) t(doc_id, nodes, edges)"
+
+
+def paper_seed_expansion(spark, sf):
+    nodes, _ = _paper_graph(spark)
+    return papergraph.expand_seeds(_paper_queries(spark)[1], nodes)
+
+
+SEED_EXPANSION = "SELECT CAST(query_id AS BIGINT) AS query_id, CAST(place AS INTEGER) AS place, CAST(node_id AS BIGINT) AS node_id FROM (VALUES (1, 1, 1), (1, 2, 4), (2, 1, 1), (3, 1, 7), (3, 2, 8), (4, 1, 13), (5, 1, 11), (5, 2, 7), (6, 1, 1), (6, 2, 9), (7, 1, 13), (7, 2, 11), (8, 1, 1), (9, 1, 11), (10, 1, 13)) t(query_id, place, node_id)"
+
+
+def paper_query_test(spark, sf):
+    nodes, _ = _paper_graph(spark)
+    return papergraph.is_paper_query(*_paper_queries(spark), nodes)
+
+
+PAPER_QUERY = "SELECT CAST(query_id AS BIGINT) AS query_id, query_id NOT IN (4, 7, 10) AS paper FROM range(1, 11) t(query_id)"
+
+
 def entity_search(spark, sf):
     return graph.entity_search(_asked(spark), graph_nodes(spark, sf))
 
@@ -239,10 +326,15 @@ SELECT relation, count(*) AS n, CAST(sum(source) AS BIGINT) AS sources FROM g_ed
 WHERE source NOT IN (SELECT node_id FROM gone) AND target NOT IN (SELECT node_id FROM gone) GROUP BY relation""")
 
 
-QUERIES = {f.__name__: f for f in (graph_ego, graph_khop, graph_subgraph_2hop, graph_path_3, graph_path_text, graph_induced, graph_degree, graph_edge_hydrate, graph_edge_rank, graph_visual, entity_search, nodes_list_page, nodes_count, edges_list_named, docs_search_page, nodes_upsert_merge, edges_upsert_unique, nodes_new_anti_join, delete_cascade)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        graph_ego, graph_khop, graph_subgraph_2hop, graph_path_3, graph_path_text, graph_induced, graph_degree, graph_edge_hydrate, graph_edge_rank, graph_visual, graph_neighbourhood, graph_first_nodes, entity_search,
+        paper_graph_search, paper_document_graph, paper_seed_expansion, paper_query_test, nodes_list_page, nodes_count, edges_list_named, docs_search_page, nodes_upsert_merge, edges_upsert_unique, nodes_new_anti_join, delete_cascade,
+    )
+}
 ORACLES = {
-    "graph_ego": EGO, "graph_khop": KHOP, "graph_subgraph_2hop": SUBGRAPH, "graph_path_3": PATHS, "graph_path_text": PATH_TEXT, "graph_induced": INDUCED,
-    "graph_degree": DEGREE, "graph_edge_hydrate": HYDRATE, "graph_edge_rank": EDGE_RANK, "graph_visual": VISUAL, "entity_search": ENTITY, "nodes_list_page": NODES_PAGE,
-    "nodes_count": NODES_COUNT, "edges_list_named": EDGES_NAMED, "docs_search_page": DOCS_PAGE, "nodes_upsert_merge": UPSERT, "edges_upsert_unique": EDGES_UPSERT,
-    "nodes_new_anti_join": NEW_NODES, "delete_cascade": DELETE,
+    "graph_ego": EGO, "graph_khop": KHOP, "graph_subgraph_2hop": SUBGRAPH, "graph_path_3": PATHS, "graph_path_text": PATH_TEXT, "graph_induced": INDUCED, "graph_degree": DEGREE, "graph_edge_hydrate": HYDRATE, "graph_edge_rank": EDGE_RANK,
+    "graph_visual": VISUAL, "graph_neighbourhood": NEIGHBOURHOOD, "graph_first_nodes": FIRST_NODES, "entity_search": ENTITY, "paper_document_graph": DOCUMENT_GRAPH, "paper_seed_expansion": SEED_EXPANSION, "paper_query_test": PAPER_QUERY,
+    "nodes_list_page": NODES_PAGE, "nodes_count": NODES_COUNT, "edges_list_named": EDGES_NAMED, "docs_search_page": DOCS_PAGE, "nodes_upsert_merge": UPSERT, "edges_upsert_unique": EDGES_UPSERT, "nodes_new_anti_join": NEW_NODES, "delete_cascade": DELETE,
 }

@@ -1,13 +1,16 @@
-"""Chunking, lexical and vector search, and fusion queries with their DuckDB twins."""
+"""Chunking, lexical and vector search queries with their DuckDB twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
-from evidence_engine.operators import fusion, lexical, vector
-from evidence_engine.operators.routing import rule_plan
-from evidence_engine.plans.routing import RULE_PLAN_SQL
+from evidence_engine.operators import lexical, vector
+from evidence_engine.operators.embedding import DIM, TEMPLATE_SOURCE, TEMPLATES, embed, seed_templates, similar_templates, template_text, templates
+from evidence_engine.operators.hybrid import hydrate_vector_hits
+from evidence_engine.sources import literals
+from evidence_engine.sources.literals import values_sql
+from evidence_engine.sources.scratch import scratch_path
 from evidence_engine.sources.tables import chunks, query_set, read, with_ctes
 
 TOKENS = r"list_concat(list_concat(regexp_extract_all(lower({0}), '[a-z][a-z0-9_]*'), regexp_extract_all({0}, '[一-龥]{{2,6}}')), regexp_extract_all({0}, '[0-9]+'))"
@@ -53,10 +56,12 @@ def keywords_extract(spark, sf):
     return query_set(spark, sf).select("query_id", F.array_join(tx.query_terms(F.col("text")), " ").alias("keywords"))
 
 
-KEYWORDS = with_ctes("qset", """, t AS (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}|[A-Z]{2,}|[一-龥]{2,6}') AS ts FROM qset),
-p AS (SELECT query_id, term, min(i) AS i FROM (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM t) GROUP BY query_id, term),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS k FROM p)
-SELECT qset.query_id, coalesce(string_agg(term, ' ' ORDER BY i), '') AS keywords FROM qset LEFT JOIN r ON r.query_id = qset.query_id AND k <= 10 GROUP BY qset.query_id""")
+#: kw(query_id, text): the keywords of each query, joined.
+_KW = """, kt AS (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}|[A-Z]{2,}|[一-龥]{2,6}') AS ts FROM qset),
+kp AS (SELECT query_id, term, min(i) AS i FROM (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM kt) GROUP BY query_id, term),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS k FROM kp),
+kw AS (SELECT q.query_id, coalesce(string_agg(term, ' ' ORDER BY i), '') AS text FROM qset q LEFT JOIN kr ON kr.query_id = q.query_id AND k <= 10 GROUP BY q.query_id)"""
+KEYWORDS = with_ctes("qset", _KW + " SELECT query_id, text AS keywords FROM kw")
 
 
 def word_freq_entities(spark, sf):
@@ -96,40 +101,46 @@ _TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (SE
 BM25 = with_ctes("chunks qset", _BM25 % "qset" + _TOP.format("s"))
 
 
-def _short(spark, sf):
-    return query_set(spark, sf).select("query_id", F.substring("text", 1, 20).alias("text"))
-
-
 def bm25_strict_match(spark, sf):
-    return lexical.bm25(_short(spark, sf), chunks(spark, sf), partial=False)
+    return lexical.bm25(query_set(spark, sf), chunks(spark, sf), partial=False)
 
 
-BM25_STRICT = with_ctes("chunks qset", ", short AS (SELECT query_id, substring(text, 1, 20) AS text FROM qset)" + _BM25 % "short" + ", need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id), ok AS (SELECT s.* FROM s JOIN need USING (query_id) WHERE matched >= need)" + _TOP.format("ok"))
+BM25_STRICT = with_ctes("chunks qset", _BM25 % "qset" + """, need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
+ok AS (SELECT s.* FROM s JOIN need USING (query_id) WHERE matched >= need)""" + _TOP.format("ok"))
 
 
 def bm25_multi_query(spark, sf):
+    """Each query in two variants: its text, and its keywords."""
     q = query_set(spark, sf)
-    variants = q.select("query_id", F.lit(0).alias("variant"), "text").unionByName(q.select("query_id", F.lit(1).alias("variant"), F.substring("text", 20, 30).alias("text")))
+    variants = q.select("query_id", F.lit(0).alias("variant"), "text")
+    variants = variants.unionByName(q.select("query_id", F.lit(1).alias("variant"), F.array_join(tx.query_terms(F.col("text")), " ").alias("text")))
     return lexical.multi_query(variants, chunks(spark, sf))
 
 
-BM25_MULTI = with_ctes("chunks qset", ", v AS (SELECT query_id * 100 AS query_id, text FROM qset UNION ALL SELECT query_id * 100 + 1, substring(text, 20, 30) FROM qset)" + _BM25 % "v" + """,
+BM25_MULTI = with_ctes("chunks qset", _KW + ", v AS (SELECT query_id * 100 AS query_id, text FROM qset UNION ALL SELECT query_id * 100 + 1, text FROM kw)" + _BM25 % "v" + """,
 r AS (SELECT query_id // 100 AS query_id, query_id % 100 AS variant, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY variant, rank) AS k FROM r) WHERE k = 1)
 SELECT query_id, CAST(place AS INTEGER) AS place, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank) AS place FROM once) WHERE place <= 8""")
 
 
+def bm25_from_index(spark, sf):
+    """bm25_topk over an index that is written first and read back by the queries' terms."""
+    at = scratch_path(spark, "bm25-index")
+    lexical.write_postings(chunks(spark, sf), at, buckets=16)
+    return lexical.bm25_over(query_set(spark, sf), at)
+
+
 # Vectors
 
 
 def _vectors(spark, sf):
     v = read(spark, sf, "embeddings")
-    return v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v
 
 
 _COS = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
 _KNN = f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, CAST(floor(greatest(0, 1 - (1 - {_COS.format('q.embedding', 'v.embedding')}) / 2) * 1e6 + 0.5) AS BIGINT) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id % 25 = 0)"""
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"""
 _KNN_TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s{0}) WHERE rank <= 10"
 
 
@@ -142,10 +153,38 @@ def knn_filtered(spark, sf):
 
 
 def knn_fallback(spark, sf):
+    """Each query asks among the vectors of the label after its own; of the last label there is none, so it asks all."""
+    q, v = _vectors(spark, sf)
+    own = v.select(F.col("vec_id").alias("query_id"), (F.col("label") + 1).alias("label"))
+    return vector.knn_by_group(q.join(own, "query_id"), v, 10, "label")
+
+
+KNN_FALLBACK = f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label = q.label + 1 AS own, CAST(floor(greatest(0, 1 - (1 - {_COS.format('q.embedding', 'v.embedding')}) / 2) * 1e6 + 0.5) AS BIGINT) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, count(*) FILTER (WHERE own) OVER (PARTITION BY query_id) > 0 AS filtered FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r WHERE own OR NOT filtered)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score, filtered FROM k WHERE rank <= 10"""
+
+
+def knn_filter_of_none(spark, sf):
+    """A filter that nothing passes: every query is asked again without it."""
     q, v = _vectors(spark, sf)
     return vector.knn_with_fallback(q, v, 10, F.col("label") == -1)
 
 
+def vectors_upsert(spark, sf):
+    """Two loads of vectors: the second replaces every third of the first, its later row of one id winning, and adds some."""
+    v = read(spark, sf, "embeddings")
+    first = v.select("vec_id", F.col("label").alias("label"))
+    again = v.where("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(1).alias("seq"))
+    again = again.unionByName(v.where("vec_id % 6 = 0").select("vec_id", (F.col("label") + 200).alias("label"), F.lit(2).alias("seq")))
+    return vector.upsert(first, again.unionByName(v.where("vec_id < 5").select(F.col("vec_id") + 10_000_000, "label", F.lit(1).alias("seq")).toDF("vec_id", "label", "seq")))
+
+
+VECTORS_UPSERT = """SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN label + 200 WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings
+UNION ALL SELECT vec_id + 10000000, label FROM embeddings WHERE vec_id < 5"""
+
+
 def knn_score(spark, sf):
     near = vector.knn(*_vectors(spark, sf), top_k=1)
     return near.groupBy((F.col("score") >= 999_999).alias("itself")).agg(F.count("*").alias("n"))
@@ -172,77 +211,98 @@ t AS (SELECT query_id, vec_id, CAST(floor((1 / (1 + 2 * (1 - score / 1e6)) + lab
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, vec_id) AS rank FROM t) WHERE rank <= 6"""
 
 
-# Fusion
+# Embedding
 
 
-def hybrid_inputs(spark, sf):
-    """Plans of the query set and the four routes' hits (query_id, route, rank, hit_key, title, content, source, kind)."""
-    q = query_set(spark, sf)
-    docs = chunks(spark, sf)
-    plans = rule_plan(q)
-    hit = docs.select("chunk_id", F.col("source").alias("title"), "content", "source")
-    lex = lexical.bm25(q, docs, 8).join(hit, "chunk_id").select("query_id", F.lit("bm25").alias("route"), "rank", F.concat(F.lit("chunk:"), "chunk_id").alias("hit_key"), "title", "content", "source", F.lit("chunk").alias("result_type"))
-    # A stand-in for embeddings of texts: each query's own vector by id.
-    vec = read(spark, sf, "embeddings")
-    near = vector.knn(vec.select(F.col("vec_id").alias("query_id"), "embedding").join(q.select("query_id"), "query_id", "left_semi"), vec, 8)
-    sem = near.join(hit.withColumn("vec_id", F.floor(F.col("chunk_id") / 100_000)).where("chunk_id % 100000 = 0"), "vec_id").select("query_id", F.lit("vector").alias("route"), "rank", F.concat(F.lit("chunk:"), "chunk_id").alias("hit_key"), "title", "content", "source", F.lit("chunk").alias("result_type"))
-    return q, plans, lex.unionByName(sem)
-
-
-def hybrid_search(spark, sf):
-    q, plans, hits = hybrid_inputs(spark, sf)
-    return fusion.fuse(plans, q, hits, top_k=8)
-
-
-_HITS = f""", vs AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(floor(greatest(0, 1 - (1 - {_COS.format('q.embedding', 'v.embedding')}) / 2) * 1e6 + 0.5) AS BIGINT) AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT query_id FROM qset)),
-hits AS (
-  SELECT query_id, 0 AS route_no, 'bm25' AS route, rank, 'chunk:' || chunk_id AS hit_key, c.source AS title, content, c.source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) JOIN chunks c USING (chunk_id) WHERE rank <= 8
-  UNION ALL
-  SELECT query_id, 1, 'vector', rank, 'chunk:' || chunk_id, c.source, content, c.source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs) JOIN chunks c ON c.chunk_id = vec_id * 100000 WHERE rank <= 8)"""
-_FUSE = _HITS + RULE_PLAN_SQL + r""",
-wt AS (SELECT *, regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]{3,}|[A-Z]{2,}|[一-龥]{2,6}') AS exact_terms,
-    intent IN ('relation', 'path', 'subgraph') OR graph_method IN ('path', 'subgraph') AS is_rel,
-    intent IN ('explain', 'semantic', 'global_summary', 'optimize') OR regexp_matches(text, '为什么|如何|怎么|原理|机制|优势|区别|作用|适合') AS is_sem FROM plans),
-w2 AS (SELECT *, CASE WHEN is_rel THEN 0.9 WHEN is_sem THEN 0.85 WHEN intent IN ('fact', 'exact') OR exact_terms THEN 1.55 ELSE 1.0 END::DOUBLE + CASE WHEN exact_terms THEN 0.25 ELSE 0 END::DOUBLE AS w_bm25,
-    CASE WHEN is_rel THEN 0.9 WHEN is_sem THEN 1.55 WHEN intent IN ('fact', 'exact') OR exact_terms THEN 0.95 ELSE 1.0 END::DOUBLE AS w_vector FROM wt),
-kw AS (SELECT query_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}|[A-Z]{2,}|[一-龥]{2,6}'), lambda x: x) AS ks FROM qset),
-kd AS (SELECT query_id, list(lower(term) ORDER BY i) AS ks FROM (SELECT query_id, term, i, row_number() OVER (PARTITION BY query_id ORDER BY i) AS k FROM (SELECT query_id, term, min(i) AS i FROM (SELECT query_id, unnest(ks) AS term, generate_subscripts(ks, 1) AS i FROM kw) GROUP BY query_id, term)) WHERE k <= 10 GROUP BY query_id),
-b AS (SELECT h.*, w2.w_bm25, w2.w_vector, len(list_filter(coalesce(ks, []), lambda x: contains(lower(title), x))) AS t_hits, len(list_filter(coalesce(ks, []), lambda x: contains(lower(title || chr(10) || content), x))) AS x_hits FROM hits h JOIN w2 USING (query_id) LEFT JOIN kd USING (query_id)),
-f AS (SELECT query_id, hit_key, sum(CASE route WHEN 'bm25' THEN w_bm25 ELSE w_vector END / (60 + rank) + least(0.012::DOUBLE, t_hits * 0.004::DOUBLE) + CASE WHEN route = 'bm25' THEN least(0.01::DOUBLE, x_hits * 0.002::DOUBLE) ELSE 0 END) AS total, min(route_no * 1000 + rank) AS first_seen, string_agg(route, ',' ORDER BY route_no) AS routes FROM b GROUP BY query_id, hit_key)"""
-HYBRID = with_ctes("chunks qset", _BM25 % "qset" + _FUSE + """
-SELECT query_id, CAST(rank AS INTEGER) AS rank, hit_key, CAST(floor(total * 1e6 + 0.5) AS BIGINT) AS score, routes FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(total * 1e6 + 0.5) DESC, first_seen) AS rank FROM f) WHERE rank <= 8""")
-
-
-def rrf_fuse(spark, sf):
-    """The same hits with all weights 1 and no boost."""
-    q, _, hits = hybrid_inputs(spark, sf)
-    return fusion.rrf(hits, top_k=8)
-
-
-RRF = with_ctes("chunks qset", _BM25 % "qset" + _HITS + """,
-f AS (SELECT query_id, hit_key, sum(1.0::DOUBLE / (60 + rank)) AS total, min(route_no * 1000 + rank) AS first_seen FROM hits GROUP BY query_id, hit_key)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, hit_key, CAST(floor(total * 1e6 + 0.5) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(total * 1e6 + 0.5) DESC, first_seen) AS rank FROM f) WHERE rank <= 8""")
-
-
-def context_text(spark, sf):
-    q, plans, hits = hybrid_inputs(spark, sf)
-    return fusion.context_text(q, plans, fusion.fuse(plans, q, hits, top_k=8), hits)
-
-
-CONTEXT = with_ctes("chunks qset", _BM25 % "qset" + _FUSE + r""",
-top AS (SELECT query_id, hit_key, row_number() OVER (PARTITION BY query_id ORDER BY floor(total * 1e6 + 0.5) DESC, first_seen) AS rank FROM f),
-lines AS (SELECT query_id, rank, '[' || rank || '] ' || any_value(title) || ': ' || substring(any_value(content), 1, 400) AS line FROM top JOIN hits USING (query_id, hit_key) WHERE top.rank <= 6 GROUP BY query_id, top.rank)
-SELECT plans.query_id, 'Query: ' || plans.text || chr(10) || 'Intent: ' || intent || chr(10) || 'Graph: ' || graph_method || coalesce(string_agg(chr(10) || line, '' ORDER BY rank), '') AS context
-FROM plans LEFT JOIN lines USING (query_id) GROUP BY plans.query_id, plans.text, intent, graph_method""").replace("SELECT query_id, rank, '[' || rank", "SELECT query_id, top.rank AS rank, '[' || top.rank")
-
-
-QUERIES = {f.__name__: f for f in (chunk_fixed_window, chunk_list_filter_page, chunk_type_counts, tokens_query, tokens_chunk, keywords_extract, word_freq_entities, bm25_stats, bm25_topk, bm25_strict_match, bm25_multi_query, knn_exact, knn_filtered, knn_fallback, knn_score, knn_lsh, memory_knn_rank, rrf_fuse, hybrid_search, context_text)}
+def embed_tokens(text: str, key: str, source: str, name: str) -> str:
+    """The hashing embedder as a common table expression name(key, slot, x): the non-zero places of each text's vector."""
+    return f"""{name}_t AS (SELECT {key}, unnest({TOKENS.format(text)}) AS term FROM {source}),
+{name}_m AS (SELECT term, CAST('0x' || substr(md5(term), 1, 2) AS INTEGER) % 64 AS slot, CASE WHEN substr(md5(term), 3, 1) < '8' THEN 1 ELSE -1 END AS sgn FROM (SELECT DISTINCT term FROM {name}_t)),
+{name} AS (SELECT * FROM (SELECT {key}, slot, sum(sgn)::DOUBLE AS x FROM {name}_t JOIN {name}_m USING (term) GROUP BY ALL) WHERE x <> 0)"""
+
+
+def embed_chunks(spark, sf):
+    """Of each chunk's vector: how many places are not zero, their sum, and the sum weighted by place."""
+    e = embed(chunks(spark, sf), "chunk_id", "content")
+    place = F.sequence(F.lit(0), F.lit(DIM - 1))
+    whole = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")).cast("bigint")
+    return e.select("chunk_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("places"), whole(F.col("embedding")).alias("total"), whole(F.zip_with("embedding", place, lambda x, k: x * k)).alias("weighted"))
+
+
+EMBED = with_ctes("chunks", f", {embed_tokens('content', 'chunk_id', 'chunks', 'e')}" + """
+SELECT chunk_id, CAST(count(slot) AS INTEGER) AS places, CAST(coalesce(sum(x), 0) AS BIGINT) AS total, CAST(coalesce(sum(x * slot), 0) AS BIGINT) AS weighted FROM chunks LEFT JOIN e USING (chunk_id) GROUP BY chunk_id""")
+
+
+def knn_texts(spark, sf):
+    """The chunks nearest to each query by the default embedder."""
+    return vector.knn(embed(query_set(spark, sf), "query_id"), embed(chunks(spark, sf), "chunk_id", "content").withColumnRenamed("chunk_id", "vec_id"))
+
+
+def nearest_sql(queries: str) -> str:
+    """vs(query_id, chunk_id, score) of all chunks for a table of queries, after the chunks."""
+    return f""", {embed_tokens('content', 'chunk_id', 'chunks', 'ce')}, {embed_tokens('text', 'query_id', queries, 'qe')},
+cn AS (SELECT chunk_id, sqrt(sum(x * x)) AS n FROM ce GROUP BY chunk_id), qn AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM qe GROUP BY query_id),
+vs AS (SELECT query_id, chunk_id, CAST(floor(greatest(0, 1 - (1 - coalesce(d, 0) / (qn.n * cn.n)) / 2) * 1e6 + 0.5) AS BIGINT) AS score FROM qn CROSS JOIN cn
+  LEFT JOIN (SELECT query_id, chunk_id, sum(qe.x * ce.x) AS d FROM qe JOIN ce USING (slot) GROUP BY ALL) USING (query_id, chunk_id))"""
+
+
+KNN_TEXTS = with_ctes("chunks qset", nearest_sql("qset") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id AS vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 10""")
+
+
+def template_seed(spark, sf):
+    """The built-in templates that are missing beside two stored ones, one of them under another source."""
+    stored = spark.createDataFrame([(TEMPLATE_SOURCE, TEMPLATES[0][0]), ("manual", TEMPLATES[1][0])], "source string, title string")
+    return seed_templates(spark, stored).select("title", "intent", F.get_json_object("content", "$.retrieval_plan.graph_method").alias("graph_method"))
+
+
+TEMPLATE_SEED = "SELECT * FROM (VALUES ('原理说明模板', 'explain', 'ego'), ('关系分析模板', 'relation', 'path'), ('路径推理模板', 'path', 'path'), ('子图梳理模板', 'subgraph', 'subgraph'), ('全局总结模板', 'global_summary', 'none'), ('对比分析模板', 'compare', 'path'), ('优化建议模板', 'optimize', 'subgraph')) t(title, intent, graph_method)"
+
+
+def _stored_templates(spark):
+    return templates(spark).join(spark.createDataFrame([(t[0], k) for k, t in enumerate(TEMPLATES)], "title string, template_id long"), "title")
+
+
+def template_knn(spark, sf):
+    """The templates nearest to literal questions."""
+    return similar_templates(literals.queries(spark).select(F.col("query_id").cast("long"), "text"), _stored_templates(spark))
+
+
+_T = values_sql([(k, t[0], t[1], template_text(*t)) for k, t in enumerate(TEMPLATES)], "chunk_id, title, intent, content")
+TEMPLATE_KNN = f"""WITH chunks AS {_T}, asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM {values_sql(literals.QUERIES, "query_id, text")})""" + nearest_sql("asked") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, title, intent, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) JOIN chunks USING (chunk_id) WHERE rank <= 3"""
+
+_VECS = [("chunk:100000", "x", None, None, None, 0.2), ("chunk:999", "loose text\n【类型】method", "doc_chunk", "T", "S", 0.4), ("0", "", None, None, None, 2.5), ("424242", "", None, None, None, 0.1), ("memory:1", "m", "memory", None, None, 0.1), ("12", "plain", "doc_chunk", None, "S2", 1.0)]
+
+
+def vector_hit_shapes(spark, sf):
+    """Six vector hits of every stored shape: a chunk, chunks that are gone, a whole document, and two that are no hits."""
+    docs = read(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), "source")
+    rows = [(1, k + 1, *v) for k, v in enumerate(_VECS)]
+    hits = spark.createDataFrame(rows, "query_id int, rank int, vec_id string, text string, kind string, meta_title string, meta_source string, distance double")
+    hits = hits.withColumn("score", tx.scaled(F.greatest(F.lit(0.0), 1 - F.col("distance") / 2))).drop("distance")
+    return hydrate_vector_hits(hits, chunks(spark, sf), docs).select("rank", "shape", "result_type", "item_id", "title", F.length("content").alias("chars"), "source", "chunk_type", "score")
+
+
+HIT_SHAPES = with_ctes("chunks", """
+SELECT 1 AS rank, 'chunk' AS shape, 'chunk' AS result_type, '100000' AS item_id, source AS title, CAST(length(content) AS INTEGER) AS chars, source, '' AS chunk_type, 900000 AS score FROM chunks WHERE chunk_id = 100000
+UNION ALL SELECT 2, 'loose_chunk', 'chunk', '999', 'T', 21, 'S', 'method', 800000
+UNION ALL SELECT 3, 'document', 'document', '0', source, CAST(least(1200, length(text)) AS INTEGER), source, '', 0 FROM documents WHERE doc_id = 0
+UNION ALL SELECT 6, 'loose_chunk', 'chunk', '12', '', 5, 'S2', '', 500000""")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        chunk_fixed_window, chunk_list_filter_page, chunk_type_counts, tokens_query, tokens_chunk, keywords_extract, word_freq_entities, bm25_stats, bm25_topk, bm25_from_index, bm25_strict_match, bm25_multi_query,
+        knn_exact, knn_filtered, knn_fallback, knn_filter_of_none, knn_score, knn_lsh, memory_knn_rank, vectors_upsert, embed_chunks, knn_texts, template_seed, template_knn, vector_hit_shapes,
+    )
+}
 ORACLES = {
-    "chunk_fixed_window": CHUNKS, "chunk_list_filter_page": CHUNK_PAGE, "chunk_type_counts": CHUNK_TYPES, "tokens_query": TOKENS_QUERY, "tokens_chunk": TOKENS_CHUNK,
-    "keywords_extract": KEYWORDS, "word_freq_entities": WORD_FREQ, "bm25_stats": BM25_STATS, "bm25_topk": BM25, "bm25_strict_match": BM25_STRICT, "bm25_multi_query": BM25_MULTI,
-    "knn_exact": _KNN + _KNN_TOP.format(""), "knn_filtered": _KNN + _KNN_TOP.format(" WHERE label = 3"),
-    "knn_fallback": _KNN + _KNN_TOP.format("").replace("vec_id, score FROM", "vec_id, score, false AS filtered FROM"),
+    "chunk_fixed_window": CHUNKS, "chunk_list_filter_page": CHUNK_PAGE, "chunk_type_counts": CHUNK_TYPES, "tokens_query": TOKENS_QUERY, "tokens_chunk": TOKENS_CHUNK, "keywords_extract": KEYWORDS, "word_freq_entities": WORD_FREQ,
+    "bm25_stats": BM25_STATS, "bm25_topk": BM25, "bm25_from_index": BM25, "bm25_strict_match": BM25_STRICT, "bm25_multi_query": BM25_MULTI,
+    "knn_exact": _KNN + _KNN_TOP.format(""), "knn_filtered": _KNN + _KNN_TOP.format(" WHERE label = 3"), "knn_fallback": KNN_FALLBACK,
+    "knn_filter_of_none": _KNN + _KNN_TOP.format("").replace("vec_id, score FROM", "vec_id, score, false AS filtered FROM"),
     "knn_score": _KNN + ", t AS (SELECT query_id, max(score) AS score FROM s GROUP BY query_id) SELECT score >= 999999 AS itself, count(*) AS n FROM t GROUP BY 1",
-    "memory_knn_rank": MEMORY_KNN, "rrf_fuse": RRF, "hybrid_search": HYBRID, "context_text": CONTEXT,
+    "memory_knn_rank": MEMORY_KNN, "vectors_upsert": VECTORS_UPSERT, "embed_chunks": EMBED, "knn_texts": KNN_TEXTS, "template_seed": TEMPLATE_SEED, "template_knn": TEMPLATE_KNN, "vector_hit_shapes": HIT_SHAPES,
 }

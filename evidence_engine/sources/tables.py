@@ -33,8 +33,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, text: the first 80 characters of each benchmark text."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("text"))
+    """query_id, text: each benchmark text."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 #: Node ids start here, by type.
@@ -43,13 +43,13 @@ _KEYS = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name"
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node_id, name, type of the star schema's entities."""
+    """node_id, name, type, confidence and properties of the star schema's entities."""
     out = None
     for name, start in OFFSETS.items():
         key, title = _KEYS[name]
         part = read(spark, sf_dir, name).select((F.col(key).cast("long") + start).alias("node_id"), F.col(title).alias("name"), F.lit(name).alias("type"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("confidence", F.lit(0.5) + (F.col("node_id") * 7 % 50) / 100).withColumn("properties", F.create_map().cast("map<string,string>"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ CTES = {
     SELECT doc_id, source, i, regexp_replace(substring(text, CAST(i * 880 + 1 AS BIGINT), 1000), '^\s+|\s+$', '', 'g') AS content
     FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 1000 THEN 1 ELSE CAST(ceil((length(text) - 1000) / 880.0) AS BIGINT) + 1 END)) AS i FROM documents))
   WHERE content <> '')""",
-    "qset": "qset AS (SELECT item_id AS query_id, substring(text, 1, 80) AS text FROM benchmark)",
+    "qset": "qset AS (SELECT item_id AS query_id, text FROM benchmark)",
     "g_nodes": """g_nodes AS (
   SELECT CAST(r_regionkey AS BIGINT) AS node_id, r_name AS name, 'region' AS type FROM region
   UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 1000, n_name, 'nation' FROM nation
