@@ -193,6 +193,16 @@ def trie_pairs(prints: np.ndarray, depth: int, home: int, budget: Sequence[int],
     return links.pairs()
 
 
+def _star(reps: np.ndarray, root: np.ndarray) -> pa.Table:
+    """Components as links from each record to the least of its component, so tasks that find the same say the same."""
+    order = np.lexsort((reps, root))
+    least = np.empty(len(reps), np.int64)
+    first = np.flatnonzero(np.r_[True, root[order][1:] != root[order][:-1]]) if len(reps) else np.zeros(0, np.int64)
+    least[order] = np.repeat(reps[order][first], np.diff(np.r_[first, len(reps)]))
+    left = np.flatnonzero(least != reps)
+    return pa.table({"src": pa.array(reps[left]), "dst": pa.array(least[left])})
+
+
 def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total: int):
     def run(key: tuple, tab: pa.Table) -> pa.Table:
         turn, home = divmod(key[0].as_py(), 1 << 32)
@@ -211,9 +221,7 @@ def _trie_side(k: int, n_prints: int, depth: int, budget: Sequence[int], total:
                 out[s : s + AT_ONCE] = near if sizes is None else near & (NUM * np.maximum(sizes[a], sizes[b]) <= DEN * np.minimum(sizes[a], sizes[b]))
             return out
 
-        root = local_roots(len(reps), *trie_pairs(own, depth, home, budget, link))
-        left = np.flatnonzero(root != np.arange(len(reps)))
-        return pa.table({"src": pa.array(reps[left]), "dst": pa.array(reps[root[left]])})
+        return _star(reps, local_roots(len(reps), *trie_pairs(own, depth, home, budget, link)))
 
     return run
 
@@ -292,12 +300,14 @@ def _set_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., text) with the text's shingles in its place."""
     for batch in batches:
         for start, end in text_slices(batch, limit=1_000_000):
             sets = [shingle_set(x, STAGE_SHINGLE) for x in texts_of(batch, start, end)]
             ends = pa.array(np.cumsum([0, *(len(x) for x in sets)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), lists], names=["rep", "shingles"])
+            part = batch.slice(start, end - start)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*batch.schema.names[:-1], "shingles"])
 
 
 def _row_key() -> list:
@@ -352,12 +362,11 @@ def _exact_side(tab: pa.Table) -> pa.Table:
     lists = tab.column("shingles").combine_chunks()
     offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
     sets = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    root = exact_roots(sets, np.flatnonzero(visits) if visits.any() else np.arange(len(reps)))
-    left = np.flatnonzero(root != np.arange(len(reps)))
-    return pa.table({"src": pa.array(reps[left]), "dst": pa.array(reps[root[left]])})
+    return _star(reps, exact_roots(sets, np.flatnonzero(visits) if visits.any() else np.arange(len(reps))))
 
 
 _EXACT = "src long, dst long"
+_COLUMNS = {"visitor": "boolean", "parts": "int"}
 
 
 def similar_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, clusters: DataFrame, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -366,26 +375,30 @@ def similar_links(spark: SparkSession, docs: DataFrame, sets: DataFrame, cluster
     own = sets.select("rep", "size", "holder").join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
     own = materialise(spark, own, "near-members")
     parts = F.greatest(F.ceil(F.sum(F.col("size") * 8) / block_bytes), F.ceil(F.count("*") / block_sets)).cast("int")
-    placed = own.join(own.groupBy("cluster").agg(F.greatest(parts, F.lit(1)).alias("parts")), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    texts = docs.select(*_row_key(), "text").join(own.select("holder.*"), ["doc_id", "text_hash"], "left_semi")
-    shingles = texts.select("text").mapInArrow(_shingle_side, "rep long, shingles array<long>").dropDuplicates(["rep"])
-    members = materialise(spark, placed.select("rep", "cluster", "parts", "block").join(shingles, "rep"), "near-sets")
-    at_home = members.select("cluster", "block", "rep", F.lit(False).alias("visitor"), "shingles")
+    placed = own.join(own.groupBy("cluster").agg(F.greatest(parts, F.lit(1)).alias("parts")), "cluster").select("holder.*", "rep", "cluster", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("block"))
+    texts = docs.select(*_row_key(), "text")
+
+    def members(some: DataFrame, columns: str) -> DataFrame:
+        """The sets of some of the placed records, made of their texts anew, so that they are shuffled once and never stored. A
+        row that is there twice gives its set twice, which joins nothing else."""
+        met = texts.join(some.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("cluster", "block", "rep", *columns.split(), "text")
+        return met.mapInArrow(_shingle_side, f"cluster long, block int, rep long, {', '.join(f'{c} {_COLUMNS[c]}' for c in columns.split())}, shingles array<long>")
+
     files = pieces(16 * own.count(), FILE_BYTES, least=1)
+    at_home = members(placed.withColumn("visitor", F.lit(False)), "visitor")
     links = at_home.groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT)
     links = materialise(spark, links.repartition(files), "near-links")
     free_shuffles(spark)
-    wide = members.where("parts > 1")
+    wide = materialise(spark, placed.where("parts > 1"), "near-wide")
     if wide.isEmpty():
         return links
     joined = components(spark, links).withColumnRenamed("node", "rep")
     wide = wide.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     largest = wide.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    apart = wide.join(largest, "cluster").where("component <> largest")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block")
-    visits = apart.select("cluster", every, "rep", F.lit(True).alias("visitor"), "shingles")
-    stay = wide.join(apart.select("rep"), "rep", "left_anti").select("cluster", "block", "rep", F.lit(False).alias("visitor"), "shingles")
-    more = stay.unionByName(visits).groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT)
+    sets_of = members(wide.join(largest, "cluster").withColumn("visitor", F.col("component") != F.col("largest")), "visitor parts")
+    # What isn't in the cluster's largest component visits every block; the rest stays at home.
+    blocks = F.when(F.col("visitor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("block"))
+    more = sets_of.select("cluster", F.explode(blocks).alias("block"), "rep", "visitor", "shingles").groupBy("cluster", "block").applyInArrow(_exact_side, _EXACT)
     out = links.unionByName(materialise(spark, more.repartition(files), "near-links"))
     free_shuffles(spark)
     return out
