@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidence_engine.plans import documents, evidence, graphs, hybrid, policies, routing, search
+from evidence_engine.plans import documents, evidence, graphs, hybrid, papers, policies, routing, search, service
 
-_PARTS = (search, hybrid, graphs, routing, evidence, documents, policies)
+_PARTS = (search, hybrid, graphs, routing, evidence, documents, policies, papers, service)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from evidence_engine.operators import memory as mem
 from evidence_engine.operators import parsing as ps
 from evidence_engine.functions.text import scaled, strip
 from evidence_engine.sources.literals import values_sql
+from evidence_engine.sources.scratch import scratch_path
 from evidence_engine.sources.tables import chunks, messages, read, with_ctes
 
 # Literal papers and references of our own.
@@ -56,28 +54,30 @@ SELECT doc_id, CASE WHEN len(hs) > 0 THEN regexp_replace(regexp_replace(hs[1], '
   regexp_extract(head, '(?:^|[^0-9A-Za-z_])(10[.][0-9]{{4,9}}/[-._;()/:A-Za-z0-9]+)', 1) AS doi, regexp_extract(head, '(?:^|[^0-9A-Za-z_])((?:19|20)[0-9]{{2}})(?:$|[^0-9A-Za-z_])', 1) AS year FROM h"""
 
 
-def _paper_blocks(spark):
-    return ps.blocks_of(_frame(spark, PAPERS, "doc_id long, title string, content string"))
+def _paper_blocks(spark, sf):
+    """Blocks of the literal papers and of all documents."""
+    papers = _frame(spark, PAPERS, "doc_id long, title string, content string").select("doc_id", "content")
+    return ps.blocks_of(papers.unionByName(read(spark, sf, "documents").select((F.col("doc_id") + 10).alias("doc_id"), F.col("text").alias("content"))))
 
 
 def markdown_blocks(spark, sf):
-    return _paper_blocks(spark).select("doc_id", "pos", "type", "text", "section_path")
+    return _paper_blocks(spark, sf).select("doc_id", "pos", "type", "text", "section_path")
 
 
 def type_aware_chunks(spark, sf):
-    return ps.chunks_of(_paper_blocks(spark), size=300, overlap=40)
+    return ps.chunks_of(_paper_blocks(spark, sf), size=300, overlap=40)
 
 
 def section_infer(spark, sf):
-    return _paper_blocks(spark).select("doc_id", "section_path").distinct().withColumn("section", ps.section_type(F.col("section_path"), F.lit("")))
+    return _paper_blocks(spark, sf).select("doc_id", "section_path").distinct().withColumn("section", ps.section_type(F.col("section_path"), F.lit("")))
 
 
 def method_dataset_metric(spark, sf):
-    return ps.method_dataset_metric(_paper_blocks(spark))
+    return ps.method_dataset_metric(_paper_blocks(spark, sf))
 
 
 def pdf_quality(spark, sf):
-    return ps.parse_quality(_paper_blocks(spark))
+    return ps.parse_quality(_paper_blocks(spark, sf))
 
 
 def html_blocks(spark, sf):
@@ -119,6 +119,15 @@ def paper_citations(spark, sf):
     return ps.citation_edges(ps.split_references(_frame(spark, REFS, "ref_id long, text string")))
 
 
+# By hand: entries of the literal lists with their label, identifiers and last year, and what each cites.
+_SPLIT = [
+    (1, 0, "[1] Vaswani A., Shazeer N. Attention is all you need. NeurIPS 2017. arXiv:1706.03762", "1", "", "1706.03762", "2017"), (1, 1, "[2] Lewis P. et al. Retrieval-augmented generation. 2020. doi:10.1000/rag.7.", "2", "10.1000/rag.7", "", "2020"), (1, 2, "3. Guu K. REALM. 2020.", "3", "", "", "2020"),
+    (2, 0, "Doe 2001. A title.", "", "", "", "2001"), (2, 1, "Roe 2002 2003. Another title.", "", "", "", "2003"), (3, 0, "[7] Only one entry 1998, revised 2004.", "7", "", "", "2004"),
+]
+REFERENCE_SPLIT = f"SELECT CAST(ref_id AS BIGINT) AS ref_id, pos, raw, label, doi, arxiv_id, year FROM {values_sql(_SPLIT, 'ref_id, pos, raw, label, doi, arxiv_id, year')}"
+PAPER_CITATIONS = "SELECT CAST(ref_id AS BIGINT) AS ref_id, target, 'PAPER_CITES_PAPER' AS relation FROM " + values_sql([(r[0], f"arxiv:{r[5]}" if r[5] else f"doi:{r[4]}" if r[4] else r[2]) for r in _SPLIT], "ref_id, target")
+
+
 def heading_similarity(spark, sf):
     return _frame(spark, HEADING_PAIRS, "pair_id long, a string, b string").select("pair_id", scaled(ps.heading_similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
@@ -156,13 +165,14 @@ SELECT a AS source, b AS target, 'NEXT_CHUNK' AS relation FROM p WHERE a IS NOT
 
 
 def doc_id_merge(spark, sf):
-    """Documents that mention a keyword first or last, merged in order."""
-    docs = read(spark, sf, "documents").select("doc_id", "lang", "source")
-    a = docs.groupBy("lang").agg(F.array_sort(F.collect_list(F.when(F.col("doc_id") % 7 == 0, F.col("doc_id")))).alias("x"), F.array_sort(F.collect_list(F.when(F.col("doc_id") % 11 == 0, F.col("doc_id")))).alias("y"))
-    return a.select("lang", F.array_join(F.transform(F.array_union("x", "y"), lambda d: d.cast("string")), ",").alias("docs"))
+    """By language, the documents that mention a licence, and behind them those that hold an address."""
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.col("text").ilike("%licen_e%").alias("a"), F.contains("text", F.lit("@")).alias("b"))
+    ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("doc_id"))))
+    lists = docs.groupBy("lang").agg(ids(F.col("a")).alias("x"), ids(F.col("b")).alias("y"))
+    return lists.select("lang", F.array_join(F.transform(F.array_union("x", "y"), lambda d: d.cast("string")), ",").alias("docs"))
 
 
-DOC_MERGE = """WITH u AS (SELECT lang, doc_id, min(k) AS k FROM (SELECT lang, doc_id, 0 AS k FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT lang, doc_id, 1 FROM documents WHERE doc_id % 11 = 0) GROUP BY lang, doc_id)
+DOC_MERGE = """WITH u AS (SELECT lang, doc_id, min(k) AS k FROM (SELECT lang, doc_id, 0 AS k FROM documents WHERE text ILIKE '%licen_e%' UNION ALL SELECT lang, doc_id, 1 FROM documents WHERE contains(text, '@')) GROUP BY lang, doc_id)
 SELECT l.lang, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k, doc_id), '') AS docs FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN u USING (lang) GROUP BY l.lang"""
 
 
@@ -282,12 +292,18 @@ def topic_extract(spark, sf):
     return mem.topics(_frame(spark, _TALK, "conv_id long, turn long, role string, content string"))
 
 
+TOPIC_EXTRACT = "SELECT CAST(conv_id AS BIGINT) AS conv_id, label, CAST(turn AS BIGINT) AS turn, content, seq FROM " + values_sql([(1, "1", 1, "方向一：检索增强\n细节 A", 1), (1, "2", 1, "方向2 图谱\n细节 B", 3), (1, "1", 3, "### 方向一：检索增强\n更长的细节 A 与数据", 0)], "conv_id, label, turn, content, seq")
+
+
 def topic_reference(spark, sf):
     talk = _frame(spark, _TALK, "conv_id long, turn long, role string, content string")
     asked = talk.where("role = 'user'").select(F.col("turn").alias("query_id"), "conv_id", F.col("content").alias("text"))
     return mem.referenced_topic(asked, mem.upsert_topics(mem.topics(talk)))
 
 
+TOPIC_REFERENCE = "SELECT CAST(query_id AS BIGINT) AS query_id, label, content FROM " + values_sql([(2, "1", "### 方向一：检索增强\n更长的细节 A 与数据")], "query_id, label, content")
+
+
 def focus_state(spark, sf):
     return mem.focus_states(messages(spark, sf))
 
@@ -296,8 +312,7 @@ def stream_memory_state(spark, sf):
     """The same focus states by the streaming operator, over the messages' file as a stream that ends."""
     from evidence_engine.streaming.memory import FOCUS, run_over
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='evidence-engine-')}"
-    at = f"{base.rstrip('/')}/focus-{uuid.uuid4().hex}"
+    at = scratch_path(spark, "focus")
     # All messages of a conversation in one file, so that they come in one micro-batch, in order.
     read(spark, sf, "conversations").select("conv_id", "turn", "role", "text").repartition(4, "conv_id").write.parquet(f"{at}/in")
     run_over(spark, f"{at}/in", f"{at}/out", f"{at}/state")
@@ -307,5 +322,5 @@ def stream_memory_state(spark, sf):
 QUERIES = {f.__name__: f for f in (language_detect, paper_metadata, markdown_blocks, type_aware_chunks, section_infer, method_dataset_metric, pdf_quality, html_blocks, html_strip, html_tables, crawl_text, reference_split, paper_citations, heading_similarity, repeated_lines, section_tree, chunk_chain_edges, doc_id_merge, header_parse, recent_turns, conv_list, compress_trigger, fallback_summary, fallback_items, memory_recall, topic_upsert, memory_context, summary_lock, memory_merge, topic_extract, topic_reference, focus_state, stream_memory_state)}
 ORACLES = {
     "language_detect": LANGUAGE, "paper_metadata": PAPER_META, "html_strip": HTML_STRIP, "html_tables": HTML_TABLES, "crawl_text": CRAWL, "heading_similarity": HEADING_SIM, "repeated_lines": REPEATED, "section_tree": SECTION_TREE, "chunk_chain_edges": CHAIN,
-    "doc_id_merge": DOC_MERGE, "header_parse": HEADERS, "recent_turns": RECENT, "conv_list": CONV_LIST, "compress_trigger": COMPRESS, "fallback_summary": SUMMARY, "fallback_items": ITEMS, "memory_recall": RECALL, "topic_upsert": TOPICS, "memory_context": MEMORY_CONTEXT, "summary_lock": LOCK, "memory_merge": MEMORY_MERGE,
+    "reference_split": REFERENCE_SPLIT, "paper_citations": PAPER_CITATIONS, "topic_extract": TOPIC_EXTRACT, "topic_reference": TOPIC_REFERENCE, "doc_id_merge": DOC_MERGE, "header_parse": HEADERS, "recent_turns": RECENT, "conv_list": CONV_LIST, "compress_trigger": COMPRESS, "fallback_summary": SUMMARY, "fallback_items": ITEMS, "memory_recall": RECALL, "topic_upsert": TOPICS, "memory_context": MEMORY_CONTEXT, "summary_lock": LOCK, "memory_merge": MEMORY_MERGE,
 }

@@ -199,6 +199,16 @@ def paper_graph_search(spark, sf):
     return found.select("query_id", "place", "result_type", "hit_id")
 
 
+#: Worked out by the rules; tests hold them against a plain search in loops.
+PAPER_SEARCH = "SELECT CAST(query_id AS BIGINT) AS query_id, place, result_type, hit_id FROM " + values_sql(
+    [
+        (1, 1, "paper_path", "path:5"), (1, 2, "paper_path", "path:4:5"), (1, 3, "paper_path", "path:9:7:8"), (2, 1, "paper_ego", "1"), (2, 2, "paper_ego", "2"), (2, 3, "paper_ego", "4"), (3, 1, "paper_subgraph", "8"), (3, 2, "paper_subgraph", "5"),
+        (4, 1, "subgraph", "13"), (5, 1, "path", "path:11:9"), (6, 1, "path", "path:2:3"), (7, 1, "path", "path:13"), (10, 1, "ego", "13"),
+    ],
+    "query_id, place, result_type, hit_id",
+)
+
+
 def paper_document_graph(spark, sf):
     """Nodes and edges of each literal document: by its list of source documents, else by property; one has none."""
     nodes, edges = _paper_graph(spark)
@@ -335,6 +345,6 @@ QUERIES = {
 }
 ORACLES = {
     "graph_ego": EGO, "graph_khop": KHOP, "graph_subgraph_2hop": SUBGRAPH, "graph_path_3": PATHS, "graph_path_text": PATH_TEXT, "graph_induced": INDUCED, "graph_degree": DEGREE, "graph_edge_hydrate": HYDRATE, "graph_edge_rank": EDGE_RANK,
-    "graph_visual": VISUAL, "graph_neighbourhood": NEIGHBOURHOOD, "graph_first_nodes": FIRST_NODES, "entity_search": ENTITY, "paper_document_graph": DOCUMENT_GRAPH, "paper_seed_expansion": SEED_EXPANSION, "paper_query_test": PAPER_QUERY,
+    "graph_visual": VISUAL, "graph_neighbourhood": NEIGHBOURHOOD, "graph_first_nodes": FIRST_NODES, "entity_search": ENTITY, "paper_graph_search": PAPER_SEARCH, "paper_document_graph": DOCUMENT_GRAPH, "paper_seed_expansion": SEED_EXPANSION, "paper_query_test": PAPER_QUERY,
     "nodes_list_page": NODES_PAGE, "nodes_count": NODES_COUNT, "edges_list_named": EDGES_NAMED, "docs_search_page": DOCS_PAGE, "nodes_upsert_merge": UPSERT, "edges_upsert_unique": EDGES_UPSERT, "nodes_new_anti_join": NEW_NODES, "delete_cascade": DELETE,
 }

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,17 @@ def to_markdown(name: str, data: bytes) -> tuple[str, str]:
     return kind, csv_to_markdown(text) if kind == "csv" else text
 
 
+def csv_tables(rows: DataFrame) -> DataFrame:
+    """rows(k, text) of CSV text as k, markdown, row_count (rows of data below the head) and sheet_count."""
+
+    @F.pandas_udf("string")
+    def table(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: csv_to_markdown(t or ""))
+
+    lines = F.size(F.filter(F.split("markdown", "\n"), lambda x: x != ""))
+    return rows.select("k", table("text").alias("markdown")).select("k", "markdown", F.greatest(lines - 2, F.lit(0)).alias("row_count"), F.lit(1).alias("sheet_count"))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):  # a file may be large: one at a time
