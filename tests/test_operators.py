@@ -180,14 +180,14 @@ def test_claims_and_citations(spark):
     assert evidence.verify(claims.limit(0), ev).collect() == []
 
 
-def test_markdown_blocks_and_chunks(spark):
+def test_markdown_blocks_and_chunks(spark, sf):
     blocks = defaultdict(list)
-    for r in documents.markdown_blocks(spark, "").orderBy("doc_id", "pos").collect():
+    for r in documents.markdown_blocks(spark, sf).orderBy("doc_id", "pos").collect():
         blocks[r.doc_id].append((r.type, r.section_path.split(" / ")[-1]))
     assert ("code", "2 Method") in blocks[1] and ("table", "3 Experiments") in blocks[1] and ("abstract", "Abstract") in blocks[1] and ("reference", "References") in blocks[1]
     assert [t for t, _ in blocks[2] if t != "heading"] == ["abstract", "introduction", "method", "conclusion"]
     assert blocks[3] == [("paragraph", "")] and blocks[4] == []
-    chunks = documents.type_aware_chunks(spark, "").collect()
+    chunks = documents.type_aware_chunks(spark, sf).collect()
     assert len({(r.doc_id, r.chunk_index) for r in chunks}) == len(chunks) and max(len(r.text) for r in chunks if r.chunk_type != "code") <= 300
 
 
