@@ -39,6 +39,6 @@ def test_topics(spark):
     assert rows(documents.topic_reference(spark, ""), "query_id", "content") == {(2, "### 方向一：检索增强\n更长的细节 A 与数据")}
 
 
-def test_headers_survive_the_round_trip(spark):
-    got = {(r.doc_id, r.chunk_type): r for r in policies.chunk_headers(spark, "").collect()}
+def test_headers_survive_the_round_trip(spark, sf):
+    got = {(r.doc_id, r.chunk_type): r for r in policies.chunk_headers(spark, sf).collect()}
     assert got[1, "method"].method_name == "M" and got[1, "table"].paper_title == "T" and got[1, "code"].metric == ""
