@@ -22,11 +22,11 @@ def _docs(spark, sf):
 
 
 def documents_list(spark, sf):
-    out = catalog.list_documents(_docs(spark, sf), words="license", source="src1", offset=1, limit=10)
+    out = catalog.list_documents(_docs(spark, sf), words="the", source="src1", offset=1, limit=10)
     return out.select("doc_id", F.length("content").alias("chars"), "total")
 
 
-DOCUMENTS_LIST = "WITH m AS (SELECT * FROM documents WHERE (source ILIKE '%license%' OR text ILIKE '%license%') AND source = 'src1') SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, (SELECT count(*) FROM m) AS total FROM m ORDER BY doc_id DESC LIMIT 10 OFFSET 1"
+DOCUMENTS_LIST = "WITH m AS (SELECT * FROM documents WHERE (source ILIKE '%the%' OR text ILIKE '%the%') AND source = 'src1') SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, (SELECT count(*) FROM m) AS total FROM m ORDER BY doc_id DESC LIMIT 10 OFFSET 1"
 
 
 def documents_get(spark, sf):
