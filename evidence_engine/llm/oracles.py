@@ -62,3 +62,60 @@ SELECT t.page_id, host, path, rule, coalesce(v, CASE WHEN m.bad THEN 'block' ELS
   CASE WHEN m IS NULL THEN NULL WHEN m.bad THEN 'label:bad' ELSE 'label:good' END AS mined, m.c AS confidence, m.n AS n
 FROM t LEFT JOIN best USING (page_id) LEFT JOIN hand USING (page_id)
 """
+
+#: Every group's share of every kept term, absent ones included.
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(total.n, 0) + size.v) AS BIGINT) AS p
+  FROM g JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+whole AS (
+  SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (sum(c) + 1)) // (any_value(n) + any_value(v)) AS BIGINT) AS q
+  FROM c JOIN size USING (lang) JOIN (SELECT lang, sum(n) AS n FROM total GROUP BY lang) USING (lang) GROUP BY lang, term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares s JOIN whole USING (lang, term) WHERE s.c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _compression(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Each round's assignment and update as common table expressions, all distances counted."""
+    steps = [f"""v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, k AS part, e[k * (len(e) // {parts}) + 1 : (k + 1) * (len(e) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS k)),
+book0 AS (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS (
+  SELECT r, part, min({{'d': CAST(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS BIGINT), 'entry': entry}}) AS m FROM p JOIN book{n} USING (part) GROUP BY r, part)""")
+        if n < rounds:
+            steps.append(f"""mean{n} AS (
+  SELECT part, entry, list(m ORDER BY i) AS c FROM (
+    SELECT part, entry, i, floor(sum(x) / count(*)) AS m FROM (SELECT part, m.entry AS entry, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM near{n} JOIN p USING (r, part)) GROUP BY part, entry, i)
+  GROUP BY part, entry),
+book{n + 1} AS (SELECT b.part, b.entry, coalesce(mean{n}.c, b.c) AS c FROM book{n} b LEFT JOIN mean{n} ON mean{n}.part = b.part AND mean{n}.entry = b.entry)""")
+    return "WITH " + ",\n".join(steps) + f""",
+coded AS (SELECT r, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS s FROM (SELECT part, entry, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM book{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM coded JOIN v USING (r), digest
+"""
+
+
+CODE_COMPRESSION = _compression()
