@@ -7,7 +7,7 @@ is one. The field has two labels, main and other, learned transitions between ne
 ascent on the likelihood of labelled pages, and is decoded by Viterbi.
 
 The labelled pages are built here by a seeded generator of page layouts: articles in containers, straight in the body, in
-layout tables and in nameless divs, in several alphabets, amid menus, headers, footers, sidebars, notices, adverts, forms,
+layout tables and in nameless divs, or alone in the page, in several alphabets, amid menus, headers, footers, sidebars, notices, adverts, forms,
 comments and related links, with sloppy mark-up; none of them comes from the input.
 
 Reading is linear in the page, however deep its elements nest. Of the words of class, id and role, the innermost
@@ -56,6 +56,8 @@ _SIBLINGS = {
     )
 }
 _NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+#: Where raw and hidden elements end; case is folded in A-Z alone, and the page searched as it is, so places are its own.
+_ENDS_OF = {name: re.compile(f"</{name}", re.I | re.A) for name in _RAW | _HIDDEN}
 _ATTR_STOP = re.compile("[>\"']")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -149,7 +151,7 @@ class _Reader:
 
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order; texts have their references decoded and white space made one space."""
-    r, lower = _Reader(), None
+    r, endless = _Reader(), set()
     i, n = 0, len(page)
     while i < n:
         j = page.find("<", i)
@@ -185,15 +187,16 @@ def leaf_blocks(page: str) -> list[Block]:
             elif name == "br":
                 r.text(" ")
         elif name in _RAW or name in _HIDDEN:
-            if page[e - 1 : e] != "/":
-                if lower is None:
-                    lower = page.lower()
-                end = lower.find(f"</{name}", i)
-                if end >= 0:
-                    after = page.find(">", end)
+            # Once an end is missing it is missing further on, too, so no stretch is searched twice for one.
+            if page[e - 1 : e] != "/" and name not in endless:
+                end = _ENDS_OF[name].search(page, i)
+                if end is not None:
+                    after = page.find(">", end.end())
                     i = n if after < 0 else after + 1
                 elif name in _RAW:
                     i = n
+                else:
+                    endless.add(name)
         elif name == "br":
             r.text(" ")
         elif name == "a":
@@ -521,8 +524,20 @@ class _Layout:
         head = f"<tr><td colspan=2>{self.link()} | {self.link()}</td></tr>" if rng.random() < 0.5 else ""
         return [f"<table>{head}<tr>{''.join(row)}</tr></table>"]
 
+    def alone(self) -> str:
+        """Nothing but main text: a block or two in a page without anything else, or a text without a tag."""
+        rng = self.rng
+        text = rng.choice([self.para, lambda: self.sentence(rng.randint(1, 14))])
+        body = rng.choice([
+            lambda: f"{_KEY}{text()}", lambda: f"<p>{_KEY}{text()}</p>", lambda: f"<h1>{_KEY}{self.sentence(4)}</h1><p>{_KEY}{text()}</p>", lambda: f"<div>{_KEY}{text()}</div>",
+            lambda: f"<article><p>{_KEY}{text()}</p></article>", lambda: f"<main>{_KEY}{text()}</main>", lambda: f"<p>{_KEY}{text()}<p>{_KEY}{text()}", lambda: f"<pre>{_KEY}{text()}</pre>",
+        ])()
+        return rng.choice([body, body, f"<body>{body}</body>", f"<html><body>{body}</body></html>", f"<html><head><title>{self.sentence(4)}</title></head><body>{body}</body></html>"])
+
     def page(self) -> str:
         rng = self.rng
+        if rng.random() < 0.12:
+            return self.alone()
         body = rng.choice([self.contained, self.contained, self.contained, self.bare, self.bare, self.in_table])()
         if rng.random() < 0.85:
             body.append(self.other("footer"))

@@ -1,6 +1,7 @@
 """HTML extraction: the field against brute force, layouts of another make, and pages that are hard to read."""
 
 import itertools
+import re
 import time
 
 import numpy as np
@@ -97,3 +98,31 @@ def test_bytes_that_are_no_text(spark):
     pages = spark.createDataFrame([(1, "u", bytearray(b"<article><p>Some words \xff\xfe and more, as it is.</p></article>"))], "page_id long, url string, html binary")
     got = html_extract.extract(pages.selectExpr("page_id", "url", "cast(html as string) as html")).first().text
     assert got.startswith("Some words ") and got.endswith(" and more, as it is.")
+
+
+@pytest.mark.parametrize("page", [
+    "<p>One single paragraph only with a handful of plain words.</p>", "One single text without a tag and a handful of plain words.", "Short text", "<h1>Title of it</h1><p>And one paragraph, not a long one.</p>",
+    "<html><head><title>T</title></head><body><p>Das ist der ganze Text der Seite, sonst nichts.</p></body></html>", "<div>Всего один абзац на странице.</div>", "<article><p>只有一段文字的页面。</p></article>", "line one\nline two\nline three of a plain file",
+])
+def test_pages_of_main_text_alone(page):
+    want = [" ".join(re.sub("<[^>]*>", " ", x).split()) for x in re.split("</h1>", re.sub("<head>.*</head>", "", page))]
+    assert extract(page) == "\n".join(want)
+
+
+def test_letters_that_grow_in_lower_case():
+    """The lower case of U+0130 is two code points; what follows a script must stay in its place."""
+    para = "<p>" + "İstanbul ve çevresi, uzun bir yazı olarak burada durur. " * 20 + "</p>"
+    page = f"<html><body><article><h1>Başlık</h1>{para}<SCRIPT>var a = '</p>';</ScRiPt>{para}<style>p {{}}</STYLE>{para}</article></body></html>"
+    assert extract(page) == extract(page.replace("İ", "I")).replace("Istanbul", "İstanbul")
+    assert extract(page).count("İstanbul") == 60
+    # U+017F and U+212A fold to s and k in Unicode, but not in HTML.
+    assert [b.text for b in html_extract.leaf_blocks("<p>a<script>x</\u017fcript>y</script>b")] == ["ab"]
+
+
+@pytest.mark.parametrize("tag", ["<svg>", "<template>", "<svg><template>", "<p><svg>"])
+def test_many_tags_without_an_end_are_linear(tag):
+    html_extract.leaf_blocks(tag * 2000)
+    began = time.process_time()
+    html_extract.leaf_blocks(tag * 40_000 + "text")
+    assert time.process_time() - began < 1.0
+    assert html_extract.leaf_blocks(tag * 3 + "text")[-1].text == "text"
