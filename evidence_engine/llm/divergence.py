@@ -1,7 +1,7 @@
 """Source divergence audit by a two-pass vocabulary automaton.
 
-Terms are runs of letters A-Z (lower-cased), a-z and of anything from U+0080 on. Texts are dealt out to blocks of bounded
-size, one language each.
+Terms are runs of letters A-Z (lower-cased), a-z and of anything from U+0080 on. Each task packs its texts, reduced to
+their terms, into blocks of one language and of bounded size, which are written down compressed.
 
 1. Each block lists its terms with the number of its documents that hold them. Summed up by language these are exact
    document frequencies, and the terms of LEAST_DOCUMENTS or more are the language's vocabulary.
@@ -27,7 +27,9 @@ Doubling texts doubles the work: nothing but the table of groups and pairs, whic
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import free_shuffles, materialise, pieces, plan_bytes, table, tasks_for
+from evidence_engine.llm.common import discard, free_shuffles, materialise, pieces, plan_bytes, table, tasks_for, text_slices, texts_of
 
 #: Documents of a language that must hold a term for it to be kept, and ranks of terms that are reported.
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
@@ -43,61 +45,97 @@ LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 BLOCK_BYTES, SOURCES_EACH = 8 << 20, 1024
 #: Each byte as a letter of a term or as the delimiter.
 _LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
+#: Between a source's documents and between sources; no term holds them.
+_DOCUMENT, _SOURCE = b"\n", b"\x00"
+_PACKED = "block string, lang string, sources array<string>, packed binary"
 _value = itemgetter(1)
 
 
 def _plain(text: bytes | None) -> bytes:
-    """The text's terms with delimiters of one kind between them."""
+    """The text's terms with one delimiter between them."""
     text = text or b""
     try:
         text.decode()
     except UnicodeDecodeError:
         text = text.decode("utf-8", "replace").encode()
-    return text.translate(_LETTERS)
-
-
-def _texts(rows: pa.Table) -> list[bytes]:
-    return [_plain(x) for x in rows.column("text").cast(pa.binary()).to_pylist()]
-
-
-def _listed(key: tuple, rows: pa.Table) -> pa.Table:
-    """The terms of a block with the number of documents that hold each."""
-    held: Counter[bytes] = Counter()
-    for text in _texts(rows):
-        held.update(set(text.split()))
-    n = len(held)
-    return pa.table({
-        "lang": pa.array([key[0].as_py()] * n, pa.string()), "block": pa.array(np.full(n, key[1].as_py(), np.int64)),
-        "term": pa.array(list(held.keys()), pa.binary()).cast(pa.string()), "documents": pa.array(list(held.values()), pa.int64()),
-    })
-
-
-def _recounted(key: tuple, rows: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """Occurrences of a block's kept terms by source, found by an automaton over the padded terms."""
+    return b" ".join(text.translate(_LETTERS).split())
+
+
+def _packing(block_bytes: int):
+    """Rows of _PACKED from (lang, source, text): a task's texts by language, a row as soon as they make up a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[dict[str, list[bytes]], list[int]]] = {}
+        total = 0
+
+        def block(lang: str) -> pa.RecordBatch:
+            import zstandard
+
+            by, _ = held.pop(lang)
+            packed = zstandard.compress(_SOURCE.join(_DOCUMENT.join(texts) for texts in by.values()), 3)
+            cols = [pa.array([uuid.uuid4().hex]), pa.array([lang]), pa.array([list(by)], pa.list_(pa.string())), pa.array([packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PACKED.split(", ")])
+
+        for batch in batches:
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, end in text_slices(batch):
+                for lang, source, text in zip(langs[start:end], sources[start:end], texts_of(batch, start, end), strict=True):
+                    if text := _plain(text):
+                        by, size = held.setdefault(lang, ({}, [0]))
+                        by.setdefault(source, []).append(text)
+                        size[0] += len(text)
+                        total += len(text)
+                        if size[0] >= block_bytes:
+                            total -= size[0]
+                            yield block(lang)
+                        elif total >= 4 * block_bytes:
+                            total = 0
+                            for other in list(held):
+                                yield block(other)
+        for lang in list(held):
+            yield block(lang)
+
+    return run
+
+
+def _sections(packed: bytes) -> list[list[bytes]]:
+    """The documents of each source of a block."""
+    import zstandard
+
+    return [part.split(_DOCUMENT) for part in zstandard.decompress(packed).split(_SOURCE)]
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, lang, term, documents: the terms of each block and how many of its documents hold them."""
+    for batch in batches:
+        for block, lang, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held: Counter[bytes] = Counter()
+            for texts in _sections(packed):
+                for text in texts:
+                    held.update(set(text.split()))
+            n = len(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * n, pa.string()), pa.array([lang] * n, pa.string()), pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())],
+                names=["block", "lang", "term", "documents"],
+            )
+
+
+def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, count: occurrences of a block's kept terms, found by an automaton over the padded terms."""
     import ahocorasick
 
-    terms = vocabulary.column("term").combine_chunks()
-    source, at, count = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(terms) and rows.num_rows:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, term in enumerate(terms.cast(pa.binary()).to_pylist()):
-            automaton.add_word(f" {term.decode('latin-1')} ", i)
-        automaton.make_automaton()
-        by: dict[str, list[bytes]] = {}
-        for name, text in zip(rows.column("source").to_pylist(), _texts(rows), strict=True):
-            by.setdefault(name, []).append(text)
-        for name, texts in by.items():
-            # One character a byte; neighbours share a delimiter, which the automaton's overlapping matches allow.
-            line = b" ".join([b"", *texts, b""]).decode("latin-1")
-            found, n = np.unique(np.fromiter(map(_value, automaton.iter(line)), np.int64), return_counts=True)
-            source += [name] * len(found)
-            at.append(found)
-            count.append(n)
-    at, count = np.concatenate(at), np.concatenate(count)
-    return pa.table({
-        "lang": pa.array([key[0].as_py()] * len(at), pa.string()), "source": pa.array(source, pa.string()),
-        "term": pa.array([], pa.string()) if not len(at) else terms.take(pa.array(at)), "count": pa.array(count, pa.int64()),
-    })
+    for batch in batches:
+        for lang, sources, packed, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, term in enumerate(kept):
+                automaton.add_word(f" {term.encode().decode('latin-1')} ", i)
+            automaton.make_automaton()
+            terms = pa.array(kept, pa.string())
+            for source, texts in zip(sources, _sections(packed), strict=True):
+                # One character a byte; neighbours share a delimiter, which the automaton's overlapping matches allow.
+                line = b" ".join([b"", *texts, b""]).decode("latin-1")
+                at, count = np.unique(np.fromiter(map(_value, automaton.iter(line)), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), terms.take(pa.array(at)), pa.array(count, pa.int64())], names=["lang", "source", "term", "count"])
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -118,26 +156,26 @@ def _gap(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
-def term_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST_DOCUMENTS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The vocabulary (lang, term) and the postings (lang, source, term, count > 0) of docs (doc_id, lang, source, text)."""
+def term_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST_DOCUMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """lang, source, term, count of the kept terms of docs (lang, source, text), where the count isn't 0."""
+    empty = F.lit("")
     size = plan_bytes(docs.select("text"))
-    n = pieces(size * 2, block_bytes, least=1)  # files hold texts about half as long
     tasks = tasks_for(spark, size)
-    empty = F.lit("")
-    texts = docs.select(
-        F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")
-    ).where(F.col("text").isNotNull())
-    listed = materialise(spark, texts.select("lang", "block", "text").repartition(tasks, "lang", "block").groupBy("lang", "block")
-                         .applyInArrow(_listed, "lang string, block long, term string, documents long"), "divergence-listed")
-    free_shuffles(spark)
-    kept = listed.groupBy("lang", "term").agg(F.sum("documents").alias("n")).where(F.col("n") >= least).select("lang", "term")
-    kept = materialise(spark, kept, "divergence-kept")
-    own = listed.select("lang", "block", "term").join(kept, ["lang", "term"], "left_semi").repartition(tasks, "lang", "block")
-    counts = texts.repartition(tasks, "lang", "block").groupBy("lang", "block").cogroup(own.groupBy("lang", "block")).applyInArrow(
-        _recounted, "lang string, source string, term string, count long")
-    postings = materialise(spark, counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")), "divergence-postings")
+    blocks = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), "text").where(F.col("text").isNotNull())
+    blocks = materialise(spark, blocks.mapInArrow(_packing(block_bytes), _PACKED), "divergence-blocks")
+    listed = blocks.select("block", "lang", "packed").mapInArrow(_listed, "block string, lang string, term string, documents long").repartition(tasks, "lang", "term")
+    # A term has one row a block, so no term is many rows.
+    frequency = F.sum("documents").over(Window.partitionBy("lang", "term"))
+    own = listed.withColumn("n", frequency).where(F.col("n") >= least)
+    # Blocks meet their terms in tasks of one or two blocks each, as a row holds a whole block.
+    each = pieces(2 * size, block_bytes, least=tasks)
+    own = own.select("block", "term").repartition(each, "block").groupBy("block").agg(F.collect_list("term").alias("kept"))
+    counts = blocks.repartition(each, "block").join(own.hint("shuffle_merge"), "block").select("lang", "sources", "packed", "kept").mapInArrow(_recounted, "lang string, source string, term string, count long")
+    counts = counts.repartition(tasks, "lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+    postings = materialise(spark, counts, "divergence-postings")
+    discard(spark, blocks)
     free_shuffles(spark)
-    return kept, postings
+    return postings
 
 
 def _pairs(groups: DataFrame, postings: DataFrame, salts: int) -> DataFrame:
@@ -146,12 +184,19 @@ def _pairs(groups: DataFrame, postings: DataFrame, salts: int) -> DataFrame:
     groups: lang, source, size (V), p0; postings: lang, term, source, p, p0. Common terms are joined once for both
     directions, a source's terms by the distinct values of p.
     """
-    a = postings.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(salts)))
-    b = postings.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     p, q, p0, q0 = (F.col(x) for x in ("p", "q", "p0", "q0"))
+    keys = ["lang", "term"]
+    a = b = postings.select("lang", "term", "source", "p", "p0")
+    if salts > 1:
+        keys.append("salt")
+        a = a.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(salts)))
+        b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    a, b = a.alias("a"), b.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    met = a.join(b, [*same, F.col("a.source") < F.col("b.source")]).select(
+        "a.lang", "a.source", F.col("b.source").alias("item"), "a.p", "a.p0", F.col("b.p").alias("q"), F.col("b.p0").alias("q0"))
     beyond = lambda p, p0, q, q0: _gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0)
-    common = a.join(b, ["lang", "term", "salt"]).where(F.col("source") < F.col("item")).groupBy("lang", "source", "item").agg(
-        F.sum(beyond(p, p0, q, q0)).alias("there"), F.sum(beyond(q, q0, p, p0)).alias("back"))
+    common = met.groupBy("lang", "source", "item").agg(F.sum(beyond(p, p0, q, q0)).alias("there"), F.sum(beyond(q, q0, p, p0)).alias("back"))
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     values = postings.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("n"))
     single = values.join(other, "lang").where(F.col("source") != F.col("item")).groupBy("lang", "source", "item").agg(
@@ -168,9 +213,9 @@ def _pairs(groups: DataFrame, postings: DataFrame, salts: int) -> DataFrame:
 def divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank: each source against the language's other sources (part `pair`), and the terms
     that it has more of than the language, by their share of the divergence (part `term`)."""
-    kept, counts = term_counts(spark, docs, least, block_bytes)
+    counts = term_counts(spark, docs, least, block_bytes)
     empty = F.lit("")
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("size"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     groups = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source")).distinct()
     groups = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "size"])
