@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
-from evidence_engine.operators import fusion, graph, lexical, papergraph, parsing, policies, vector
+from evidence_engine.operators import fusion, graph, lexical, papergraph, parsing, policies, postings, vector
 from evidence_engine.operators.embedding import embed
 from evidence_engine.sources.scratch import kept
 
@@ -50,10 +50,12 @@ def hydrate_vector_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame) ->
     )
 
 
-def lexical_hits(queries: DataFrame, plans: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
-    """query_id, rank, chunk_id of the plans that search by words, as many as each plan wants."""
+def lexical_hits(queries: DataFrame, plans: DataFrame, chunks: DataFrame, most: int = 20, index: str | None = None) -> DataFrame:
+    """query_id, rank, chunk_id of the plans that search by words, as many as each plan wants; from a stored index of the
+    chunks where there is one."""
     wanted = plans.where("bm25_top_k > 0").select("query_id", F.col("bm25_top_k").alias("k"))
-    best = lexical.bm25(queries.join(wanted.select("query_id"), "query_id", "left_semi"), chunks, most)
+    asked = queries.join(wanted.select("query_id"), "query_id", "left_semi")
+    best = lexical.bm25(asked, chunks, most) if index is None else postings.search(asked, index, most)
     return best.join(wanted, "query_id").where(F.col("rank") <= F.col("k")).select("query_id", "rank", "chunk_id")
 
 
@@ -71,7 +73,7 @@ def graph_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.when(F.size("entities") > 0, F.col("entities")).otherwise(own).alias("names"))
 
 
-def routes(queries: DataFrame, plans: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = 10) -> DataFrame:
+def routes(queries: DataFrame, plans: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = 10, index: str | None = None) -> DataFrame:
     """The hits of all four routes of queries(query_id, text) under plans(query_id, text, intent, graph_method, *_top_k,
     graph_depth, entities)."""
     text = chunks.select("chunk_id", F.col("source").alias("title"), "content", "source", _column(chunks, "chunk_type"), _column(chunks, "section_path"))
@@ -97,7 +99,7 @@ def routes(queries: DataFrame, plans: DataFrame, chunks: DataFrame, vectors: Dat
         "query_id", F.lit("graph").alias("route"), F.col("place").alias("rank"), hit_key(F.col("result_type"), F.col("hit_id")).alias("hit_key"), "result_type", F.col("hit_id").alias("item_id"),
         F.col("name").alias("title"), F.col("name").alias("content"), F.lit("").alias("source"), none("chunk_type"), none("section_path"),
     )
-    return of_chunks(lexical_hits(queries, plans, chunks), "bm25").unionByName(of_chunks(vector_hits(queries, plans, vectors), "vector")).unionByName(entities).unionByName(linked)
+    return of_chunks(lexical_hits(queries, plans, chunks, index=index), "bm25").unionByName(of_chunks(vector_hits(queries, plans, vectors), "vector")).unionByName(entities).unionByName(linked)
 
 
 def _column(df: DataFrame, name: str) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
+from evidence_engine.sources.scratch import kept
 
 # The rule router's word lists.
 CASUAL = ("你好", "hello", "hi", "嗨", "谢谢", "你是谁", "早上好", "晚安", "再见", "ok", "好的")
@@ -54,16 +55,22 @@ def rule_of(text: Column) -> Column:
     )
 
 
+def plan_table(spark: SparkSession) -> DataFrame:
+    """The plans as a table: rule and the plan's fields, a row for each of the fixed rules."""
+    kinds = "rule string, intent string, graph_method string, bm25_top_k int, vector_top_k int, graph_top_k int, graph_depth int, confidence double"
+    return spark.createDataFrame([(rule, *plan) for rule, plan in PLANS.items()], kinds)
+
+
 def rule_plan(queries: DataFrame) -> DataFrame:
-    """queries with the rule and the plan's fields; entities are the query's terms if the rule is `exact`."""
-    rule = F.col("rule")
-    out = queries.withColumn("rule", rule_of(F.col("text")))
-    for k, name in enumerate(PLAN_FIELDS):
-        col = F.lit(None)
-        for r, plan in PLANS.items():
-            col = F.when(rule == r, plan[k]).otherwise(col)
-        out = out.withColumn(name, col)
-    return out.withColumn("entities", F.when(rule == "exact", F.slice(F.array_distinct(tx.all_of(F.col("text"), "[A-Za-z_][A-Za-z0-9_]{2,}|[一-龥]{2,6}")), 1, 8)).otherwise(F.array().cast("array<string>")))
+    """queries with the rule and the plan's fields; entities are the query's terms if the rule is `exact`.
+
+    Each query is classified once and written down with its terms; its plan then comes from the table of plans, which
+    has as many rows as there are rules, so what reads a field of the plan doesn't repeat the rules.
+    """
+    terms = F.slice(F.array_distinct(tx.all_of(F.col("text"), "[A-Za-z_][A-Za-z0-9_]{2,}|[一-龥]{2,6}")), 1, 8)
+    ruled = kept(queries.withColumn("rule", rule_of(F.col("text"))), "ruled-queries")
+    out = ruled.join(F.broadcast(plan_table(queries.sparkSession)), "rule")
+    return out.select(*ruled.columns, *PLAN_FIELDS, F.when(F.col("rule") == "exact", terms).otherwise(F.array().cast("array<string>")).alias("entities"))
 
 
 def merge_plan(rules: DataFrame) -> DataFrame:

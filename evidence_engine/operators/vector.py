@@ -8,8 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,14 +122,3 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: str = "vec_id") -> DataFram
     seq) stays."""
     last = fresh.groupBy(key).agg(F.max_by(F.struct(*(c for c in fresh.columns if c not in (key, "seq"))), "seq").alias("row")).select(key, "row.*")
     return stored.join(last.select(key), key, "left_anti").unionByName(last.select(*stored.columns))
-
-
-def knn_lsh(queries: DataFrame, vectors: DataFrame, top_k: int = 10, length: float = 0.6, tables: int = 6, reach: float = 1.2) -> DataFrame:
-    """Approximate neighbours: random-projection buckets over unit vectors, then exact distances within `reach`."""
-    unit = lambda df, key: with_norm(df).where("norm > 0").select(key, array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))).alias("v"))
-    pool = unit(vectors.select("vec_id", "embedding"), "vec_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(pool)
-    near = model.approxSimilarityJoin(unit(queries.select("query_id", "embedding"), "query_id"), pool, reach, "dist")
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), scaled(1 - F.col("dist") * F.col("dist") / 4).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "vec_id", "score")

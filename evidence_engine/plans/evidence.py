@@ -10,7 +10,7 @@ from evidence_engine.plans.routing import has
 from evidence_engine.plans.search import _BM25
 from evidence_engine.sources import literals
 from evidence_engine.sources.literals import values_sql
-from evidence_engine.sources.tables import chunks, query_set, read, web_results, with_ctes
+from evidence_engine.sources.tables import chunks, query_set, questions, questions_sql, read, web_results, with_ctes
 
 
 def _hits(spark, sf, k=5):
@@ -59,7 +59,7 @@ SELECT *, 1 AS round FROM g1 WHERE sufficient UNION ALL SELECT *, 2 FROM g2 WHER
 
 
 def repair_plan(spark, sf):
-    return ev.repair(routing.rule_plan(literals.queries(spark)).withColumn("sufficient", F.col("query_id") % 2 == 0))
+    return ev.repair(routing.rule_plan(questions(spark, sf)).withColumn("sufficient", F.col("query_id") % 2 == 0))
 
 
 _TOPN = "CAST(least(20, greatest({1}, coalesce(nullif({0}, 0), 8))) AS INTEGER) AS {0}"
@@ -71,7 +71,7 @@ SELECT query_id, regexp_replace(CASE WHEN query_id % 2 = 0 THEN text ELSE text |
 def _repair_sql() -> str:
     from evidence_engine.plans.routing import _RULE
 
-    rules = f"SELECT query_id, text, {_RULE} AS rule FROM (SELECT query_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q FROM {values_sql(literals.QUERIES, 'query_id, text')})"
+    rules = f"SELECT query_id, text, {_RULE} AS rule FROM (SELECT query_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q FROM {questions_sql(literals.QUERIES)})"
     return REPAIR.replace("{rules}", rules)
 
 

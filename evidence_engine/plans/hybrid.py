@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
 from evidence_engine.operators import fusion, hybrid
-from evidence_engine.operators.embedding import embed
 from evidence_engine.operators.routing import rule_plan
+from evidence_engine.plans import stored
 from evidence_engine.plans.routing import _plan_sql
 from evidence_engine.plans.search import _BM25, nearest_sql
 from evidence_engine.sources.literals import values_sql
 from evidence_engine.sources.scratch import kept
-from evidence_engine.sources.tables import CTES, chunks, graph_edges, graph_nodes, query_set
+from evidence_engine.sources.tables import CTES, graph_edges, graph_nodes, query_set
 
 #: Questions that name nodes of the graph, beside the benchmark's texts, so that every route and method has hits.
 QUESTIONS = [
@@ -28,10 +28,10 @@ def asked(spark, sf):
 
 def inputs(spark, sf):
     """(queries, plans, hits): the plans of all queries and the four routes' hits."""
-    q = asked(spark, sf)
-    plans, docs = rule_plan(q), chunks(spark, sf)
-    vectors = embed(docs, "chunk_id", "content")
-    return q, plans, kept(hybrid.routes(q, plans, docs, vectors, graph_nodes(spark, sf), graph_edges(spark, sf), top_k=8), "hybrid-hits")
+    q = kept(asked(spark, sf), "hybrid-queries")
+    plans, docs = kept(rule_plan(q), "hybrid-plans"), stored.stored_chunks(spark, sf)
+    hits = hybrid.routes(q, plans, docs, stored.chunk_vectors(spark, sf), graph_nodes(spark, sf), graph_edges(spark, sf), top_k=8, index=stored.text_index(spark, sf))
+    return q, plans, kept(hits, "hybrid-hits")
 
 
 def hybrid_hits(spark, sf):

@@ -10,15 +10,15 @@ from evidence_engine.operators import routing as r
 from evidence_engine.plans.routing import _FIELDS, _RULE, RESEARCH, has
 from evidence_engine.sources import literals
 from evidence_engine.sources.literals import values_sql
-from evidence_engine.sources.tables import graph_nodes, read, with_ctes
+from evidence_engine.sources.tables import graph_nodes, questions, questions_sql, read, with_ctes
 
-_Q = values_sql(literals.QUERIES, "query_id, text")
+_Q = questions_sql(literals.QUERIES)
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _PLANNED = f"SELECT x.query_id, x.text, x.q, {_FIELDS} FROM (SELECT *, {_RULE} AS rule FROM (SELECT query_id, text, {_STRIP.format('text')} AS q FROM {_Q})) x JOIN {values_sql([(k, *v) for k, v in r.PLANS.items()], 'rule, ' + ', '.join(r.PLAN_FIELDS))} p USING (rule)"
 
 
 def model_gate(spark, sf):
-    return po.model_gate(r.rule_plan(literals.queries(spark)))
+    return po.model_gate(r.rule_plan(questions(spark, sf)))
 
 
 MODEL_GATE = f"""SELECT query_id, CASE WHEN intent = 'chat' THEN false WHEN length(q) <= 12 AND intent IN ('fact', 'exact') THEN false
@@ -30,7 +30,7 @@ _OCOLS = "query_id, o_bm25_top_k, o_vector_top_k, o_graph_top_k, o_graph_depth,
 
 def plan_override(spark, sf):
     over = spark.createDataFrame(_OVER, "query_id int, o_bm25_top_k string, o_vector_top_k string, o_graph_top_k string, o_graph_depth string, o_graph_method string, o_intent string, o_preferred array<string>")
-    return po.override_plan(r.rule_plan(literals.queries(spark)), over)
+    return po.override_plan(r.rule_plan(questions(spark, sf)), over)
 
 
 PLAN_OVERRIDE = f"""SELECT p.query_id, {', '.join('CASE WHEN try_cast(o_%s AS INTEGER) IS NULL THEN %s ELSE CAST(greatest(1, least(20, try_cast(o_%s AS INTEGER))) AS INTEGER) END AS %s' % (c, c, c, c) for c in ('bm25_top_k', 'vector_top_k', 'graph_top_k', 'graph_depth'))},
@@ -39,7 +39,7 @@ FROM ({_PLANNED}) p LEFT JOIN {values_sql(_OVER, _OCOLS)} USING (query_id)"""
 
 
 def search_mode(spark, sf):
-    q = literals.queries(spark).unionByName(literals.academic(spark).select((F.col("query_id") + 100).alias("query_id"), "text"))
+    q = questions(spark, sf).unionByName(literals.academic(spark).select((F.col("query_id") + 100).alias("query_id"), "text"))
     return q.select("query_id", po.search_mode(F.col("text")).alias("mode"), po.needs_verification(F.col("text")).alias("verify"))
 
 
@@ -49,7 +49,7 @@ FROM (SELECT *, {has('low', po.PAPER_MODE)} AS p, {has('low', po.WEB_MODE)} AS w
 
 
 def contextual_query(spark, sf):
-    return po.contextual_query(literals.queries(spark), literals.turns(spark))
+    return po.contextual_query(questions(spark, sf), literals.turns(spark))
 
 
 _FUP = f"(CASE WHEN {{0}} = '' THEN false WHEN {has('{0}', po.FOLLOW_LONG)} THEN length({{0}}) <= 24 ELSE length({{0}}) <= 12 AND {has('{0}', po.FOLLOW_SHORT)} END)"
@@ -58,7 +58,7 @@ SELECT q.query_id, CASE WHEN {_FUP.replace('{0}', 'q.s')} AND topic IS NOT NULL
 
 
 def planned_actions(spark, sf):
-    q = literals.queries(spark)
+    q = questions(spark, sf)
     return po.planned_actions(q.join(r.research_intent(q), "query_id")).withColumn("actions", F.array_join("actions", ">"))
 
 
@@ -124,7 +124,7 @@ PAPER_URL = f"SELECT id, CASE WHEN arxiv_id <> '' THEN 'https://arxiv.org/abs/'
 
 
 def paper_graph_filters(spark, sf):
-    return literals.queries(spark).select("query_id", F.array_join(po.relation_filter(F.col("text")), ",").alias("relations"), F.array_join(po.target_types(F.col("text")), ",").alias("targets"))
+    return questions(spark, sf).select("query_id", F.array_join(po.relation_filter(F.col("text")), ",").alias("relations"), F.array_join(po.target_types(F.col("text")), ",").alias("targets"))
 
 
 _REL = ", ".join(f"CASE WHEN {has('text', w)} THEN CAST({list(rel)} AS VARCHAR[]) ELSE CAST([] AS VARCHAR[]) END" for w, rel in po.RELATIONS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evidence_engine.operators import routing as r
 from evidence_engine.sources import literals
 from evidence_engine.sources.literals import values_sql
+from evidence_engine.sources.tables import academic_questions, questions, questions_sql
 
 
 def has(col: str, words: Iterable[str]) -> str:
@@ -43,11 +44,11 @@ RULE_PLAN_SQL = f",\nplans AS ({_plan_sql('qset')})"
 
 
 def rule_router(spark, sf):
-    out = r.rule_plan(literals.queries(spark))
+    out = r.rule_plan(questions(spark, sf))
     return out.select("query_id", "rule", "intent", "graph_method", "bm25_top_k", "vector_top_k", "graph_top_k", "graph_depth", F.round(F.col("confidence") * 100).cast("int").alias("confidence"), F.array_join("entities", ",").alias("entities"))
 
 
-_Q = values_sql(literals.QUERIES, "query_id, text")
+_Q = questions_sql(literals.QUERIES)
 RULE_ROUTER = f"""WITH p AS ({_plan_sql(_Q)}),
 e AS (SELECT query_id, term, min(i) AS i FROM (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}|[一-龥]{{2,6}}') AS ts FROM p WHERE rule = 'exact')) GROUP BY query_id, term),
 g AS (SELECT query_id, string_agg(term, ',' ORDER BY i) AS entities FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS k FROM e) WHERE k <= 8 GROUP BY query_id)
@@ -58,7 +59,7 @@ _PROPOSED = [(4, "path", "5", 0.9), (7, "nonsense", "x", 0.8), (9, "none", "2",
 
 def plan_merge(spark, sf):
     proposed = spark.createDataFrame(_PROPOSED, "query_id int, p_graph_method string, p_graph_depth string, p_confidence double")
-    out = r.merge_plan(r.rule_plan(literals.queries(spark)).join(proposed, "query_id", "left"))
+    out = r.merge_plan(r.rule_plan(questions(spark, sf)).join(proposed, "query_id", "left"))
     return out.withColumn("confidence", F.round(F.col("confidence") * 100).cast("int"))
 
 
@@ -67,17 +68,17 @@ y AS (SELECT query_id, CASE WHEN trust AND p_graph_method IN ('none', 'ego', 'pa
 SELECT query_id, m AS graph_method, m <> 'none' AS graph, CAST(greatest(CASE WHEN m = 'path' THEN 2 ELSE 1 END, least(d, 3)) AS INTEGER) AS graph_depth, CAST(round(c * 100) AS INTEGER) AS confidence FROM y"""
 
 
-def _asked(spark):
-    q = literals.queries(spark)
+def _asked(spark, sf):
+    q = questions(spark, sf)
     return q.join(r.last_route(literals.turns(spark)), "query_id", "left").join(literals.forced(spark), "query_id", "left")
 
 
 def context_router(spark, sf):
-    return r.context_route(_asked(spark))
+    return r.context_route(_asked(spark, sf))
 
 
 def router_scores(spark, sf):
-    return r.path_scores(r.features(literals.queries(spark))).select("query_id", *(f"s_{p}" for p in r.PATHS))
+    return r.path_scores(r.features(questions(spark, sf))).select("query_id", *(f"s_{p}" for p in r.PATHS))
 
 
 _NORMAL = "CASE WHEN {0} IN ('fast', 'pipeline', 'paper_assistant', 'self_rag', 'research') THEN {0} " + " ".join(f"WHEN {{0}} = '{a}' THEN '{b}'" for a, b in r.ALIASES.items()) + " END"
@@ -107,7 +108,7 @@ SELECT query_id, path, CASE WHEN forced IS NOT NULL THEN 'force_' || forced
 
 
 def paper_task_router(spark, sf):
-    return r.paper_task(literals.queries(spark))
+    return r.paper_task(questions(spark, sf))
 
 
 _T = ", ".join(f"{count('low', w)} AS n_{t}" for t, w in r.TASK_WORDS.items())
@@ -119,10 +120,10 @@ SELECT query_id, task, CASE task {' '.join(f"WHEN '{t}' THEN '{','.join(k)}'" fo
 
 
 def academic_router(spark, sf):
-    return r.academic_route(literals.academic(spark))
+    return r.academic_route(academic_questions(spark, sf))
 
 
-_A = values_sql(literals.ACADEMIC, "query_id, text")
+_A = questions_sql(literals.ACADEMIC)
 _PID = "CASE " + " ".join(f"WHEN regexp_extract(text, '{p}', 1) <> '' THEN '{x}' || regexp_extract(text, '{p}', 1)" for x, p in r.PAPER_IDS) + " ELSE '' END"
 _SINCE = "coalesce(nullif(regexp_extract(lower(text), '(20[0-9]{2})[ \\t]*年?[ \\t]*(以后|以来|之后|及以后|至今|以降|后|after|since)', 1), ''), nullif(regexp_extract(lower(text), '(after|since)[ \\t]+(20[0-9]{2})', 2), ''))"
 _SPAN = "'(20[0-9]{2})[ \\t]*[-—~至到][ \\t]*(20[0-9]{2})'"
@@ -133,15 +134,15 @@ SELECT query_id, intent, pid AS paper_id, year, intent IN {r.LOOKUPS} AND pid =
 
 
 def paper_id_extract(spark, sf):
-    return literals.academic(spark).select("query_id", r.paper_id(F.col("text")).alias("paper_id"))
+    return academic_questions(spark, sf).select("query_id", r.paper_id(F.col("text")).alias("paper_id"))
 
 
 def year_filter(spark, sf):
-    return literals.academic(spark).select("query_id", r.year_filter(F.col("text")).alias("year"))
+    return academic_questions(spark, sf).select("query_id", r.year_filter(F.col("text")).alias("year"))
 
 
 def query_clean(spark, sf):
-    return r.clean_query(literals.academic(spark))
+    return r.clean_query(academic_questions(spark, sf))
 
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -159,7 +160,7 @@ SELECT p.query_id, coalesce(nullif({_STRIP.format("substring(coalesce(terms, bes
 
 
 def query_expand(spark, sf):
-    return r.expand_query(literals.academic(spark))
+    return r.expand_query(academic_questions(spark, sf))
 
 
 QUERY_EXPAND = f"""WITH a AS (SELECT query_id, {_STRIP.format("regexp_replace(text, '[ \\t]*\\|\\|[ \\t]*', ' ', 'g')")} AS w, list_filter(list_transform(regexp_split_to_array(text, '\\|\\|'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS parts FROM {_A}),
@@ -169,7 +170,7 @@ SELECT query_id, CAST(pos AS INTEGER) AS pos, variant FROM (SELECT query_id, var
 
 
 def research_intent(spark, sf):
-    return r.research_intent(literals.queries(spark))
+    return r.research_intent(questions(spark, sf))
 
 
 RESEARCH = f"""SELECT query_id, CASE WHEN {has('text', r.MEMORY_FIRST)} THEN 'memory_followup'

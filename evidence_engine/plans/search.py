@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
-from evidence_engine.operators import lexical, vector
+from evidence_engine.operators import lexical, postings, vector, vector_index
 from evidence_engine.operators.embedding import DIM, TEMPLATE_SOURCE, TEMPLATES, embed, seed_templates, similar_templates, template_text, templates
 from evidence_engine.operators.hybrid import hydrate_vector_hits
+from evidence_engine.plans import stored
 from evidence_engine.sources import literals
 from evidence_engine.sources.literals import values_sql
 from evidence_engine.sources.scratch import scratch_path
-from evidence_engine.sources.tables import chunks, query_set, read, with_ctes
+from evidence_engine.sources.tables import CTES, chunks, query_set, questions, questions_sql, read, with_ctes
 
 TOKENS = r"list_concat(list_concat(regexp_extract_all(lower({0}), '[a-z][a-z0-9_]*'), regexp_extract_all({0}, '[一-龥]{{2,6}}')), regexp_extract_all({0}, '[0-9]+'))"
 
@@ -124,10 +125,29 @@ SELECT query_id, CAST(place AS INTEGER) AS place, chunk_id, score FROM (SELECT *
 
 
 def bm25_from_index(spark, sf):
-    """bm25_topk over an index that is written first and read back by the queries' terms."""
-    at = scratch_path(spark, "bm25-index")
-    lexical.write_postings(chunks(spark, sf), at, buckets=16)
-    return lexical.bm25_over(query_set(spark, sf), at)
+    """bm25_topk over the stored index, by its blocks' bounds."""
+    return postings.search(query_set(spark, sf), stored.text_index(spark, sf))
+
+
+def bm25_after_upkeep(spark, sf):
+    """The index of three quarters of the chunks, to which the rest and new versions of some are appended and from which
+    others are deleted, compacted in between: the same results as over what is left."""
+    at, rows = scratch_path(spark, "index-upkeep"), chunks(spark, sf)
+    place = F.col("chunk_index") % 4
+    postings.append(rows.where(place < 3), at, buckets=4)
+    postings.delete(rows.where("source = 'src1'").select("chunk_id"), at)
+    # Of these, some are new, some come back and some are stored already.
+    changed = rows.where((place == 3) | (F.col("doc_id") % 10 == 0))
+    postings.append(changed.withColumn("content", F.concat("content", F.lit(" appended"))), at)
+    postings.compact(spark, at)
+    postings.delete(rows.where("source = 'src2'").select("chunk_id"), at)
+    return postings.search(query_set(spark, sf), at)
+
+
+_UPKEEP = CTES["chunks"].replace("chunks AS (", "raw AS (", 1) + """, chunks AS (
+  SELECT chunk_id, doc_id, chunk_index, CASE WHEN chunk_index % 4 = 3 OR doc_id % 10 = 0 THEN content || ' appended' ELSE content END AS content, token_count, source FROM raw
+  WHERE source <> 'src2' AND (source <> 'src1' OR chunk_index % 4 = 3 OR doc_id % 10 = 0))"""
+UPKEEP = f"WITH {_UPKEEP}, {CTES['qset']}" + _BM25 % "qset" + _TOP.format("s")
 
 
 # Vectors
@@ -190,8 +210,19 @@ def knn_score(spark, sf):
     return near.groupBy((F.col("score") >= 999_999).alias("itself")).agg(F.count("*").alias("n"))
 
 
-def knn_lsh(spark, sf):
-    return vector.knn_lsh(*_vectors(spark, sf))
+def knn_index(spark, sf):
+    """knn_exact over the stored cells: the nearest ones, then those whose bound reaches the scores found."""
+    q, _ = _vectors(spark, sf)
+    return vector_index.search(q, stored.vector_index_of(spark, sf))
+
+
+def knn_index_recall(spark, sf):
+    """How many neighbours there are to be found, and whether the nearest cells alone hold nine in ten of them."""
+    q, v = _vectors(spark, sf)
+    want = vector.knn(q, v)
+    got = vector_index.search(q, stored.vector_index_of(spark, sf), probes=stored.PROBES, exact=False)
+    met = want.join(got.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return met.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 def memory_knn_rank(spark, sf):
@@ -265,11 +296,11 @@ def _stored_templates(spark):
 
 def template_knn(spark, sf):
     """The templates nearest to literal questions."""
-    return similar_templates(literals.queries(spark).select(F.col("query_id").cast("long"), "text"), _stored_templates(spark))
+    return similar_templates(questions(spark, sf), _stored_templates(spark))
 
 
 _T = values_sql([(k, t[0], t[1], template_text(*t)) for k, t in enumerate(TEMPLATES)], "chunk_id, title, intent, content")
-TEMPLATE_KNN = f"""WITH chunks AS {_T}, asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM {values_sql(literals.QUERIES, "query_id, text")})""" + nearest_sql("asked") + """
+TEMPLATE_KNN = f"""WITH chunks AS {_T}, asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM {questions_sql(literals.QUERIES)})""" + nearest_sql("asked") + """
 SELECT query_id, CAST(rank AS INTEGER) AS rank, title, intent, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) JOIN chunks USING (chunk_id) WHERE rank <= 3"""
 
 _VECS = [("chunk:100000", "x", None, None, None, 0.2), ("chunk:999", "loose text\n【类型】method", "doc_chunk", "T", "S", 0.4), ("0", "", None, None, None, 2.5), ("424242", "", None, None, None, 0.1), ("memory:1", "m", "memory", None, None, 0.1), ("12", "plain", "doc_chunk", None, "S2", 1.0)]
@@ -294,14 +325,14 @@ UNION ALL SELECT 6, 'loose_chunk', 'chunk', '12', '', 5, 'S2', '', 500000""")
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_fixed_window, chunk_list_filter_page, chunk_type_counts, tokens_query, tokens_chunk, keywords_extract, word_freq_entities, bm25_stats, bm25_topk, bm25_from_index, bm25_strict_match, bm25_multi_query,
-        knn_exact, knn_filtered, knn_fallback, knn_filter_of_none, knn_score, knn_lsh, memory_knn_rank, vectors_upsert, embed_chunks, knn_texts, template_seed, template_knn, vector_hit_shapes,
+        chunk_fixed_window, chunk_list_filter_page, chunk_type_counts, tokens_query, tokens_chunk, keywords_extract, word_freq_entities, bm25_stats, bm25_topk, bm25_from_index, bm25_after_upkeep, bm25_strict_match, bm25_multi_query,
+        knn_exact, knn_filtered, knn_fallback, knn_filter_of_none, knn_score, knn_index, knn_index_recall, memory_knn_rank, vectors_upsert, embed_chunks, knn_texts, template_seed, template_knn, vector_hit_shapes,
     )
 }
 ORACLES = {
     "chunk_fixed_window": CHUNKS, "chunk_list_filter_page": CHUNK_PAGE, "chunk_type_counts": CHUNK_TYPES, "tokens_query": TOKENS_QUERY, "tokens_chunk": TOKENS_CHUNK, "keywords_extract": KEYWORDS, "word_freq_entities": WORD_FREQ,
-    "bm25_stats": BM25_STATS, "bm25_topk": BM25, "bm25_from_index": BM25, "bm25_strict_match": BM25_STRICT, "bm25_multi_query": BM25_MULTI,
-    "knn_exact": _KNN + _KNN_TOP.format(""), "knn_filtered": _KNN + _KNN_TOP.format(" WHERE label = 3"), "knn_fallback": KNN_FALLBACK,
+    "bm25_stats": BM25_STATS, "bm25_topk": BM25, "bm25_from_index": BM25, "bm25_after_upkeep": UPKEEP, "bm25_strict_match": BM25_STRICT, "bm25_multi_query": BM25_MULTI,
+    "knn_exact": _KNN + _KNN_TOP.format(""), "knn_index": _KNN + _KNN_TOP.format(""), "knn_index_recall": _KNN + ", t AS (" + _KNN_TOP.format("") + ") SELECT count(*) AS wanted, true AS enough FROM t", "knn_filtered": _KNN + _KNN_TOP.format(" WHERE label = 3"), "knn_fallback": KNN_FALLBACK,
     "knn_filter_of_none": _KNN + _KNN_TOP.format("").replace("vec_id, score FROM", "vec_id, score, false AS filtered FROM"),
     "knn_score": _KNN + ", t AS (SELECT query_id, max(score) AS score FROM s GROUP BY query_id) SELECT score >= 999999 AS itself, count(*) AS n FROM t GROUP BY 1",
     "memory_knn_rank": MEMORY_KNN, "vectors_upsert": VECTORS_UPSERT, "embed_chunks": EMBED, "knn_texts": KNN_TEXTS, "template_seed": TEMPLATE_SEED, "template_knn": TEMPLATE_KNN, "vector_hit_shapes": HIT_SHAPES,

@@ -11,7 +11,7 @@ from evidence_engine.plans import api
 from evidence_engine.plans.graphs import PAPER_EDGES, PAPER_NODES, _paper_graph
 from evidence_engine.sources import files, literals
 from evidence_engine.sources.literals import values_sql
-from evidence_engine.sources.tables import graph_nodes, messages, read, with_ctes
+from evidence_engine.sources.tables import graph_nodes, messages, questions, questions_sql, read, with_ctes
 
 
 def _docs(spark, sf):
@@ -244,10 +244,11 @@ CITATIONS = "SELECT * FROM " + values_sql([(1, "- [1] T1 [A, B | 2020 | arxiv |
 
 
 def known_results(spark, sf):
-    return answers.known_results(literals.queries(spark)).select("query_id", "url", "quality")
+    return answers.known_results(questions(spark, sf)).select("query_id", "url", "quality")
 
 
-KNOWN = "SELECT * FROM " + values_sql([(q, url, k) for q, text in literals.QUERIES for words, url, _, k in answers.KNOWN if any(w in text.lower() for w in words)], "query_id, url, quality")
+KNOWN = f"""SELECT DISTINCT query_id, url, quality FROM {questions_sql(literals.QUERIES)}
+JOIN {values_sql([(w, url, k) for words, url, _, k in answers.KNOWN for w in words], "word, url, quality")} ON contains(lower(text), word)"""
 
 
 def web_accept(spark, sf):

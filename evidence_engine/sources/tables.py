@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.operators.chunking import fixed_window_chunks
+from evidence_engine.sources import literals
 
 
 #: Bytes of file for each core up to which an input may be dealt out anew.
@@ -84,6 +85,33 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
 
 
+#: Ids of questions from the tables start here; below are those of the literal ones.
+_ITEMS, _TURNS = 1_000_000, 10_000_000
+
+
+def _table_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark").select((F.col("item_id").cast("long") + _ITEMS).alias("query_id"), "text")
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id").cast("long") * 1_000_000 + F.col("turn") + _TURNS).alias("query_id"), "text")
+    return items.unionByName(turns)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text: every benchmark text, every user's turn of the conversations, and the literal questions, which meet
+    the routers' rarer branches."""
+    return _table_questions(spark, sf_dir).unionByName(literals.queries(spark).withColumn("query_id", F.col("query_id").cast("long")))
+
+
+def academic_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the literal questions about papers."""
+    return _table_questions(spark, sf_dir).unionByName(literals.academic(spark).withColumn("query_id", F.col("query_id").cast("long")))
+
+
+def questions_sql(rows: list[tuple]) -> str:
+    """questions, with these literal ones, as a DuckDB table expression."""
+    return f"""(SELECT item_id + {_ITEMS} AS query_id, text FROM benchmark UNION ALL SELECT conv_id * 1000000 + turn + {_TURNS}, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT CAST(query_id AS BIGINT), text FROM {literals.values_sql(rows, "query_id, text")})"""
+
+
 #: The same inputs as DuckDB common table expressions.
 CTES = {
     "chunks": r"""chunks AS (

@@ -63,13 +63,6 @@ def test_bm25_against_plain_python(spark, seed):
     assert lexical.bm25(asked, frame.limit(0)).collect() == [] and lexical.bm25(asked.limit(0), frame).collect() == []
 
 
-def test_persisted_postings(spark, tmp_path):
-    frame = spark.createDataFrame([(1, "a b a", 5), (2, "b", 1)], "chunk_id long, content string, token_count long")
-    lexical.write_postings(frame, f"file://{tmp_path}/index", buckets=4)
-    got = {(r.term, r.chunk_id, r.tf) for r in spark.read.parquet(f"file://{tmp_path}/index/postings").collect()}
-    assert got == {("a", 1, 2), ("b", 1, 1), ("b", 2, 1)}
-
-
 def test_knn(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1), (3, [-1.0, 0.0], 1), (4, [2.0, 0.0], 0), (5, [0.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
     q = spark.createDataFrame([(7, [3.0, 0.0])], "query_id long, embedding array<float>")
@@ -131,10 +124,10 @@ def test_rule_router(spark):
     assert {k: got[k] for k in want} == want
 
 
-def test_context_router_inherits(spark):
+def test_context_router_inherits(spark, sf):
     from evidence_engine.plans.routing import _asked
 
-    got = {r.query_id: r for r in routing.context_route(_asked(spark)).collect()}
+    got = {r.query_id: r for r in routing.context_route(_asked(spark, sf)).collect()}
     assert (got[21].path, got[21].intent, got[21].context_dependent) == ("pipeline", "complex_analysis", True)
     assert (got[22].path, got[22].intent) == ("paper_assistant", "paper_method")
     assert (got[23].path, got[24].path) == ("self_rag", "research")

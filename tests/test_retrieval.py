@@ -11,16 +11,6 @@ from evidence_engine.plans import graphs
 from evidence_engine.plans.graphs import PAPER_EDGES, PAPER_NODES, PAPER_QUERIES
 
 
-def test_index_gives_the_same_ranking(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [(c, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 30)))) for c in range(80)]
-    chunks = spark.createDataFrame([(c, t, len(t)) for c, t in rows], "chunk_id long, content string, token_count long")
-    asked = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(50)}" for _ in range(4))) for q in range(10)], "query_id long, text string")
-    lexical.write_postings(chunks, f"file://{tmp_path}/index", buckets=4)
-    plain = {tuple(r) for r in lexical.bm25(asked, chunks, 5).collect()}
-    assert {tuple(r) for r in lexical.bm25_over(asked, f"file://{tmp_path}/index", 5).collect()} == plain
-
-
 def test_variants_keep_apart(spark):
     """A hundred variants of one query, and the next query's first."""
     chunks = spark.createDataFrame([(1, "a b", 3), (2, "c", 1)], "chunk_id long, content string, token_count long")
