@@ -40,8 +40,8 @@ POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 1024
 #: Positives that must hold a feature, and its least likelihood ratio statistic; of chance features one in 10^5 reaches it.
 LEAST_POSITIVES, LEAST_RATIO = 3, 20.0
 MEMBERS, EPOCHS, BATCH, POSITIVE_BATCH, RATE, DECAY = 5, 20, 256, 64, 0.1, 1e-3
-#: Words that a task remembers the features of.
-REMEMBERED = 500_000
+#: Words that a task remembers the features of, and features that it counts before it passes them on.
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: From here on, scripts write words without spaces between them, or nearly.
 _DENSE = "⺀"
@@ -82,8 +82,8 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in text_slices(batch):
             for toxic, text in zip(kinds[start:end], texts_of(batch, start, end), strict=True):
                 counts[0 if toxic else 1].update({f for w in words_of(text) for f in features_of(w)})
-            if len(counts[0]) + len(counts[1]) > REMEMBERED:
-                yield rows()
+                if len(counts[0]) + len(counts[1]) > REMEMBERED:
+                    yield rows()
     yield rows()
 
 
@@ -101,7 +101,7 @@ class Rates:
             if at is None:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
-                at = self.known[word] = [i for f in features_of(word) if (i := self.index.get(f)) is not None]
+                at = self.known[word] = tuple(i for f in features_of(word) if (i := self.index.get(f)) is not None)
             for i in at:
                 held[i] = held.get(i, 0) + n
         rates = np.fromiter(held.values(), np.float64, len(held)) * 100 / max(1, words.total())
