@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_engine.functions.text import scaled
+from evidence_engine.functions.text import scaled, strip
 from evidence_engine.operators import academic, parsing, pdf
 from evidence_engine.plans.documents import REFS
 from evidence_engine.sources.literals import values_sql
+from evidence_engine.sources.tables import read
 
 # Headings with what they are: noise, and items of lists.
 HEADINGS = [
@@ -17,11 +18,23 @@ HEADINGS = [
 
 
 def noise_headings(spark, sf):
+    """Every line of the documents and the literal headings: how many of each kind, by length."""
+    lines = read(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("heading")).unionByName(spark.createDataFrame([(h,) for h, _, _ in HEADINGS], "heading string"))
+    return lines.groupBy(F.length(strip(F.col("heading"))).alias("length"), pdf.noise_heading(F.col("heading")).alias("noise"), pdf.list_item(F.col("heading")).alias("item")).agg(F.count("*").alias("n"))
+
+
+def noise_labels(spark, sf):
+    """The literal headings against their labels."""
     rows = spark.createDataFrame([(k, h) for k, (h, _, _) in enumerate(HEADINGS)], "k int, heading string")
     return rows.select("k", pdf.noise_heading(F.col("heading")).alias("noise"), pdf.list_item(F.col("heading")).alias("item"))
 
 
-NOISE = f"SELECT * FROM {values_sql([(k, n, i) for k, (_, n, i) in enumerate(HEADINGS)], 'k, noise, item')}"
+_STRIPPED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_ITEM = f"(regexp_matches(t, '{pdf.LIST_ITEM}') AND (regexp_matches(t, '[，。：；,;:]') OR regexp_matches(t, '^[0-9]+[.]') AND length(t) > 35))"
+NOISE = f"""SELECT CAST(length(t) AS INTEGER) AS length, {_ITEM} OR lower(t) IN {pdf.NOISE_WORDS} OR regexp_matches(t, '{pdf.CAPITALS}') AND lower(t) NOT IN ('abstract', 'references')
+  OR regexp_matches(t, '[。.]$') AND NOT regexp_matches(t, '^([0-9]+([.][0-9]+){{0,3}}|[一二三四五六七八九十]+[、.])') OR {" OR ".join(f"regexp_matches(t, '{x}')" for x in pdf.NOISE)} AS noise, {_ITEM} AS item, count(*) AS n
+FROM (SELECT {_STRIPPED.format('h')} AS t FROM (SELECT unnest(string_split(text, chr(10))) AS h FROM documents UNION ALL SELECT h FROM {values_sql([(h,) for h, _, _ in HEADINGS], 'h')})) GROUP BY ALL"""
+NOISE_LABELS = f"SELECT * FROM {values_sql([(k, n, i) for k, (_, n, i) in enumerate(HEADINGS)], 'k, noise, item')}"
 
 #: A paper's text by lines, with a table of contents.
 PAGE = [
@@ -202,5 +215,5 @@ def academic_query_words(spark, sf):
 
 QUERY_WORDS = "SELECT * FROM " + values_sql([(1, "Yann LeCun", "作者 Yann LeCun", "/graph/v1/author/search"), (2, "推荐类似 Attention is all you need", "Attention is all you need", "/recommendations/v1/papers/forpaper/{paper_id}"), (3, "作者", "作者", "/graph/v1/paper/search"), (4, "related papers of RAG", "of RAG", "/graph/v1/paper/search")], "query_id, author, plain, endpoint")
 
-QUERIES = {f.__name__: f for f in (noise_headings, toc_headings, toc_match, pdf_lines, pdf_parse_scores, pdf_good_enough, pdf_layout_decision, section_scores, reference_fields, academic_normalise, academic_union, academic_resolve, academic_execute, academic_query_words)}
-ORACLES = {"noise_headings": NOISE, "toc_headings": TOC, "toc_match": TOC_MATCH, "pdf_lines": PDF_LINES, "pdf_parse_scores": PARSE_SCORES, "pdf_good_enough": GOOD, "pdf_layout_decision": DECISION, "section_scores": SECTION_SCORES, "reference_fields": REFERENCES, "academic_normalise": NORMALISE, "academic_union": UNION, "academic_resolve": RESOLVE, "academic_execute": EXECUTE, "academic_query_words": QUERY_WORDS}
+QUERIES = {f.__name__: f for f in (noise_headings, noise_labels, toc_headings, toc_match, pdf_lines, pdf_parse_scores, pdf_good_enough, pdf_layout_decision, section_scores, reference_fields, academic_normalise, academic_union, academic_resolve, academic_execute, academic_query_words)}
+ORACLES = {"noise_headings": NOISE, "noise_labels": NOISE_LABELS, "toc_headings": TOC, "toc_match": TOC_MATCH, "pdf_lines": PDF_LINES, "pdf_parse_scores": PARSE_SCORES, "pdf_good_enough": GOOD, "pdf_layout_decision": DECISION, "section_scores": SECTION_SCORES, "reference_fields": REFERENCES, "academic_normalise": NORMALISE, "academic_union": UNION, "academic_resolve": RESOLVE, "academic_execute": EXECUTE, "academic_query_words": QUERY_WORDS}

@@ -67,13 +67,22 @@ ACTIONS = f"""SELECT query_id, concat_ws('>', CASE WHEN intent IN {po.LOCAL_PAPE
 
 _STATES = [(1, ["search_academic_or_web"], "x", 5, False), (2, ["analyze_single_paper"], "literature_review", 0, False), (3, ["analyze_single_paper"], "method_comparison", 0, True), (4, [], "gap_analysis", 2, True), (5, [], "gap_analysis", 3, True), (6, [], "x", 0, True)]
 
+_STEPS_OF = ("search_academic_or_web", "analyze_single_paper", "synthesize_research")
+_INTENTS_OF = ("literature_review", "gap_analysis", "proposal_design", "method_comparison", "x")
+_MADE = f"""(SELECT * FROM {values_sql(_STATES, 'query_id, actions, intent, n_evidence, fresh')} UNION ALL
+  SELECT doc_id + 100, [CAST({list(_STEPS_OF)} AS VARCHAR[])[1 + doc_id * 5 % {len(_STEPS_OF)}]], CAST({list(_INTENTS_OF)} AS VARCHAR[])[1 + doc_id * 3 % {len(_INTENTS_OF)}], doc_id % 6, toxic = 1 FROM labels)"""
+
 
 def next_step(spark, sf):
-    return po.next_step(spark.createDataFrame(_STATES, "query_id int, actions array<string>, intent string, n_evidence int, fresh boolean"))
+    """The literal states, and one of every labelled document."""
+    doc = F.col("doc_id")
+    pick = lambda words, k: F.element_at(F.array(*(F.lit(w) for w in words)), (F.lit(1) + (doc * k) % len(words)).cast("int"))
+    made = read(spark, sf, "labels").select((doc + 100).alias("query_id"), F.array(pick(_STEPS_OF, 5)).alias("actions"), pick(_INTENTS_OF, 3).alias("intent"), (doc % 6).alias("n_evidence"), (F.col("toxic") == 1).alias("fresh"))
+    return po.next_step(spark.createDataFrame(_STATES, "query_id long, actions array<string>, intent string, n_evidence long, fresh boolean").unionByName(made))
 
 
 NEXT_STEP = f"""SELECT query_id, CASE WHEN list_contains(actions, 'search_academic_or_web') OR intent IN ('literature_review', 'gap_analysis', 'proposal_design') AND (n_evidence = 0 OR fresh AND n_evidence < 3) THEN 'external_search' WHEN list_contains(actions, 'analyze_single_paper') THEN 'paper_analysis' ELSE 'observation' END AS next
-FROM {values_sql(_STATES, 'query_id, actions, intent, n_evidence, fresh')}"""
+FROM {_MADE}"""
 
 
 def fallback_plan(spark, sf):
@@ -84,12 +93,19 @@ FALLBACK = f"SELECT item_id AS query_id, CAST(k AS INTEGER) AS pos, 't' || k AS
 
 _ANSWERS = [(1, "yes", "ctx", 0), (2, "yes", " ", 0), (3, " ", "ctx", 2), (4, "yes", "", 1)]
 
+_SAID = f"""(SELECT * FROM {values_sql(_ANSWERS, 'query_id, answer, context, n_web')} UNION ALL
+  SELECT a.conv_id * 1000 + a.turn + 100, a.text, coalesce(b.text, ''), a.turn % 3 FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant')"""
+
 
 def answer_verify(spark, sf):
-    return po.verify_answer(spark.createDataFrame(_ANSWERS, "query_id int, answer string, context string, n_web int"))
+    """The literal answers, and every assistant's turn with the turn before it as context."""
+    m = read(spark, sf, "conversations")
+    before = m.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    said = m.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select((F.col("conv_id") * 1000 + F.col("turn") + 100).alias("query_id"), F.col("text").alias("answer"), F.coalesce("context", F.lit("")).alias("context"), (F.col("turn") % 3).alias("n_web"))
+    return po.verify_answer(spark.createDataFrame(_ANSWERS, "query_id long, answer string, context string, n_web long").unionByName(said))
 
 
-ANSWER_VERIFY = f"SELECT query_id, ok AS supported, CASE WHEN ok THEN 'answer' ELSE 'refuse' END AS action FROM (SELECT *, {_STRIP.format('answer')} <> '' AND ({_STRIP.format('context')} <> '' OR n_web > 0) AS ok FROM {values_sql(_ANSWERS, 'query_id, answer, context, n_web')})"
+ANSWER_VERIFY = f"SELECT query_id, ok AS supported, CASE WHEN ok THEN 'answer' ELSE 'refuse' END AS action FROM (SELECT *, {_STRIP.format('answer')} <> '' AND ({_STRIP.format('context')} <> '' OR n_web > 0) AS ok FROM {_SAID})"
 
 _LISTS = "SELECT conv_id AS query_id, turn % 3 AS list, turn AS pos, role || (turn % 4) AS evidence_id, CASE WHEN turn % 2 = 0 THEN 'table' ELSE 'paragraph' END AS chunk_type FROM conversations"
 
@@ -107,20 +123,35 @@ _ORIGINAL, _GROUPS, _SEARCH = [(1, "p1"), (2, "p2")], [(1, "references", "p3"),
 
 
 def related_papers(spark, sf):
-    return po.related_papers(spark.createDataFrame(_ORIGINAL, "query_id int, paper_id string"), spark.createDataFrame(_GROUPS, "query_id int, source string, paper_id string"), spark.createDataFrame(_SEARCH, "query_id int, paper_id string"))
+    """Beside the literal ones, each supplier as a paper: it cites what it shipped of the first parts, and a search finds it."""
+    sup, line = read(spark, sf, "supplier"), read(spark, sf, "lineitem")
+    name = lambda c: F.concat(F.lit("s"), F.col(c))
+    original = spark.createDataFrame(_ORIGINAL, "query_id long, paper_id string").unionByName(sup.select((F.col("s_suppkey") + 100).alias("query_id"), name("s_suppkey").alias("paper_id")))
+    cited = line.where("l_partkey <= 5").select((F.col("l_suppkey") + 100).alias("query_id"), F.lit("references").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("paper_id")).distinct()
+    groups = spark.createDataFrame(_GROUPS, "query_id long, source string, paper_id string").unionByName(cited)
+    found = spark.createDataFrame(_SEARCH, "query_id long, paper_id string").unionByName(sup.select((F.col("s_suppkey") + 100).alias("query_id"), F.concat(F.lit("n"), "s_nationkey").alias("paper_id")))
+    return po.related_papers(original, groups, found)
 
 
-RELATED = f"""SELECT query_id, 'original' AS source, paper_id FROM {values_sql(_ORIGINAL, 'query_id, paper_id')} UNION ALL SELECT * FROM {values_sql(_GROUPS, 'query_id, source, paper_id')}
-UNION ALL SELECT query_id, 'search', paper_id FROM {values_sql(_SEARCH, 'query_id, paper_id')} WHERE query_id NOT IN (SELECT query_id FROM {values_sql(_GROUPS, 'query_id, source, paper_id')})"""
+RELATED = f"""WITH o AS (SELECT * FROM {values_sql(_ORIGINAL, 'query_id, paper_id')} UNION ALL SELECT s_suppkey + 100, 's' || s_suppkey FROM supplier),
+g AS (SELECT * FROM {values_sql(_GROUPS, 'query_id, source, paper_id')} UNION ALL SELECT DISTINCT l_suppkey + 100, 'references', 'p' || l_partkey FROM lineitem WHERE l_partkey <= 5),
+f AS (SELECT * FROM {values_sql(_SEARCH, 'query_id, paper_id')} UNION ALL SELECT s_suppkey + 100, 'n' || s_nationkey FROM supplier)
+SELECT query_id, 'original' AS source, paper_id FROM o UNION ALL SELECT * FROM g UNION ALL SELECT query_id, 'search', paper_id FROM f WHERE query_id NOT IN (SELECT query_id FROM g)"""
 
 _IDS = [(1, "2101.1", "10.1/x", "", ""), (2, "", "10.1/x", "7", "p"), (3, None, "", "7", "p"), (4, "", "", "", "p"), (5, "", "", "", "")]
 
 
 def paper_url(spark, sf):
-    return spark.createDataFrame(_IDS, "id int, arxiv_id string, doi string, author_id string, paper_id string").select("id", po.paper_url().alias("url"))
+    """The literal ids, and those of each part, which has some of the four."""
+    k = F.col("p_partkey")
+    some = lambda n, head: F.when(k % n == 0, F.concat(F.lit(head), k.cast("string"))).when(k % n == 1, "")
+    made = read(spark, sf, "part").select((k + 100).alias("id"), some(2, "2101.").alias("arxiv_id"), some(3, "10.1/").alias("doi"), some(5, "a").alias("author_id"), some(7, "p").alias("paper_id"))
+    rows = spark.createDataFrame(_IDS, "id long, arxiv_id string, doi string, author_id string, paper_id string").unionByName(made)
+    return rows.select("id", po.paper_url().alias("url"))
 
 
-PAPER_URL = f"SELECT id, CASE WHEN arxiv_id <> '' THEN 'https://arxiv.org/abs/' || arxiv_id WHEN doi <> '' THEN 'https://doi.org/' || doi WHEN author_id <> '' THEN 'https://www.semanticscholar.org/author/' || author_id WHEN paper_id <> '' THEN 'https://www.semanticscholar.org/paper/' || paper_id ELSE '' END AS url FROM {values_sql(_IDS, 'id, arxiv_id, doi, author_id, paper_id')}"
+_PARTS = f"""(SELECT * FROM {values_sql(_IDS, 'id, arxiv_id, doi, author_id, paper_id')} UNION ALL SELECT p_partkey + 100, CASE WHEN p_partkey % 2 = 0 THEN '2101.' || p_partkey WHEN p_partkey % 2 = 1 THEN '' END, CASE WHEN p_partkey % 3 = 0 THEN '10.1/' || p_partkey WHEN p_partkey % 3 = 1 THEN '' END, CASE WHEN p_partkey % 5 = 0 THEN 'a' || p_partkey WHEN p_partkey % 5 = 1 THEN '' END, CASE WHEN p_partkey % 7 = 0 THEN 'p' || p_partkey WHEN p_partkey % 7 = 1 THEN '' END FROM part)"""
+PAPER_URL = f"SELECT id, CASE WHEN arxiv_id <> '' THEN 'https://arxiv.org/abs/' || arxiv_id WHEN doi <> '' THEN 'https://doi.org/' || doi WHEN author_id <> '' THEN 'https://www.semanticscholar.org/author/' || author_id WHEN paper_id <> '' THEN 'https://www.semanticscholar.org/paper/' || paper_id ELSE '' END AS url FROM {_PARTS}"
 
 
 def paper_graph_filters(spark, sf):

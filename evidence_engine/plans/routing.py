@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidence_engine.operators import routing as r
 from evidence_engine.sources import literals
 from evidence_engine.sources.literals import values_sql
-from evidence_engine.sources.tables import academic_questions, questions, questions_sql
+from evidence_engine.sources.tables import academic_questions, questions, questions_sql, read
 
 
 def has(col: str, words: Iterable[str]) -> str:
@@ -178,11 +178,22 @@ RESEARCH = f"""SELECT query_id, CASE WHEN {has('text', r.MEMORY_FIRST)} THEN 'me
   ELSE {_case('low', r.RESEARCH_INTENTS, "'not_research'")} END AS intent FROM (SELECT *, lower(text) AS low FROM {_Q})"""
 
 
+#: Task types of plans that are made of conversations, one of them illegal.
+_TYPES = (*r.TASK_TYPES, "make_coffee")
+_MADE = f"""(SELECT * FROM {values_sql(literals.PLANS, 'plan_id, pos, id, type, depends_on')}
+  UNION ALL SELECT conv_id + 100, turn + 1, 't' || turn, CAST({list(_TYPES)} AS VARCHAR[])[1 + (conv_id * 3 + turn * 4) % {len(_TYPES)}], CAST(['t' || ((conv_id + turn * 5) % 6)] AS VARCHAR[]) FROM conversations)"""
+
+
 def plan_validation(spark, sf):
-    return r.validate_plan(literals.plans(spark)).withColumn("depends_on", F.array_join("depends_on", ","))
+    """The literal plans, and a plan of each conversation with a task for every turn."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    kind = F.element_at(F.array(*(F.lit(t) for t in _TYPES)), (F.lit(1) + (conv * 3 + turn * 4) % len(_TYPES)).cast("int"))
+    made = read(spark, sf, "conversations").select((conv + 100).alias("plan_id"), (turn + 1).alias("pos"), F.concat(F.lit("t"), turn).alias("id"), kind.alias("type"), F.array(F.concat(F.lit("t"), (conv + turn * 5) % 6)).alias("depends_on"))
+    plans = literals.plans(spark).select(F.col("plan_id").cast("long"), F.col("pos").cast("long"), "id", "type", "depends_on")
+    return r.validate_plan(plans.unionByName(made)).withColumn("depends_on", F.array_join("depends_on", ","))
 
 
-PLAN_VALIDATION = f"""WITH t AS (SELECT *, type = 'verify_claims' AS v FROM {values_sql(literals.PLANS, 'plan_id, pos, id, type, depends_on')}),
+PLAN_VALIDATION = f"""WITH t AS (SELECT *, type = 'verify_claims' AS v FROM {_MADE}),
 s AS (SELECT *, count(*) OVER (PARTITION BY plan_id) AS n, row_number() OVER (PARTITION BY plan_id, v ORDER BY pos) AS k FROM t),
 kept AS (SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY CASE WHEN n > 8 AND v THEN 1 ELSE 0 END, pos) AS pos, id, type, depends_on, v FROM s WHERE n <= 8 OR v AND k = 1 OR NOT v AND k <= 7),
 w AS (SELECT plan_id, count(*) AS n, arg_max(id, pos) AS last, bool_or(v) AS ok FROM kept GROUP BY plan_id),
@@ -194,11 +205,19 @@ _ALLOWED = [("intake", "memory"), ("memory", "planner"), ("planner", "local_sear
 _STEPS = [(k, p, a) for k, run in enumerate([["intake", "memory", "planner", "local_search", "grade", "synthesize", "verify", "finalize"], ["intake", "planner", "grade"], ["intake"]]) for p, a in enumerate(run)]
 
 
+_NAMES = sorted({a for _, _, a in _STEPS})
+_WALKS = f"""(SELECT * FROM {values_sql(_STEPS, 'run_id, pos, action')} UNION ALL SELECT conv_id + 100, turn, CAST({_NAMES} AS VARCHAR[])[1 + (conv_id * 5 + turn * 3) % {len(_NAMES)}] FROM conversations)"""
+
+
 def action_audit(spark, sf):
-    return r.topology_violations(spark.createDataFrame(_STEPS, "run_id int, pos int, action string"), spark.createDataFrame(_ALLOWED, "src string, dst string"))
+    """The literal runs, and a run of each conversation with an action for every turn."""
+    at = (F.lit(1) + (F.col("conv_id") * 5 + F.col("turn") * 3) % len(_NAMES)).cast("int")
+    walks = read(spark, sf, "conversations").select((F.col("conv_id") + 100).alias("run_id"), F.col("turn").alias("pos"), F.element_at(F.array(*(F.lit(a) for a in _NAMES)), at).alias("action"))
+    steps = spark.createDataFrame(_STEPS, "run_id long, pos long, action string").unionByName(walks)
+    return r.topology_violations(steps, spark.createDataFrame(_ALLOWED, "src string, dst string"))
 
 
-ACTION_AUDIT = f"""SELECT src, dst, run_id, pos FROM (SELECT run_id, pos, action AS src, lead(action) OVER (PARTITION BY run_id ORDER BY pos) AS dst FROM {values_sql(_STEPS, 'run_id, pos, action')}) m
+ACTION_AUDIT = f"""SELECT src, dst, run_id, pos FROM (SELECT run_id, pos, action AS src, lead(action) OVER (PARTITION BY run_id ORDER BY pos) AS dst FROM {_WALKS}) m
 WHERE dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {values_sql(_ALLOWED, 'src, dst')} a WHERE a.src = m.src AND a.dst = m.dst)"""
 
 QUERIES = {f.__name__: f for f in (rule_router, plan_merge, context_router, router_scores, paper_task_router, academic_router, paper_id_extract, year_filter, query_clean, query_expand, research_intent, plan_validation, action_audit)}
