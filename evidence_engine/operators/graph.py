@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import all_of, scaled
-from evidence_engine.sources.scratch import kept
+from evidence_engine.sources.scratch import kept, scratch_path
 
 # Relation ranks and node types of the paper graph.
 RELATION_PRIORITY = {
@@ -34,43 +37,83 @@ def incident(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.where("source <> target").select(F.col("target").alias("node_id"), F.col("source").alias("other_id"), *keep))
 
 
-def adjacency(edges: DataFrame, fan_out: int | None = None) -> DataFrame:
-    """incident edges laid out by node and kept, so that each hop joins the same table: only the frontier moves.
+class Adjacency(NamedTuple):
+    """Edges laid out by node: rows(node_id, part, other_id, edge columns, r, r_back), r and r_back being an edge's place
+    among the best ones of its node and of the other end (null beyond FAN_OUT_MOST), and hubs(node_id, parts)."""
 
-    With fan_out, each node's so many best edges, and their place `r` among them.
-    """
+    rows: DataFrame
+    hubs: DataFrame
+
+
+#: Edges of a node that lie together; a hub's are dealt out to parts of about so many. Buckets of the stored layout.
+HUB, BUCKETS = 50_000, 16
+#: Places of a node's best edges that are known; no search fans out further.
+FAN_OUT_MOST = 64
+
+
+def lay_out(edges: DataFrame, hub: int = HUB, buckets: int = BUCKETS) -> Adjacency:
+    """The incident edges of each node, stored in buckets of (node, part), so that steps join them where they lie and only
+    frontiers move. A hub is in several parts, so neither layout nor step has all its edges in one task."""
+    spark = edges.sparkSession
     inc = incident(edges)
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inc = inc.repartition(tasks, "node_id")
-    if fan_out is not None:
-        inc = inc.withColumn("r", best_first("node_id")).where(F.col("r") <= fan_out)
-    return inc.persist()
+    hubs = inc.groupBy("node_id").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts")).where("parts > 1")
+    hubs = kept(hubs, "graph-hubs")
+    part = F.coalesce(F.pmod(F.xxhash64("edge_id"), F.col("parts")), F.lit(0)).cast("int")
+    rows = inc.join(hubs, "node_id", "left").withColumn("part", part).drop("parts")
+    keys = ["node_id", "edge_id"]
+    # The best edges of a part first, then those of the node among them: at most FAN_OUT_MOST a part.
+    near = rows.select("node_id", "part", "edge_id", "confidence").withColumn("r", best_first("node_id", "part")).where(F.col("r") <= FAN_OUT_MOST)
+    best = near.drop("r").withColumn("r", best_first("node_id")).where(F.col("r") <= FAN_OUT_MOST).select(*keys, "r")
+    name = f"adjacency_{uuid.uuid4().hex}"
+    best = kept(best, "graph-best")
+    rows = rows.join(best, keys, "left").join(best.toDF("other_id", "edge_id", "r_back"), ["other_id", "edge_id"], "left").repartition(buckets, "node_id", "part")
+    rows.write.bucketBy(buckets, "node_id", "part").option("path", scratch_path(spark, "adjacency")).saveAsTable(name)
+    return Adjacency(spark.table(name), hubs)
+
+
+def adjacency(edges: DataFrame | Adjacency) -> Adjacency:
+    return edges if isinstance(edges, Adjacency) else lay_out(edges)
+
+
+def step(frontier: DataFrame, edges: Adjacency, fan_out: int | None = None) -> DataFrame:
+    """frontier(node_id, ...) with the edges at its nodes, or each node's `fan_out` best ones."""
+    parts = frontier.join(edges.hubs, "node_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    rows = edges.rows if fan_out is None else edges.rows.where(F.col("r") <= fan_out)
+    return parts.join(rows, ["node_id", "part"]).drop("part")
 
 
 def best_first(*keys: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "edge_id"))
 
 
-def ego(seeds: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
+def _first_edges(met: DataFrame, limit: int) -> DataFrame:
+    """met(query_id, edge_id, confidence, ...) of each query's `limit` best edges, with their place r. An edge that is met
+    from both ends has one place, and what is beyond the limit goes before rows are shuffled."""
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "edge_id"))
+    return met.withColumn("r", place).where(F.col("r") <= limit)
+
+
+def ego(seeds: DataFrame, edges: DataFrame | Adjacency, limit: int = 8) -> DataFrame:
     """query_id, rank, edge_id, confidence: incident edges of each query's seeds(query_id, node_id), best first."""
-    met = incident(edges).join(seeds, "node_id").select("query_id", "edge_id", "confidence").distinct()
-    return met.withColumn("rank", best_first("query_id")).where(F.col("rank") <= limit).select("query_id", "rank", "edge_id", "confidence")
+    start = seeds.select("query_id", "node_id")
+    met = step(start, edges) if isinstance(edges, Adjacency) else incident(edges).join(start, "node_id")
+    return _first_edges(met.select("query_id", "edge_id", "confidence"), limit).select("query_id", F.col("r").alias("rank"), "edge_id", "confidence").distinct()
 
 
-def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+def k_hop(seeds: DataFrame, edges: DataFrame | Adjacency, depth: int = 2) -> DataFrame:
     """query_id, node_id, hop: nodes within `depth` hops and their distance."""
-    inc = adjacency(edges).select("node_id", "other_id")
+    inc = adjacency(edges)
     seen = seeds.select("query_id", "node_id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):
-        step = frontier.join(inc, "node_id").select("query_id", F.col("other_id").alias("node_id")).distinct()
-        frontier = step.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("hop", F.lit(d))
+        near = step(frontier.select("query_id", "node_id"), inc).select("query_id", F.col("other_id").alias("node_id")).distinct()
+        frontier = near.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("hop", F.lit(d))
         frontier = kept(frontier, "graph-frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 8, dedupe: bool = False) -> DataFrame:
+def subgraph(seeds: DataFrame, edges: DataFrame | Adjacency, depth: int = 2, limit: int = 8, dedupe: bool = False) -> DataFrame:
     """query_id, place, hop, edge_id: for each hop the 3 * limit best edges of the frontier, until `limit` are taken.
 
     An edge may come again in a later hop, as a hop's edges lead back; with dedupe it doesn't. Where seeds have a column
@@ -82,14 +125,13 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 8,
     frontier = visited = seeds.select("query_id", "node_id", own.alias("depth")).distinct()
     out = None
     for d in range(1, hops + 1):
-        met = inc.join(frontier.where(F.col("depth") >= d), "node_id")
-        edge = met.groupBy("query_id", "edge_id", "confidence").agg(F.collect_set("other_id").alias("others"), F.max("depth").alias("depth"))
-        taken = kept(edge.withColumn("r", best_first("query_id")).where(F.col("r") <= 3 * limit), "graph-hop")
-        hop = taken.select("query_id", F.lit(d).alias("hop"), "r", "edge_id", "confidence")
+        met = step(frontier.where(F.col("depth") >= d), inc).select("query_id", "edge_id", "confidence", "other_id", "depth")
+        taken = kept(_first_edges(met, 3 * limit), "graph-hop")
+        hop = taken.select("query_id", F.lit(d).alias("hop"), "r", "edge_id", "confidence").distinct()
         out = hop if out is None else out.unionByName(hop)
         if d < hops:
-            step = taken.select("query_id", F.explode("others").alias("node_id"), "depth").distinct()
-            frontier = step.join(visited, ["query_id", "node_id"], "left_anti")
+            near = taken.select("query_id", F.col("other_id").alias("node_id"), "depth").distinct()
+            frontier = near.join(visited, ["query_id", "node_id"], "left_anti")
             visited = visited.unionByName(frontier)
     if dedupe:
         first = F.row_number().over(Window.partitionBy("query_id", "edge_id").orderBy("hop"))
@@ -98,11 +140,11 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 8,
     return out.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "hop", "edge_id")
 
 
-def paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, depth: int = 3, limit: int = 8, fan_out: int = FAN_OUT) -> DataFrame:
+def paths(starts: DataFrame, targets: DataFrame, edges: DataFrame | Adjacency, depth: int = 3, limit: int = 8, fan_out: int = FAN_OUT) -> DataFrame:
     """query_id, place, hops, nodes, edges: simple paths from starts to targets (query_id, node_id each), in the order of
     a breadth-first search that goes on from each node over its `fan_out` best edges and ends at a target. Where starts
     have a column depth, it is each query's own, up to `depth`."""
-    inc = adjacency(edges, fan_out).select("node_id", "other_id", "edge_id", "r")
+    inc = adjacency(edges)
     hops = max(2, min(MAX_DEPTH, depth))
     own = F.col("depth") if "depth" in starts.columns else F.lit(hops)
     goal = targets.select("query_id", F.col("node_id").alias("other_id"), F.lit(True).alias("hit")).distinct()
@@ -110,24 +152,25 @@ def paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, depth: int =
     done = None
     for d in range(1, hops + 1):
         if d == hops:
-            # The last step only looks for targets, so it starts from the edges that lead to one.
-            last = inc.join(goal, "other_id").select("query_id", "node_id", "other_id", "edge_id", "r", "hit")
-            step = open_paths.where(F.col("depth") >= d).join(last, ["query_id", "node_id"])
+            # The last step only looks for targets: the edges at these, seen from the other end, meet the open paths.
+            back = step(goal.select("query_id", F.col("other_id").alias("node_id"), "hit"), inc).where(F.col("r_back") <= fan_out)
+            ends = back.select("query_id", F.col("other_id").alias("node_id"), F.col("node_id").alias("other_id"), "edge_id", F.col("r_back").alias("r"), "hit")
+            near = open_paths.where(F.col("depth") >= d).join(ends, ["query_id", "node_id"])
         else:
-            step = open_paths.where(F.col("depth") >= d).join(inc, "node_id").join(goal, ["query_id", "other_id"], "left")
-        step = step.where(~F.array_contains("nodes", F.col("other_id")))
-        step = step.select("query_id", "other_id", "depth", "hit", F.array_append("nodes", F.col("other_id")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("order", F.col("r")).alias("order"))
+            near = step(open_paths.where(F.col("depth") >= d), inc, fan_out).join(goal, ["query_id", "other_id"], "left")
+        near = near.where(~F.array_contains("nodes", F.col("other_id")))
+        near = near.select("query_id", "other_id", "depth", "hit", F.array_append("nodes", F.col("other_id")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("order", F.col("r")).alias("order"))
         if d < hops:
-            step = kept(step, "graph-paths")
-        found = step.where("hit").select("query_id", F.lit(d).alias("hops"), "nodes", "edges", "order")
+            near = kept(near, "graph-paths")
+        found = near.where("hit").select("query_id", F.lit(d).alias("hops"), "nodes", "edges", "order")
         done = found if done is None else done.unionByName(found)
         if d < hops:
-            open_paths = step.where("hit is null").select("query_id", F.col("other_id").alias("node_id"), "depth", "nodes", "edges", "order")
+            open_paths = near.where("hit is null").select("query_id", F.col("other_id").alias("node_id"), "depth", "nodes", "edges", "order")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("hops", "order", "nodes"))
     return done.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "hops", "nodes", "edges")
 
 
-def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+def neighbourhood(seeds: DataFrame, edges: DataFrame | Adjacency, depth: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around each query's centre(query_id, node_id): nodes(query_id, node_id, hop) hop by hop until a
     query has `limit` of them, and the first `limit` edges(query_id, place, hop, edge_id) met on the way, again in each
     hop that meets them."""
@@ -137,11 +180,11 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 1, limit: int
     for d in range(1, depth + 1):
         # A query that has enough nodes goes no further.
         full = seen.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id")
-        met = frontier.join(full, "query_id", "left_anti").select("query_id", "node_id").join(inc, "node_id")
+        met = step(frontier.join(full, "query_id", "left_anti").select("query_id", "node_id"), inc)
         edge = met.select("query_id", F.lit(d).alias("hop"), "edge_id").distinct()
         met_all = edge if met_all is None else met_all.unionByName(edge)
-        step = met.select("query_id", F.col("other_id").alias("node_id")).distinct()
-        frontier = step.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("hop", F.lit(d))
+        near = met.select("query_id", F.col("other_id").alias("node_id")).distinct()
+        frontier = near.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").withColumn("hop", F.lit(d))
         frontier = kept(frontier, "graph-frontier")
         seen = seen.unionByName(frontier)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "edge_id"))

@@ -73,7 +73,7 @@ def graph_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.when(F.size("entities") > 0, F.col("entities")).otherwise(own).alias("names"))
 
 
-def routes(queries: DataFrame, plans: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = 10, index: str | None = None) -> DataFrame:
+def routes(queries: DataFrame, plans: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = 10, index: str | None = None, near: graph.Adjacency | None = None) -> DataFrame:
     """The hits of all four routes of queries(query_id, text) under plans(query_id, text, intent, graph_method, *_top_k,
     graph_depth, entities)."""
     text = chunks.select("chunk_id", F.col("source").alias("title"), "content", "source", _column(chunks, "chunk_type"), _column(chunks, "section_path"))
@@ -92,7 +92,7 @@ def routes(queries: DataFrame, plans: DataFrame, chunks: DataFrame, vectors: Dat
     )
     seeds = policies.resolve_seeds(graph_terms(plans), nodes, given=named.select("query_id", F.col("rank").alias("place"), "node_id"))
     wanted = F.coalesce(F.nullif(F.col("graph_top_k"), F.lit(0)), F.lit(top_k))
-    found = papergraph.search(plans, seeds, nodes, edges, 20).join(plans.select("query_id", wanted.alias("k")), "query_id").where(F.col("place") <= F.col("k"))
+    found = papergraph.search(plans, seeds, nodes, edges, 20, near).join(plans.select("query_id", wanted.alias("k")), "query_id").where(F.col("place") <= F.col("k"))
     found = kept(found, "graph-hits")
     shown = papergraph.describe(found, nodes, edges)
     linked = shown.select(

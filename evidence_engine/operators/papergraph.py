@@ -69,7 +69,7 @@ def paper_subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, queries
     """query_id, place, hop, edge_id: hop by hop the frontier's edges of the wanted relations, ranked by the domain, each
     edge once, until there are `limit`. Where seeds have a column depth, it is each query's own, up to `depth`."""
     wanted = queries.select("query_id", policies.relation_filter(F.col("text")).alias("relations"))
-    named = graph.hydrate(edges, nodes).persist()
+    named = kept(graph.hydrate(edges, nodes), "graph-named")
     hops = min(max(depth, 1), DEPTH_MOST)
     own = F.col("depth") if "depth" in seeds.columns else F.lit(hops)
     frontier = visited = seeds.select("query_id", "node_id", own.alias("depth")).distinct()
@@ -103,13 +103,13 @@ def paper_paths(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, queries: D
     query asks for, in the order of a breadth-first search over each node's FAN_OUT most confident edges in the domain's
     order. A path goes on through a target; a query that names no type gets no path."""
     wanted = queries.select("query_id", "text", policies.target_types(F.col("text")).alias("types")).where(F.size("types") > 0)
-    inc = graph.adjacency(graph.hydrate(edges, nodes), FAN_OUT)
-    inc = inc.join(nodes.select(F.col("node_id").alias("other_id"), F.col("type").alias("other_type")), "other_id")
+    inc = graph.lay_out(graph.hydrate(edges, nodes))
+    types = nodes.select(F.col("node_id").alias("other_id"), F.col("type").alias("other_type"))
     nothing = F.array().cast("array<bigint>")
     paths = seeds.join(wanted.select("query_id"), "query_id").select("query_id", "node_id", F.array("node_id").alias("nodes"), nothing.alias("edges"), F.array(F.col("place").cast("int")).alias("order"))
     done = None
     for d in range(1, depth + 1):
-        step = paths.join(inc, "node_id").where(~F.array_contains("nodes", F.col("other_id")))
+        step = graph.step(paths, inc, FAN_OUT).join(types, "other_id").where(~F.array_contains("nodes", F.col("other_id")))
         step = _rank_keys(step, wanted)
         # The places of a path's steps among all steps from its end, those that were visited already left out.
         place = F.row_number().over(Window.partitionBy("query_id", "order").orderBy(*_order()))
@@ -131,7 +131,7 @@ def _path_hits(found: DataFrame, kind: str) -> DataFrame:
     return found.select("query_id", "place", F.lit(kind).alias("result_type"), key.alias("hit_id"), "edges")
 
 
-def path_or_ego(seeds: DataFrame, edges: DataFrame, limit: int = 8, depth: int = 3) -> DataFrame:
+def path_or_ego(seeds: DataFrame, edges: DataFrame | graph.Adjacency, limit: int = 8, depth: int = 3) -> DataFrame:
     """Hits of paths from a query's first seed to any other, or of the edges at its seeds where there is no path. Where
     seeds have a column depth, it is each query's own."""
     start = seeds.where("place = 1").drop("place")
@@ -142,7 +142,7 @@ def path_or_ego(seeds: DataFrame, edges: DataFrame, limit: int = 8, depth: int =
     return found.unionByName(_edge_hits(ego, "ego"))
 
 
-def search(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+def search(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 10, near: graph.Adjacency | None = None) -> DataFrame:
     """query_id, place, result_type, hit_id, edges: the graph hits of queries(query_id, text, graph_method, graph_depth)
     from their seeds(query_id, place, node_id).
 
@@ -150,7 +150,8 @@ def search(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFr
     query's search is the paper graph's: paths to the types it names, else between its seeds if it names none, else the
     ranked subgraph of 1 to 3 hops.
     """
-    seeds, edges = kept(seeds, "graph-seeds"), edges.persist()
+    seeds, edges = kept(seeds, "graph-seeds"), kept(edges, "graph-edges")
+    near = near or graph.lay_out(edges)
     method, paper = F.col("graph_method"), F.col("paper")
     between = lambda low, high: F.least(F.greatest(F.coalesce("graph_depth", F.lit(1)), F.lit(low)), F.lit(high))
     depth = F.when(paper & (method == "path"), DEPTH_MOST).when(paper, between(1, DEPTH_MOST)).when(method == "path", between(2, 3)).otherwise(between(1, 2))
@@ -174,12 +175,12 @@ def search(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFr
     several = all_seeds.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 2").select("query_id")
     joined = of("not paper and method = 'path'").unionByName(of("paper and method = 'path' and types = 0").join(several, "query_id", "left_semi"))
     text = asked.select("query_id", "text")
-    ego = graph.ego(of("not paper and method = 'ego'").select("query_id", "node_id"), edges, limit).withColumnRenamed("rank", "place")
+    ego = graph.ego(of("not paper and method = 'ego'").select("query_id", "node_id"), near, limit).withColumnRenamed("rank", "place")
     found = [_edge_hits(ego, "ego")]
     if todo & {(False, "path", False), (False, "path", True), (True, "path", False)}:
-        found.append(path_or_ego(joined, edges, limit))
+        found.append(path_or_ego(joined, near, limit))
     if todo & {(False, "subgraph", False), (False, "subgraph", True)}:
-        around = graph.subgraph(of("not paper and method = 'subgraph'").select("query_id", "node_id", "depth"), edges, 2, limit)
+        around = graph.subgraph(of("not paper and method = 'subgraph'").select("query_id", "node_id", "depth"), near, 2, limit)
         found.append(_edge_hits(around, "subgraph"))
     if any_paper:
         found.append(_edge_hits(paper_ego(of("paper and method = 'ego'"), nodes, edges, text, limit), "paper_ego"))

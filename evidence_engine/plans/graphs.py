@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import scaled
 from evidence_engine.operators import graph, papergraph
+from evidence_engine.plans import stored
 from evidence_engine.sources.literals import values_sql
 from evidence_engine.sources.tables import graph_edges, graph_nodes, read, with_ctes
 
@@ -20,7 +21,7 @@ def seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_ego(spark, sf):
-    out = graph.ego(seeds(spark, sf), graph_edges(spark, sf))
+    out = graph.ego(seeds(spark, sf), stored.adjacency_of(spark, sf))
     return out.select("query_id", "rank", "edge_id", scaled(F.col("confidence")).alias("confidence"))
 
 
@@ -31,7 +32,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, edge_id, CAST(floor(confidence *
 
 
 def graph_khop(spark, sf):
-    return graph.k_hop(seeds(spark, sf), graph_edges(spark, sf)).groupBy("query_id", "hop").agg(F.count("*").alias("nodes"), F.sum("node_id").alias("id_sum"))
+    return graph.k_hop(seeds(spark, sf), stored.adjacency_of(spark, sf)).groupBy("query_id", "hop").agg(F.count("*").alias("nodes"), F.sum("node_id").alias("id_sum"))
 
 
 KHOP = with_ctes("g_nodes g_edges incident", f""", {_SEED_SQL},
@@ -43,7 +44,7 @@ SELECT query_id, CAST(hop AS INTEGER) AS hop, count(*) AS nodes, CAST(sum(node_i
 
 
 def graph_subgraph_2hop(spark, sf):
-    return graph.subgraph(seeds(spark, sf), graph_edges(spark, sf), depth=2, limit=40)
+    return graph.subgraph(seeds(spark, sf), stored.adjacency_of(spark, sf), depth=2, limit=40)
 
 
 SUBGRAPH = with_ctes("g_nodes g_edges incident", f""", {_SEED_SQL},
@@ -63,7 +64,7 @@ def _targets(spark, sf):
 
 
 def graph_path_3(spark, sf):
-    found = graph.paths(seeds(spark, sf), _targets(spark, sf), graph_edges(spark, sf))
+    found = graph.paths(seeds(spark, sf), _targets(spark, sf), stored.adjacency_of(spark, sf))
     return found.select("query_id", "place", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes"))
 
 
@@ -80,7 +81,7 @@ SELECT query_id, CAST(place AS INTEGER) AS place, CAST(hops AS INTEGER) AS hops,
 
 def graph_path_text(spark, sf):
     edges = graph_edges(spark, sf)
-    return graph.path_text(graph.paths(seeds(spark, sf), _targets(spark, sf), edges), edges, graph_nodes(spark, sf))
+    return graph.path_text(graph.paths(seeds(spark, sf), _targets(spark, sf), stored.adjacency_of(spark, sf)), edges, graph_nodes(spark, sf))
 
 
 PATH_TEXT = PATHS[: PATHS.rindex("SELECT query_id, CAST(place")] .replace("list_append(ord, r) AS ord", "list_append(ord, r) AS ord, list_append(es, edge_id) AS es").replace("CAST([] AS BIGINT[]) AS ord", "CAST([] AS BIGINT[]) AS ord, CAST([] AS BIGINT[]) AS es") + """,
@@ -143,7 +144,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, edge_id FROM (
 
 def graph_neighbourhood(spark, sf):
     """How far each supplier's view of 100 nodes reaches, and its edges."""
-    nodes, edges = graph.neighbourhood(seeds(spark, sf), graph_edges(spark, sf), depth=2, limit=100)
+    nodes, edges = graph.neighbourhood(seeds(spark, sf), stored.adjacency_of(spark, sf), depth=2, limit=100)
     a = nodes.groupBy("query_id").agg(F.count("*").alias("nodes"), F.max("hop").alias("hops"))
     return a.join(edges.groupBy("query_id").agg(F.count("*").alias("edges"), F.sum("edge_id").alias("edge_sum")), "query_id")
 

@@ -12,7 +12,7 @@ from evidence_engine.plans.routing import _plan_sql
 from evidence_engine.plans.search import _BM25, nearest_sql
 from evidence_engine.sources.literals import values_sql
 from evidence_engine.sources.scratch import kept
-from evidence_engine.sources.tables import CTES, graph_edges, graph_nodes, query_set
+from evidence_engine.sources.tables import CTES, query_set
 
 #: Questions that name nodes of the graph, beside the benchmark's texts, so that every route and method has hits.
 QUESTIONS = [
@@ -30,7 +30,7 @@ def inputs(spark, sf):
     """(queries, plans, hits): the plans of all queries and the four routes' hits."""
     q = kept(asked(spark, sf), "hybrid-queries")
     plans, docs = kept(rule_plan(q), "hybrid-plans"), stored.stored_chunks(spark, sf)
-    hits = hybrid.routes(q, plans, docs, stored.chunk_vectors(spark, sf), graph_nodes(spark, sf), graph_edges(spark, sf), top_k=8, index=stored.text_index(spark, sf))
+    hits = hybrid.routes(q, plans, docs, stored.chunk_vectors(spark, sf), stored.nodes_of(spark, sf), stored.edges_of(spark, sf), top_k=8, index=stored.text_index(spark, sf), near=stored.adjacency_of(spark, sf))
     return q, plans, kept(hits, "hybrid-hits")
 
 
@@ -154,7 +154,7 @@ FROM plans p LEFT JOIN sc USING (query_id) GROUP BY p.query_id, p.text, intent""
 def kg_search(spark, sf):
     """Entities and relations of a search in the graph, as one list."""
     q, plans, hits = inputs(spark, sf)
-    entities, relations = hybrid.kg_search(hybrid.search(q, plans, hits), hits, graph_nodes(spark, sf), graph_edges(spark, sf))
+    entities, relations = hybrid.kg_search(hybrid.search(q, plans, hits), hits, stored.nodes_of(spark, sf), stored.edges_of(spark, sf))
     a = entities.select("query_id", F.lit("entity").alias("kind"), "rank", "name")
     return a.unionByName(relations.select("query_id", F.lit("relation").alias("kind"), "rank", F.concat_ws(" ", "source_name", "relation", "target_name").alias("name")))
 

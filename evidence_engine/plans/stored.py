@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidence_engine.operators import postings, vector_index
+from evidence_engine.operators import graph, postings, vector_index
 from evidence_engine.operators.embedding import embed
 from evidence_engine.sources.scratch import kept, scratch_path
-from evidence_engine.sources.tables import chunks, read
+from evidence_engine.sources.tables import chunks, graph_edges, graph_nodes, read
 
 #: Cells that an approximate search visits for each query.
 PROBES = 16
@@ -52,3 +52,16 @@ def vector_index_of(spark: SparkSession, sf_dir: str) -> str:
         return at
 
     return _once(spark, sf_dir, "embeddings", build)
+
+
+def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "nodes", lambda: kept(graph_nodes(spark, sf_dir), "stored-nodes"))
+
+
+def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "edges", lambda: kept(graph_edges(spark, sf_dir), "stored-edges"))
+
+
+def adjacency_of(spark: SparkSession, sf_dir: str) -> graph.Adjacency:
+    """The edges laid out by node."""
+    return _once(spark, sf_dir, "adjacency", lambda: graph.lay_out(edges_of(spark, sf_dir)))

@@ -118,3 +118,36 @@ def test_vector_index(spark, tmp_path):
     few = vecs.where("vec_id < 3")
     vector_index.build(few, f"file://{tmp_path}/few")
     assert sorted(map(tuple, vector_index.search(q, f"file://{tmp_path}/few").collect())) == sorted(map(tuple, vector.knn(q, few).collect()))
+
+
+def test_hubs_are_split_and_edges_stay(spark):
+    """A node of 300 edges lies in parts of about 40; searches give what they give without a layout of parts, a hop moves its
+    frontier alone, and no part holds the hub."""
+    from evidence_engine.operators import graph
+
+    rng = random.Random(2)
+    pairs = {(0, k) for k in range(1, 301)} | {tuple(rng.sample(range(301), 2)) for _ in range(400)} | {(5, 5)}
+    rows = [(i, a, b, "R", round(rng.random(), 2)) for i, (a, b) in enumerate(sorted(pairs))]
+    edges = spark.createDataFrame(rows, "edge_id long, source long, target long, relation string, confidence double")
+    whole, split = graph.lay_out(edges, hub=10_000, buckets=4), graph.lay_out(edges, hub=40, buckets=4)
+    assert whole.hubs.count() == 0 and {r.node_id for r in split.hubs.collect()} == {0}
+    sizes = {r["part"]: r["count"] for r in split.rows.where("node_id = 0").groupBy("part").count().collect()}
+    assert len(sizes) >= 7 and max(sizes.values()) < 80 and split.rows.count() == whole.rows.count()
+    start = spark.createDataFrame([(q, q) for q in range(0, 60, 5)], "query_id long, node_id long")
+    goal = spark.createDataFrame([(q, (q * 7 + 3) % 301) for q in range(0, 60, 5)], "query_id long, node_id long")
+    for search in (lambda e: graph.ego(start, e, 5), lambda e: graph.k_hop(start, e, 2), lambda e: graph.subgraph(start, e, 2, 20), lambda e: graph.paths(start, goal, e, 3, 8)):
+        assert sorted(map(tuple, search(whole).collect()), key=repr) == sorted(map(tuple, search(split).collect()), key=repr)
+    assert graph.paths(start, goal, split, 3, 8).count() > 0
+    # Without broadcasts, as with large frontiers: the stored edges are read by bucket, not dealt out anew.
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(was, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        frontier = start.join(split.hubs, "node_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        plan = frontier.join(split.rows, ["node_id", "part"])._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "SelectedBucketsCount: 4 out of 4" in plan
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(node_id" in line and ", part" in line]
+        assert len(moved) == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
