@@ -126,7 +126,7 @@ SELECT query_id, CAST(place AS INTEGER) AS place, chunk_id, score FROM (SELECT *
 
 def bm25_from_index(spark, sf):
     """bm25_topk over the stored index, by its blocks' bounds."""
-    return postings.search(query_set(spark, sf), stored.text_index(spark, sf))
+    return postings.search(query_set(spark, sf), stored.text_index(spark, sf), bounded=True)
 
 
 def bm25_after_upkeep(spark, sf):
@@ -141,7 +141,7 @@ def bm25_after_upkeep(spark, sf):
     postings.append(changed.withColumn("content", F.concat("content", F.lit(" appended"))), at)
     postings.compact(spark, at)
     postings.delete(rows.where("source = 'src2'").select("chunk_id"), at)
-    return postings.search(query_set(spark, sf), at)
+    return postings.search(query_set(spark, sf), at, bounded=True)
 
 
 _UPKEEP = CTES["chunks"].replace("chunks AS (", "raw AS (", 1) + """, chunks AS (
