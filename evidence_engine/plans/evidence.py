@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_engine.operators import evidence as ev
-from evidence_engine.operators import lexical, routing
+from evidence_engine.operators import lexical, postings, routing
+from evidence_engine.plans import stored
 from evidence_engine.plans.routing import has
 from evidence_engine.plans.search import _BM25
 from evidence_engine.sources import literals
@@ -58,6 +59,35 @@ g1 AS ({_grade_sql('ctx1')}), g2 AS ({_grade_sql('ctx5', 'true')})
 SELECT *, 1 AS round FROM g1 WHERE sufficient UNION ALL SELECT *, 2 FROM g2 WHERE query_id IN (SELECT query_id FROM g1 WHERE NOT sufficient)""")
 
 
+#: Chunks that each round of the corrective loop reads for a query.
+DEPTHS = (1, 2, 4, 8)
+
+
+def corrective_loop(spark, sf):
+    """Four rounds over the stored index, each for the queries that the rounds before left open."""
+    docs, index = stored.stored_chunks(spark, sf), stored.text_index(spark, sf)
+
+    def retrieve(asked, depth):
+        found = postings.search(asked, index, depth)
+        return found.join(docs.select("chunk_id", "content"), "chunk_id").select("query_id", F.col("rank").alias("place"), "content")
+
+    return ev.corrective_rounds(query_set(spark, sf), retrieve, DEPTHS)
+
+
+def _rounds_sql() -> str:
+    ctx = lambda k: _TOPK.format(k)[_TOPK.format(k).index(",\nctx") :]
+    grades = [f"g{n} AS ({_grade_sql(f'ctx{k}', str(n >= 2).lower())})" for n, k in enumerate(DEPTHS, 1)]
+    parts = []
+    for n, k in enumerate(DEPTHS, 1):
+        before = "".join(f" AND query_id IN (SELECT query_id FROM g{m} WHERE NOT sufficient)" for m in range(1, n))
+        parts.append(f"SELECT *, {n} AS round, {k} AS depth FROM g{n} WHERE {'true' if n == len(DEPTHS) else 'sufficient'}{before}")
+    top = _TOPK.format(1)[: _TOPK.format(1).index(",\nctx")]
+    return with_ctes("chunks qset", _BM25 % "qset" + top + "".join(map(ctx, DEPTHS)) + ",\n" + ",\n".join(grades) + "\n" + "\nUNION ALL ".join(parts))
+
+
+ROUNDS = _rounds_sql()
+
+
 def repair_plan(spark, sf):
     return ev.repair(routing.rule_plan(questions(spark, sf)).withColumn("sufficient", F.col("query_id") % 2 == 0))
 
@@ -238,8 +268,8 @@ ARXIV_IMPORT = f"""WITH {_AQ}, f AS (SELECT *, rank % 2 AS query_id, regexp_extr
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, arxiv_id ORDER BY quality DESC, url) AS k FROM f WHERE arxiv_id <> '')
 SELECT query_id, CAST(place AS INTEGER) AS place, arxiv_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, arxiv_id) AS place FROM o WHERE k = 1) WHERE place <= 3"""
 
-QUERIES = {f.__name__: f for f in (evidence_grade, two_round_repair, repair_plan, claims_extract, citation_match, citation_verify, evidence_dedupe, missing_types, web_quality, web_rank_dedupe, web_usable, academic_rank, academic_relevance, paper_verify, arxiv_import_candidates)}
+QUERIES = {f.__name__: f for f in (evidence_grade, two_round_repair, corrective_loop, repair_plan, claims_extract, citation_match, citation_verify, evidence_dedupe, missing_types, web_quality, web_rank_dedupe, web_usable, academic_rank, academic_relevance, paper_verify, arxiv_import_candidates)}
 ORACLES = {
-    "evidence_grade": GRADE, "two_round_repair": TWO_ROUND, "repair_plan": _repair_sql(), "claims_extract": CLAIMS, "citation_match": CITATION_MATCH, "citation_verify": CITATION_VERIFY, "evidence_dedupe": DEDUPE, "missing_types": MISSING_TYPES,
+    "evidence_grade": GRADE, "two_round_repair": TWO_ROUND, "corrective_loop": ROUNDS, "repair_plan": _repair_sql(), "claims_extract": CLAIMS, "citation_match": CITATION_MATCH, "citation_verify": CITATION_VERIFY, "evidence_dedupe": DEDUPE, "missing_types": MISSING_TYPES,
     "web_quality": WEB_QUALITY, "web_rank_dedupe": WEB_DEDUPE, "web_usable": WEB_USABLE, "academic_rank": ACADEMIC_RANK, "academic_relevance": ACADEMIC_RELEVANCE, "paper_verify": PAPER_VERIFY, "arxiv_import_candidates": ARXIV_IMPORT,
 }

@@ -151,3 +151,26 @@ def test_hubs_are_split_and_edges_stay(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_later_rounds_read_what_is_left(spark):
+    """Of six queries two need one piece, two need three, one needs six and one is never answered."""
+    from evidence_engine.operators import evidence
+
+    need = {1: 1, 2: 1, 3: 3, 4: 3, 5: 6, 6: 99}
+    words = "alpha beta gamma delta"
+    queries = spark.createDataFrame([(q, words) for q in need], "query_id long, text string")
+    asked = []
+
+    def retrieve(frontier, depth):
+        ids = sorted(r.query_id for r in frontier.collect())
+        asked.append((depth, ids))
+        rows = [(q, k, (words if depth >= need[q] else "nothing") + " x" * 800) for q in ids for k in range(1, depth + 1)]
+        return spark.createDataFrame(rows, "query_id long, place int, content string")
+
+    got = {r.query_id: r for r in evidence.corrective_rounds(queries, retrieve, (1, 3, 6, 8)).collect()}
+    assert asked == [(1, [1, 2, 3, 4, 5, 6]), (3, [3, 4, 5, 6]), (6, [5, 6]), (8, [6])]
+    assert {q: r["round"] for q, r in got.items()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 4}
+    assert got[5].sufficient and not got[6].sufficient and got[6].action == "web_verify"
+    asked.clear()
+    assert evidence.corrective_rounds(queries.where("query_id < 3"), retrieve, (1, 3, 6)).count() == 2 and len(asked) == 1
