@@ -50,3 +50,9 @@ def hits(terms: Column, text: Column) -> Column:
 def scaled(x: Column) -> Column:
     """A score as millionths: the same integer in every engine, where doubles differ in their last bits."""
     return F.floor(x * 1e6 + 0.5).cast("bigint")
+
+
+def pieces_of(text: Column, size: int) -> Column:
+    """All pieces of `size` characters of a text; none of a shorter one."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence_engine.functions.text import all_of, scaled
+from evidence_engine.functions.text import all_of, pieces_of, scaled
 from evidence_engine.sources.scratch import kept, scratch_path
 
 # Relation ranks and node types of the paper graph.
@@ -261,12 +261,6 @@ def path_text(found: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame
 GRAMS = (3, 2)
 
 
-def _grams(text: Column, size: int) -> Column:
-    """All pieces of `size` characters of a text; none of a shorter one."""
-    last = F.length(text) - size + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-
-
 def named_like(terms: DataFrame, nodes: DataFrame, literal: bool = False) -> DataFrame:
     """key, node_id: nodes whose name holds a term(key, lower-cased) as ILIKE does, `_` standing for any character; with
     literal it doesn't.
@@ -275,10 +269,10 @@ def named_like(terms: DataFrame, nodes: DataFrame, literal: bool = False) -> Dat
     without a whole piece (all of their pieces have a `_`, or they are single characters) are compared with all names.
     """
     plain = (lambda g: F.lit(True)) if literal else (lambda g: ~F.contains(g, F.lit("_")))
-    piece = F.coalesce(*(F.try_element_at(F.filter(_grams(F.col("key"), n), plain), F.lit(1)) for n in GRAMS))
+    piece = F.coalesce(*(F.try_element_at(F.filter(pieces_of(F.col("key"), n), plain), F.lit(1)) for n in GRAMS))
     asked = terms.select("key", piece.alias("piece"))
     low = F.lower(F.col("name"))
-    pieces = F.array_distinct(F.concat(*(_grams(low, n) for n in GRAMS)))
+    pieces = F.array_distinct(F.concat(*(pieces_of(low, n) for n in GRAMS)))
     holds = F.contains(F.lower("name"), F.col("key")) if literal else F.expr("name ILIKE concat('%', key, '%')")
     wanted = asked.where("piece is not null")
     spread_out = nodes.select("node_id", "name", F.explode(pieces).alias("piece")).join(wanted, "piece").where(holds)

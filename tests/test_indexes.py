@@ -174,3 +174,26 @@ def test_later_rounds_read_what_is_left(spark):
     assert got[5].sufficient and not got[6].sufficient and got[6].action == "web_verify"
     asked.clear()
     assert evidence.corrective_rounds(queries.where("query_id < 3"), retrieve, (1, 3, 6)).count() == 2 and len(asked) == 1
+
+
+def test_claims_meet_few_pieces(spark):
+    """The overlap join against all pairs, on evidence of which most shares frequent terms only; candidates are counted."""
+    from evidence_engine.operators import evidence
+
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "abc" for b in "xyz" for c in ("tan", "rok", "mil")]
+    often = ["common", "words"]
+    text = lambda n: " ".join(rng.choices(words, k=n) + often)
+    claims = [(q, k, text(rng.choice([0, 3, 6, 10])) if k else "??") for q in range(6) for k in range(4)] + [(6, 1, "词语 数据"), (6, 2, "图谱")]
+    pieces = [(q, f"e{k}", k, rng.choice([None, "Title"]), text(rng.randint(1, 8)).upper()) for q in range(6) for k in range(1, 9)] + [(6, "z", 1, "", "关于数据与词语"), (6, "y", 2, None, "xx")]
+    c = spark.createDataFrame(claims, "query_id long, claim_no int, claim string")
+    e = spark.createDataFrame(pieces, "query_id long, evidence_id string, place int, title string, content string")
+    terms = {(r.query_id, r.claim_no): r.t for r in c.select("query_id", "claim_no", evidence.claim_terms(F.col("claim")).alias("t")).collect()}
+    want = set()
+    for (q, k), ts in terms.items():
+        for p, i, place, title, content in pieces:
+            body = " ".join(x for x in (title, content) if x is not None).lower()
+            if p == q and (place == 1 if not ts else sum(t in body for t in ts) >= max(1, min(2, len(ts) // 4))):
+                want.add((q, k, i, place))
+    assert {tuple(r) for r in evidence.match_claims(c, e).collect()} == want
+    assert evidence.claim_candidates(c, e).count() < sum(1 for q, k in terms for p in pieces if p[0] == q)
