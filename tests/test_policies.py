@@ -23,15 +23,16 @@ def test_layout(spark):
     ]
 
 
-def test_gates(spark):
-    gate = {r.query_id: r.ask for r in policies.model_gate(spark, "").collect()}
+def test_gates(spark, sf):
+    own = lambda query: query(spark, sf).where("query_id < 100")  # noqa: E731  (ids of the literal rows)
+    gate = {r.query_id: r.ask for r in own(policies.model_gate).collect()}
     assert (gate[1], gate[9], gate[7], gate[13]) == (False, False, True, True)
-    over = {r.query_id: r for r in policies.plan_override(spark, "").collect()}
+    over = {r.query_id: r for r in own(policies.plan_override).collect()}
     assert (over[4].bm25_top_k, over[4].vector_top_k, over[4].graph_depth, over[4].graph_method, over[4].intent, over[4].preferred) == (20, 10, 1, "path", "explain", "table,method")
     assert (over[9].bm25_top_k, over[9].graph_method) == (3, "ego")
-    assert rows(policies.next_step(spark, ""), "query_id", "next") == {(1, "external_search"), (2, "external_search"), (3, "paper_analysis"), (4, "external_search"), (5, "observation"), (6, "observation")}
-    assert rows(policies.answer_verify(spark, ""), "query_id", "supported") == {(1, True), (2, False), (3, False), (4, True)}
-    assert rows(policies.related_papers(spark, ""), "query_id", "paper_id") == {(1, "p1"), (1, "p3"), (1, "p4"), (2, "p2"), (2, "s2"), (2, "s3")}
+    assert rows(own(policies.next_step), "query_id", "next") == {(1, "external_search"), (2, "external_search"), (3, "paper_analysis"), (4, "external_search"), (5, "observation"), (6, "observation")}
+    assert rows(own(policies.answer_verify), "query_id", "supported") == {(1, True), (2, False), (3, False), (4, True)}
+    assert rows(own(policies.related_papers), "query_id", "paper_id") == {(1, "p1"), (1, "p3"), (1, "p4"), (2, "p2"), (2, "s2"), (2, "s3")}
 
 
 def test_topics(spark):
