@@ -44,16 +44,17 @@ lab AS (
   SELECT page_id, bad FROM t JOIN marks ON marks.doc_id = TRY_CAST(nullif(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1), '') AS BIGINT)),
 least AS (SELECT greatest(20, CAST(ceil(0.002::DOUBLE * count(*)) AS BIGINT)) AS k FROM lab),
 sub AS (
-  SELECT page_id, i AS last, ts[i] AS s FROM t, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i)
+  SELECT page_id, i AS last, ts[i] AS s, 1 AS size FROM t, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i)
   UNION ALL
-  SELECT sub.page_id, j, sub.s || ' ' || ts[j] FROM sub JOIN t USING (page_id), LATERAL (SELECT unnest(range(sub.last + 1, len(ts) + 1)) AS j)),
+  SELECT sub.page_id, j, sub.s || ' ' || ts[j], size + 1 FROM sub JOIN t USING (page_id), LATERAL (SELECT unnest(range(sub.last + 1, len(ts) + 1)) AS j) WHERE size < 4),
 counted AS (
   SELECT s, count(*) AS n, count(*) FILTER (WHERE bad) AS b FROM sub JOIN lab USING (page_id) GROUP BY s),
 rules AS (
-  SELECT s, true AS bad, n, b AS hit FROM counted, least WHERE b >= k AND b >= 0.6::DOUBLE * n
-  UNION ALL SELECT s, false, n, n - b FROM counted, least WHERE n - b >= k AND n - b >= 0.6::DOUBLE * n),
+  SELECT s, bad, n, hit FROM (SELECT s, true AS bad, n::DOUBLE AS n, b::DOUBLE AS hit FROM counted UNION ALL SELECT s, false, n, n - b FROM counted), least,
+    (SELECT count(*)::DOUBLE AS rows, (count(*) FILTER (WHERE bad))::DOUBLE AS bads FROM lab), LATERAL (SELECT CASE WHEN bad THEN bads ELSE rows - bads END AS base, hit * rows - n * base AS gain)
+  WHERE hit >= k AND hit >= 0.6::DOUBLE * n AND gain > 0 AND gain * gain > n * base * (rows - base) * 25),
 best AS (
-  SELECT page_id, max({'bad': bad, 'c': CAST(floor(hit * 1000000 / n::DOUBLE + 0.5) AS BIGINT), 'n': n}) AS m FROM sub JOIN rules USING (s) GROUP BY page_id),
+  SELECT page_id, max({'bad': bad, 'c': CAST(floor(hit * 1000000 / n::DOUBLE + 0.5) AS BIGINT), 'n': n::BIGINT}) AS m FROM sub JOIN rules USING (s) GROUP BY page_id),
 fixed(no, h, p, v) AS (VALUES (1, 'com', '/', 'allow'), (2, 'example.com', '/en/', 'block'), (3, 'www.example.com', '/en/', 'allow'), (4, 'net', '/es/', 'block'), (5, 'net', '/fr/', 'block')),
 hand AS (
   SELECT page_id, arg_max(fixed.h || p, (length(fixed.h || p), no)) AS rule, arg_max(v, (length(fixed.h || p), no)) AS v

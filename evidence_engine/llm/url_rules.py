@@ -3,25 +3,28 @@
 Tokens of a URL are its host labels, path segments and query keys, each marked with its part; runs of digits are one
 token. A labelled URL is one whose path holds the number of a labelled document: the page shows that document. It is bad
 if the document's quality is 0 or it is toxic, else good. FP-growth mines the token combinations that go with either
-label; rules below the support or the confidence are pruned. Tokens that stand in exactly the same labelled URLs are one
-item while mining, and a labelled URL of more than MOST_ITEMS frequent items is no training row, so the itemsets can't
-explode. For matching, each rule is indexed under the rarest token of its combination; a URL meets only the rules of its
-own tokens there, and a rule holds if the URL has all its tokens. A URL for which a rule of the bad label holds is
-blocked; any other is allowed, by a rule of the good label or by default.
+label; rules below the support or the confidence are pruned, and so is a rule whose label isn't more frequent among its
+URLs than chance explains: it must lie DEVIATIONS standard deviations above the label's share of all labelled URLs.
+Tokens that stand in exactly the same labelled URLs are one item while mining. A combination has up to MOST_TOKENS
+tokens. Where a labelled URL has more than LONG_ROW frequent items, whose subsets FP-growth would list at any length,
+Spark's PrefixSpan, which grows patterns up to a length, lists the same combinations instead; every labelled URL counts.
+For matching, each rule is indexed under the rarest item of its combination; a URL meets only the rules of its own items
+there, and a rule holds if the URL has all its items. A URL for which a rule of the bad label holds is blocked; any other
+is allowed, by a rule of the good label or by default.
 
 Hand-written rules (host, path) come first: a rule fits its host and its subdomains if the URL's path starts with the
 rule's; the longest (host and path together) wins, and of rules of one length the one that is listed last.
 
 Defined cases: a null URL or one without :// has an empty host and path, no tokens, and is allowed; repeated rows each
 get their row; repeated labels of a document are bad if one of them is; a URL with several numbers in its path is linked
-by the last; without labels there are no mined rules; other columns are ignored.
+by the last; without labels, or with labels of one kind only, there are no mined rules; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +41,11 @@ RULES = (
 #: A rule holds, with its label, for this share of the labelled URLs and this many at least, and its label is right for
 #: this share of the URLs that it holds for.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 20, 0.6
-#: Frequent items of a labelled URL that may be a training row.
-MOST_ITEMS = 16
+#: Standard deviations by which a rule's label must be more frequent than among all labelled URLs; that happens by chance
+#: to one combination in three million.
+DEVIATIONS = 5
+#: Tokens of a combination, and items of a labelled URL beyond which patterns grow by length; the latter changes no result.
+MOST_TOKENS, LONG_ROW = 4, 16
 BAD, GOOD = "label:bad", "label:good"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES_SCHEMA = "tokens array<string>, label string, confidence bigint, n bigint, rarest string"
@@ -81,32 +87,55 @@ def _frequent(labelled: DataFrame, least: int) -> DataFrame:
     return items.select(F.explode("token").alias("token"), "item", F.col("rows.freq").alias("freq"))
 
 
-def mine(spark: SparkSession, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """tokens, label, confidence (millionths), n, rarest of the kept rules, from labelled(row, tokens, bad).
+def _itemsets(rows: DataFrame, least: int, n: int) -> DataFrame:
+    """items, freq of the combinations of up to MOST_TOKENS items, with and without a label, that `least` rows(items) or
+    more of n have."""
+    support = min(1.0, (least - 0.5) / n)
+    if rows.agg(F.max(F.size("items"))).first()[0] <= LONG_ROW + 1:
+        sets = FPGrowth(itemsCol="items", minSupport=support).fit(rows).freqItemsets
+    else:
+        ordered = rows.select(F.transform(F.array_sort("items"), lambda x: F.array(x)).alias("sequence"))
+        sets = PrefixSpan(minSupport=support, maxPatternLength=MOST_TOKENS + 1).findFrequentSequentialPatterns(ordered)
+        sets = sets.select(F.flatten("sequence").alias("items"), "freq")
+    return sets.where(F.size(F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD)))) <= MOST_TOKENS)
+
+
+def beats_chance(both: Column, n: Column, of_label: Column, rows: int, deviations: float = DEVIATIONS) -> Column:
+    """Whether `both` of a rule's n URLs have its label too often for the label's share, of_label in rows."""
+    gain = both.cast("double") * F.lit(float(rows)) - n.cast("double") * of_label
+    return (gain > 0) & (gain * gain > n.cast("double") * of_label * (float(rows) - of_label) * F.lit(float(deviations**2)))
+
+
+def mine(
+    spark: SparkSession, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, deviations: float = DEVIATIONS
+) -> tuple[DataFrame, DataFrame]:
+    """Rules (tokens, label, confidence in millionths, n, rarest) from labelled(row, tokens, bad), and their items' tokens
+    (token, item).
 
     Tokens that always stand together are one item, named by the first of them: a rule holds of either alike.
     """
-    n = labelled.count()
+    n, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     if not n:
-        return spark.createDataFrame([], _RULES_SCHEMA)
+        return spark.createDataFrame([], _RULES_SCHEMA), spark.createDataFrame([], "token string, item string")
     least = max(min_count, math.ceil(min_support * n))
     frequent = materialise(spark, _frequent(labelled, least), "url-tokens")
     own = labelled.select("row", "bad", F.explode_outer("tokens").alias("token")).join(frequent, "token", "left")
-    rows = own.groupBy("row").agg(F.max("bad").alias("bad"), F.collect_set("item").alias("items")).where(F.size("items") <= MOST_ITEMS)
+    rows = own.groupBy("row").agg(F.max("bad").alias("bad"), F.collect_set("item").alias("items"))
     rows = rows.select(F.array_append("items", F.when(F.col("bad"), F.lit(BAD)).otherwise(GOOD)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(rows)
-    sets = materialise(spark, model.freqItemsets, "url-itemsets")
+    sets = materialise(spark, _itemsets(materialise(spark, rows, "url-rows"), least, n), "url-itemsets")
     label = F.when(F.array_contains("items", BAD), BAD).when(F.array_contains("items", GOOD), GOOD)
     plain = F.array_sort(F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD))))
     sets = sets.select(plain.alias("tokens"), label.alias("label"), "freq").where(F.size("tokens") > 0)
     both = sets.where("label is not null").withColumnRenamed("freq", "both")
     rules = both.join(sets.where("label is null").select("tokens", F.col("freq").alias("n")), "tokens")
-    rules = rules.where(F.col("both") >= min_confidence * F.col("n"))
+    of_label = F.when(F.col("label") == BAD, F.lit(float(bad))).otherwise(float(n - bad))
+    rules = rules.where((F.col("both") >= min_confidence * F.col("n")) & beats_chance(F.col("both"), F.col("n"), of_label, n, deviations))
     confidence = F.floor(F.col("both") * 1_000_000 / F.col("n") + 0.5).cast("bigint")
     single = frequent.select(F.col("item").alias("t"), "freq").distinct()
-    rarest = rules.select("tokens", F.explode("tokens").alias("t")).distinct().join(single, "t")
-    rarest = rarest.groupBy("tokens").agg(F.min_by("t", F.struct("freq", "t")).alias("rarest"))
-    return rules.join(rarest, "tokens").select("tokens", "label", confidence.alias("confidence"), "n", "rarest")
+    parts = rules.select("tokens", F.explode("tokens").alias("t")).distinct().join(single, "t")
+    rarest = parts.groupBy("tokens").agg(F.min_by("t", F.struct("freq", "t")).alias("rarest"))
+    rules = materialise(spark, rules.join(rarest, "tokens").select("tokens", "label", confidence.alias("confidence"), "n", "rarest"), "url-rules")
+    return rules, frequent.join(rules.select(F.explode("tokens").alias("item")).distinct(), "item").select("token", "item")
 
 
 def label_urls(parts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,11 +156,12 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, id_col: str
     host, path = host_and_path(url)
     own = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     parts = own.select("page_id", "url", "path", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    mined = materialise(spark, mine(spark, label_urls(parts, labels), **limits), "url-rules")
+    mined, items = mine(spark, materialise(spark, label_urls(parts, labels), "url-labels"), **limits)
     index = mined.select(F.col("rarest").alias("t"), F.col("tokens").alias("needs"), "label", "confidence", "n")
     # A URL is judged once, however many pages have it.
     asked = parts.where("url is not null").select("url", "tokens").dropDuplicates(["url"])
-    met = asked.select("url", "tokens", F.explode("tokens").alias("t")).join(index, "t").where(F.size(F.array_except("needs", "tokens")) == 0)
+    asked = asked.select("url", F.explode("tokens").alias("token")).join(items, "token").groupBy("url").agg(F.collect_set("item").alias("items"))
+    met = asked.select("url", "items", F.explode("items").alias("t")).join(index, "t").where(F.size(F.array_except("needs", "items")) == 0)
     decides = F.max(F.struct((F.col("label") == BAD).alias("bad"), "confidence", "n")).alias("m")
     best = met.groupBy("url").agg(decides).select("url", F.when(F.col("m.bad"), BAD).otherwise(GOOD).alias("mined"), "m.confidence", "m.n")
     best = materialise(spark, best, "url-matches")

@@ -570,7 +570,9 @@ def test_mined_rules_match_brute_force(spark):
     for n in range(1, 6):
         for c in combinations(sorted(set().union(*tokens.values())), n):
             having = [i for i in tokens if i < 400 and set(c) <= tokens[i]]
-            if having and sum(bad[i] for i in having) >= 20 and sum(bad[i] for i in having) / len(having) >= 0.6:
+            hits, share = sum(bad[i] for i in having), sum(bad[i] for i in tokens if i < 400) / 400
+            chance = 5 * (len(having) * share * (1 - share)) ** 0.5
+            if n <= url_rules.MOST_TOKENS and hits >= max(20, 0.6 * len(having), len(having) * share) and hits - len(having) * share > chance:
                 kept.append(set(c))
     assert got == {i: "block" if any(c <= t for c in kept) else "allow" for i, t in tokens.items()}
 
@@ -588,7 +590,7 @@ def test_rules_of_both_labels(spark):
 
 
 def test_long_urls_dont_explode(spark):
-    """Forty tokens that always stand together are one item; a URL of many items of its own kind is no training row."""
+    """Forty tokens that always stand together are one item."""
     path = "/".join(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
     rows = [(i, f"http://a.org/{path}/{i}") for i in range(40)]
     many = ["/".join(f"t{chr(97 + k)}" for k in range(22) if (i >> (k % 6)) & 1) for i in range(64)]
@@ -599,6 +601,48 @@ def test_long_urls_dont_explode(spark):
     assert all(got[i] == ("block", url_rules.BAD) for i in range(40)) and all(got[100 + i][0] == "allow" for i in range(64))
 
 
+def test_labelled_urls_of_many_items_count(spark, monkeypatch):
+    """Twenty independent keys, most of them in each URL: the combinations don't explode and no labelled URL is left out;
+    where both ways of mining can run, they list the same."""
+    import random
+
+    draw = random.Random(3)
+    keys = [[k for k in range(20) if draw.random() < 0.95] for _ in range(200)]
+    rows = [(i, f"http://long.org/{i}?" + "&".join(f"k{chr(97 + k % 26)}{k // 26}=1" for k in own)) for i, own in enumerate(keys)]
+    bad = {i: int(0 in own) for i, own in enumerate(keys)}
+    rows += [(200 + i, f"http://none.org/{200 + i}?z=1") for i in range(60)]
+    bad |= {200 + i: 0 for i in range(60)}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, b) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.mined for r in url_rules.judge(spark, pages, labels, min_count=40).collect()}
+    assert all(got[200 + i] == url_rules.GOOD for i in range(60))
+    assert all(got[i] == url_rules.BAD for i, own in enumerate(keys) if 0 in own)
+
+    short = spark.createDataFrame([(draw.sample("abcdefg", draw.randint(0, 6)) + [draw.choice([url_rules.BAD, url_rules.GOOD])],) for _ in range(300)], "items array<string>")
+    listed = []
+    for long_row in (16, 2):
+        monkeypatch.setattr(url_rules, "LONG_ROW", long_row)
+        listed.append({(tuple(sorted(r["items"])), r.freq) for r in url_rules._itemsets(short, 20, 300).collect()})
+    assert listed[0] == listed[1] and max(len(s) for s, _ in listed[0]) > 2
+
+
+def test_rules_that_only_repeat_the_base_rate_are_pruned(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.org/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 < 3)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert {r.mined for r in url_rules.judge(spark, pages, labels).collect()} == {None}
+    labels = spark.createDataFrame([(i, 1, 1) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert {r.mined for r in url_rules.judge(spark, pages, labels).collect()} == {None}
+
+
+def test_tokens_of_the_same_labelled_urls_hold_alike(spark):
+    rows = [(i, f"http://{'x.y' if i < 50 else 'z'}.org/{i}") for i in range(100)] + [(500, "http://y.org/a"), (501, "http://x.org/a"), (502, "http://w.org/a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 50)) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark, pages, labels).collect()}
+    assert (got[500], got[501], got[502]) == ("block", "block", "allow")
+
+
 # HTML
 
 
