@@ -1,4 +1,4 @@
-"""Text of pages: lines joined to paragraphs, headings told from body text, running heads dropped."""
+"""Text of pages: headings told from body text, running heads dropped."""
 
 from __future__ import annotations
 
@@ -10,49 +10,11 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
 
-# What ends a sentence, numbering of headings, words that are headings by themselves.
-ENDS = tuple("。！？.!?:：；;")
+# Numbering of headings, words that are headings by themselves.
 NUMBERED = "^(第[ ]*[0-9一二三四五六七八九十百]+[ ]*[章节篇部分]|[一二三四五六七八九十百]+[、.]|[(（][一二三四五六七八九十百]+[)）]|[0-9]+([.][0-9]+){0,3}[.)、]?)[ ]*"
 HEADS = "(?i)^(abstract|introduction|related work|background|preliminaries|materials and methods|methodology|methods?|experiments?|evaluation|results|discussion|conclusions?|references|bibliography)( |$)|^(摘要|引言|绪论|研究背景|研究意义|相关工作|文献综述|研究现状|方法|模型|算法|系统设计|实验|结果|结论|总结|参考文献|致谢)"
 NOT_HEADS = "^%PDF|^[0-9]+ [0-9]+ obj|[=+{}\\\\•]|(?i)^page [0-9]+|(?i)(^|[^a-z])(issn|doi)([^a-z]|$)|[0-9]{4}[ ]*年[ ]*[0-9]+[ ]*月|(?i)^(figure|fig[.]|table|图|表)[ ]*[0-9]+"
 SKIPPED = "^[-—· ]*[0-9]+[-—· ]*$|(?i)^page [0-9]+|(?i)(^|[^a-z])(issn|doi)([^a-z]|$)|10[.][0-9]{4,9}[ ]*/|[<>≤≥]|[0-9]+[ ]*%"
-_LIST = re.compile(r"(#{1,6}\s|[-*+]\s|\d+(\.\d+)*[.)、]?\s)")
-_NUMBERED = re.compile(NUMBERED)
-
-
-def joins(before: str, line: str) -> bool:
-    """Whether a line goes on with the one before it."""
-    if before.endswith(ENDS) or _LIST.match(line):
-        return False
-    if (m := _NUMBERED.match(line)) and not m.group(1)[0].isdigit():
-        return False
-    if any(x.startswith("|") and x.endswith("|") for x in (before, line)):
-        return False
-    title = len(before) < 24 and (before[:1].isupper() or "一" <= before[:1] <= "鿿") and not re.search("[。！？.!?]", before)
-    return not title
-
-
-def merge_lines(text: str) -> str:
-    """Broken lines joined with a blank; blank lines stay between paragraphs."""
-    out: list[str] = []
-    fresh = True
-    for line in (x.strip() for x in re.sub(r"[\t ]+", " ", text.replace("\r\n", "\n").replace("\r", "\n")).split("\n")):
-        if line and not fresh and joins(out[-1], line):
-            out[-1] += f" {line}"
-        else:
-            out.append(line)
-        fresh = not line
-    return "\n".join(out).strip()
-
-
-def merged(docs: DataFrame) -> DataFrame:
-    """doc_id, text with broken lines joined: a fold over lines, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: merge_lines(t or ""))
-
-    return docs.select("doc_id", fold("text").alias("text"))
 
 
 def is_heading(line: Column) -> Column:

@@ -60,8 +60,69 @@ def _paper_blocks(spark, sf):
     return ps.blocks_of(papers.unionByName(read(spark, sf, "documents").select((F.col("doc_id") + 10).alias("doc_id"), F.col("text").alias("content"))))
 
 
+def _document_blocks(spark, sf):
+    return ps.blocks_of(read(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
+
+
 def markdown_blocks(spark, sf):
-    return _paper_blocks(spark, sf).select("doc_id", "pos", "type", "text", "section_path")
+    return _document_blocks(spark, sf).select("doc_id", "pos", "type", "text", "section_path", "level")
+
+
+def _type_sql(path: str, text: str) -> str:
+    """A block's section type by heading, else by opening words."""
+    head = f"regexp_replace(lower(string_split({path}, '/')[-1]), '^\\s+|\\s+$', '', 'g')"
+    number, roman = "([0-9]+([.][0-9]+)*|[一二三四五六七八九十百]+)", "([0-9]+([.][0-9]+)*|[ivx]+|[一二三四五六七八九十百]+)"
+    for pattern in ("^第[ ]*[0-9一二三四五六七八九十百]+[ ]*[章节篇部分][ ]*", "^[(（][ 0-9一二三四五六七八九十百]+[)）][ ]*", f"^{roman}[.)、:：-]*[ ]+|^{number}[.)、:：-]+[ ]*"):
+        head = f"regexp_replace({head}, '{pattern}', '')"
+    head = f"regexp_replace(regexp_replace({head}, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+    start = f"substring(lower({text}), 1, 160)"
+    known = " ".join(f"WHEN {head} IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in ps.HEADINGS.items())
+    opening = " ".join(f"WHEN regexp_matches({start}, '{pattern}') THEN '{name}'" for name, pattern in ps.OPENINGS)
+    return f"CASE {known} {opening} ELSE 'paragraph' END"
+
+
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\t ]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+# A fold: one line of every document a step.
+_FOLD = rf"""l AS (SELECT doc_id, string_split({_NORMAL}, chr(10)) AS ls FROM texts),
+f AS (
+  SELECT doc_id, ls, 0 AS i, false AS code, []::VARCHAR[] AS path, '' AS kind, 0 AS island, 0 AS level, NULL::VARCHAR AS line FROM l
+  UNION ALL
+  SELECT doc_id, ls, i + 1, CASE WHEN fence THEN NOT code ELSE code END, CASE WHEN now = 'heading' THEN path[1:size - 1] || [title] ELSE path END, now,
+    island + CASE WHEN (fence AND NOT code) OR now <> kind OR now = 'heading' THEN 1 ELSE 0 END, CASE WHEN now = 'heading' THEN size ELSE 0 END,
+    CASE WHEN fence THEN NULL WHEN now = 'heading' THEN title ELSE b END
+  FROM (
+    SELECT *, CASE WHEN code OR fence THEN 'code' WHEN size > 0 THEN 'heading' WHEN starts_with(b, '|') AND ends_with(b, '|') AND b <> '|' THEN 'table' WHEN b <> '' THEN 'paragraph' ELSE '' END AS now
+    FROM (
+      SELECT *, starts_with(b, '```') AS fence, length(regexp_extract(b, '^(#{{1,6}})\s+[^\n]+$', 1)) AS size, regexp_extract(b, '^#{{1,6}}\s+([^\n]+)$', 1) AS title
+      FROM (SELECT *, regexp_replace(ls[i + 1], '^\s+|\s+$', '', 'g') AS b FROM f WHERE i < len(ls))))),
+g AS (
+  SELECT doc_id, island, any_value(kind) AS kind, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text, any_value(array_to_string(path, ' / ')) AS section_path, max(level) AS level
+  FROM f WHERE kind <> '' GROUP BY doc_id, island),
+b AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS pos, CASE WHEN kind = 'paragraph' THEN {_type_sql('section_path', 'text')} ELSE kind END AS type,
+    text, section_path, CAST(level AS INTEGER) AS level FROM g WHERE text <> '')
+"""
+_BLOCKS = "WITH RECURSIVE texts AS (SELECT doc_id, text FROM documents)," + _FOLD
+BLOCKS = _BLOCKS + "SELECT * FROM b"
+
+
+def markdown_report(spark, sf):
+    """Every order as a Markdown report of headings, a table of its lines and a fenced note, and the blocks of these."""
+    line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_partkey").cast("string"), F.lit(" |"))
+    lines = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("rows"))
+    table = F.array_join(F.transform("rows", lambda x: x.line), "\n")
+    heads = F.concat(F.lit("# Order "), F.col("o_orderkey").cast("string"), F.lit("\n## Method\nstatus "), F.col("o_orderstatus"), F.lit("\nsecond line\n### Lines\n"))
+    rest = F.concat(F.lit("\n```text\n# "), F.col("o_orderpriority"), F.lit("\n```\n## 2. References\nnone"))
+    orders = read(spark, sf, "orders").join(lines, "o_orderkey", "left")
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(heads, F.coalesce(table, F.lit("")), rest).alias("content"))
+    return ps.blocks_of(docs).select("doc_id", "pos", "type", "text", "section_path", "level")
+
+
+REPORT = """WITH RECURSIVE lines AS (SELECT l_orderkey, string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) ORDER BY l_linenumber, '| ' || l_linenumber || ' | ' || l_partkey || ' |') AS rows FROM lineitem GROUP BY l_orderkey),
+texts AS (
+  SELECT o_orderkey AS doc_id, array_to_string(['# Order ' || o_orderkey, '## Method', 'status ' || o_orderstatus, 'second line', '### Lines', coalesce(rows, ''), '```text', '# ' || o_orderpriority, '```', '## 2. References', 'none'], chr(10)) AS text
+  FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey),
+""" + _FOLD + "SELECT * FROM b"
 
 
 def type_aware_chunks(spark, sf):
@@ -69,7 +130,10 @@ def type_aware_chunks(spark, sf):
 
 
 def section_infer(spark, sf):
-    return _paper_blocks(spark, sf).select("doc_id", "section_path").distinct().withColumn("section", ps.section_type(F.col("section_path"), F.lit("")))
+    return _document_blocks(spark, sf).select("doc_id", "section_path").distinct().withColumn("section", ps.section_type(F.col("section_path"), F.lit("")))
+
+
+SECTIONS_INFERRED = _BLOCKS + f"SELECT DISTINCT doc_id, section_path, {_type_sql('section_path', repr(''))} AS section FROM b"
 
 
 def method_dataset_metric(spark, sf):
@@ -319,8 +383,8 @@ def stream_memory_state(spark, sf):
     return spark.read.schema(FOCUS).parquet(f"{at}/out")
 
 
-QUERIES = {f.__name__: f for f in (language_detect, paper_metadata, markdown_blocks, type_aware_chunks, section_infer, method_dataset_metric, pdf_quality, html_blocks, html_strip, html_tables, crawl_text, reference_split, paper_citations, heading_similarity, repeated_lines, section_tree, chunk_chain_edges, doc_id_merge, header_parse, recent_turns, conv_list, compress_trigger, fallback_summary, fallback_items, memory_recall, topic_upsert, memory_context, summary_lock, memory_merge, topic_extract, topic_reference, focus_state, stream_memory_state)}
+QUERIES = {f.__name__: f for f in (language_detect, paper_metadata, markdown_blocks, markdown_report, type_aware_chunks, section_infer, method_dataset_metric, pdf_quality, html_blocks, html_strip, html_tables, crawl_text, reference_split, paper_citations, heading_similarity, repeated_lines, section_tree, chunk_chain_edges, doc_id_merge, header_parse, recent_turns, conv_list, compress_trigger, fallback_summary, fallback_items, memory_recall, topic_upsert, memory_context, summary_lock, memory_merge, topic_extract, topic_reference, focus_state, stream_memory_state)}
 ORACLES = {
-    "language_detect": LANGUAGE, "paper_metadata": PAPER_META, "html_strip": HTML_STRIP, "html_tables": HTML_TABLES, "crawl_text": CRAWL, "heading_similarity": HEADING_SIM, "repeated_lines": REPEATED, "section_tree": SECTION_TREE, "chunk_chain_edges": CHAIN,
+    "markdown_blocks": BLOCKS, "markdown_report": REPORT, "section_infer": SECTIONS_INFERRED, "language_detect": LANGUAGE, "paper_metadata": PAPER_META, "html_strip": HTML_STRIP, "html_tables": HTML_TABLES, "crawl_text": CRAWL, "heading_similarity": HEADING_SIM, "repeated_lines": REPEATED, "section_tree": SECTION_TREE, "chunk_chain_edges": CHAIN,
     "reference_split": REFERENCE_SPLIT, "paper_citations": PAPER_CITATIONS, "topic_extract": TOPIC_EXTRACT, "topic_reference": TOPIC_REFERENCE, "doc_id_merge": DOC_MERGE, "header_parse": HEADERS, "recent_turns": RECENT, "conv_list": CONV_LIST, "compress_trigger": COMPRESS, "fallback_summary": SUMMARY, "fallback_items": ITEMS, "memory_recall": RECALL, "topic_upsert": TOPICS, "memory_context": MEMORY_CONTEXT, "summary_lock": LOCK, "memory_merge": MEMORY_MERGE,
 }

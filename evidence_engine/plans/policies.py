@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import layout, parsing
+from evidence_engine.operators import layout, parsing, segments
 from evidence_engine.operators import policies as po
 from evidence_engine.operators import routing as r
 from evidence_engine.plans.routing import _FIELDS, _RULE, RESEARCH, has
@@ -181,7 +181,24 @@ SELECT query_id, CAST(place AS INTEGER) AS place, node_id FROM (SELECT *, row_nu
 
 
 def merge_lines(spark, sf):
-    return layout.merged(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.length("text").alias("n"), F.size(F.split("text", "\n")).alias("lines"))
+    return segments.merged_lines(read(spark, sf, "documents")).select("doc_id", "text", F.length("text").alias("n"), F.size(F.split("text", "\n")).alias("lines"))
+
+
+# A fold: one line of every document a step, with the paragraph so far.
+MERGED = rf"""WITH RECURSIVE l AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\t ]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), chr(10)) AS ls FROM documents),
+f AS (
+  SELECT doc_id, ls, 0 AS i, '' AS done, '' AS buf FROM l
+  UNION ALL
+  SELECT doc_id, ls, i + 1,
+    CASE WHEN b = '' THEN done || buf || CASE WHEN buf = '' THEN '' ELSE chr(10) END || chr(10) WHEN buf = '' OR NOT apart THEN done ELSE done || buf || chr(10) END,
+    CASE WHEN b = '' OR buf = '' OR apart THEN b ELSE buf || ' ' || b END
+  FROM (
+    SELECT *, regexp_matches(buf, '{segments.SENTENCE_END}') OR regexp_matches(b, '{segments.LIST_OR_HEADING}') OR regexp_matches(b, '{segments.CHAPTER}')
+      OR regexp_matches(buf, '^[|].*[|]$') OR regexp_matches(b, '^[|].*[|]$') OR (length(buf) < {segments.TITLE_CHARS} AND regexp_matches(buf, '{segments.TITLE}')) AS apart
+    FROM (SELECT *, regexp_replace(ls[i + 1], '^\s+|\s+$', '', 'g') AS b FROM f WHERE i < len(ls))))
+SELECT doc_id, text, length(text) AS n, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines
+FROM (SELECT doc_id, regexp_replace(done || buf, '^\s+|\s+$', '', 'g') AS text FROM f WHERE i = len(ls))"""
 
 
 def plain_paragraphs(spark, sf):
@@ -223,6 +240,7 @@ def chunk_headers(spark, sf):
 
 QUERIES = {f.__name__: f for f in (model_gate, plan_override, search_mode, contextual_query, planned_actions, next_step, fallback_plan, answer_verify, evidence_merge, related_papers, paper_url, paper_graph_filters, graph_seeds, merge_lines, plain_paragraphs, layout_text, chunk_headers)}
 ORACLES = {
+    "merge_lines": MERGED,
     "model_gate": MODEL_GATE, "plan_override": PLAN_OVERRIDE, "search_mode": SEARCH_MODE, "contextual_query": CONTEXTUAL, "planned_actions": ACTIONS, "next_step": NEXT_STEP, "fallback_plan": FALLBACK, "answer_verify": ANSWER_VERIFY,
     "evidence_merge": MERGE, "related_papers": RELATED, "paper_url": PAPER_URL, "paper_graph_filters": GRAPH_FILTERS, "graph_seeds": SEEDS, "plain_paragraphs": PARAGRAPHS,
 }

@@ -175,7 +175,8 @@ def test_claims_and_citations(spark):
 
 def test_markdown_blocks_and_chunks(spark, sf):
     blocks = defaultdict(list)
-    for r in documents.markdown_blocks(spark, sf).orderBy("doc_id", "pos").collect():
+    papers = spark.createDataFrame(documents.PAPERS, "doc_id long, title string, content string")
+    for r in parsing.blocks_of(papers).orderBy("doc_id", "pos").collect():
         blocks[r.doc_id].append((r.type, r.section_path.split(" / ")[-1]))
     assert ("code", "2 Method") in blocks[1] and ("table", "3 Experiments") in blocks[1] and ("abstract", "Abstract") in blocks[1] and ("reference", "References") in blocks[1]
     assert [t for t, _ in blocks[2] if t != "heading"] == ["abstract", "introduction", "method", "conclusion"]

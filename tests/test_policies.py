@@ -1,6 +1,5 @@
 """Policies, layout and topics with values worked out by hand."""
 
-from evidence_engine.operators import layout
 from evidence_engine.plans import documents, policies
 
 
@@ -8,12 +7,6 @@ def rows(df, *keys):
     return {tuple(r[k] for k in keys) for r in df.collect()}
 
 
-def test_merge_lines():
-    assert layout.merge_lines("A long line of running text that\r\ngoes on here.\nNext sentence\n\nTitle Line\nbody starts") == "A long line of running text that goes on here.\nNext sentence\n\nTitle Line\nbody starts"
-    assert layout.merge_lines("some words before a list of things\n- item one\n第一章 绪论\n| a | b |\nafter") == "some words before a list of things\n- item one\n第一章 绪论\n| a | b |\nafter"
-    assert layout.merge_lines("") == ""
-
-
 def test_layout(spark):
     got = [(r.text, r.heading) for r in policies.layout_text(spark, "").orderBy("doc_id", "line").collect()]
     assert got == [
