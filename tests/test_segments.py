@@ -93,5 +93,5 @@ def test_merged_lines_match_a_fold(spark):
 def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "# A\nx"), (1, "# A\nx"), (1, "y"), (None, "z")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in segments.markdown_blocks(docs, "text").collect()) == [("1", "A"), ("1", "x"), ("1", "y"), ("None", "z")]
-    assert sorted(r.text for r in segments.merged_lines(docs).collect()) == ["# A\nx", "y", "z"]
+    assert sorted(r.text for r in segments.merged_lines(docs).collect()) == ["# A x", "y", "z"]
     assert segments.markdown_blocks(docs.limit(0), "text").collect() == [] and segments.merged_lines(docs.limit(0)).collect() == []
