@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.operators import memory as mem
 from evidence_engine.operators import parsing as ps
+from evidence_engine.operators.sections import section_type_sql
 from evidence_engine.functions.text import scaled, strip
 from evidence_engine.sources.literals import values_sql
 from evidence_engine.sources.scratch import scratch_path
@@ -68,19 +69,6 @@ def markdown_blocks(spark, sf):
     return _document_blocks(spark, sf).select("doc_id", "pos", "type", "text", "section_path", "level")
 
 
-def _type_sql(path: str, text: str) -> str:
-    """A block's section type by heading, else by opening words."""
-    head = f"regexp_replace(lower(string_split({path}, '/')[-1]), '^\\s+|\\s+$', '', 'g')"
-    number, roman = "([0-9]+([.][0-9]+)*|[一二三四五六七八九十百]+)", "([0-9]+([.][0-9]+)*|[ivx]+|[一二三四五六七八九十百]+)"
-    for pattern in ("^第[ ]*[0-9一二三四五六七八九十百]+[ ]*[章节篇部分][ ]*", "^[(（][ 0-9一二三四五六七八九十百]+[)）][ ]*", f"^{roman}[.)、:：-]*[ ]+|^{number}[.)、:：-]+[ ]*"):
-        head = f"regexp_replace({head}, '{pattern}', '')"
-    head = f"regexp_replace(regexp_replace({head}, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
-    start = f"substring(lower({text}), 1, 160)"
-    known = " ".join(f"WHEN {head} IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in ps.HEADINGS.items())
-    opening = " ".join(f"WHEN regexp_matches({start}, '{pattern}') THEN '{name}'" for name, pattern in ps.OPENINGS)
-    return f"CASE {known} {opening} ELSE 'paragraph' END"
-
-
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\t ]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 # A fold: one line of every document a step.
 _FOLD = rf"""l AS (SELECT doc_id, string_split({_NORMAL}, chr(10)) AS ls FROM texts),
@@ -99,7 +87,7 @@ g AS (
   SELECT doc_id, island, any_value(kind) AS kind, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text, any_value(array_to_string(path, ' / ')) AS section_path, max(level) AS level
   FROM f WHERE kind <> '' GROUP BY doc_id, island),
 b AS (
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS pos, CASE WHEN kind = 'paragraph' THEN {_type_sql('section_path', 'text')} ELSE kind END AS type,
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS pos, CASE WHEN kind = 'paragraph' THEN {section_type_sql('section_path', 'text')} ELSE kind END AS type,
     text, section_path, CAST(level AS INTEGER) AS level FROM g WHERE text <> '')
 """
 _BLOCKS = "WITH RECURSIVE texts AS (SELECT doc_id, text FROM documents)," + _FOLD
@@ -133,7 +121,7 @@ def section_infer(spark, sf):
     return _document_blocks(spark, sf).select("doc_id", "section_path").distinct().withColumn("section", ps.section_type(F.col("section_path"), F.lit("")))
 
 
-SECTIONS_INFERRED = _BLOCKS + f"SELECT DISTINCT doc_id, section_path, {_type_sql('section_path', repr(''))} AS section FROM b"
+SECTIONS_INFERRED = _BLOCKS + f"SELECT DISTINCT doc_id, section_path, {section_type_sql('section_path', repr(''))} AS section FROM b"
 
 
 def method_dataset_metric(spark, sf):
