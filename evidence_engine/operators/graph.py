@@ -174,7 +174,8 @@ def subgraph(seeds: DataFrame, edges: DataFrame | Adjacency, depth: int = 2, lim
     frontier = visited = seeds.select("query_id", "node_id", own.alias("depth")).distinct()
     out = None
     for d in range(1, hops + 1):
-        met = step(frontier.where(F.col("depth") >= d), inc).select("query_id", "edge_id", "confidence", "other_id", "depth")
+        # What is among a query's first edges is among the first ones of each node that it is met at.
+        met = step(frontier.where(F.col("depth") >= d), inc, 3 * limit).select("query_id", "edge_id", "confidence", "other_id", "depth")
         taken = kept(_first_edges(met, 3 * limit), "graph-hop")
         hop = taken.select("query_id", F.lit(d).alias("hop"), "r", "edge_id", "confidence").distinct()
         out = hop if out is None else out.unionByName(hop)

@@ -23,3 +23,22 @@ def test_totals_of_hops_are_those_of_all_pairs(spark):
         for depth in (1, 2, 3):
             want = graph.k_hop(seeds, laid, depth).groupBy("query_id", "hop").agg(F.count("*"), F.sum("node_id"))
             assert sorted(map(tuple, graph.k_hop_totals(seeds, laid, depth).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_hop_reads_the_first_edges_of_each_node_alone(spark, monkeypatch):
+    edges, rows = hubs(spark)
+    laid, seeds = graph.lay_out(edges, buckets=4, wide=20), spark.createDataFrame([(n, n) for n in range(10, 40)], "query_id long, node_id long")
+    met, step = [], graph.step
+    monkeypatch.setattr(graph, "step", lambda *a: met.append(step(*a)) or met[-1])
+    got = sorted(map(tuple, graph.subgraph(seeds, laid, 2, 3).collect()))
+    assert max(r["count"] for m in met for r in m.groupBy("query_id", "node_id").count().collect()) == 9
+    best = lambda found: sorted(found, key=lambda e: (-e[3], e[0]))[:9]
+    want = []
+    for q in range(10, 40):
+        one = best({e for e in rows if q in e[1:3]})
+        near = {n for e in one for n in e[1:3]} - {q}
+        two = best({e for e in rows if near & set(e[1:3])})
+        want += [(q, k + 1, h, e[0]) for k, (h, e) in enumerate([(1, e) for e in one] + [(2, e) for e in two]) if k < 3]
+    assert got == sorted(want)
+    places = {(r.node_id, r.edge_id): (r.other_id, r.r, r.r_back) for r in laid.rows.collect()}
+    assert all(places[o, e][1] == back for (n, e), (o, _, back) in places.items())
