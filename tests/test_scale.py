@@ -1,10 +1,12 @@
 """Operators that meet large groups: what they list must not grow with pairs, and results stay those of the plain way."""
 
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import graph
+from evidence_engine.operators import graph, lexical
 
 
 def hubs(spark):
@@ -42,3 +44,33 @@ def test_a_hop_reads_the_first_edges_of_each_node_alone(spark, monkeypatch):
     assert got == sorted(want)
     places = {(r.node_id, r.edge_id): (r.other_id, r.r, r.r_back) for r in laid.rows.collect()}
     assert all(places[o, e][1] == back for (n, e), (o, _, back) in places.items())
+
+
+def test_chunks_stream_past_passes_of_queries(spark, monkeypatch):
+    """In passes of a few terms and tiles of a few chunks, with copies, empty chunks and terms that no chunk holds."""
+    rnd = random.Random(3)
+    words = [f"w{chr(97 + k)}" for k in range(26)] + ["12", "数据"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    texts = [text(rnd.randrange(1, 12)) for _ in range(60)] * 2 + ["", "?!"]
+    rows = [(k, t, len(t)) for k, t in enumerate(texts)] + [(900, None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, token_count int").repartition(3)
+    queries = [(q, v, text(rnd.randrange(1, 4)) + (" absent" if q % 5 == 0 else "")) for q in range(12) for v in (0, 1)] + [(50, 0, "absent"), (51, 0, ""), (52, 1, None)]
+    asked = spark.createDataFrame(queries, "query_id long, variant int, text string")
+    monkeypatch.setattr(lexical, "PASS_TERMS", 9)
+    monkeypatch.setattr(lexical, "TILE", 7)
+    df = Counter(w for _, t, _ in rows for w in set((t or "").replace("?!", "").split()))
+    sizes = [max(1, n or len(t or "")) for _, t, n in rows]
+    n, avgdl = len(rows), sum(sizes) / len(rows)
+    for partial in (True, False):
+        want = set()
+        for q, v, t in queries:
+            qtf, found = Counter((t or "").split()), []
+            for (c, body, _), size in zip(rows, sizes, strict=True):
+                tf = Counter((body or "").split())
+                met = [w for w in qtf if tf[w]]
+                if met and (partial or sum(qtf[w] for w in met) >= len(qtf)):
+                    s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * 2.5 * qtf[w] * tf[w] / (tf[w] + 1.5 * (0.25 + 0.75 * size / avgdl)) for w in met)
+                    found.append((-math.floor(s * 1e6 + 0.5), c))
+            want |= {(q, v, r, c, -s) for r, (s, c) in enumerate(sorted(found)[:4], 1)}
+        got = lexical.bm25(asked, chunks, 4, partial, ("query_id", "variant"))
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 0
