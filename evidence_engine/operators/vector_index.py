@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.operators.lexical import few
-from evidence_engine.operators.vector import _best, _units
+from evidence_engine.operators.vector import _best, _units, knn
 from evidence_engine.sources.scratch import kept
 
 #: Vectors that cells are fitted on, rounds of fitting, most cells, and bytes of queries that travel to the tasks at once.
 SAMPLE, ROUNDS, CELLS_MOST, PASS_BYTES = 20_000, 12, 4096, 8 << 20
+#: Vectors whose neighbours tell how many cells a search must visit, and what part of these it is to find: more than the 0.9
+#: that is asked for, as other queries differ.
+TRIED, AIM = 512, 0.95
 _ROWS = "vec_id bigint, cell int, code binary, step float, err float, embedding array<double>"
 _FOUND = "query_id bigint, vec_id bigint, cell int, least bigint, most bigint"
 _MILLION = 1e6
@@ -97,6 +100,28 @@ def build(vectors: DataFrame, path: str, cells: int | None = None) -> None:
     c.join(sizes, "cell").coalesce(1).write.parquet(f"{path}/cells")
 
 
+def probes_for(vectors: DataFrame, path: str, top_k: int = 10) -> int:
+    """How many of its nearest cells a query must visit to find AIM of its neighbours, by those of about TRIED vectors: an
+    exact search for them over all vectors, and the cells that its hits lie in."""
+    spark = vectors.sparkSession
+    cells = sorted(spark.read.parquet(f"{path}/cells").collect(), key=lambda r: r.cell)  # at most CELLS_MOST
+    pool = vectors.select(F.col("vec_id").cast("long"), "embedding").where("vec_id is not null and embedding is not null")
+    place = F.pmod(F.xxhash64("vec_id", F.lit("tried")), F.lit(1 << 30)) / float(1 << 30)
+    some = kept(pool.where(place < TRIED / max(1, pool.count())).select(F.col("vec_id").alias("query_id"), "embedding"), "vector-tried")
+    near = kept(knn(some, pool, top_k), "vector-near")
+    rows = spark.read.schema(_ROWS).parquet(f"{path}/vectors").select("vec_id", "cell", F.col("embedding").alias("unit"))
+    own = rows.join(some.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "unit")
+    hits = near.join(rows.select("vec_id", "cell"), "vec_id").select("query_id", "cell").join(own, "query_id").collect()  # about TRIED * top_k
+    if not hits:
+        return len(cells)
+    number = {r.cell: k for k, r in enumerate(cells)}
+    cosine = np.array([h.unit for h in hits]) @ np.array([r.centre for r in cells]).T
+    mine = cosine[np.arange(len(hits)), [number[h.cell] for h in hits]]
+    # How many cells are nearer than the one that the neighbour lies in.
+    before = np.sort((cosine > mine[:, None]).sum(axis=1))
+    return int(before[min(len(before) - 1, int(np.ceil(AIM * len(before))) - 1)]) + 1
+
+
 def _visit(sent: Broadcast, top_k: int):
     """Candidates of each query among the cells that it probes: bounds of their scores by their codes, in millionths."""
 

@@ -11,7 +11,7 @@ from evidence_engine.operators.embedding import embed
 from evidence_engine.sources.scratch import kept, scratch_path
 from evidence_engine.sources.tables import chunks, graph_edges, graph_nodes, read
 
-#: Cells that an approximate search visits for each query.
+#: Least cells that an approximate search visits for each query.
 PROBES = 16
 _built: dict[tuple[str, str, str], object] = {}
 
@@ -54,6 +54,11 @@ def vector_index_of(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "embeddings", build)
 
 
+def probes_of(spark: SparkSession, sf_dir: str) -> int:
+    """The cells that an approximate search of the embeddings visits for each query: more where there are more cells."""
+    return _once(spark, sf_dir, "probes", lambda: max(PROBES, vector_index.probes_for(read(spark, sf_dir, "embeddings"), vector_index_of(spark, sf_dir))))
+
+
 def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "nodes", lambda: kept(graph_nodes(spark, sf_dir), "stored-nodes"))
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import graph, lexical
+from evidence_engine.operators import graph, lexical, vector, vector_index
 
 
 def hubs(spark):
@@ -74,3 +74,15 @@ def test_chunks_stream_past_passes_of_queries(spark, monkeypatch):
             want |= {(q, v, r, c, -s) for r, (s, c) in enumerate(sorted(found)[:4], 1)}
         got = lexical.bm25(asked, chunks, 4, partial, ("query_id", "variant"))
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 0
+
+
+def test_probes_follow_the_vectors(spark, tmp_path):
+    """Vectors that are no more alike than chance: 4 of 50 cells hold few neighbours, the fitted number holds 0.9 of them."""
+    rnd = random.Random(8)
+    rows = [(k, [rnd.gauss(0, 1) for _ in range(24)]) for k in range(2500)]
+    vecs, at = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), f"file://{tmp_path}/cells"
+    vector_index.build(vecs, at)
+    q = vecs.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    want = {(r.query_id, r.vec_id) for r in vector.knn(q, vecs).collect()}
+    found = lambda p: {(r.query_id, r.vec_id) for r in vector_index.search(q, at, probes=p, exact=False).collect()}
+    assert len(found(4) & want) < 0.9 * len(want) <= len(found(vector_index.probes_for(vecs, at)) & want)
