@@ -64,6 +64,8 @@ def vector_hits(queries: DataFrame, plans: DataFrame, vectors: DataFrame, most:
     wanted = plans.where("vector_top_k > 0").select("query_id", F.col("vector_top_k").alias("k"))
     asked = embed(queries.join(wanted.select("query_id"), "query_id", "left_semi"), "query_id")
     best = vector.knn(asked, vectors.select(F.col("chunk_id").alias("vec_id"), "embedding"), most)
+    # A few rows a query: joined with the chunks, they travel and the chunks don't.
+    best = kept(best, "vector-hits")
     return best.join(wanted, "query_id").where(F.col("rank") <= F.col("k")).select("query_id", "rank", F.col("vec_id").alias("chunk_id"))
 
 

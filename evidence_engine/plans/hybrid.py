@@ -30,7 +30,7 @@ def inputs(spark, sf):
     """(queries, plans, hits): the plans of all queries and the four routes' hits."""
     q = kept(asked(spark, sf), "hybrid-queries")
     plans, docs = kept(rule_plan(q), "hybrid-plans"), stored.stored_chunks(spark, sf)
-    hits = hybrid.routes(q, plans, docs, stored.chunk_vectors(spark, sf), stored.nodes_of(spark, sf), stored.edges_of(spark, sf), top_k=8, index=stored.text_index(spark, sf), near=stored.adjacency_of(spark, sf))
+    hits = hybrid.routes(q, plans, docs, stored.chunk_vectors(spark, sf), stored.nodes_of(spark, sf), stored.edges_of(spark, sf), top_k=8, near=stored.adjacency_of(spark, sf))
     return q, plans, kept(hits, "hybrid-hits")
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from evidence_engine.operators import graph, lexical, vector, vector_index
+from evidence_engine.plans import evidence, hybrid, stored
 
 
 def hubs(spark):
@@ -86,3 +87,10 @@ def test_probes_follow_the_vectors(spark, tmp_path):
     want = {(r.query_id, r.vec_id) for r in vector.knn(q, vecs).collect()}
     found = lambda p: {(r.query_id, r.vec_id) for r in vector_index.search(q, at, probes=p, exact=False).collect()}
     assert len(found(4) & want) < 0.9 * len(want) <= len(found(vector_index.probes_for(vecs, at)) & want)
+
+
+def test_one_batch_of_queries_builds_no_text_index(spark, sf, monkeypatch):
+    """A batch that is searched once streams the chunks; posting all of their terms first costs more than the search."""
+    monkeypatch.setattr(stored, "text_index", lambda *a: (_ for _ in ()).throw(AssertionError("an index is built")))
+    assert evidence.corrective_loop(spark, sf).count() == 40
+    assert hybrid.inputs(spark, sf)[2].where("route = 'bm25'").count() > 0
