@@ -1,7 +1,9 @@
 """Texts into blocks and paragraphs by window functions over their lines: gaps and islands, no Python.
 
 A document's lines lie in one window partition, ordered by place, after one exchange of whole texts; windows spill, so a
-very long document needs no more memory than a short one until its text is joined again.
+very long document needs no more memory than a short one until its text is joined again. Lines of short texts take many
+times the room of the files that they come from, so this exchange has partitions by the files' bytes (PART_BYTES): Spark's own
+would be sized by the texts alone, and sorts of their lines would spill.
 
 Defined cases: a null text is empty; an empty text has no blocks and stays empty when merged; rows with the same doc_id and
 the same text give their result once; rows with the same doc_id and different texts each give their own.
@@ -13,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import text as tx
+from evidence_engine.sources.scratch import parts_for
+
+#: Bytes of input files for each partition of texts.
+PART_BYTES = 1 << 20
 
 # What ends a sentence, and lines that begin a paragraph of their own.
 SENTENCE_END = "[。！？.!?:：；;]$"
@@ -40,8 +46,8 @@ def normalised(text: Column) -> Column:
 
 def lines_of(docs: DataFrame, text_col: str) -> DataFrame:
     """doc_id, text_hash, no, line: the lines of each text, blanks at both ends gone."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    once = docs.select("doc_id", text.alias("text")).groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    once = texts.repartition(parts_for(docs, PART_BYTES), *_KEYS).groupBy(*_KEYS).agg(F.first("text").alias("text"))
     return once.select(*_KEYS, F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("no", "line")).withColumn("line", tx.strip(F.col("line")))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from evidence_engine.operators import memory as mem
 from evidence_engine.operators import parsing as ps
+from evidence_engine.operators import segments
 from evidence_engine.operators.sections import section_type_sql
 from evidence_engine.functions.text import scaled, strip
 from evidence_engine.sources.literals import values_sql
-from evidence_engine.sources.scratch import scratch_path
+from evidence_engine.sources.scratch import parts_for, scratch_path
 from evidence_engine.sources.tables import chunks, messages, read, with_ctes
 
 # Literal papers and references of our own.
@@ -97,7 +98,10 @@ BLOCKS = _BLOCKS + "SELECT * FROM b"
 def markdown_report(spark, sf):
     """Every order as a Markdown report of headings, a table of its lines and a fenced note, and the blocks of these."""
     line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_partkey").cast("string"), F.lit(" |"))
-    lines = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("rows"))
+    items = read(spark, sf, "lineitem")
+    # Lists of lines take more room than lines, so they are made in partitions by the table's bytes.
+    items = items.withColumnRenamed("l_orderkey", "o_orderkey").repartition(parts_for(items, segments.PART_BYTES), "o_orderkey")
+    lines = items.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("rows"))
     table = F.array_join(F.transform("rows", lambda x: x.line), "\n")
     heads = F.concat(F.lit("# Order "), F.col("o_orderkey").cast("string"), F.lit("\n## Method\nstatus "), F.col("o_orderstatus"), F.lit("\nsecond line\n### Lines\n"))
     rest = F.concat(F.lit("\n```text\n# "), F.col("o_orderpriority"), F.lit("\n```\n## 2. References\nnone"))
