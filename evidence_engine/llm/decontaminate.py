@@ -37,12 +37,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.common import WordHashes, cut_at_space, materialise, mix, pieces, table, text_slices, texts_of
+from evidence_engine.llm.common import SLICE_BYTES, WordHashes, cut_at_space, materialise, mix, pieces, table, text_slices, texts_of
 
 #: Tokens of a window, literal tokens that it needs, tokens that a region needs.
 WINDOW, LEAST_LITERALS, LEAST_TOKENS = 8, 4, 13
 #: Windows of the benchmark that a worker holds at once, characters that stand for one, and the join's salts.
 BLOCK_WINDOWS, WINDOW_CHARS, SALTS = 2_000_000, 3, 8
+#: Bytes of texts whose windows are looked up together; arrays of their tokens stay in a core's cache.
+TOGETHER_BYTES = 256_000
 #: Items whose tokens a worker remembers.
 REMEMBERED_ITEMS = 20_000
 # Unit words.
@@ -271,6 +273,30 @@ class _Filter:
                 kept[kind] = own[max(0, len(own) - self.reach + 1) :]
         return np.unique(np.concatenate(found)) if found else kept[0][:0]
 
+    def hits_of(self, texts: list[bytes | None], tokens: Tokens) -> list[np.ndarray]:
+        """hits of each text: windows over the tokens of all of them, without those that reach over a text's end."""
+        if sum(len(t or b"") for t in texts) > SLICE_BYTES:
+            return [self.hits(t or b"", tokens) for t in texts]
+        split = [(t or b"").split() for t in texts]
+        doc = np.repeat(np.arange(len(texts)), [len(words) for words in split])
+        own = tokens.arrays([w for words in split for w in words])
+        if not own[0].all():
+            own, doc = own[:, own[0] != 0], doc[own[0] != 0]
+        docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for kind in (0, 1):
+            for size in self.sizes[kind]:
+                if size <= len(doc):
+                    w = _windows(own[kind], size)
+                    at = np.flatnonzero(self.first[w >> np.uint64(64 - self.bits)])
+                    at = at[doc[at] == doc[at + size - 1]]
+                    at = at[self.hashes[np.minimum(np.searchsorted(self.hashes, w[at]), len(self.hashes) - 1)] == w[at]]
+                    docs.append(doc[at])
+                    hashes.append(w[at])
+        docs, hashes = np.concatenate(docs), np.concatenate(hashes)
+        order = np.argsort(docs, kind="stable")
+        parts = np.split(hashes[order], np.searchsorted(docs[order], np.arange(1, len(texts))))
+        return [np.unique(part) for part in parts]
+
 
 _HITS = "row long, doc_id long, text string, hashes array<long>"
 
@@ -281,10 +307,10 @@ def _hit_side(sent: Broadcast):
 
         tokens, row, wanted = Tokens(), TaskContext.get().partitionId() << 33, sent.value
         for batch in batches:
-            for s, e in text_slices(batch):
+            for s, e in text_slices(batch, limit=TOGETHER_BYTES):
                 at, hashes = [], []
-                for k, text in enumerate(texts_of(batch, s, e)):
-                    if text and len(found := wanted.hits(text, tokens)):
+                for k, found in enumerate(wanted.hits_of(texts_of(batch, s, e), tokens)):
+                    if len(found):
                         at.append(s + k), hashes.append(found.view(np.int64))
                 if at:
                     part = batch.take(pa.array(at))
