@@ -5,9 +5,9 @@ their terms, into blocks of one language and of bounded size, which are written
 
 1. Each block lists its terms with the number of its documents that hold them. Summed up by language these are exact
    document frequencies, and the terms of LEAST_DOCUMENTS or more are the language's vocabulary.
-2. A block gets back those of its own terms that were kept, as an Aho-Corasick automaton over terms padded by delimiters,
-   and recounts their occurrences by source. An automaton so holds no more than its block's texts, however large the
-   vocabulary is, and nothing is broadcast.
+2. A block gets back those of its own terms that were not kept, which are fewer, makes an Aho-Corasick automaton of the
+   others, padded by delimiters, and recounts their occurrences by source. An automaton so holds no more than its block's
+   texts, however large the vocabulary is, and nothing is broadcast.
 
 The counts are postings (lang, term, source). With p = 1 + floor(10^9 (count + 1) / (N + V)), a pair's value is a sum over
 the whole vocabulary, but all terms that a source lacks have one p. So with p0, q0 for absent terms and
@@ -27,7 +27,6 @@ Doubling texts doubles the work: nothing but the table of groups and pairs, whic
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -47,42 +46,49 @@ BLOCK_BYTES, SOURCES_EACH = 8 << 20, 1024
 _LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 #: Between a source's documents and between sources; no term holds them.
 _DOCUMENT, _SOURCE = b"\n", b"\x00"
-_PACKED = "block string, lang string, sources array<string>, packed binary"
+_PACKED = "block long, lang string, sources array<string>, packed binary, terms binary, documents binary"
 _value = itemgetter(1)
 
 
-def _plain(text: bytes | None) -> bytes:
-    """The text's terms with one delimiter between them."""
+def _terms(text: bytes | None) -> list[bytes]:
+    """The text's terms, in order."""
     text = text or b""
     try:
         text.decode()
     except UnicodeDecodeError:
         text = text.decode("utf-8", "replace").encode()
-    return b" ".join(text.translate(_LETTERS).split())
+    return text.translate(_LETTERS).split()
 
 
 def _packing(block_bytes: int):
     """Rows of _PACKED from (lang, source, text): a task's texts by language, a row as soon as they make up a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[dict[str, list[bytes]], list[int]]] = {}
-        total = 0
+        import zstandard
+        from pyspark import TaskContext
 
-        def block(lang: str) -> pa.RecordBatch:
-            import zstandard
+        held: dict[str, tuple[dict[str, list[bytes]], list[int], Counter[bytes]]] = {}
+        total, number = 0, TaskContext.get().partitionId() << 32
 
-            by, _ = held.pop(lang)
+        def block(lang: str) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            by, _, seen = held.pop(lang)
             packed = zstandard.compress(_SOURCE.join(_DOCUMENT.join(texts) for texts in by.values()), 3)
-            cols = [pa.array([uuid.uuid4().hex]), pa.array([lang]), pa.array([list(by)], pa.list_(pa.string())), pa.array([packed], pa.binary())]
+            terms = zstandard.compress(b" ".join(seen), 3)
+            documents = zstandard.compress(np.fromiter(seen.values(), np.int64, len(seen)).tobytes(), 3)
+            cols = [pa.array([number]), pa.array([lang]), pa.array([list(by)], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in (packed, terms, documents))]
             return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PACKED.split(", ")])
 
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, end in text_slices(batch):
                 for lang, source, text in zip(langs[start:end], sources[start:end], texts_of(batch, start, end), strict=True):
-                    if text := _plain(text):
-                        by, size = held.setdefault(lang, ({}, [0]))
+                    if terms := _terms(text):
+                        text = b" ".join(terms)
+                        by, size, seen = held.setdefault(lang, ({}, [0], Counter()))
                         by.setdefault(source, []).append(text)
+                        seen.update(set(terms))
                         size[0] += len(text)
                         total += len(text)
                         if size[0] >= block_bytes:
@@ -107,34 +113,45 @@ def _sections(packed: bytes) -> list[list[bytes]]:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, lang, term, documents: the terms of each block and how many of its documents hold them."""
+    import zstandard
+
     for batch in batches:
-        for block, lang, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held: Counter[bytes] = Counter()
-            for texts in _sections(packed):
-                for text in texts:
-                    held.update(set(text.split()))
+        for block, lang, terms, documents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held = np.frombuffer(zstandard.decompress(documents), np.int64)
             n = len(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.string()), pa.array([lang] * n, pa.string()), pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())],
-                names=["block", "lang", "term", "documents"],
-            )
+            terms = pa.array(zstandard.decompress(terms).split(), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([lang] * n, pa.string()), terms, pa.array(held)], names=["block", "lang", "term", "documents"])
+
+
+def _counted(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers below n, and how often each is there: by a table, or by sorting where a table would be mostly empty."""
+    if 8 * len(at) < n:
+        return np.unique(at, return_counts=True)
+    count = np.bincount(at, minlength=n)
+    found = np.flatnonzero(count)
+    return found, count[found]
 
 
 def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, source, term, count: occurrences of a block's kept terms, found by an automaton over the padded terms."""
     import ahocorasick
+    import zstandard
 
     for batch in batches:
-        for lang, sources, packed, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for lang, sources, packed, terms, rare in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rare = {x.encode() for x in rare or ()}
+            kept = [x for x in zstandard.decompress(terms).split() if x not in rare]
+            if not kept:
+                continue
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for i, term in enumerate(kept):
-                automaton.add_word(f" {term.encode().decode('latin-1')} ", i)
+                automaton.add_word(f" {term.decode('latin-1')} ", i)
             automaton.make_automaton()
-            terms = pa.array(kept, pa.string())
+            terms = pa.array(kept, pa.binary()).cast(pa.string())
             for source, texts in zip(sources, _sections(packed), strict=True):
                 # One character a byte; neighbours share a delimiter, which the automaton's overlapping matches allow.
                 line = b" ".join([b"", *texts, b""]).decode("latin-1")
-                at, count = np.unique(np.fromiter(map(_value, automaton.iter(line)), np.int64), return_counts=True)
+                at, count = _counted(np.fromiter(map(_value, automaton.iter(line)), np.int64), len(kept))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), terms.take(pa.array(at)), pa.array(count, pa.int64())], names=["lang", "source", "term", "count"])
 
 
@@ -163,14 +180,19 @@ def term_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST_DOCUMEN
     tasks = tasks_for(spark, size)
     blocks = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), "text").where(F.col("text").isNotNull())
     blocks = materialise(spark, blocks.mapInArrow(_packing(block_bytes), _PACKED), "divergence-blocks")
-    listed = blocks.select("block", "lang", "packed").mapInArrow(_listed, "block string, lang string, term string, documents long").repartition(tasks, "lang", "term")
+    listed = blocks.select("block", "lang", "terms", "documents").mapInArrow(_listed, "block long, lang string, term string, documents long").repartition(tasks, "lang", "term")
     # A term has one row a block, so no term is many rows.
-    frequency = F.sum("documents").over(Window.partitionBy("lang", "term"))
-    own = listed.withColumn("n", frequency).where(F.col("n") >= least)
+    if least <= 3:
+        # A term of two documents at most is in two blocks at most: its first and its last.
+        rare = listed.groupBy("lang", "term").agg(F.sum("documents").alias("n"), F.min("block").alias("first"), F.max("block").alias("last")).where(F.col("n") < least)
+        rare = rare.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("block"), "term")
+    else:
+        rare = listed.withColumn("n", F.sum("documents").over(Window.partitionBy("lang", "term"))).where(F.col("n") < least).select("block", "term")
     # Blocks meet their terms in tasks of one or two blocks each, as a row holds a whole block.
     each = pieces(2 * size, block_bytes, least=tasks)
-    own = own.select("block", "term").repartition(each, "block").groupBy("block").agg(F.collect_list("term").alias("kept"))
-    counts = blocks.repartition(each, "block").join(own.hint("shuffle_merge"), "block").select("lang", "sources", "packed", "kept").mapInArrow(_recounted, "lang string, source string, term string, count long")
+    rare = rare.repartition(each, "block").groupBy("block").agg(F.collect_list("term").alias("rare"))
+    met = blocks.drop("documents").repartition(each, "block").join(rare.hint("shuffle_merge"), "block", "left")
+    counts = met.select("lang", "sources", "packed", "terms", "rare").mapInArrow(_recounted, "lang string, source string, term string, count long")
     counts = counts.repartition(tasks, "lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
     postings = materialise(spark, counts, "divergence-postings")
     discard(spark, blocks)

@@ -213,3 +213,21 @@ def test_tree_is_exact_and_prunes(seed):
     entry, best, met = code_compression.nearest(book, code_compression.grow(book), x)
     assert (entry == d2.argmin(1)).all() and (best == d2.min(1)).all()
     assert met < d2.size / 2
+
+
+def test_divergence_sends_back_only_what_is_not_kept(spark, monkeypatch):
+    """Blocks get the few terms that are not kept, and results are those of brute force for any least number."""
+    rows = [(i, f"common words here {'twice' if i in (3, 17) else ''} w{chr(97 + i % 7) * 3} u{chr(97 + i % 26) * 2}{chr(97 + i // 26)}", "l", f"s{i % 3}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for least in (1, 2, 3, 4, 6):
+        assert audited(spark, docs, least=least, block_bytes=200) == brute_divergence([(r[2], r[3], r[1]) for r in rows], least=least)
+
+
+@pytest.mark.parametrize("n", [50, 1_000_000])
+def test_divergence_counts_occurrences_without_sorting_them(n, monkeypatch):
+    at = np.array([3, 1, 3, 49, 3] * 10)
+    if n == 50:
+        monkeypatch.setattr(np, "unique", None)
+    found, count = divergence._counted(at, n)
+    assert found.tolist() == [1, 3, 49]
+    assert count.tolist() == [10, 30, 10]
