@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine.operators import catalog, embedding, graph, lexical, papergraph, policies, vector, workflow
-from evidence_engine.plans import graphs
+from evidence_engine.plans import evidence, graphs
 from evidence_engine.plans.graphs import PAPER_EDGES, PAPER_NODES, PAPER_QUERIES
+from evidence_engine.sources.tables import chunks, query_set
 
 
 def test_variants_keep_apart(spark):
@@ -19,6 +20,23 @@ def test_variants_keep_apart(spark):
     assert {(r.query_id, r.chunk_id) for r in got} == {(1, 2), (2, 1)}
 
 
+def test_a_half_of_a_query_adds_its_own_evidence(spark, sf):
+    """What the first half of a text finds beyond the whole one is kept, what both find counts once, at its first place."""
+    asked, docs = query_set(spark, sf), chunks(spark, sf)
+    whole = lexical.bm25(asked, docs, 5).collect()
+    texts = [(r.query_id, r.text[: len(r.text) // 2]) for r in asked.collect()]
+    half = lexical.bm25(spark.createDataFrame(texts, "query_id long, text string"), docs, 5).collect()
+    first = {}
+    for r in sorted(whole, key=lambda r: r.rank) + sorted(half, key=lambda r: r.rank):
+        first.setdefault((r.query_id, r.chunk_id), r.rank)
+    want = defaultdict(list)
+    for (q, _), place in first.items():
+        want[q].append(place)
+    got = {r.query_id: (r.n, r.places) for r in evidence.evidence_dedupe(spark, sf).collect()}
+    assert got == {q: (len(p), sum(p)) for q, p in want.items()}
+    assert len(whole) < len(first) < len(whole) + len(half)
+
+
 def test_named_like_is_ilike(spark):
     rng = random.Random(5)
     names = ["".join(rng.choice("abAB_ 图谱") for _ in range(rng.randint(0, 7))) for _ in range(150)]
