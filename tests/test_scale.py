@@ -28,6 +28,27 @@ def test_totals_of_hops_are_those_of_all_pairs(spark):
             assert sorted(map(tuple, graph.k_hop_totals(seeds, laid, depth).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_lists_of_the_last_hop_travel_once_a_run(spark, monkeypatch):
+    """Endpoints alone are laid out, a node's list goes to all queries of a run at once, and totals stay those of all pairs,
+    also where a query is told apart in slices and nodes of classes are many."""
+    edges, _ = hubs(spark)
+    seeds = spark.createDataFrame([(n, n) for n in range(10, 60)] + [(900, 1), (901, 200), (902, 12), (902, 200), (903, 777)], "query_id long, node_id long")
+    want = {d: sorted(map(tuple, graph.k_hop(seeds, graph.lay_out(edges, buckets=4), d).groupBy("query_id", "hop").agg(F.count("*"), F.sum("node_id")).collect())) for d in (1, 2, 3)}
+    stored, kept, lay_out = {}, graph.kept, graph.lay_out
+    monkeypatch.setattr(graph, "kept", lambda df, tag: stored.setdefault(tag, []).append(kept(df, tag)) or stored[tag][-1])
+    monkeypatch.setattr(graph, "lay_out", lambda e, **kind: stored.setdefault("laid", []).append(lay_out(e, buckets=4, wide=20, **kind)) or stored["laid"][-1])
+    for bits, pairs, few in ((9, 1 << 23, 1 << 20), (2, 200, 0)):
+        monkeypatch.setattr(graph, "RUN_BITS", bits)
+        monkeypatch.setattr(graph, "PART_PAIRS", pairs)
+        monkeypatch.setattr(graph, "FEW_SHARED", few)
+        for d in (1, 2, 3):
+            assert sorted(map(tuple, graph.k_hop_totals(seeds, edges, d).collect())) == want[d]
+    assert all(set(laid.rows.columns) == {"node_id", "part", "other_id"} for laid in stored["laid"])
+    near = stored["graph-near"][1]
+    asked = near.select(F.explode("queries").alias("query_id"), "node_id").collect()
+    assert near.count() == len({(r.query_id >> 9, r.node_id) for r in asked}) < len(asked) == len(set(asked))
+
+
 def test_a_hop_reads_the_first_edges_of_each_node_alone(spark, monkeypatch):
     edges, rows = hubs(spark)
     laid, seeds = graph.lay_out(edges, buckets=4, wide=20), spark.createDataFrame([(n, n) for n in range(10, 40)], "query_id long, node_id long")
